@@ -46,7 +46,7 @@ def word_position(s, word) -> Column:
     absent, null when either input is null."""
     s, pat = _c(s), _prefix_pattern(word)
     return F.when(F.regexp_like(s, pat),
-                  F.length(F.regexp_extract(s, pat, 1)) + 1).otherwise(
+                  F.length(F.call_function("regexp_extract", s, pat, F.lit(1))) + 1).otherwise(
         F.when(s.isNotNull() & _lit(word).isNotNull(), F.lit(0)))
 
 
@@ -101,9 +101,9 @@ def fmt_marked_span(s) -> Column:
     becomes ``}}}``; kept as in the reference."""
     s = _c(s)
     has_the = F.instr(F.lower(s), "the **") > 0
-    the_pos = F.regexp_instr(s, r"[Tt]he \*\*")
+    the_pos = F.regexp_instr(s, F.lit(r"[Tt]he \*\*"))
     opened_the = F.when(the_pos > 0, F.overlay(s, F.lit("{{{the "), the_pos, F.lit(6))).otherwise(s)
-    sp = F.regexp_instr(s, r" ?\*\*")
+    sp = F.regexp_instr(s, F.lit(r" ?\*\*"))
     sp_len = F.when(F.substring(s, sp, 1) == " ", 3).otherwise(2)
     opened = F.when(sp > 0, F.overlay(s, F.lit(" {{{"), sp, sp_len)).otherwise(s)
     first = F.when(has_the, opened_the).otherwise(opened)
@@ -182,16 +182,18 @@ def rejoin_pieces(tokens) -> Column:
 
     Returns ``struct(words array<string>, offsets array<int>)`` where
     ``offsets[i]`` is the 0-based index of the token that starts word ``i``.
-    An ordered fold over the token array; a leading ``##`` piece starts a word."""
+    Linear in the token count: pieces are glued by one ``array_join`` with a
+    separator before each word start, then split; a leading ``##`` piece
+    starts a word as it is.  Pass a column (not an inline expression) so the
+    array is not rebuilt per element."""
     t = _c(tokens)
-    idx = F.sequence(F.lit(0), F.size(t) - 1)
-    starts = F.filter(idx, lambda i: ~F.startswith(F.element_at(t, i + 1), F.lit("##"))
-                      | (i == 0))
-    # word k spans tokens [starts[k], starts[k+1]); glue pieces without "##"
-    words = F.transform(starts, lambda s, k: F.array_join(F.transform(
-        F.slice(t, s + 1, F.coalesce(F.element_at(starts, k + 2), F.size(t)) - s),
-        lambda x, j: F.when(j > 0, F.regexp_replace(x, "^##", "")).otherwise(x)), ""))
-    return F.when(F.size(t) > 0, F.struct(words.alias("words"), starts.alias("offsets"))) \
+    sep = "\u0001"
+    glued = F.array_join(F.transform(t, lambda x, i: F.when(i == 0, x)
+                                     .when(F.startswith(x, F.lit("##")), F.substring(x, 3, 1 << 30))
+                                     .otherwise(F.concat(F.lit(sep), x))), "")
+    starts = F.filter(F.sequence(F.lit(0), F.size(t) - 1),
+                      lambda i: (i == 0) | ~F.startswith(F.element_at(t, i + 1), F.lit("##")))
+    return F.when(F.size(t) > 0, F.struct(F.split(glued, sep).alias("words"), starts.alias("offsets"))) \
         .otherwise(F.struct(F.array().cast("array<string>").alias("words"),
                             F.array().cast("array<int>").alias("offsets")))
 
