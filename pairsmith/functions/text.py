@@ -26,6 +26,15 @@ def _lit(x) -> Column:
     return x if isinstance(x, Column) else F.lit(x)
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and pass it to ``body`` as a lambda variable.
+
+    Spark inlines projected columns into lambda bodies, where an index-based
+    lambda would rebuild the whole array per element; binding it through a
+    one-element ``transform`` keeps the array computed once per row."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def quote_regex(word) -> Column:
     """``\\Q..\\E`` literal quoting that also survives a ``\\E`` in the word."""
     w = F.replace(_lit(word), F.lit("\\E"), F.lit("\\E\\\\E\\Q"))
@@ -161,7 +170,9 @@ SINGULAR_RULES = (
 def to_singular(word) -> Column:
     """Singular of an alphabetic word; other strings pass unchanged."""
     w = _c(word)
-    out = F.when(~w.rlike(r"^\p{L}+$") | w.isin(list(FORCE_SINGULAR)) | w.rlike(SINGULAR_KEEP), w)
+    # every rule needs a final s: test that first, it settles most words cheaply
+    out = F.when(~F.lower(F.substring(w, -1, 1)).eqNullSafe(F.lit("s")), w).when(
+        ~w.rlike(r"^\p{L}+$") | w.isin(list(FORCE_SINGULAR)) | w.rlike(SINGULAR_KEEP), w)
     for test, pat, repl in SINGULAR_RULES:
         out = out.when(w.rlike(test), F.regexp_replace(w, pat, repl))
     return out.otherwise(w)
@@ -184,39 +195,41 @@ def rejoin_pieces(tokens) -> Column:
     ``offsets[i]`` is the 0-based index of the token that starts word ``i``.
     Linear in the token count: pieces are glued by one ``array_join`` with a
     separator before each word start, then split; a leading ``##`` piece
-    starts a word as it is.  Pass a column (not an inline expression) so the
-    array is not rebuilt per element."""
-    t = _c(tokens)
+    starts a word as it is."""
     sep = "\u0001"
-    glued = F.array_join(F.transform(t, lambda x, i: F.when(i == 0, x)
-                                     .when(F.startswith(x, F.lit("##")), F.substring(x, 3, 1 << 30))
-                                     .otherwise(F.concat(F.lit(sep), x))), "")
-    starts = F.filter(F.sequence(F.lit(0), F.size(t) - 1),
-                      lambda i: (i == 0) | ~F.startswith(F.element_at(t, i + 1), F.lit("##")))
-    return F.when(F.size(t) > 0, F.struct(F.split(glued, sep).alias("words"), starts.alias("offsets"))) \
-        .otherwise(F.struct(F.array().cast("array<string>").alias("words"),
-                            F.array().cast("array<int>").alias("offsets")))
+
+    def body(t):
+        glued = F.array_join(F.transform(t, lambda x, i: F.when(i == 0, x)
+                                         .when(F.startswith(x, F.lit("##")), F.substring(x, 3, 1 << 30))
+                                         .otherwise(F.concat(F.lit(sep), x))), "")
+        starts = F.filter(F.transform(t, lambda x, i: F.when((i == 0) | ~F.startswith(x, F.lit("##")), i)),
+                          lambda v: v.isNotNull())
+        return F.when(F.size(t) > 0, F.struct(F.split(glued, sep).alias("words"), starts.alias("offsets"))) \
+            .otherwise(F.struct(F.array().cast("array<string>").alias("words"),
+                                F.array().cast("array<int>").alias("offsets")))
+    return let(_c(tokens), body)
 
 
 def word_positions(tokens, word) -> Column:
     """All 0-based positions of ``word`` in ``tokens``, case-blind."""
-    t = _c(tokens)
-    return F.filter(F.sequence(F.lit(0), F.size(t) - 1),
-                    lambda i: F.lower(F.element_at(t, i + 1)) == F.lower(_lit(word)))
+    w = F.lower(_lit(word))
+    return F.filter(F.transform(_c(tokens), lambda x, i: F.when(F.lower(x) == w, i)),
+                    lambda v: v.isNotNull())
 
 
 def phrase_positions(tokens, phrase_tokens) -> Column:
     """0-based starts of a token phrase in ``tokens``; after a hit the scan
     jumps ``len + 1`` tokens, so hits are at least ``len + 1`` apart."""
-    t, p = _c(tokens), _c(phrase_tokens)
-    n, m = F.size(t), F.size(p)
-    cand = F.filter(F.sequence(F.lit(0), F.greatest(n - m, F.lit(-1))),
-                    lambda i: (m > 0) & (n >= m) & (F.slice(t, i + 1, m) == p))
-    kept = F.aggregate(cand, F.struct(F.array().cast("array<int>").alias("a"), F.lit(0).alias("nxt")),
-                       lambda acc, i: F.when(i >= acc["nxt"], F.struct(
-                           F.concat(acc["a"], F.array(i)).alias("a"), (i + m + 1).alias("nxt")))
-                       .otherwise(acc))
-    return kept["a"]
+    def body(tp):
+        t, p = tp["t"], tp["p"]
+        n, m = F.size(t), F.size(p)
+        cand = F.filter(F.transform(t, lambda x, i: F.when((m > 0) & (F.slice(t, i + 1, m) == p), i)),
+                        lambda v: v.isNotNull())
+        return F.aggregate(cand, F.struct(F.array().cast("array<int>").alias("a"), F.lit(0).alias("nxt")),
+                           lambda acc, i: F.when(i >= acc["nxt"], F.struct(
+                               F.concat(acc["a"], F.array(i)).alias("a"), (i + m + 1).alias("nxt")))
+                           .otherwise(acc))["a"]
+    return let(F.struct(_c(tokens).alias("t"), _c(phrase_tokens).alias("p")), body)
 
 
 # ---------------------------------------------------------------- STR-16..24

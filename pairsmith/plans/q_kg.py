@@ -1 +1,38 @@
-"""Queries (to be filled)."""
+"""Knowledge-graph queries over the derived snapshot (J-06..J-09, NLP-06)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import kg
+from . import kg_binding as B
+from .catalog import query
+
+
+@query("kg_country", None, ("J-06", "WIN-06", "SRC-10"))
+def q_kg_country(spark, sf_dir):
+    return kg.entity_countries(B.triples(spark, sf_dir)).select(
+        "query", F.array_join("countries", "|").alias("countries"))
+
+
+@query("kg_states", None, ("J-07",))
+def q_kg_states(spark, sf_dir):
+    return kg.entity_states(B.triples(spark, sf_dir)).select(
+        "query", F.array_join("states", "|").alias("states"))
+
+
+@query("kg_top_population", None, ("J-08", "WIN-06"))
+def q_kg_top_population(spark, sf_dir):
+    return kg.state_or_country(B.triples(spark, sf_dir), B.US_LABEL).select(
+        "query", F.array_join("places", "|").alias("places"))
+
+
+@query("kg_features", None, ("J-09",))
+def q_kg_features(spark, sf_dir):
+    return kg.noun_features(B.triples(spark, sf_dir))
+
+
+@query("kg_closure", None, ("NLP-06", "STR-24"))
+def q_kg_closure(spark, sf_dir):
+    lemmas, edges = B.taxonomy(spark, sf_dir)
+    return kg.hypernym_table(lemmas, edges)

@@ -1 +1,102 @@
-"""Queries (to be filled)."""
+"""Link queries: the four link joins, index folds, cache keys and misses."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import kg, linking
+from ..operators.common import broadcast_if_small
+from . import kg_binding as B
+from .catalog import query
+
+
+def annotated(spark, sf_dir):
+    return linking.annotate(B.pairs(spark, sf_dir), B.lexicon(spark, sf_dir))
+
+
+def _show(df):
+    """Arrays as text so results compare across engines."""
+    return df.select("pair_id", "data_type", "object",
+                     F.array_join("subjects", ",").alias("subjects"),
+                     F.array_join(F.transform("subject_ind", lambda x: x.cast("string")), ",").alias("subject_ind"),
+                     F.array_join(F.transform("object_ind", lambda x: x.cast("string")), ",").alias("object_ind"),
+                     "feature_type")
+
+
+def isa_links(spark, sf_dir):
+    lemmas, edges = B.taxonomy(spark, sf_dir)
+    hyp = broadcast_if_small(kg.hypernym_table(lemmas, edges))
+    return linking.link_isa(annotated(spark, sf_dir), hyp)
+
+
+def location_links(spark, sf_dir):
+    places = broadcast_if_small(kg.state_or_country(B.triples(spark, sf_dir), B.US_LABEL))
+    return linking.link_location(annotated(spark, sf_dir), places, B.country_list(spark, sf_dir),
+                                 linking.synonyms_table(spark))
+
+
+def trademark_links(spark, sf_dir):
+    countries = broadcast_if_small(kg.entity_countries(B.triples(spark, sf_dir)))
+    return linking.link_trademark(annotated(spark, sf_dir), countries, linking.adjectives_table(spark),
+                                  linking.synonyms_table(spark))
+
+
+def color_links(spark, sf_dir):
+    feats = broadcast_if_small(kg.noun_features(B.triples(spark, sf_dir)))
+    return linking.link_color(annotated(spark, sf_dir), feats)
+
+
+@query("link_isa", None, ("J-10", "J-14", "NLP-02", "NLP-06", "AGG-09", "STR-13"))
+def q_link_isa(spark, sf_dir):
+    return _show(isa_links(spark, sf_dir))
+
+
+@query("link_location", None, ("J-11", "J-08", "NLP-04", "STR-15", "STR-22", "AGG-09"))
+def q_link_location(spark, sf_dir):
+    return _show(location_links(spark, sf_dir))
+
+
+@query("link_trademark", None, ("J-13", "J-06", "J-05", "NLP-05", "STR-10", "STR-23", "AGG-09"))
+def q_link_trademark(spark, sf_dir):
+    return _show(trademark_links(spark, sf_dir))
+
+
+@query("link_color", None, ("J-12", "J-09", "NLP-03", "STR-14", "AGG-09"))
+def q_link_color(spark, sf_dir):
+    return _show(color_links(spark, sf_dir))
+
+
+def all_links(spark, sf_dir):
+    return (isa_links(spark, sf_dir).unionByName(location_links(spark, sf_dir))
+            .unionByName(trademark_links(spark, sf_dir)).unionByName(color_links(spark, sf_dir)))
+
+
+def _offsets(spark, sf_dir):
+    """Word-piece stand-in: each lower-case word in 4-character pieces."""
+    p = B.pairs(spark, sf_dir)
+    out = p
+    for i, side in ((1, "a"), (2, "b")):
+        words = F.transform(linking.tokens(F.col(f"s{i}")), lambda x: F.lower(x))
+        pieces = F.flatten(F.transform(words, lambda w: F.transform(
+            F.sequence(F.lit(0), F.floor((F.length(w) - 1) / 4).cast("int")),
+            lambda k: F.concat(F.when(k > 0, F.lit("##")).otherwise(F.lit("")), F.substring(w, k * 4 + 1, 4)))))
+        out = out.withColumn(f"pieces_{side}", pieces)
+        out = out.withColumn(f"offsets_{side}", F.col(f"pieces_{side}"))
+        from ..functions.text import rejoin_pieces
+        out = out.withColumn(f"offsets_{side}", rejoin_pieces(f"pieces_{side}")["offsets"])
+    return out.select("pair_id", "offsets_a", "offsets_b")
+
+
+@query("link_index_names", None, ("AGG-10", "NLP-07", "STR-12"))
+def q_link_index_names(spark, sf_dir):
+    r = linking.index_names(all_links(spark, sf_dir), _offsets(spark, sf_dir).select("pair_id", "offsets_a"))
+    return r.select("pair_id", "data_type", F.col("piece").cast("int").alias("piece"),
+                    F.array_join("links", "|").alias("links"))
+
+
+@query("link_index_sets", None, ("AGG-11",))
+def q_link_index_sets(spark, sf_dir):
+    r = linking.index_sets(all_links(spark, sf_dir), _offsets(spark, sf_dir))
+    return r.select("pair_id", "data_type",
+                    F.array_join(F.transform("a_indices", lambda x: x.cast("string")), ",").alias("a_indices"),
+                    F.array_join(F.transform("b_indices", lambda x: x.cast("string")), ",").alias("b_indices"))
