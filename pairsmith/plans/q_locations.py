@@ -1 +1,147 @@
-"""Queries (to be filled)."""
+"""Location-mining queries over documents and conversation pairs.
+
+Gazetteer stand-in: countries are the nations; cities are capitalised words
+(``Xxxx`` with 4+ letters) found in at least ``MIN_DOCS`` documents, each
+assigned to a nation by a hash of the word; a word whose hash is divisible
+by 7 is also listed under the next nation (an ambiguous city), and every
+tenth nation's own name is listed as a city elsewhere (an ambiguous
+country).  So the dedup rules all fire, and the gazetteer grows with the data.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import locations as L
+from ..session import read_table
+from . import kg_binding as B
+from .catalog import query
+from .q_mix import corpus
+
+MIN_DOCS = 3
+EXCLUDE_GENRE = "assistant"
+
+
+def _h(c):
+    return F.conv(F.substring(F.md5(c), 1, 8), 16, 10).cast("bigint")
+
+
+def gazetteer_raw(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    words = docs.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"\p{Lu}\p{Ll}{3,}"), 0)).alias("w"))
+    words = words.where(F.col("w").rlike(r"^\p{Lu}\p{Ll}{3,}$"))
+    freq = words.groupBy(F.lower("w").alias("city")).agg(F.count_distinct("doc_id").alias("df")) \
+        .where(F.col("df") >= MIN_DOCS)
+    n = read_table(spark, sf_dir, "nation").select(
+        "n_nationkey", B.nation_label(F.col("n_nationkey"), F.col("n_name")).alias("country"))
+    k = F.pmod(_h(F.col("city")), F.lit(25))
+    assign = freq.select("city", F.explode(F.array(
+        k, F.when(F.pmod(_h(F.col("city")), F.lit(7)) == 0, F.pmod(k + 1, F.lit(25))))).alias("nk")) \
+        .where(F.col("nk").isNotNull())
+    cities = assign.join(F.broadcast(n), assign.nk == n.n_nationkey).select("country", "city")  # nation: 25 rows
+    own = n.where(F.col("n_nationkey") % 10 == 0).select(F.col("n_nationkey").alias("src"), F.lower("country").alias("city"))
+    own = own.join(F.broadcast(n), F.pmod(own.src + 3, F.lit(25)) == n.n_nationkey).select("country", "city")
+    bare = n.select("country", F.lit(None).cast("string").alias("city"))
+    return cities.unionByName(own).unionByName(bare)
+
+
+GAZ_SQL = f"""
+words AS (
+  SELECT doc_id, unnest(regexp_extract_all(text, '\\p{{Lu}}\\p{{Ll}}{{3,}}')) AS w FROM documents
+),
+freq AS (
+  SELECT lower(w) AS city, count(DISTINCT doc_id) AS df FROM words
+  WHERE regexp_matches(w, '^\\p{{Lu}}\\p{{Ll}}{{3,}}$') GROUP BY lower(w) HAVING count(DISTINCT doc_id) >= {MIN_DOCS}
+),
+nat AS (
+  SELECT n_nationkey, CASE n_nationkey WHEN 0 THEN 'United States of America' WHEN 1 THEN 'United Kingdom'
+         ELSE upper(substr(n_name, 1, 1)) || lower(substr(n_name, 2)) END AS country FROM nation
+),
+hsh AS (SELECT city, ('0x' || substr(md5(city), 1, 8))::BIGINT AS h FROM freq),
+assign AS (
+  SELECT city, h % 25 AS nk FROM hsh
+  UNION ALL SELECT city, (h % 25 + 1) % 25 FROM hsh WHERE h % 7 = 0
+),
+gaz_raw AS (
+  SELECT n.country, a.city FROM assign a JOIN nat n ON n.n_nationkey = a.nk
+  UNION ALL
+  SELECT n.country, lower(o.country) FROM nat o JOIN nat n ON n.n_nationkey = (o.n_nationkey + 3) % 25
+  WHERE o.n_nationkey % 10 = 0
+  UNION ALL SELECT country, NULL FROM nat
+),
+cc AS (SELECT lower(country) AS country, lower(city) AS city FROM gaz_raw),
+names AS (SELECT city AS name FROM cc WHERE city IS NOT NULL UNION ALL SELECT DISTINCT country FROM cc),
+once AS (SELECT name FROM names GROUP BY name HAVING count(*) = 1),
+kept_c AS (SELECT * FROM cc WHERE country IN (SELECT name FROM once)),
+kept AS (SELECT country, city FROM kept_c WHERE city IN (SELECT name FROM once)),
+gaz AS (SELECT c.country, k.city FROM (SELECT DISTINCT country FROM kept_c) c LEFT JOIN kept k ON k.country = c.country)"""
+
+
+def gazetteer(spark, sf_dir):
+    return L.dedup_gazetteer(gazetteer_raw(spark, sf_dir))
+
+
+@query("gazetteer_dedup", "WITH " + GAZ_SQL + "\nSELECT country, city FROM gaz", ("AGG-06", "SRC-09"))
+def q_gazetteer_dedup(spark, sf_dir):
+    return gazetteer(spark, sf_dir)
+
+
+def _names(raw):
+    return raw.select(F.lower("country").alias("name")).unionByName(
+        raw.select(F.lower("city").alias("name"))).where(F.col("name").isNotNull()).distinct()
+
+
+@query("corpus_mentions", "WITH " + GAZ_SQL + r""",
+allnames AS (SELECT DISTINCT name FROM (SELECT lower(country) AS name FROM gaz_raw
+                                        UNION ALL SELECT lower(city) FROM gaz_raw) WHERE name IS NOT NULL),
+dw AS (SELECT unnest(regexp_extract_all(text, '[\p{L}\p{N}_]+')) AS w FROM documents)
+SELECT lower(w) AS location, CAST(count(*) AS BIGINT) AS cnt
+FROM dw JOIN allnames ON lower(w) = allnames.name GROUP BY lower(w)""", ("AGG-05", "NLP-04"))
+def q_corpus_mentions(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    return L.corpus_mentions(docs, _names(gazetteer_raw(spark, sf_dir)))
+
+
+def annotated_sentences(spark, sf_dir):
+    raw = gazetteer_raw(spark, sf_dir)
+    names = _names(raw)
+    rows = L.sentence_rows(corpus(spark, sf_dir).withColumnRenamed("seq", "sample_id"))
+    return L.annotate_locations(rows, names, names)
+
+
+@query("location_sentences", None, ("EXP-10", "AGG-19", "FLT-07", "UDF-03"))
+def q_location_sentences(spark, sf_dir):
+    a = annotated_sentences(spark, sf_dir)
+    return a.select("sample_id", "type", "genre", "num_locations",
+                    F.array_join("locations", "|").alias("locations"),
+                    F.array_join(F.transform("start_char", lambda x: x.cast("string")), ",").alias("start_char"),
+                    F.array_join(F.transform("word_count", lambda x: x.cast("string")), ",").alias("word_count"))
+
+
+def pool(spark, sf_dir):
+    return L.sentence_pool(annotated_sentences(spark, sf_dir), gazetteer(spark, sf_dir), EXCLUDE_GENRE)
+
+
+@query("sentence_pool", None, ("FLT-05", "J-03", "WIN-05", "STR-06", "PRJ-07", "SRT-04"))
+def q_sentence_pool(spark, sf_dir):
+    return pool(spark, sf_dir)
+
+
+def city_map(spark, sf_dir):
+    """Fixed map plus, for each kept nation, its first city (a rule)."""
+    g = gazetteer(spark, sf_dir).where(F.col("city").isNotNull()).groupBy("country").agg(
+        F.min("city").alias("city"))
+    derived = g.select(F.initcap("country").alias("country"), F.initcap("city").alias("city"))
+    fixed = spark.createDataFrame(sorted(L.COUNTRY_TO_CITY.items()), "country string, city string")
+    return derived.unionByName(fixed.join(derived.select("country"), "country", "left_anti"))
+
+
+@query("finalise_tagging", None, ("FLT-04", "J-04", "WIN-04", "WIN-05", "STR-07", "STR-10", "SRC-04"))
+def q_finalise_tagging(spark, sf_dir):
+    p = pool(spark, sf_dir)
+    cmap = city_map(spark, sf_dir)
+    tagged = p.join(cmap.select(F.lower("country").alias("country")), "country", "left_semi").select(
+        "id", F.col("original_sentence").alias("sentence"),
+        F.pmod(_h(F.col("id")), F.lit(3)).cast("int").alias("can_be_entailed"),
+        "country", "start_char", "end_char")
+    return L.finalise_for_tagging(tagged, cmap)
