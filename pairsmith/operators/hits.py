@@ -210,12 +210,15 @@ def expand_sheet(sheet: DataFrame, row_id: str = "row_id", fix_section4_label: b
     meta = [F.col(row_id).alias("row_id"), col(C_WORKER).alias("worker_id"), col(C_HIT).alias("hit_id"),
             (F.trim(col(C_SUBMIT)) == "{}").alias("is_complete")]
     staged = sheet.select(*meta, all_samples.alias("__s"), failures.alias("__f"))
+    # outer generators: the optimizer infers a "non-empty array" filter for a
+    # plain explode and copies the whole array expression into it, which makes
+    # planning blow up on an expression this size; null rows are dropped instead
     samples = staged.select("row_id", "worker_id", "hit_id", "is_complete",
-                            F.posexplode("__s").alias("sample_idx", "s")).select(
+                            F.posexplode_outer("__s").alias("sample_idx", "s")).where(F.col("s").isNotNull()).select(
         "s.premise", "s.hypothesis", "s.label", "s.section", "s.pword", "s.hword", "s.ptype", "s.htype",
         "row_id", "worker_id", "hit_id", "is_complete", "s.parser", "s.block", "s.j",
         F.col("sample_idx").cast("int").alias("sample_idx"))
-    quarantine = staged.select("row_id", F.explode("__f").alias("f")).select(
+    quarantine = staged.select("row_id", F.explode_outer("__f").alias("f")).where(F.col("f").isNotNull()).select(
         "row_id", "f.parser", "f.reason", (F.col("f.reason") == EMPTY).alias("silent"))
     return samples, quarantine
 
