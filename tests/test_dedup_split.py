@@ -21,7 +21,7 @@ def _samples(spark):
 
 def test_drop_conflicts_keep_first(spark):
     out = dedup.drop_conflicts_dedup(_samples(spark), order_by=["seq"])
-    got = sorted((r.premise, r.hypothesis, r.label, r.seq) for r in out.collect())
+    got = sorted(((r.premise, r.hypothesis, r.label, r.seq) for r in out.collect()), key=str)
     assert got == sorted([("p1", "h1", "entailment", 1), ("p3", "h3", "neutral", 5),
                           (None, "h4", "neutral", 6)], key=str)
 
