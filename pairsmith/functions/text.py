@@ -159,7 +159,10 @@ FORCE_SINGULAR = (
 )
 
 # Our suffix rules, tried in order (the reference's inflection library is absent).
-SINGULAR_KEEP = r"(?i)(ss|us|is)$"
+SINGULAR_KEEP = r"(?i)(ss|us|sis)$"
+# Our list: common words that end in s but are not plurals.
+NOT_PLURAL = ("is", "this", "his", "was", "has", "does", "yes", "its", "thus", "plus", "always",
+              "perhaps", "unless", "whereas", "besides", "gas", "lens", "news", "series", "species")
 SINGULAR_RULES = (
     (r"(?i)^.{2,}ies$", r"(?i)ies$", "y"),
     (r"(?i)(s|x|z|ch|sh)es$", r"(?i)es$", ""),
@@ -172,7 +175,8 @@ def to_singular(word) -> Column:
     w = _c(word)
     # every rule needs a final s: test that first, it settles most words cheaply
     out = F.when(~F.lower(F.substring(w, -1, 1)).eqNullSafe(F.lit("s")), w).when(
-        ~w.rlike(r"^\p{L}+$") | w.isin(list(FORCE_SINGULAR)) | w.rlike(SINGULAR_KEEP), w)
+        ~w.rlike(r"^\p{L}+$") | w.isin(list(FORCE_SINGULAR)) | F.lower(w).isin(list(NOT_PLURAL))
+        | w.rlike(SINGULAR_KEEP), w)
     for test, pat, repl in SINGULAR_RULES:
         out = out.when(w.rlike(test), F.regexp_replace(w, pat, repl))
     return out.otherwise(w)
@@ -180,7 +184,8 @@ def to_singular(word) -> Column:
 
 def to_singular_sql(w: str) -> str:
     forced = ", ".join(f"'{x}'" for x in FORCE_SINGULAR)
-    parts = [f"WHEN NOT regexp_matches({w}, '^\\p{{L}}+$') OR {w} IN ({forced}) "
+    notpl = ", ".join(f"'{x}'" for x in NOT_PLURAL)
+    parts = [f"WHEN NOT regexp_matches({w}, '^\\p{{L}}+$') OR {w} IN ({forced}) OR lower({w}) IN ({notpl}) "
              f"OR regexp_matches({w}, '{SINGULAR_KEEP}') THEN {w}"]
     for test, pat, repl in SINGULAR_RULES:
         parts.append(f"WHEN regexp_matches({w}, '{test}') THEN regexp_replace({w}, '{pat}', '{repl}')")

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import safe_replace, word_position
+from ..functions.text import word_position
 
 # Answer-sheet column names.
 C_PREMISE = "Input.premise"
@@ -91,13 +91,20 @@ def _has_empty(c: Column) -> Column:
     return F.contains(c, F.lit("{}"))
 
 
-def replace_checks(s: Column, old: Column) -> list[tuple[Column, str]]:
-    """Checks of one ``safe_replace(s, old, new)`` in the order they fire."""
+def replace_checks(s: Column, old: Column, pos: Column | None = None) -> list[tuple[Column, str]]:
+    """Checks of one ``safe_replace(s, old, new)`` in the order they fire;
+    ``pos`` is the word position when already computed."""
+    pos = word_position(s, old) if pos is None else pos
     return [(s.isNull() | old.isNull(), NULL), (_has_empty(s), EMPTY), (_has_empty(old), EMPTY),
-            (word_position(s, old) == 0, NOT_FOUND),
+            (pos == 0, NOT_FOUND),
             (F.contains(s, F.lit("{")) | F.contains(s, F.lit("}")), BRACE)]
 
 
+def replace_at(s: Column, old: Column, pos: Column, new: Column) -> Column:
+    """``safe_replace`` with the position of ``old`` already known."""
+    return F.when(pos > 0, F.overlay(s, new, pos, F.length(old)))
+
+
 def list_checks(c: Column) -> list[tuple[Column, str]]:
     return [(c.isNull(), NULL), (_has_empty(c), EMPTY)]
 
@@ -133,66 +140,87 @@ def expand_sheet(sheet: DataFrame, row_id: str = "row_id", fix_section4_label: b
     ``parser``, ``block``, ``j`` and ``sample_idx`` (order inside the row).
     ``quarantine``: row_id, parser, reason, silent (empty-cell skips).
     """
+    # stage 1: every word position the parsers need, computed once per row
+    # (each is used by several gates and by every element of a block)
+    hypos_c, non_c = F.split(col(C_HYPOS), ","), F.split(col(C_NON), ",")
+    non0 = F.element_at(non_c, 1)
+    p4_c, p5_c = strip_number(col(C_P4)), strip_number(col(C_P5))
+    staged_in = sheet.select(
+        "*", non0.alias("__non0"), p4_c.alias("__p4"), p5_c.alias("__p5"),
+        word_position(col(C_PREMISE), col(C_HYPO)).alias("__pos_ph"),
+        word_position(col(C_4A), col(C_HYPO)).alias("__pos_4a"),
+        word_position(col(C_4B), non0).alias("__pos_4b"),
+        word_position(p5_c, col(C_HYPO)).alias("__pos_p5"),
+        word_position(col(C_5B), non0).alias("__pos_5b"),
+        word_position(p4_c, col(C_HYPER)).alias("__pos_p4h"),
+        word_position(col(C_5A), col(C_HYPER)).alias("__pos_5ah"))
+    sheet = staged_in
     premise, hypo, hyper = col(C_PREMISE), col(C_HYPO), col(C_HYPER)
     hypos, non = F.split(col(C_HYPOS), ","), F.split(col(C_NON), ",")
-    nonhypo0 = F.element_at(non, 1)
-    hyper_sentence = safe_replace(premise, hypo, hyper)
+    nonhypo0 = F.col("__non0")
+    pos_ph = F.col("__pos_ph")
+    hyper_sentence = replace_at(premise, hypo, pos_ph, hyper)
     label4b = col(C_5BL) if not fix_section4_label else col(C_4BL)
-    p4, p5 = strip_number(col(C_P4)), strip_number(col(C_P5))
+    p4, p5 = F.col("__p4"), F.col("__p5")
     t4a, t4b, t5a, t5b = col(C_4A), col(C_4B), col(C_5A), col(C_5B)
 
     def size_ne(a: str, b: Column) -> Column:
         return F.size(F.split(col(a), ",")) != F.size(b)
 
     # ---- parser 1
-    r1 = _first_reason(*list_checks(col(C_L1B)), *replace_checks(premise, hypo))
+    r1 = _first_reason(*list_checks(col(C_L1B)), *replace_checks(premise, hypo, pos_ph))
     b1 = F.array(_sample(premise, hyper_sentence, col(C_L1B), 1, 1, hypo, hyper, "hypo", "hyper", F.lit(0)))
     # ---- parser 2: hypos checks, hyper sentence, 2b-2 list + length | block A | 2b-1 list + length | block B
-    r2a = _first_reason(*list_checks(col(C_HYPOS)), *replace_checks(premise, hypo),
+    r2a = _first_reason(*list_checks(col(C_HYPOS)), *replace_checks(premise, hypo, pos_ph),
                         *list_checks(col(C_L2B2)), (size_ne(C_L2B2, hypos), LENGTH))
     r2b = _first_reason(*list_checks(col(C_L2B1)), (size_ne(C_L2B1, hypos), LENGTH))
     b2a = _zip_block(hypos, F.split(col(C_L2B2), ","), lambda w, lab, i: _sample(
-        hyper_sentence, safe_replace(premise, hypo, w), lab, 2, 1, hyper, w, "hyper", "hypo", i))
+        hyper_sentence, replace_at(premise, hypo, pos_ph, w), lab, 2, 1, hyper, w, "hyper", "hypo", i))
     b2b = _zip_block(hypos, F.split(col(C_L2B1), ","), lambda w, lab, i: _sample(
-        safe_replace(premise, hypo, w), hyper_sentence, lab, 2, 2, w, hyper, "hypo", "hyper", i))
+        replace_at(premise, hypo, pos_ph, w), hyper_sentence, lab, 2, 2, w, hyper, "hypo", "hyper", i))
     # ---- parser 3
-    r3a = _first_reason(*list_checks(col(C_NON)), *replace_checks(premise, hypo),
+    r3a = _first_reason(*list_checks(col(C_NON)), *replace_checks(premise, hypo, pos_ph),
                         *list_checks(col(C_L3B1)), (size_ne(C_L3B1, non), LENGTH))
     r3b = _first_reason(*list_checks(col(C_L3B2)), (size_ne(C_L3B2, non), LENGTH))
     b3a = _zip_block(non, F.split(col(C_L3B1), ","), lambda w, lab, i: _sample(
-        safe_replace(premise, hypo, w), hyper_sentence, lab, 3, 1, w, hyper, "nonhypo", "hyper", i))
+        replace_at(premise, hypo, pos_ph, w), hyper_sentence, lab, 3, 1, w, hyper, "nonhypo", "hyper", i))
     b3b = _zip_block(non, F.split(col(C_L3B2), ","), lambda w, lab, i: _sample(
-        hyper_sentence, safe_replace(premise, hypo, w), lab, 3, 2, hyper, w, "hyper", "nonhypo", i))
+        hyper_sentence, replace_at(premise, hypo, pos_ph, w), lab, 3, 2, hyper, w, "hyper", "nonhypo", i))
 
     # ---- parsers 4 and 5: word tests (no format), then the premise cell test
-    def found(s, w):
-        return [(s.isNull() | w.isNull(), NULL), (word_position(s, w) == 0, NOT_FOUND)]
+    def found(s, w, pos):
+        return [(s.isNull() | w.isNull(), NULL), (pos == 0, NOT_FOUND)]
 
-    r4 = _first_reason(*list_checks(col(C_NON)), (col(C_P4).isNull(), NULL), *found(p4, hyper),
-                       *found(t4a, hypo), *found(t4b, nonhypo0), (_has_empty(p4), EMPTY))
+    r4 = _first_reason(*list_checks(col(C_NON)), (col(C_P4).isNull(), NULL), *found(p4, hyper, F.col("__pos_p4h")),
+                       *found(t4a, hypo, F.col("__pos_4a")), *found(t4b, nonhypo0, F.col("__pos_4b")),
+                       (_has_empty(p4), EMPTY))
     b4 = F.array(_sample(p4, t4a, col(C_4AL), 4, 1, hyper, hypo, "hyper", "hypo", F.lit(0)),
                  _sample(p4, t4b, label4b, 4, 2, hyper, nonhypo0, "hyper", "nonhypo", F.lit(1)))
-    r5 = _first_reason(*list_checks(col(C_NON)), (col(C_P5).isNull(), NULL), *found(p5, hypo),
-                       *found(t5a, hyper), *found(t5b, nonhypo0), (_has_empty(p5), EMPTY))
+    r5 = _first_reason(*list_checks(col(C_NON)), (col(C_P5).isNull(), NULL), *found(p5, hypo, F.col("__pos_p5")),
+                       *found(t5a, hyper, F.col("__pos_5ah")), *found(t5b, nonhypo0, F.col("__pos_5b")),
+                       (_has_empty(p5), EMPTY))
     b5 = F.array(_sample(p5, t5a, col(C_5AL), 5, 1, hypo, hyper, "hypo", "hyper", F.lit(0)),
                  _sample(p5, t5b, col(C_5BL), 5, 2, hypo, nonhypo0, "hypo", "nonhypo", F.lit(1)))
 
     # ---- parser 6: substitutions; the non-hypo list skips its first element
     rest = F.slice(non, 2, 1 << 30)
     r6 = _first_reason((col(C_P4).isNull() | col(C_P5).isNull(), NULL), *list_checks(col(C_HYPOS)),
-                       *list_checks(col(C_NON)), *found(p4, hyper), *found(p5, hypo))
-    r6a = _first_reason(*replace_checks(t4a, hypo))
-    r6b = F.when(F.size(rest) > 0, _first_reason(*replace_checks(t4b, nonhypo0)))
-    r6c = _first_reason(*replace_checks(p5, hypo))
-    r6d = F.when(F.size(rest) > 0, _first_reason(*replace_checks(p5, hypo), *replace_checks(t5b, nonhypo0)))
-    b6a = F.transform(hypos, lambda w, i: _sample(p4, safe_replace(t4a, hypo, w), col(C_4AL), 6, 1,
+                       *list_checks(col(C_NON)), *found(p4, hyper, F.col("__pos_p4h")),
+                       *found(p5, hypo, F.col("__pos_p5")))
+    pos4a, pos4b, posp5, pos5b = (F.col(c) for c in ("__pos_4a", "__pos_4b", "__pos_p5", "__pos_5b"))
+    r6a = _first_reason(*replace_checks(t4a, hypo, pos4a))
+    r6b = F.when(F.size(rest) > 0, _first_reason(*replace_checks(t4b, nonhypo0, pos4b)))
+    r6c = _first_reason(*replace_checks(p5, hypo, posp5))
+    r6d = F.when(F.size(rest) > 0, _first_reason(*replace_checks(p5, hypo, posp5),
+                                                 *replace_checks(t5b, nonhypo0, pos5b)))
+    b6a = F.transform(hypos, lambda w, i: _sample(p4, replace_at(t4a, hypo, pos4a, w), col(C_4AL), 6, 1,
                                                   hyper, w, "hyper", "hypo", i))
-    b6b = F.transform(rest, lambda w, i: _sample(p4, safe_replace(t4b, nonhypo0, w), col(C_4BL), 6, 2,
+    b6b = F.transform(rest, lambda w, i: _sample(p4, replace_at(t4b, nonhypo0, pos4b, w), col(C_4BL), 6, 2,
                                                  hyper, w, "hyper", "nonhypo", i))
-    b6c = F.transform(hypos, lambda w, i: _sample(safe_replace(p5, hypo, w), t5a, col(C_5AL), 6, 3,
+    b6c = F.transform(hypos, lambda w, i: _sample(replace_at(p5, hypo, posp5, w), t5a, col(C_5AL), 6, 3,
                                                   w, hyper, "hypo", "hyper", i))
     b6d = F.flatten(F.transform(rest, lambda nw, k: F.transform(hypos, lambda w, i: _sample(
-        safe_replace(p5, hypo, w), safe_replace(t5b, nonhypo0, nw), col(C_5BL), 6, 4, w, nw,
+        replace_at(p5, hypo, posp5, w), replace_at(t5b, nonhypo0, pos5b, nw), col(C_5BL), 6, 4, w, nw,
         "hypo", "nonhypo", k * F.size(hypos) + i))))
 
     all_samples = F.concat(

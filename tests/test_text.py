@@ -36,10 +36,10 @@ def test_spans(spark):
 
 
 def test_singular(spark):
-    words = ["dogs", "berries", "boxes", "glass", "process", "bus", "cats", "ties", "x1s", "Churches"]
+    words = ["dogs", "berries", "boxes", "glass", "process", "bus", "cats", "ties", "x1s", "Churches", "appletinis", "this", "analysis"]
     df = spark.createDataFrame([(w,) for w in words], "w string")
     got = [r.s for r in df.select(T.to_singular("w").alias("s")).collect()]
-    assert got == ["dog", "berry", "box", "glass", "process", "bus", "cat", "tie", "x1s", "Church"]
+    assert got == ["dog", "berry", "box", "glass", "process", "bus", "cat", "tie", "x1s", "Church", "appletini", "this", "analysis"]
 
 
 def test_rejoin_pieces(spark):
