@@ -46,7 +46,82 @@ def color_links(spark, sf_dir):
     return linking.link_color(annotated(spark, sf_dir), feats)
 
 
-@query("link_isa", None, ("J-10", "J-14", "NLP-02", "NLP-06", "AGG-09", "STR-13"))
+def _pairs_lex_sql():
+    from ..functions.text import to_singular_sql
+    from .q_kg import _INITCAP, _closure_sql
+    tok = r"[\p{L}\p{N}_]+|[^\s\p{L}\p{N}_]"
+    sing = to_singular_sql("x")
+    clo = _closure_sql().replace("WITH RECURSIVE ", "")
+    hyp_body = clo[:clo.rindex("SELECT DISTINCT word")]
+    hyp_sel = clo[clo.rindex("SELECT DISTINCT word"):]
+    return f"""WITH RECURSIVE {hyp_body.rstrip()},
+hyp AS ({hyp_sel}),
+nat AS (SELECT n_nationkey, CASE n_nationkey WHEN 0 THEN 'United States of America' WHEN 1 THEN 'United Kingdom'
+               ELSE {_INITCAP.format(x='n.n_name')} END AS nlabel, {_INITCAP.format(x='r.r_name')} AS rlabel
+        FROM nation n JOIN region r ON n.n_regionkey = r.r_regionkey),
+raw AS (
+  SELECT DISTINCT
+    'The ' || p.p_name || ' from Port' || translate(lpad(CAST(l.l_suppkey % 100 AS VARCHAR), 2, '0'),
+        '0123456789', 'aeioubcdfg') || ' was shipped .' AS s1,
+    'A ' || lower(p.p_type) || ' part from ' ||
+      CASE l.l_linenumber % 4 WHEN 0 THEN lower(n.nlabel) WHEN 1 THEN lower(n.rlabel)
+           WHEN 2 THEN coalesce(CASE n.n_nationkey WHEN 0 THEN 'american' WHEN 1 THEN 'british' END, lower(n.nlabel))
+           ELSE 'the us' END || ' is ' || split_part(p.p_name, ' ', 1) || ' .' AS s2
+  FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey JOIN supplier s ON l.l_suppkey = s.s_suppkey
+  JOIN nat n ON s.s_nationkey = n.n_nationkey),
+pairs AS (SELECT ('0x' || substr(md5(s1 || chr(1) || s2), 1, 15))::BIGINT AS pair_id, s1, s2 FROM raw),
+lexall AS (
+  SELECT DISTINCT split_part(p_name, ' ', 1) AS word, 'ADJ' AS pos, 0 AS prio FROM part
+  UNION ALL SELECT DISTINCT w, 'NOUN', 1 FROM (SELECT split_part(p_name, ' ', 2) AS w FROM part
+                                               UNION SELECT lower(p_type) FROM part UNION SELECT 'part')
+  UNION ALL SELECT DISTINCT w, 'PROPN', 0 FROM (
+      SELECT lower('Port' || translate(lpad(CAST(s_suppkey % 100 AS VARCHAR), 2, '0'), '0123456789', 'aeioubcdfg')) AS w
+      FROM supplier UNION SELECT lower(nlabel) FROM nat)),
+lex AS (SELECT word, arg_min(pos, (prio, pos)) AS pos FROM lexall GROUP BY word),
+tk AS (
+  SELECT pair_id, s1, s2, regexp_extract_all(s1, '{tok}') AS t1, regexp_extract_all(s2, '{tok}') AS t2 FROM pairs),
+tagged AS (
+  SELECT pair_id, s1, s2, t1, t2,
+         list_transform(t1, lambda x: lower(x)) AS l1, list_transform(t2, lambda x: lower(x)) AS l2,
+         list_transform(t1, lambda x: {to_singular_sql('lower(x)')}) AS g1,
+         list_transform(t2, lambda x: {to_singular_sql('lower(x)')}) AS g2
+  FROM tk),
+tok1 AS (
+  SELECT t.pair_id, t.s1 AS s, u.i, u.tok, coalesce(lx.pos, 'X') AS pos, {to_singular_sql('lower(u.tok)')} AS g
+  FROM tagged t, unnest(t.t1) WITH ORDINALITY AS u(tok, i) LEFT JOIN lex lx ON lx.word = lower(u.tok)),
+tok2 AS (
+  SELECT t.pair_id, t.s2 AS s, u.i, u.tok, coalesce(lx.pos, 'X') AS pos, {to_singular_sql('lower(u.tok)')} AS g
+  FROM tagged t, unnest(t.t2) WITH ORDINALITY AS u(tok, i) LEFT JOIN lex lx ON lx.word = lower(u.tok))"""
+
+
+def _isa_sql():
+    return _pairs_lex_sql() + """,
+n1 AS (SELECT DISTINCT pair_id, g FROM tok1 WHERE pos IN ('NOUN', 'PROPN', 'ADJ')
+       AND NOT (regexp_matches(substr(tok, 1, 1), '\\p{Lu}') AND NOT starts_with(s, tok))),
+n2 AS (SELECT DISTINCT pair_id, g FROM tok2 WHERE pos IN ('NOUN', 'PROPN', 'ADJ')
+       AND NOT (regexp_matches(substr(tok, 1, 1), '\\p{Lu}') AND NOT starts_with(s, tok))),
+j AS (
+  SELECT a.pair_id, a.g AS subject, h.hyper AS object FROM n1 a JOIN hyp h ON h.word = a.g
+  WHERE EXISTS (SELECT 1 FROM n2 b WHERE b.pair_id = a.pair_id AND b.g = h.hyper)
+    AND NOT EXISTS (SELECT 1 FROM n1 c WHERE c.pair_id = a.pair_id AND c.g = h.hyper)
+    AND NOT EXISTS (SELECT 1 FROM n2 d WHERE d.pair_id = a.pair_id AND d.g = a.g)),
+si AS (SELECT j.pair_id, j.subject, j.object,
+              (SELECT list(CAST(t.i - 1 AS INTEGER) ORDER BY t.i) FROM tok1 t WHERE t.pair_id = j.pair_id AND t.g = j.subject) AS s_ind,
+              (SELECT list(CAST(t.i - 1 AS INTEGER) ORDER BY t.i) FROM tok2 t WHERE t.pair_id = j.pair_id AND t.g = j.object) AS o_ind
+       FROM j),
+f AS (SELECT pair_id, object,
+             list(struct_pack(first := s_ind[1], subject := subject, s_ind := s_ind, o_ind := o_ind)
+                  ORDER BY s_ind[1], subject) AS xs
+      FROM si GROUP BY pair_id, object)
+SELECT pair_id, 'isa' AS data_type, object,
+       array_to_string(flatten(list_transform(xs, lambda x: list_transform(x.s_ind, lambda k: x.subject))), ',') AS subjects,
+       array_to_string(flatten(list_transform(xs, lambda x: x.s_ind)), ',') AS subject_ind,
+       array_to_string(xs[1].o_ind, ',') AS object_ind,
+       NULL::VARCHAR AS feature_type
+FROM f"""
+
+
+@query("link_isa", _isa_sql(), ("J-10", "J-14", "NLP-02", "NLP-06", "AGG-09", "STR-13"))
 def q_link_isa(spark, sf_dir):
     return _show(isa_links(spark, sf_dir))
 
