@@ -15,7 +15,10 @@ def deduped(spark, sf_dir):
 
 
 def split3(spark, sf_dir):
-    return split.exact_group_split(deduped(spark, sf_dir), "row_id",
+    # the split reads its input three times (bucket counts, cut keys, rows) and
+    # callers add checks on top: write the deduplicated pairs once to the
+    # shared checkpoint folder instead of recomputing join + aggregate per job
+    return split.exact_group_split(deduped(spark, sf_dir).checkpoint(), "row_id",
                                    split.FRACTIONS_3WAY, split.SEED_3WAY)
 
 
