@@ -77,8 +77,8 @@ kept AS (SELECT country, city FROM kept_c WHERE city IN (SELECT name FROM once))
 gaz AS (SELECT c.country, k.city FROM (SELECT DISTINCT country FROM kept_c) c LEFT JOIN kept k ON k.country = c.country)"""
 
 
-def gazetteer(spark, sf_dir):
-    return L.dedup_gazetteer(gazetteer_raw(spark, sf_dir))
+def gazetteer(spark, sf_dir, raw=None):
+    return L.dedup_gazetteer(gazetteer_raw(spark, sf_dir) if raw is None else raw)
 
 
 @query("gazetteer_dedup", "WITH " + GAZ_SQL + "\nSELECT country, city FROM gaz", ("AGG-06", "SRC-09"))
@@ -102,8 +102,8 @@ def q_corpus_mentions(spark, sf_dir):
     return L.corpus_mentions(docs, _names(gazetteer_raw(spark, sf_dir)))
 
 
-def annotated_sentences(spark, sf_dir):
-    raw = gazetteer_raw(spark, sf_dir)
+def annotated_sentences(spark, sf_dir, raw=None):
+    raw = gazetteer_raw(spark, sf_dir) if raw is None else raw
     names = _names(raw)
     rows = L.sentence_rows(corpus(spark, sf_dir).withColumnRenamed("seq", "sample_id"))
     return L.annotate_locations(rows, names, names)
@@ -118,8 +118,11 @@ def q_location_sentences(spark, sf_dir):
                     F.array_join(F.transform("word_count", lambda x: x.cast("string")), ",").alias("word_count"))
 
 
-def pool(spark, sf_dir):
-    return L.sentence_pool(annotated_sentences(spark, sf_dir), gazetteer(spark, sf_dir), EXCLUDE_GENRE)
+def pool(spark, sf_dir, raw=None):
+    # the gazetteer feeds several size-checked joins: derive it from the
+    # documents once and read the written copy for each of them
+    raw = gazetteer_raw(spark, sf_dir).checkpoint() if raw is None else raw
+    return L.sentence_pool(annotated_sentences(spark, sf_dir, raw), gazetteer(spark, sf_dir, raw), EXCLUDE_GENRE)
 
 
 @query("sentence_pool", None, ("FLT-05", "J-03", "WIN-05", "STR-06", "PRJ-07", "SRT-04"))
@@ -127,9 +130,9 @@ def q_sentence_pool(spark, sf_dir):
     return pool(spark, sf_dir)
 
 
-def city_map(spark, sf_dir):
+def city_map(spark, sf_dir, raw=None):
     """Fixed map plus, for each kept nation, its first city (a rule)."""
-    g = gazetteer(spark, sf_dir).where(F.col("city").isNotNull()).groupBy("country").agg(
+    g = gazetteer(spark, sf_dir, raw).where(F.col("city").isNotNull()).groupBy("country").agg(
         F.min("city").alias("city"))
     derived = g.select(F.initcap("country").alias("country"), F.initcap("city").alias("city"))
     fixed = spark.createDataFrame(sorted(L.COUNTRY_TO_CITY.items()), "country string, city string")
@@ -138,8 +141,9 @@ def city_map(spark, sf_dir):
 
 @query("finalise_tagging", None, ("FLT-04", "J-04", "WIN-04", "WIN-05", "STR-07", "STR-10", "SRC-04"))
 def q_finalise_tagging(spark, sf_dir):
-    p = pool(spark, sf_dir)
-    cmap = city_map(spark, sf_dir)
+    raw = gazetteer_raw(spark, sf_dir).checkpoint()
+    p = pool(spark, sf_dir, raw)
+    cmap = city_map(spark, sf_dir, raw).checkpoint()
     tagged = p.join(cmap.select(F.lower("country").alias("country")), "country", "left_semi").select(
         "id", F.col("original_sentence").alias("sentence"),
         F.pmod(_h(F.col("id")), F.lit(3)).cast("int").alias("can_be_entailed"),
