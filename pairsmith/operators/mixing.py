@@ -13,8 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .split import BUCKET_HEX, seeded_order_key
-from pyspark.sql import Window
+from .split import kth_keys, seeded_order_key
 
 # Corpus column names and their dataset names.
 RENAME_COLS = {"sentence1": "premise", "sentence2": "hypothesis", "gold_label": "label"}
@@ -28,30 +27,8 @@ def harmonise(df: DataFrame, mapping: dict[str, str] = RENAME_COLS) -> DataFrame
 
 def _nth_keys(keyed: DataFrame, key: str, ranks: Sequence[int]) -> dict[int, str | None]:
     """Key at each 0-based rank in ascending key order (None past the end)."""
-    bucket = F.substring(F.col(key), 1, BUCKET_HEX)
-    counts = sorted((r["b"], r["c"]) for r in keyed.groupBy(bucket.alias("b"))
-                    .agg(F.count(F.lit(1)).alias("c")).collect())  # <= 4,096 rows
-    where = {}
-    for n in ranks:
-        off = 0
-        for b, c in counts:
-            if n < off + c:
-                where[n] = (b, n - off + 1)
-                break
-            off += c
-    out: dict[int, str | None] = {n: None for n in ranks}
-    if where:
-        bs = sorted({b for b, _ in where.values()})
-        ranked = (keyed.select(F.col(key).alias("k")).where(bucket.isin(bs))
-                  .withColumn("b", F.substring("k", 1, BUCKET_HEX))
-                  .withColumn("r", F.row_number().over(Window.partitionBy("b").orderBy("k"))))
-        cond = F.lit(False)
-        for b, r in set(where.values()):
-            cond = cond | ((F.col("b") == b) & (F.col("r") == r))
-        got = {(row["b"], row["r"]): row["k"] for row in ranked.where(cond).collect()}
-        for n, t in where.items():
-            out[n] = got[t]
-    return out
+    _, found = kth_keys(keyed, key, ranks, distinct=False)
+    return {n: found.get(n) for n in ranks}
 
 
 def exact_sample(df: DataFrame, n: int, seq: str, seed: str = SAMPLE_SEED) -> DataFrame:

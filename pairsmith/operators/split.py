@@ -50,34 +50,73 @@ def cut_ranks(n: int, fractions: Sequence[tuple[str, float]]) -> list[int]:
     return cuts
 
 
+RANK_ROWS = 200_000  # a bucket at most this big is ranked in one window task
+
+
+def kth_keys(df: DataFrame, key: str, ranks, distinct: bool = True) -> tuple[int, dict[int, str | None]]:
+    """The key at each 0-based rank in ascending key order (None past the end).
+    ``ranks`` is a list, or a function of the key count giving the list.
+
+    Keys start with md5 hex.  Counts per 3-hex-digit prefix (at most 4,096
+    rows per level, collected) locate the prefix bucket that holds each rank;
+    a bucket larger than ``RANK_ROWS`` is refined by the next 3 digits, so
+    the final ranking window only ever sees a small bucket — no task holds a
+    fixed share of the data however large it grows."""
+    col = F.col(key)
+    base = df.select(col.alias("k")).where(F.col("k").isNotNull())
+    if distinct:
+        base = base.distinct()
+    n = None
+    pending = None if callable(ranks) else [(r, "", r) for r in sorted(set(ranks))]
+    out: dict[int, str | None] = {}
+    while pending is None or pending:
+        if pending is None:  # first level: the count fixes the ranks
+            pending = [("", "", 0)]
+        plen = len(pending[0][1])
+        prefixes = sorted({p for _, p, _ in pending})
+        sub = base if plen == 0 else base.where(F.substring("k", 1, plen).isin(prefixes))
+        rows = sub.groupBy(F.substring("k", 1, plen + BUCKET_HEX).alias("b")).agg(
+            F.count(F.lit(1)).alias("c")).collect()
+        counts = sorted((r["b"], r["c"]) for r in rows)
+        if n is None:
+            n = sum(c for _, c in counts)
+            if pending == [("", "", 0)]:
+                pending = [(r, "", r) for r in sorted(set(ranks(n)))]
+        nxt, small = [], []
+        for r, p, rr in pending:
+            off, hit = 0, None
+            for b, c in counts:
+                if not b.startswith(p):
+                    continue
+                if rr < off + c:
+                    hit = (b, rr - off, c)
+                    break
+                off += c
+            if hit is None:
+                out[r] = None
+            elif hit[2] <= RANK_ROWS or plen + BUCKET_HEX >= 32:
+                small.append((r, hit[0], hit[1]))
+            else:
+                nxt.append((r, hit[0], hit[1]))
+        if small:
+            bl = len(small[0][1])
+            bs = sorted({b for _, b, _ in small})
+            ranked = (base.where(F.substring("k", 1, bl).isin(bs))
+                      .withColumn("b", F.substring("k", 1, bl))
+                      .withColumn("r", F.row_number().over(Window.partitionBy("b").orderBy("k")) - 1))
+            cond = F.lit(False)
+            for _, b, rr in small:
+                cond = cond | ((F.col("b") == b) & (F.col("r") == rr))
+            got = {(row["b"], row["r"]): row["k"] for row in ranked.where(cond).collect()}
+            for r, b, rr in small:
+                out[r] = got[(b, rr)]
+        pending = nxt
+    return (n or 0), out
+
+
 def _cut_keys(keyed: DataFrame, key: str, fractions) -> tuple[int, list[str | None]]:
-    bucket = F.substring(F.col(key), 1, BUCKET_HEX)
-    per_bucket = (keyed.select(F.col(key)).where(F.col(key).isNotNull())
-                  .groupBy(bucket.alias("b")).agg(F.count_distinct(key).alias("c")))
-    counts = sorted((r["b"], r["c"]) for r in per_bucket.collect())  # <= 4,096 rows
-    n = sum(c for _, c in counts)
-    targets = []  # (bucket, 1-based rank inside bucket) per cut, or None past the end
-    for cut in cut_ranks(n, fractions):
-        off, hit = 0, None
-        for b, c in counts:
-            if cut < off + c:
-                hit = (b, cut - off + 1)
-                break
-            off += c
-        targets.append(hit)
-    wanted = sorted({t for t in targets if t})
-    found: dict[tuple[str, int], str] = {}
-    if wanted:
-        bs = sorted({b for b, _ in wanted})
-        ranked = (keyed.select(F.col(key).alias("k")).where(bucket.isin(bs)).distinct()
-                  .withColumn("b", F.substring("k", 1, BUCKET_HEX))
-                  .withColumn("r", F.row_number().over(Window.partitionBy("b").orderBy("k"))))
-        cond = F.lit(False)
-        for b, r in wanted:
-            cond = cond | ((F.col("b") == b) & (F.col("r") == r))
-        for row in ranked.where(cond).collect():  # one row per cut
-            found[(row["b"], row["r"])] = row["k"]
-    return n, [found[t] if t else None for t in targets]
+    n, found = kth_keys(keyed, key, lambda n: [c for c in cut_ranks(n, fractions) if c < n], distinct=True)
+    return n, [found.get(c) for c in cut_ranks(n, fractions)]
 
 
 def exact_group_split(df: DataFrame, group: str, fractions=FRACTIONS_3WAY,

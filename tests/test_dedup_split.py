@@ -83,3 +83,24 @@ def test_leak_values(spark):
     df = spark.createDataFrame([("a", "train"), ("a", "test"), ("b", "train")], "premise string, split string")
     got = [(r.value, r.parts) for r in checks.shared_values(df, ["premise"]).collect()]
     assert got == [("a", ["test", "train"])]
+
+
+def test_split_refines_large_buckets(spark, monkeypatch):
+    monkeypatch.setattr(split, "RANK_ROWS", 3)          # force prefix refinement
+    df = spark.range(0, 3000).select(F.col("id").alias("g"))
+    out = {r.g: r.split for r in split.exact_group_split(df, "g").collect()}
+    keys = sorted((r.k, r.g) for r in df.select("g", split.seeded_order_key("g", split.SEED_3WAY).alias("k")).collect())
+    cut1, cut2 = split.cut_ranks(3000, split.FRACTIONS_3WAY)
+    assert all(out[g] == ("train" if i < cut1 else "dev" if i < cut2 else "test") for i, (_, g) in enumerate(keys))
+
+
+def test_exact_sample_nested(spark, monkeypatch):
+    from pairsmith.operators import mixing
+    monkeypatch.setattr(split, "RANK_ROWS", 5)
+    df = spark.range(0, 2000).select(F.col("id").alias("seq"))
+    r = mixing.nested_samples(df, [10, 100, 5000], "seq")
+    sizes = {}
+    for row in r.collect():
+        sizes.setdefault(row.sample_size, set()).add(row.seq)
+    assert len(sizes[10]) == 10 and len(sizes[100]) == 100 and len(sizes[5000]) == 2000
+    assert sizes[10] <= sizes[100] <= sizes[5000]
