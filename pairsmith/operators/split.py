@@ -156,16 +156,20 @@ def split_flags(df: DataFrame, split_col: str = "split",
 def seeded_rank(df: DataFrame, key: str, seed: str, out: str = "rank") -> DataFrame:
     """0-based position of each row in a seeded shuffle (SRT-04).
 
-    Uses the same two-step bucket plan as the split, so no single-task window:
-    per-bucket counts (bounded) become offsets, and rows are ranked inside
-    their bucket. ``key`` must be unique per row."""
+    Rows are bucketed by a hash prefix long enough that a bucket holds about
+    ``RANK_ROWS`` rows (the prefix length follows the row count); per-bucket
+    counts become offsets (a table of at most 16**6 rows, broadcast) and rows
+    are ranked inside their bucket.  ``key`` must be unique per row."""
+    import math
     k = "__rk"
     keyed = df.withColumn(k, seeded_order_key(key, seed))
-    bucket = F.substring(F.col(k), 1, BUCKET_HEX)
-    counts = (keyed.groupBy(bucket.alias("__b")).agg(F.count(F.lit(1)).alias("__c")))
+    n = keyed.count()
+    digits = min(6, max(BUCKET_HEX, math.ceil(math.log(max(n, 1) / RANK_ROWS, 16)) if n > RANK_ROWS else BUCKET_HEX))
+    bucket = F.substring(F.col(k), 1, digits)
+    counts = keyed.groupBy(bucket.alias("__b")).agg(F.count(F.lit(1)).alias("__c"))
+    # running offsets over the bucket table (<= 16**digits rows, a bounded single-task window)
     offsets = counts.withColumn(
         "__off", F.sum("__c").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)))
-    # offsets has at most 4,096 rows: a broadcast of proven size
     ranked = (keyed.withColumn("__b", bucket)
               .join(F.broadcast(offsets.select("__b", "__off")), "__b")
               .withColumn(out, (F.coalesce(F.col("__off"), F.lit(0))
