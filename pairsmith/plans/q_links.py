@@ -136,7 +136,55 @@ def q_link_trademark(spark, sf_dir):
     return _show(trademark_links(spark, sf_dir))
 
 
-@query("link_color", None, ("J-12", "J-09", "NLP-03", "STR-14", "AGG-09"))
+def _color_sql():
+    return _pairs_lex_sql() + """,
+nb1 AS (SELECT pair_id, i, g, pos,
+               lead(pos) OVER (PARTITION BY pair_id ORDER BY i) AS np,
+               lag(tok) OVER (PARTITION BY pair_id ORDER BY i) AS pt,
+               lead(tok) OVER (PARTITION BY pair_id ORDER BY i) AS nt FROM tok1),
+heads AS (SELECT DISTINCT pair_id, g FROM nb1
+          WHERE pos IN ('NOUN', 'PROPN') AND NOT coalesce(np IN ('NOUN', 'PROPN'), false)
+            AND NOT coalesce(pt = '-', false) AND NOT coalesce(nt = '-', false)),
+ft AS (
+  SELECT split_part(p_name, ' ', 2) AS noun, p_partkey AS rank, 'P' || p_partkey AS subject,
+         CASE split_part(p_name, ' ', 1) WHEN 'red' THEN 'color' WHEN 'blue' THEN 'color' WHEN 'small' THEN 'shape'
+              WHEN 'large' THEN 'shape' WHEN 'old' THEN 'material' WHEN 'new' THEN 'material' END AS feature_type,
+         split_part(p_name, ' ', 1) AS feature
+  FROM part WHERE split_part(p_name, ' ', 1) IN ('red', 'blue', 'small', 'large', 'old', 'new')),
+ftk AS (SELECT *, row_number() OVER (PARTITION BY noun ORDER BY rank, subject, feature_type, feature) AS rk FROM ft),
+feats AS (SELECT DISTINCT noun, feature_type,
+                 CASE WHEN feature_type = 'shape' AND feature = 'round' THEN 'sphere' ELSE feature END AS feature
+          FROM ftk WHERE rk <= 10 AND NOT (feature_type = 'color' AND strpos('color', feature) > 0)),
+nc AS (SELECT noun, count(*) AS ncolors FROM feats WHERE feature_type = 'color' GROUP BY noun),
+f AS (SELECT feats.* FROM feats LEFT JOIN nc USING (noun)
+      WHERE feature_type <> 'color' OR coalesce(ncolors, 0) <= 1),
+j AS (SELECT h.pair_id, h.g AS subject, f.feature AS object, f.feature_type FROM heads h JOIN f ON f.noun = h.g),
+si AS (
+  SELECT j.*,
+    (SELECT list(CAST(t.i - 1 AS INTEGER) ORDER BY t.i) FROM tok1 t WHERE t.pair_id = j.pair_id AND t.g = j.subject) AS s_ind,
+    (SELECT list_reduce(
+        list_filter(range(0, greatest(len(tg.l2) - len(string_split(j.object, ' ')) + 1, 0)),
+                    lambda k: tg.l2[k + 1 : k + len(string_split(j.object, ' '))] = string_split(j.object, ' ')),
+        lambda acc, k: CASE WHEN k >= acc.nxt
+                            THEN {'a': list_append(acc.a, CAST(k AS INTEGER)), 'nxt': k + len(string_split(j.object, ' ')) + 1}
+                            ELSE acc END,
+        {'a': []::INTEGER[], 'nxt': 0}).a
+     FROM tagged tg WHERE tg.pair_id = j.pair_id) AS o_ind
+  FROM j),
+ok AS (SELECT * FROM si WHERE len(s_ind) > 0 AND len(o_ind) > 0),
+fo AS (SELECT pair_id, object,
+              list(struct_pack(subject := subject, s_ind := s_ind, o_ind := o_ind, feature_type := feature_type)
+                   ORDER BY s_ind[1], subject, s_ind, o_ind, feature_type) AS xs
+       FROM ok GROUP BY pair_id, object)
+SELECT pair_id, 'color' AS data_type, object,
+       array_to_string(flatten(list_transform(xs, lambda x: list_transform(x.s_ind, lambda k: x.subject))), ',') AS subjects,
+       array_to_string(flatten(list_transform(xs, lambda x: x.s_ind)), ',') AS subject_ind,
+       array_to_string(xs[1].o_ind, ',') AS object_ind,
+       xs[1].feature_type AS feature_type
+FROM fo"""
+
+
+@query("link_color", _color_sql(), ("J-12", "J-09", "NLP-03", "STR-14", "AGG-09"))
 def q_link_color(spark, sf_dir):
     return _show(color_links(spark, sf_dir))
 
