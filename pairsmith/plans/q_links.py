@@ -121,7 +121,7 @@ SELECT pair_id, 'isa' AS data_type, object,
 FROM f"""
 
 
-@query("link_isa", _isa_sql(), ("J-10", "J-14", "NLP-02", "NLP-06", "AGG-09", "STR-13"))
+@query("link_isa", _isa_sql(), ("J-10", "J-14", "NLP-01", "NLP-02", "NLP-06", "AGG-09", "STR-13"))
 def q_link_isa(spark, sf_dir):
     return _show(isa_links(spark, sf_dir))
 

@@ -139,7 +139,7 @@ def city_map(spark, sf_dir, raw=None):
     return derived.unionByName(fixed.join(derived.select("country"), "country", "left_anti"))
 
 
-@query("finalise_tagging", None, ("FLT-04", "J-04", "WIN-04", "WIN-05", "STR-07", "STR-10", "SRC-04"))
+@query("finalise_tagging", None, ("FLT-04", "J-04", "WIN-04", "WIN-05", "STR-07", "STR-10", "SRC-04", "SET-04"))
 def q_finalise_tagging(spark, sf_dir):
     raw = gazetteer_raw(spark, sf_dir).checkpoint()
     p = pool(spark, sf_dir, raw)

@@ -205,3 +205,17 @@ def q_token_stats(spark, sf_dir):
         F.size(F.regexp_extract_all("text", F.lit(r"\p{Lu}"), 0)).cast("bigint").alias("n_capitals"),
         T.capitalize_first(F.substring("text", 1, 10)).alias("head_cap"),
         T.is_place_candidate(F.split("text", " ").getItem(0)).alias("first_is_alpha"))
+
+
+@query("fmt_approved", "WITH " + _MARKED_SQL + r""",
+approved AS (SELECT *, CASE WHEN p_partkey % 4 = 0 THEN 0 ELSE 1 END AS approved FROM marked)
+SELECT p_partkey, kind, s,
+  trim(CASE WHEN instr(lower(s), 'the **') > 0
+            THEN regexp_replace(regexp_replace(s, '[Tt]he \*\*', '{{{the '), '\*\*', '}}}')
+            ELSE regexp_replace(regexp_replace(s, ' ?\*\*', ' {{{'), '\*\*', '}}}') END) AS formatted_sentence
+FROM approved WHERE approved = 1""", ("FLT-03", "STR-05"))
+def q_fmt_approved(spark, sf_dir):
+    """Only approved sentences are formatted (the review sheet's Approved == 1)."""
+    m = _marked(spark, sf_dir).withColumn("approved", F.when(F.col("p_partkey") % 4 == 0, 0).otherwise(1))
+    return m.where(F.col("approved") == 1).select(
+        "p_partkey", "kind", "s", T.fmt_marked_span("s").alias("formatted_sentence"))
