@@ -134,9 +134,19 @@ def _reason(checks) -> str:
     return "(CASE " + " ".join(f"WHEN {c} THEN '{r}'" for c, r in checks) + " END)"
 
 
+# word positions computed once per sheet row in the ``pos`` CTE (as the Spark side does)
+_POS = {("premise", "hypo"): "pos_ph", ("t4a", "hypo"): "pos_4a", ("t4b", "non0"): "pos_4b",
+        ("p5", "hypo"): "pos_p5", ("t5b", "non0"): "pos_5b", ("p4", "hyper"): "pos_p4h",
+        ("t5a", "hyper"): "pos_5ah"}
+
+
+def _pos(s: str, old: str) -> str:
+    return _POS.get((s, old)) or word_position_sql(s, old)
+
+
 def _replace_checks(s: str, old: str):
     return [(f"{s} IS NULL OR {old} IS NULL", H.NULL), (f"contains({s}, '{{}}')", H.EMPTY),
-            (f"contains({old}, '{{}}')", H.EMPTY), (f"{word_position_sql(s, old)} = 0", H.NOT_FOUND),
+            (f"contains({old}, '{{}}')", H.EMPTY), (f"{_pos(s, old)} = 0", H.NOT_FOUND),
             (f"contains({s}, '{{') OR contains({s}, '}}')", H.BRACE)]
 
 
@@ -145,11 +155,11 @@ def _list_checks(c: str):
 
 
 def _found(s: str, w: str):
-    return [(f"{s} IS NULL OR {w} IS NULL", H.NULL), (f"{word_position_sql(s, w)} = 0", H.NOT_FOUND)]
+    return [(f"{s} IS NULL OR {w} IS NULL", H.NULL), (f"{_pos(s, w)} = 0", H.NOT_FOUND)]
 
 
 def _repl(s: str, old: str, new: str) -> str:
-    pos = word_position_sql(s, old)
+    pos = _pos(s, old)
     return f"(CASE WHEN {pos} > 0 THEN substr({s}, 1, {pos} - 1) || {new} || substr({s}, {pos} + length({old})) END)"
 
 
@@ -187,10 +197,14 @@ base AS (
          trim(submit) = '{}' AS is_complete
   FROM sheet
 ),
-gated AS (
+pos AS MATERIALIZED (
+  SELECT *, """ + ",\n         ".join(f"{word_position_sql(a, b)} AS {c}" for (a, b), c in _POS.items()) + """
+  FROM base
+),
+gated AS MATERIALIZED (
   SELECT *, """ + ",\n         ".join(f"{v} AS {k}" for k, v in r.items()) + """,
          """ + hs + """ AS hyper_sentence
-  FROM base
+  FROM pos
 )"""
 
     def sel(parser, block, prem, hyp, label, pword, hword, ptype, htype, j, src, cond):

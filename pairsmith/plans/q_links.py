@@ -131,7 +131,72 @@ def q_link_location(spark, sf_dir):
     return _show(location_links(spark, sf_dir))
 
 
-@query("link_trademark", None, ("J-13", "J-06", "J-05", "NLP-05", "STR-10", "STR-23", "AGG-09"))
+def _trademark_sql():
+    from ..operators.linking import COUNTRY_ADJECTIVES, COUNTRY_SYNONYMS
+    adj_rows = ", ".join(f"('{c}', '{a}')" for c, a in COUNTRY_ADJECTIVES.items())
+    syn_rows = ", ".join(
+        "('" + c + "', [" + ", ".join("[" + ", ".join(f"'{w}'" for w in ph.split()) + "]" for ph in phs) + "])"
+        for c, phs in COUNTRY_SYNONYMS.items())
+
+    def hits(word, phrases):
+        return f"""(CASE WHEN {phrases} IS NOT NULL THEN list_reduce(
+              list_filter(list_transform(range(0, len(tg.l2)), lambda i: {{'i': i,
+                  'm': len(list_filter({phrases}, lambda ph: tg.l2[i + 1 : i + len(ph)] = ph)[1])}}),
+                  lambda x: x.m IS NOT NULL),
+              lambda acc, x: CASE WHEN x.i >= acc.nxt
+                                  THEN {{'a': list_append(acc.a, CAST(x.i AS INTEGER)), 'nxt': x.i + x.m + 1}}
+                                  ELSE acc END,
+              {{'a': []::INTEGER[], 'nxt': 0}}).a
+            ELSE list_filter(list_transform(range(0, len(tg.l2)), lambda i: CASE WHEN tg.l2[i + 1] = lower({word})
+                                            THEN CAST(i AS INTEGER) END), lambda v: v IS NOT NULL) END)"""
+    return _pairs_lex_sql() + f""",
+ctr_rows AS (
+  SELECT 'S' || s.s_suppkey AS subject,
+         'Port' || translate(lpad(CAST(s.s_suppkey % 100 AS VARCHAR), 2, '0'), '0123456789', 'aeioubcdfg') AS label,
+         'N' || n.n_nationkey AS object, n.nlabel AS olabel, s.s_suppkey AS rank
+  FROM supplier s JOIN nat n ON s.s_nationkey = n.n_nationkey
+  UNION ALL SELECT 'N' || n_nationkey, nlabel, 'N' || n_nationkey, nlabel, n_nationkey FROM nat),
+ctr_k AS (SELECT lower(label) AS query, lower(olabel) AS c,
+                 row_number() OVER (PARTITION BY lower(label) ORDER BY rank, subject, object) AS rk FROM ctr_rows),
+countries AS (SELECT query, c AS object FROM ctr_k WHERE rk <= 10 GROUP BY query, c),
+adj AS (SELECT * FROM (VALUES {adj_rows}) AS t(country, adjective)),
+syn AS (SELECT * FROM (VALUES {syn_rows}) AS t(country, phrases)),
+cands AS (SELECT DISTINCT pair_id, lower(tok) AS subject FROM tok1
+          WHERE pos IN ('PROPN', 'NOUN', 'X', 'ADJ') AND regexp_matches(tok, '\\p{{Lu}}')),
+j AS (
+  SELECT c.pair_id, c.subject, k.object,
+         lower(a.adjective) AS adjw, s1.phrases AS phrases, s2.phrases AS phrases2
+  FROM cands c JOIN countries k ON k.query = c.subject
+  LEFT JOIN adj a ON a.country = {_INITCAP_SQL('k.object')}
+  LEFT JOIN syn s1 ON s1.country = k.object
+  LEFT JOIN syn s2 ON s2.country = lower(a.adjective)),
+si AS (
+  SELECT j.pair_id, j.subject, j.object,
+         (SELECT list(CAST(t.i - 1 AS INTEGER) ORDER BY t.i) FROM tok1 t
+          WHERE t.pair_id = j.pair_id AND lower(t.tok) = j.subject) AS s_ind,
+         {hits('j.object', 'j.phrases')} AS name_hits,
+         CASE WHEN j.adjw IS NOT NULL THEN {hits('j.adjw', 'j.phrases2')} ELSE []::INTEGER[] END AS adj_hits
+  FROM j JOIN tagged tg ON tg.pair_id = j.pair_id),
+oi AS (SELECT *, list_filter(list_concat(name_hits, adj_hits),
+                             lambda v, k: list_position(list_concat(name_hits, adj_hits), v) = k) AS o_ind FROM si),
+ok AS (SELECT * FROM oi WHERE len(s_ind) > 0 AND len(o_ind) > 0),
+fo AS (SELECT pair_id, object,
+              list(struct_pack(subject := subject, s_ind := s_ind, o_ind := o_ind) ORDER BY s_ind[1], subject) AS xs
+       FROM ok GROUP BY pair_id, object)
+SELECT pair_id, 'trademark' AS data_type, object,
+       array_to_string(flatten(list_transform(xs, lambda x: list_transform(x.s_ind, lambda k: x.subject))), ',') AS subjects,
+       array_to_string(flatten(list_transform(xs, lambda x: x.s_ind)), ',') AS subject_ind,
+       array_to_string(xs[1].o_ind, ',') AS object_ind,
+       NULL::VARCHAR AS feature_type
+FROM fo"""
+
+
+def _INITCAP_SQL(x):
+    return (f"array_to_string(list_transform(string_split(lower({x}), ' '), "
+            f"lambda w: upper(substr(w, 1, 1)) || substr(w, 2)), ' ')")
+
+
+@query("link_trademark", _trademark_sql(), ("J-13", "J-06", "J-05", "NLP-05", "STR-10", "STR-23", "AGG-09"))
 def q_link_trademark(spark, sf_dir):
     return _show(trademark_links(spark, sf_dir))
 
