@@ -1,0 +1 @@
+"""pairsmith.functions"""
