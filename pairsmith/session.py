@@ -7,7 +7,9 @@ the bench and the command line; a cluster job passes its own session in.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,13 +43,18 @@ def get_session(master: str | None = None, shuffle_partitions: int = 8,
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder the cluster names in
-    ``spark.checkpoint.dir``; set a scratch one only when it is unset (tests)."""
+    """Return the shared folder the cluster names in ``spark.checkpoint.dir``.
+
+    A machine-local scratch folder is made only for a ``local`` master (tests,
+    bench), where driver and executors are one process; on a cluster an unset
+    folder is an error, since executors would write to their own disks."""
     current = spark.conf.get("spark.checkpoint.dir", None)
     if not current:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
         current = current.get() if current.isDefined() else None
     if not current:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         current = tempfile.mkdtemp(prefix="pairsmith-ckpt-")
         spark.conf.set("spark.checkpoint.dir", current)
     spark.sparkContext.setCheckpointDir(current)
@@ -55,9 +62,20 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A path under the shared checkpoint folder for written intermediates."""
+    """A fresh path under the shared checkpoint folder for written intermediates."""
     base = ensure_checkpoint_dir(spark)
-    return base.rstrip("/") + "/" + name
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def stage(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` once as Parquet in the shared folder and read it back.
+
+    Cuts the lineage (a lost executor re-reads the written copy) and, unlike a
+    checkpointed RDD, keeps column pruning and filter pushdown for the passes
+    that follow."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
