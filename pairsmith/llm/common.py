@@ -51,36 +51,33 @@ def byte_groups(batch: pa.RecordBatch, text: int, limit: int = GROUP_BYTES) -> I
         lo = hi
 
 
-def ordered_slots(df: DataFrame, groups: Sequence[str], order: Sequence[Column], bucket: Column, slot: str,
-                  add: Column | None = None, total: str | None = None) -> DataFrame:
-    """Number the rows of each group 0, 1, ... in ``(bucket, order)`` order
-    without ever sorting a whole group in one task.
-
-    ``bucket`` is an integer that follows the order (a prefix of the random
-    key); rows are numbered inside (group, bucket) and shifted by the counts
-    of the buckets before.  With ``add``, ``total`` gets the running sum of
-    ``add`` up to and including the row.  Groups may hold a third of all rows."""
-    keys = [col(g) for g in groups]
-    b, n, before, s, s_before = free_name(df, "bkt", "n_in_bkt", "n_before", "s_in_bkt", "s_before")
+def row_hash(df: DataFrame) -> Column:
+    """64-bit hash of a whole row (map columns, which have no hash, left out)."""
+    fields = [col(f.name) for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
+    return F.xxhash64(F.lit(len(fields)), *fields)
+
+
+def ordered_slots(df: DataFrame, group: str, bucket: Column, order: Sequence[Column], slot: str) -> DataFrame:
+    """Number the rows of each group 0, 1, ... in ``order`` without sorting a
+    whole group in one task.
+
+    ``bucket`` is an integer that never falls along ``order`` (a prefix of a
+    random key).  Rows are numbered inside (group, bucket) and shifted by the
+    counts of the buckets before.  ``group`` and ``bucket`` hold no nulls."""
+    b, before, n = free_name(df, "bucket_no", "rows_before", "rows_in")
     df = df.withColumn(b, bucket)
-    value = add if add is not None else F.lit(0)
-    sums = df.groupBy(*keys, col(b)).agg(F.count(F.lit(1)).alias(n), F.sum(value).alias(s))
-    up = Window.partitionBy(*keys).orderBy(col(b)).rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.select(*[col(g).alias("k_" + str(i)) for i, g in enumerate(groups)], col(b).alias("k_b"),
-                         F.coalesce(F.sum(n).over(up), F.lit(0)).alias(before),
-                         F.coalesce(F.sum(s).over(up), F.lit(0)).alias(s_before))
-    inside = Window.partitionBy(*keys, col(b)).orderBy(*order)
-    out = df.withColumn(slot, (F.row_number().over(inside) - 1).cast("long"))
-    if total:
-        out = out.withColumn(total, F.sum(value).over(inside.rowsBetween(Window.unboundedPreceding, 0)))
-    on = F.lit(True)
-    for i, g in enumerate(groups):
-        on = on & col(g).eqNullSafe(F.col(f"k_{i}"))
-    out = out.join(starts, on & (col(b) == F.col("k_b")))
-    out = out.withColumn(slot, col(slot) + col(before))
-    if total:
-        out = out.withColumn(total, col(total) + col(s_before))
-    return out.drop(b, before, s_before, "k_b", *[f"k_{i}" for i in range(len(groups))])
+    up = Window.partitionBy(col(group)).orderBy(col(b)).rowsBetween(Window.unboundedPreceding, -1)
+    starts = df.groupBy(col(group), col(b)).agg(F.count(F.lit(1)).alias(n)) \
+        .select(col(group), col(b), F.coalesce(F.sum(col(n)).over(up), F.lit(0)).alias(before))
+    inside = Window.partitionBy(col(group), col(b)).orderBy(*order)
+    out = df.withColumn(slot, F.row_number().over(inside).cast("long") - 1).join(starts, [group, b])
+    return out.withColumn(slot, col(slot) + col(before)).drop(b, before)
+
+
+def word_count(text: Column) -> Column:
+    """Number of words (``WORD``) of a text; 0 for null."""
+    body = F.btrim(text, F.lit(" \t\n\x0b\x0c\r"))
+    return F.when(F.length(body) > 0, F.size(F.split(body, BLANKS + "+"))).otherwise(0).cast("long")
 
 
 def span_text(spans: Column) -> Column:
@@ -90,4 +87,5 @@ def span_text(spans: Column) -> Column:
         ":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-__all__ = ["BLANKS", "WORD", "GROUP_BYTES", "col", "free_name", "byte_groups", "ordered_slots", "span_text", "stage"]
+__all__ = ["BLANKS", "WORD", "GROUP_BYTES", "col", "free_name", "byte_groups", "row_hash", "ordered_slots",
+           "word_count", "span_text", "stage"]

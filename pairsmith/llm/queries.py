@@ -11,3 +11,44 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
     from .token_counts import count_tokens
     return count_tokens(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash import simhash_classes
+    return simhash_classes(read_table(spark, sf_dir, "documents"), keep=["doc_id"], size=4, max_bits=4)
+
+
+def op3_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+    from .decontam import contamination
+    found = contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"),
+                          keep=["doc_id"])
+    return found.select(
+        "doc_id", "n_words",
+        F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"]).alias("n_hit"),
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"),
+        (F.size("spans") > 0).alias("contaminated"))
+
+
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+    from .sharding import shuffle_into_shards
+    body = F.coalesce(F.col("text"), F.lit(""))
+    slim = read_table(spark, sf_dir, "documents").select(
+        "doc_id", (F.octet_length(body) + 1).cast("long").alias("size"), F.crc32(body.cast("binary")).alias("text_crc32"),
+        F.xxhash64("text", "source", "lang").alias("content"))
+    return shuffle_into_shards(slim, 16).select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mixed_sizes
+    return mixed_sizes(read_table(spark, sf_dir, "documents"), weights=(5, 2, 1))
+
+
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_rules import judged
+    out, _ = judged(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"), keep=["doc_id"])
+    return out

@@ -6,6 +6,11 @@ from . import queries
 
 LLM_QUERIES = {name: getattr(queries, name) for name in (
     "op1_token_counts",
+    "op2_sharding",
+    "op3_decontam",
+    "op5_simhash",
+    "op6_quality_rules",
+    "op9_mixing",
 )}
 
 LLM_SQL: dict[str, str] = {}
