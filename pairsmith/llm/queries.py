@@ -52,3 +52,36 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality_rules import judged
     out, _ = judged(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"), keep=["doc_id"])
     return out
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import toxicity
+    return toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"), keep=["doc_id"]) \
+        .select("doc_id", "held_out", "score", "predicted", "evidence")
+
+
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+    from .common import span_text
+    from .pii_crf import KINDS, find_personal_data, train
+    docs = read_table(spark, sf_dir, "documents")
+    found = find_personal_data(docs, train(docs), keep=["doc_id"])
+    plain = F.transform("spans", lambda s: F.struct(s["start"], s["rank"], s["kind"], s["end"]))
+    base = F.transform(F.filter("spans", lambda s: s["base"]), lambda s: F.struct(s["start"], s["rank"], s["kind"], s["end"]))
+    counts = [F.size(F.filter("spans", _is_base(k))).cast("long").alias(f"n_{name}")
+              for k, name in enumerate(KINDS)]
+    return found.select("doc_id", *counts, F.sha2(span_text(base), 256).alias("base_sha256"), span_text(plain).alias("spans"))
+
+
+def op8_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .license_scan import digest, scan_licences
+    return digest(scan_licences(read_table(spark, sf_dir, "documents"), keep=["doc_id"]), ["doc_id"])
+
+
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secret_links import digest, scan
+    return digest(scan(read_table(spark, sf_dir, "documents"), keep=["doc_id"]), ["doc_id"])
+
+
+def _is_base(kind: int):
+    return lambda s: s["base"] & (s["rank"] == kind)

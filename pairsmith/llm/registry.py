@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+
 from . import queries
 
 LLM_QUERIES = {name: getattr(queries, name) for name in (
     "op1_token_counts",
     "op2_sharding",
     "op3_decontam",
+    "op4_toxicity",
     "op5_simhash",
     "op6_quality_rules",
+    "op7_pii",
+    "op8_licences",
     "op9_mixing",
-)}
+    "op10_secrets",
+)} | {"pipeline": corpus_pipeline.run}
 
-LLM_SQL: dict[str, str] = {}
+LLM_SQL: dict[str, str] = {} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
