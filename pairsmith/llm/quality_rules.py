@@ -239,4 +239,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: st
     seen = safe.join(marked.select("l").distinct(), col(key) == F.col("l"), "left_semi")
     known = stage(text_statistics(seen, at, [key]), "quality-statistics")
     rules = learn(known.withColumnRenamed(key, "doc_id"), marked.withColumnRenamed("l", "doc_id"), "doc_id", **options)
-    return text_statistics(safe, at, safe.columns).where(rules.kept()).select(*safe.columns).toDF(*names)
+    # the row number keeps the optimizer from moving the filter below the statistics, which
+    # would write each of them out many times over
+    counted = text_statistics(safe, at, safe.columns).withColumn("row_no", F.monotonically_increasing_id())
+    return counted.where(rules.kept() & (F.col("row_no") >= 0)).select(*safe.columns).toDF(*names)
