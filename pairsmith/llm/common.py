@@ -36,6 +36,13 @@ def free_name(df: DataFrame, *wanted: str) -> list[str]:
     return out
 
 
+def kept_columns(df: DataFrame, keep: Sequence[str] | None, *results: str) -> list[str]:
+    """``keep``, or all columns of ``df``, without any that bears the name of a
+    result column: the result takes its place."""
+    taken = {r.lower() for r in results}
+    return [c for c in (df.columns if keep is None else keep) if c.lower() not in taken]
+
+
 def byte_groups(batch: pa.RecordBatch, text: int, limit: int = GROUP_BYTES) -> Iterator[tuple[int, int]]:
     """Row ranges of an Arrow batch holding about ``limit`` text bytes each
     (one row at least): a batch of long texts is worked off in pieces."""
@@ -87,5 +94,5 @@ def span_text(spans: Column) -> Column:
         ":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-__all__ = ["BLANKS", "WORD", "GROUP_BYTES", "col", "free_name", "byte_groups", "row_hash", "ordered_slots",
+__all__ = ["BLANKS", "WORD", "GROUP_BYTES", "col", "free_name", "kept_columns", "byte_groups", "row_hash", "ordered_slots",
            "word_count", "span_text", "stage"]

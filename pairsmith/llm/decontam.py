@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_groups, col, free_name, stage
+from .common import byte_groups, col, free_name, kept_columns, stage
 from .fm_index import FMIndex
 
 WINDOW = 10
@@ -227,7 +227,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", kee
     """``keep`` columns of ``docs`` (all by default) with n_words, spans
     (merged word spans [start, end) inside any window of a test item) and items
     (sorted ids of items with occurring windows).  A narrow map, no shuffle."""
-    keep = list(docs.columns if keep is None else keep)
+    keep = kept_columns(docs, keep, "n_words", "spans", "items")
     held = free_name(docs, "text_bytes")[0]
     rows = docs.select(*[col(c) for c in keep], F.encode(col(text).cast("string"), "UTF-8").alias(held),
                        F.lit(0).cast("long").alias("n_words"),

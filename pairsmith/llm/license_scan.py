@@ -18,7 +18,7 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import col
+from .common import col, kept_columns
 
 MIN_DICE = 0.8
 
@@ -62,7 +62,7 @@ def scan_licences(docs: DataFrame, text: str = "text", keep: list[str] | None =
     """``keep`` columns (all by default) and ``licences``: array of (dice,
     template, licence, unit) of every unit and template that match, where unit
     is the number of the line, or null for a paragraph or the whole text."""
-    keep = list(docs.columns if keep is None else keep)
+    keep = kept_columns(docs, keep, "licences", "_t", "_b", "_u")
     grams = [(name, template_bigrams(t)) for name, t in templates]
     grams = [(i, name, g) for i, (name, g) in enumerate(grams) if g]
     known = F.array(*[F.struct(F.lit(i).alias("template"), F.lit(name).alias("licence"), F.lit(len(g)).alias("n"),

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_groups, col, free_name, stage
+from .common import byte_groups, col, free_name, kept_columns, stage
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = 1 + len(KINDS)
@@ -332,7 +332,7 @@ def train(docs: DataFrame, text: str = "text", sample_tokens: int = TRAIN_TOKENS
 def find_personal_data(docs: DataFrame, field: Field, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """``keep`` columns (all by default) and ``spans``: array of (start, rank,
     kind, end, base), by start; a narrow map."""
-    keep = list(docs.columns if keep is None else keep)
+    keep = kept_columns(docs, keep, "spans")
     body = free_name(docs, "text_of_row")[0]
     slim = docs.select(*[col(c) for c in keep], col(text).cast("string").alias(body))
     schema = docs.select(*[col(c) for c in keep], F.array().cast(

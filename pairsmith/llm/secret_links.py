@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import col, free_name, span_text, stage
+from .common import col, free_name, kept_columns, span_text, stage
 
 SCOPE = 256
 
@@ -105,7 +105,7 @@ def scan(docs: DataFrame, text: str = "text", keep: list[str] | None = None, sco
     """``keep`` columns (all by default) and ``secrets``: array of (start, rank,
     kind, end) of base matches and linked weak parts, code points, end
     exclusive; one row out per row in."""
-    keep = list(docs.columns if keep is None else keep)
+    keep = kept_columns(docs, keep, "secrets", "parts", "row")
     row_no = free_name(docs, "row_no")[0]
     found = found_parts(docs, text, keep, row_no)
     kind = F.element_at(F.array(*[F.lit(k) for k in KINDS]), F.col("kind") + 1)

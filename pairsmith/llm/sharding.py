@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import col, free_name, ordered_slots, row_hash
+from .common import col, free_name, kept_columns, ordered_slots, row_hash
 
 #: Partitions x shards, at most.
 MAX_CELLS = 1 << 20
@@ -76,6 +76,7 @@ def shuffle_into_shards(docs: DataFrame, shards: int, seed: int = 7, shard: str
     """``docs`` with ``shard`` (int, 0 to shards - 1) and ``slot`` (long,
     gapless from 0 in each shard), both uniform over all arrangements."""
     spark = docs.sparkSession
+    docs = docs.select(*[col(c) for c in kept_columns(docs, None, shard, slot)])
     h, p, ends, place = free_name(docs, "row_key", "part_no", "part_ends", "part_place")
     rows = docs.withColumn(h, F.xxhash64(F.lit(seed), row_hash(docs)))
     n = docs.count()

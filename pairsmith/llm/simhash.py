@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_groups, col, free_name, stage
+from .common import byte_groups, col, free_name, kept_columns, stage
 from .components import components
 
 SEED = 42
@@ -246,7 +246,7 @@ def simhash_classes(docs: DataFrame, text: str = "text", order: str = "doc_id",
       ``order`` (nulls last), then any one of its repeats.
 
     One row out per row in, repeated rows included."""
-    keep = list(docs.columns if keep is None else keep)
+    keep = kept_columns(docs, keep, "fingerprint", "component_id", "is_first", "n_fp", "class_first")
     fp, rid = free_name(docs, "fp_long", "row_no")
     fields = list(dict.fromkeys([*keep, order]))
     printed = with_fingerprint(docs.select(*[col(c) for c in dict.fromkeys([*fields, text])]), text, size, fp)

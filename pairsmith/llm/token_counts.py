@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_groups, col
+from .common import byte_groups, col, kept_columns
 
 #: Pieces a worker remembers with their lengths; the memo starts anew beyond it.
 MEMO_PIECES = 1_500_000
@@ -121,6 +121,7 @@ def count_tokens(docs: DataFrame, tokenizer_file: str, text: str = "text", keep:
     (n_tokens > ``limit``) of the whole ``text``.
 
     ``tokenizer_file`` is a path every executor has.  A narrow map: no shuffle."""
+    keep = kept_columns(docs, keep, "n_bytes", "n_tokens", "over_limit", "__text")
     slim = docs.select(*[col(k) for k in keep], col(text).cast("string").alias("__text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema.fields[:-1])
     at = len(keep)

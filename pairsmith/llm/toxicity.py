@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_groups, col, free_name, stage
+from .common import byte_groups, col, free_name, kept_columns, stage
 
 MAX_TOXIC, MAX_CLEAN = 3000, 5000
 MAX_TERMS = 2048
@@ -246,7 +246,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str
     """``keep`` columns (all by default) with held_out, score (0 to 1),
     predicted (1 if score >= ``threshold``) and evidence: the nearest examples
     as (doc_id, cosine, toxic)."""
-    keep = list(docs.columns if keep is None else keep)
+    keep = kept_columns(docs, keep, "held_out", "score", "predicted", "evidence", "terms", "counts")
     spark = docs.sparkSession
     examples, weights, terms = fit(docs, labels, text, doc_id, toxic, max_toxic, max_clean)
     body = free_name(docs, "text_of_row")[0]
