@@ -1,7 +1,8 @@
 """Column functions for sentence text (STR-01 .. STR-24).
 
-Every function builds a Spark ``Column`` from built-in expressions, so it runs
-inside whole-stage codegen with no Python per row.  Where a query's DuckDB
+Every function builds a Spark ``Column`` from built-in expressions: it runs in
+the JVM with no Python per row (functions over arrays run interpreted there).
+Where a query's DuckDB
 oracle needs the same rule, a ``*_sql`` twin returns the SQL text.
 
 Word characters are spelled out as ``[\\p{L}\\p{N}_]`` because Java's and
@@ -163,19 +164,37 @@ SINGULAR_KEEP = r"(?i)(ss|us|sis)$"
 # Our list: common words that end in s but are not plurals.
 NOT_PLURAL = ("is", "this", "his", "was", "has", "does", "yes", "its", "thus", "plus", "always",
               "perhaps", "unless", "whereas", "besides", "gas", "lens", "news", "series", "species")
+# Our list: plurals that no suffix rule gets right.
+IRREGULAR = {
+    "men": "man", "women": "woman", "children": "child", "people": "person", "feet": "foot", "teeth": "tooth",
+    "geese": "goose", "mice": "mouse", "oxen": "ox", "knives": "knife", "wives": "wife", "lives": "life",
+    "leaves": "leaf", "wolves": "wolf", "shelves": "shelf", "loaves": "loaf", "thieves": "thief", "halves": "half",
+    "calves": "calf", "scarves": "scarf", "selves": "self", "elves": "elf", "hooves": "hoof", "movies": "movie",
+    "cookies": "cookie", "pies": "pie", "ties": "tie", "lies": "lie", "dies": "die", "zombies": "zombie",
+    "calories": "calorie", "rookies": "rookie", "brownies": "brownie", "buses": "bus", "gases": "gas",
+    "lenses": "lens", "viruses": "virus", "bonuses": "bonus", "campuses": "campus", "statuses": "status",
+    "choruses": "chorus", "quizzes": "quiz", "caches": "cache", "aches": "ache", "headaches": "headache",
+    "niches": "niche", "avalanches": "avalanche", "axes": "axe", "shoes": "shoe", "toes": "toe", "canoes": "canoe",
+    "foes": "foe", "hoes": "hoe", "crises": "crisis", "analyses": "analysis", "bases": "base", "theses": "thesis",
+}
+# A final "es" goes only where the singular cannot end in e; else the s alone goes.
 SINGULAR_RULES = (
     (r"(?i)^.{2,}ies$", r"(?i)ies$", "y"),
-    (r"(?i)(s|x|z|ch|sh)es$", r"(?i)es$", ""),
+    (r"(?i)(ss|x|zz|ch|sh|o)es$", r"(?i)es$", ""),
     (r"(?i)s$", r"(?i)s$", ""),
 )
 
 
 def to_singular(word) -> Column:
-    """Singular of an alphabetic word; other strings pass unchanged."""
+    """Singular of an alphabetic word; other strings pass unchanged.  Words of
+    the irregular list come back in lower case."""
     w = _c(word)
+    low = F.lower(w)
+    known = F.create_map(*[F.lit(x) for kv in IRREGULAR.items() for x in kv])
+    out = F.when(low.isin(list(IRREGULAR)), F.try_element_at(known, low))
     # every rule needs a final s: test that first, it settles most words cheaply
-    out = F.when(~F.lower(F.substring(w, -1, 1)).eqNullSafe(F.lit("s")), w).when(
-        ~w.rlike(r"^\p{L}+$") | w.isin(list(FORCE_SINGULAR)) | F.lower(w).isin(list(NOT_PLURAL))
+    out = out.when(~F.lower(F.substring(w, -1, 1)).eqNullSafe(F.lit("s")), w).when(
+        ~w.rlike(r"^\p{L}+$") | w.isin(list(FORCE_SINGULAR)) | low.isin(list(NOT_PLURAL))
         | w.rlike(SINGULAR_KEEP), w)
     for test, pat, repl in SINGULAR_RULES:
         out = out.when(w.rlike(test), F.regexp_replace(w, pat, repl))
@@ -185,7 +204,8 @@ def to_singular(word) -> Column:
 def to_singular_sql(w: str) -> str:
     forced = ", ".join(f"'{x}'" for x in FORCE_SINGULAR)
     notpl = ", ".join(f"'{x}'" for x in NOT_PLURAL)
-    parts = [f"WHEN NOT regexp_matches({w}, '^\\p{{L}}+$') OR {w} IN ({forced}) OR lower({w}) IN ({notpl}) "
+    parts = [f"WHEN lower({w}) = '{p}' THEN '{q}'" for p, q in IRREGULAR.items()]
+    parts += [f"WHEN NOT regexp_matches({w}, '^\\p{{L}}+$') OR {w} IN ({forced}) OR lower({w}) IN ({notpl}) "
              f"OR regexp_matches({w}, '{SINGULAR_KEEP}') THEN {w}"]
     for test, pat, repl in SINGULAR_RULES:
         parts.append(f"WHEN regexp_matches({w}, '{test}') THEN regexp_replace({w}, '{pat}', '{repl}')")
@@ -228,7 +248,8 @@ def phrase_positions(tokens, phrase_tokens) -> Column:
     def body(tp):
         t, p = tp["t"], tp["p"]
         n, m = F.size(t), F.size(p)
-        cand = F.filter(F.transform(t, lambda x, i: F.when((m > 0) & (F.slice(t, i + 1, m) == p), i)),
+        cand = F.filter(F.transform(t, lambda x, i: F.when(
+            (m > 0) & (x == F.get(p, F.lit(0))) & (F.slice(t, i + 1, m) == p), i)),
                         lambda v: v.isNotNull())
         return F.aggregate(cand, F.struct(F.array().cast("array<int>").alias("a"), F.lit(0).alias("nxt")),
                            lambda acc, i: F.when(i >= acc["nxt"], F.struct(
@@ -250,24 +271,6 @@ def percent2(x) -> Column:
     return F.bround(_c(x) * 100, 2)
 
 
-def comma_list(s) -> Column:
-    """Comma list, items not trimmed."""
-    return F.split(_c(s), ",")
-
-
-def is_empty_cell(s) -> Column:
-    return F.contains(_c(s), F.lit("{}"))
-
-
 def is_place_candidate(s) -> Column:
     """Alphabetic, no dot (country-list test done by a join)."""
     return _c(s).rlike(r"^\p{L}+$")
-
-
-def has_capital(s) -> Column:
-    return _c(s).rlike(r"\p{Lu}")
-
-
-def taxonomy_lemma(name) -> Column:
-    """Lemma of a sense name like ``dog.n.01``: text before the first dot."""
-    return F.substring_index(_c(name), ".", 1)

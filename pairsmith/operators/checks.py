@@ -25,36 +25,29 @@ def split_partition_law(df: DataFrame, group: str, split_col: str = "split") ->
 
 
 def shared_values(df: DataFrame, value_cols: Sequence[str], part_col: str = "split",
-                  skip_pairs: Sequence[tuple[str, str]] = ()) -> DataFrame:
+                  skip_pairs: Sequence[tuple[str, str]] = (), normalise=None) -> DataFrame:
     """Values found in more than one part (J-17 / SET-03).
 
     One shuffle on the value with map-side distinct; each value reports the
     set of parts it occurs in.  Several columns are stacked into one value
-    set (SET-07), nulls dropped.  ``skip_pairs`` lists part pairs allowed to
-    share (e.g. test x test); a value is kept if any other pair shares it.
-    """
+    set (SET-07), nulls dropped; ``normalise`` (a function on columns, such
+    as singular lower case) comes first.  ``skip_pairs`` lists part pairs
+    allowed to share (e.g. two test sets); a value is reported if any other
+    pair of its parts shares it."""
+    clean = normalise or (lambda c: c)
     stacked = df.select(
         F.col(part_col).alias("part"),
-        F.explode(F.array(*[F.col(c).cast("string") for c in value_cols])).alias("value"))
+        F.explode(F.array(*[clean(F.col(c).cast("string")) for c in value_cols])).alias("value"))
     per_value = (stacked.where(F.col("value").isNotNull())
                  .groupBy("value").agg(F.sort_array(F.collect_set("part")).alias("parts"))
                  .where(F.size("parts") > 1))
     if skip_pairs:
-        allowed = F.array(*[F.array(F.lit(a), F.lit(b)) for a, b in skip_pairs])
-        per_value = per_value.where(~F.array_contains(allowed, F.col("parts")))
+        allowed = F.array(*[F.array(*map(F.lit, sorted(p))) for p in skip_pairs])
+        per_value = per_value.where(F.exists("parts", lambda a: F.exists(
+            "parts", lambda b: (a < b) & ~F.array_contains(allowed, F.array(a, b)))))
     return per_value
 
 
-def leak_counts(df: DataFrame, checks: dict[str, Sequence[str]], part_col: str = "split") -> DataFrame:
-    """One row per check name: number of values shared between parts."""
-    out = None
-    for name, cols in checks.items():
-        one = shared_values(df, cols, part_col).agg(F.count(F.lit(1)).cast("bigint").alias("shared"))
-        one = one.select(F.lit(name).alias("check"), "shared")
-        out = one if out is None else out.unionByName(one)
-    return out
-
-
 def pair_leaks(df: DataFrame, part_col: str = "split",
                keys: Sequence[str] = ("premise", "hypothesis")) -> DataFrame:
     """(premise, hypothesis) pairs present in more than one part."""

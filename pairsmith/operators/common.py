@@ -1,4 +1,4 @@
-"""Shared plan helpers: skew-safe top-k per key, size-checked broadcast."""
+"""Shared plan helpers: skew-safe top-k per key, staged look-up tables, ranks in groups."""
 
 from __future__ import annotations
 
@@ -7,8 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-DEFAULT_BROADCAST_ROWS = 2_000_000
-
+from ..session import stage
 
 def top_k_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int,
                   salts: int = 64, rank_col: str = "rk") -> DataFrame:
@@ -26,9 +25,26 @@ def top_k_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k
     return pre.withColumn(rank_col, F.row_number().over(w2)).where(F.col(rank_col) <= k)
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint only after counting: the size bound is checked, not
-    assumed.  Above the bound the plan is left to AQE (shuffle join with skew
-    handling)."""
-    n = df.count()
-    return F.broadcast(df) if n <= max_rows else df
+def lookup(df: DataFrame) -> DataFrame:
+    """``df`` written once to the shared folder and read back: the planner then
+    knows its bytes and broadcasts it below
+    ``spark.sql.autoBroadcastJoinThreshold``; above, the join shuffles with
+    skew handling on the larger side.  No count, no second run of its input."""
+    return stage(df, "lookup")
+
+
+def rank_in_group(df: DataFrame, group: str, by: Column, rank: str, total: str) -> DataFrame:
+    """0-based ``rank`` of each row in its group by ``by`` (a hash in hex, so
+    its first digits split any group evenly) and the group's ``total``.
+
+    Rows are ranked inside (group, first digits) and shifted by the counts of
+    the prefixes before: no task sorts a whole group."""
+    b = F.substring(by, 1, 3)
+    keyed = df.withColumn("__b", b).withColumn("__by", by)
+    up = Window.partitionBy(group).orderBy("__b")
+    sums = keyed.groupBy(group, "__b").agg(F.count(F.lit(1)).alias("__n")) \
+        .withColumn("__off", F.sum("__n").over(up) - F.col("__n")) \
+        .withColumn(total, F.sum("__n").over(Window.partitionBy(group))).drop("__n")
+    inside = Window.partitionBy(group, "__b").orderBy("__by")
+    return keyed.withColumn(rank, F.row_number().over(inside) - 1).join(sums, [group, "__b"]) \
+        .withColumn(rank, F.col(rank) + F.col("__off")).drop("__b", "__by", "__off")

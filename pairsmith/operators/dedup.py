@@ -58,14 +58,6 @@ def drop_conflicts_dedup(df: DataFrame, order_by: Sequence[str], keys: Sequence[
     return agg.filter(~conflict).select(*[F.col(f"__first.{c}").alias(c) for c in cols])
 
 
-def flag_conflicts(df: DataFrame, keys: Sequence[str] = PAIR, label: str = "label") -> DataFrame:
-    """Every row with ``has_multiple_labels`` (window over the pair key)."""
-    from pyspark.sql import Window as W
-    w = W.partitionBy(*keys)
-    multi = F.coalesce(F.min(label).over(w) != F.max(label).over(w), F.lit(False))
-    return df.withColumn("has_multiple_labels", multi & _keys_present(keys))
-
-
 def dedup_report(df: DataFrame, keys: Sequence[str] = PAIR, label: str = "label") -> DataFrame:
     """One row: rows before, rows after conflict drop + dedup, conflicting pairs.
 

@@ -15,8 +15,7 @@ DATASET_TYPES = ("dataset_simple", "dataset_creative", "dataset_full")
 def exclude_workers(df: DataFrame, excluded: Sequence[str], col: str = "worker_id",
                     check: bool = True) -> DataFrame:
     """Drop rows of excluded workers after checking that the excluded set is a
-    proper subset of the workers present.  A literal ``NOT IN`` list reaches
-    the scan as a pushed filter; rows with a null worker are kept."""
+    proper subset of the workers present.  Rows with a null worker are kept."""
     ex = sorted(set(excluded))
     if check:
         row = worker_subset_guard(df, ex, col).first()

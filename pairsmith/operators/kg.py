@@ -15,7 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import to_singular
-from .common import top_k_per_key
+from ..session import stage
+from .common import lookup, top_k_per_key
 
 TRIPLES_SCHEMA = ("subject string, subject_label string, predicate string, object string, "
                   "object_label string, rank bigint")
@@ -35,18 +36,22 @@ SEARCH_LIMIT = 10
 
 
 def closure(edges: DataFrame, child: str = "child", parent: str = "parent") -> DataFrame:
-    """All (node, ancestor) pairs, node excluded from its own ancestors
-    unless a cycle leads back to it.  A recursive CTE (UNION ALL, then a
-    distinct) so Catalyst plans the iteration; depth is bounded by Spark's
-    recursion limit."""
-    spark = edges.sparkSession
-    e = edges.select(F.col(child).alias("c"), F.col(parent).alias("p")).distinct()
-    return spark.sql(
-        "WITH RECURSIVE clo(node, anc) AS ("
-        " SELECT c, p FROM {e}"
-        " UNION ALL"
-        " SELECT clo.node, e.p FROM clo JOIN {e} e ON clo.anc = e.c)"
-        " SELECT DISTINCT node, anc FROM clo", e=e)
+    """All (node, ancestor) pairs; a node is its own ancestor only if a cycle
+    leads back to it.
+
+    Each round joins the newest pairs with all known ones, so path lengths
+    double and a chain of depth d takes log2(d) rounds; pairs already known
+    are dropped by an anti-join, so cycles end.  Rounds are staged in the
+    shared folder.  No limit on rows, depth or rounds."""
+    new = stage(edges.select(F.col(child).alias("node"), F.col(parent).alias("anc"))
+                .where("node IS NOT NULL AND anc IS NOT NULL").distinct(), "closure")
+    known = new
+    while not new.isEmpty():
+        step = new.withColumnRenamed("anc", "mid") \
+            .join(known.select(F.col("node").alias("mid"), "anc"), "mid").select("node", "anc").distinct()
+        new = stage(step.join(known, ["node", "anc"], "left_anti"), "closure")
+        known = known.unionByName(new)
+    return known
 
 
 def sense_name(sense_col) -> F.Column:
@@ -82,24 +87,34 @@ def entity_countries(triples: DataFrame, k: int = SEARCH_LIMIT) -> DataFrame:
         F.array_sort(F.collect_set(F.lower("object_label"))).alias("countries"))
 
 
-def located_in_closure(triples: DataFrame) -> DataFrame:
-    """(entity, place) for the transitive located-in relation, zero steps
-    included (the entity itself)."""
-    li = triples.where(F.col("predicate") == "located_in").select(
-        F.col("subject").alias("child"), F.col("object").alias("parent"))
-    anc = closure(li)
-    selves = triples.select(F.col("subject").alias("node"), F.col("subject").alias("anc")).distinct()
-    return anc.unionByName(selves).distinct()
+def reached_states(triples: DataFrame, state_type: str) -> DataFrame:
+    """(node, st, state_label): 'state'-typed nodes reached by located-in, zero
+    steps included.  The closure runs over places only (nodes something is
+    located in); every entity then takes one join on its direct place."""
+    inside = triples.where(F.col("predicate") == "located_in").select(
+        F.col("subject").alias("child"), F.col("object").alias("parent")).distinct()
+    states = triples.where((F.col("predicate") == "instance_of") & (F.col("object") == state_type)) \
+        .select(F.col("subject").alias("st"), F.col("subject_label").alias("state_label")).distinct()
+    places = inside.select(F.col("parent").alias("place")).distinct()
+    up = closure(inside.join(places, F.col("child") == F.col("place"), "left_semi"))
+    above = places.select(F.col("place").alias("node"), F.col("place").alias("anc")).unionByName(up)
+    seen = lookup(above.join(states, F.col("anc") == F.col("st")).select(F.col("node").alias("place"), "st", "state_label"))
+    via = inside.join(seen, F.col("parent") == F.col("place")).select(F.col("child").alias("node"), "st", "state_label")
+    return via.unionByName(states.select(F.col("st").alias("node"), "st", "state_label")).distinct()
+
+
+def top_country(triples: DataFrame) -> DataFrame:
+    """Label -> country of its first search hit (J-06, the location cache's
+    look-up): rank, then subject and object, decide."""
+    first = top_k_per_key(_search(triples, "country"), ["query"], [F.col("rank"), F.col("subject"), F.col("object")], 1)
+    return first.select("query", F.lower("object_label").alias("country"))
 
 
 def entity_states(triples: DataFrame, state_type: str = "state", k: int = SEARCH_LIMIT) -> DataFrame:
     """Label -> set of 'state' labels reached by located-in (J-07), first
     ``k`` hits by search rank."""
-    states = triples.where((F.col("predicate") == "instance_of") & (F.col("object") == state_type)) \
-        .select(F.col("subject").alias("st"), F.col("subject_label").alias("state_label")).distinct()
     hits = _search(triples, "country").select("subject", "query", "rank").distinct()
-    reach = hits.join(located_in_closure(triples), hits.subject == F.col("node")) \
-        .join(states, F.col("anc") == states.st)
+    reach = hits.join(reached_states(triples, state_type), hits.subject == F.col("node"))
     top = top_k_per_key(reach, ["query"], [F.col("rank"), F.col("subject"), F.col("st")], k)
     return top.groupBy("query").agg(F.array_sort(F.collect_set("state_label")).alias("states"))
 
@@ -115,10 +130,8 @@ def state_or_country(triples: DataFrame, us_label: str, state_type: str = "state
     ctry = _search(triples, "country").select("subject", "query", "subject_label",
                                               F.col("object_label").alias("country"))
     base = ctry.join(pop, "subject")
-    states = triples.where((F.col("predicate") == "instance_of") & (F.col("object") == state_type)) \
-        .select(F.col("subject").alias("st"), F.col("subject_label").alias("state")).distinct()
-    with_state = (base.join(located_in_closure(triples), base.subject == F.col("node"))
-                  .join(states, F.col("anc") == states.st).select(*base.columns, "state"))
+    with_state = base.join(reached_states(triples, state_type), base.subject == F.col("node")) \
+        .select(*base.columns, F.col("state_label").alias("state"))
     rows = base.withColumn("state", F.lit(None).cast("string")).unionByName(with_state)
     order = [F.col("population").desc(), F.col("subject"), F.col("state").asc_nulls_first()]
     top = top_k_per_key(rows, ["query"], order, k)

@@ -6,9 +6,9 @@ Flow for every link type::
     pairs --tokens+tags (narrow)--> candidates of s1 --join KG--> (pair, subject, object)
           --positions in s1 / s2 (array functions)--> fold per (pair, object)
 
-Tagging is a hash join of exploded tokens with the lexicon, broadcast after
-a size check (a frequent word would skew a shuffle join on words), then one
-regroup per pair id.
+Every distinct sentence is annotated once; tags come from a plug-in over the
+distinct words.  The annotated pairs are written once and all link types of
+the registry read them.
 
 Output rows: ``pair_id, data_type, object, subjects array<string>,
 subject_ind array<int>, object_ind array<int>, feature_type``.
@@ -16,17 +16,17 @@ subject_ind array<int>, object_ind array<int>, feature_type``.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import cache_key, let, phrase_positions, rejoin_pieces, to_singular, word_positions
+from ..functions.text import let, phrase_positions, to_singular, word_positions
+from ..session import stage
 from . import kg
-from .common import broadcast_if_small
+from .common import lookup
 
 TOKEN_RE = r"[\p{L}\p{N}_]+|[^\s\p{L}\p{N}_]"
-LEXICON_MAP_ROWS = 1_000_000
 
 # Country phrase synonyms, in the order they are tried.
 COUNTRY_SYNONYMS = {
@@ -70,33 +70,68 @@ def tokens(s: Column) -> Column:
     return F.regexp_extract_all(s, F.lit(TOKEN_RE), 0)
 
 
-def annotate(pairs: DataFrame, lexicon: DataFrame, cols: Sequence[str] = ("s1", "s2")) -> DataFrame:
-    """Add per side: ``t`` tokens, ``l`` lower-case, ``g`` singular of lower,
-    ``pos`` tags, ``ent`` entity tags (arrays aligned with the tokens).
+#: A tagger takes the distinct lower-case words (column ``word``) and returns
+#: (word, pos, ent) rows, at most one per word; words it leaves out are ``X``.
+Tagger = Callable[[DataFrame], DataFrame]
 
-    ``lexicon``: (word, pos, ent), one row per lower-case word.  Tokens of
-    both sides are exploded once, tagged by a hash join with the lexicon
-    (broadcast after a size check, so a frequent word cannot skew it; a map
-    column would be searched linearly per token), and regrouped per pair:
-    one shuffle on the unique pair id."""
+
+def lexicon_tagger(lexicon: DataFrame) -> Tagger:
+    """Tagger from a (word, pos, ent) table (NLP-08)."""
+    return lambda words: words.join(lexicon.select("word", "pos", "ent"), "word")
+
+
+def annotate_sentences(sentences: DataFrame, tagger: Tagger) -> DataFrame:
+    """(s, ann) per distinct sentence (NLP-01): ``ann`` is an array of (t token,
+    l lower case, g singular, pos, ent, head) in order, ``head`` true where
+    the sentence starts with the token.
+
+    Tags and singulars are worked out once per distinct word; the table of
+    words is written once and joined to the tokens by its known size."""
+    s = sentences.select(F.col("s")).where(F.col("s").isNotNull()).distinct()
+    ex = s.select("s", F.posexplode(F.transform(tokens(F.col("s")), lambda t: F.struct(
+        t.alias("t"), F.startswith(F.col("s"), t).alias("head")))).alias("i", "x")) \
+        .select("s", "i", "x.t", F.lower("x.t").alias("word"), "x.head")
+    words = ex.select("word").distinct()
+    tags = lookup(words.join(tagger(words), "word", "left").select(
+        "word", to_singular(F.col("word")).alias("g"), F.coalesce("pos", F.lit("X")).alias("pos"), "ent"))
+    return ex.join(tags, "word").groupBy("s").agg(F.sort_array(F.collect_list(F.struct(
+        "i", "t", F.col("word").alias("l"), "g", "pos", "ent", "head"))).alias("ann"))
+
+
+def annotate(pairs: DataFrame, tagger: Tagger | DataFrame) -> DataFrame:
+    """(pair_id, t1, l1, g1, pos1, ent1, head1, t2, ...): annotated pairs, staged,
+    so that any number of link types read one table.  ``tagger`` may be a
+    lexicon table."""
+    if isinstance(tagger, DataFrame):
+        tagger = lexicon_tagger(tagger)
+    pairs = stage(pairs.select("pair_id", "s1", "s2"), "pairs")
+    both = pairs.select(F.explode(F.array("s1", "s2")).alias("s"))
+    ann = stage(annotate_sentences(both, tagger), "annotated")
     out = pairs
-    for i, c in enumerate(cols, start=1):
-        out = out.withColumn(f"t{i}", tokens(F.col(c)))
-        out = out.withColumn(f"l{i}", F.transform(f"t{i}", lambda x: F.lower(x)))
-        out = out.withColumn(f"g{i}", F.transform(f"l{i}", lambda x: to_singular(x)))
-    sides = range(1, len(cols) + 1)
-    ex = (out.select("pair_id", F.explode(F.array(*[
-        F.struct(F.lit(k).alias("side"), F.col(f"l{k}").alias("ws")) for k in sides])).alias("sd"))
-        .select("pair_id", "sd.side", F.posexplode("sd.ws").alias("i", "word")))
-    lex = broadcast_if_small(lexicon.select("word", "pos", "ent"), LEXICON_MAP_ROWS)
-    tg = ex.join(lex, "word", "left").groupBy("pair_id").agg(*[
-        F.sort_array(F.collect_list(F.when(F.col("side") == k, F.struct(
-            "i", F.coalesce("pos", F.lit("X")).alias("pos"), "ent")))).alias(f"__tg{k}") for k in sides])
-    out = out.join(tg, "pair_id", "left")
-    for k in sides:
-        out = out.withColumn(f"pos{k}", F.coalesce(F.col(f"__tg{k}.pos"), F.array().cast("array<string>")))
-        out = out.withColumn(f"ent{k}", F.coalesce(F.col(f"__tg{k}.ent"), F.array().cast("array<string>")))
-    return out.drop(*[f"__tg{k}" for k in sides])
+    for k in (1, 2):
+        out = out.join(ann.select(F.col("s").alias(f"s{k}"), F.col("ann").alias(f"a{k}")), f"s{k}", "left")
+    cols = [F.coalesce(F.col(f"a{k}.{f}"), F.array().cast(f"array<{'boolean' if f == 'head' else 'string'}>"))
+            .alias(f"{f}{k}") for k in (1, 2) for f in ("t", "l", "g", "pos", "ent", "head")]
+    return stage(out.select("pair_id", *cols), "annotated-pairs")
+
+
+#: Link type -> function of the annotated pairs (UDF-04).
+LINKERS: dict[str, Callable[[DataFrame], DataFrame]] = {}
+
+
+def register_linker(name: str, build: Callable[[DataFrame], DataFrame]) -> None:
+    """Add (or replace) a link type: ``build`` gets the annotated pairs and
+    returns rows of ``LINK_SCHEMA``."""
+    LINKERS[name] = build
+
+
+def run_linkers(annotated: DataFrame, linkers: dict[str, Callable[[DataFrame], DataFrame]] | None = None) -> DataFrame:
+    """Union of all (or the given) link types over one annotated table (NLP-07)."""
+    out = None
+    for build in (LINKERS if linkers is None else linkers).values():
+        rows = build(annotated)
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 def _shift(arr: Column, by: int) -> Column:
@@ -111,10 +146,10 @@ def _shift(arr: Column, by: int) -> Column:
 def isa_candidates(i: int) -> Column:
     """Singular nouns/proper nouns/adjectives, not capitalised mid-sentence
     (a capitalised token equal to the sentence's start is allowed)."""
-    s = F.col(f"s{i}")
-    z = F.arrays_zip(F.col(f"t{i}").alias("t"), F.col(f"pos{i}").alias("p"), F.col(f"g{i}").alias("g"))
+    z = F.arrays_zip(F.col(f"t{i}").alias("t"), F.col(f"pos{i}").alias("p"), F.col(f"g{i}").alias("g"),
+                     F.col(f"head{i}").alias("h"))
     keep = F.filter(z, lambda x: x["p"].isin("NOUN", "PROPN", "ADJ") & ~(
-        F.substring(x["t"], 1, 1).rlike(r"\p{Lu}") & ~F.startswith(s, x["t"])))
+        F.substring(x["t"], 1, 1).rlike(r"\p{Lu}") & ~x["h"]))
     return F.array_distinct(F.transform(keep, lambda x: x["g"]))
 
 
@@ -182,7 +217,11 @@ def fold_links(rows: DataFrame, data_type: str, dedupe_object_ind: bool = False)
     from the first subject (AGG-09)."""
     ft = F.col("feature_type") if "feature_type" in rows.columns else F.lit(None).cast("string")
     per = rows.select("pair_id", "object", "subject", "s_ind", "o_ind", "first", ft.alias("feature_type"))
-    per = per.dropDuplicates(["pair_id", "object", "subject"])
+    # a subject listed under several feature types counts once, under the first of them
+    per = per.groupBy("pair_id", "object", "subject").agg(F.min(F.struct(
+        "first", F.coalesce(F.array_position(F.array(*[F.lit(t) for t in kg.FEATURE_TYPES]), F.col("feature_type")),
+                            F.lit(0)).alias("nth"), "feature_type", "s_ind", "o_ind")).alias("x")) \
+        .select("pair_id", "object", "subject", "x.*")
     g = per.groupBy("pair_id", "object").agg(
         F.sort_array(F.collect_list(F.struct("first", "subject", "s_ind", "o_ind", "feature_type"))).alias("xs"))
     o_ind = F.element_at("xs", 1)["o_ind"]
@@ -286,11 +325,6 @@ def link_color(ann: DataFrame, features: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------------ index stage
-def word_piece_offsets(pairs: DataFrame, pieces_col: str, side: str = "a") -> DataFrame:
-    """(pair_id, offsets) from a word-piece token column (STR-12)."""
-    return pairs.select("pair_id", rejoin_pieces(pieces_col)["offsets"].alias(f"offsets_{side}"))
-
-
 def index_names(links: DataFrame, offsets: DataFrame) -> DataFrame:
     """Piece index of s1 -> list of link names (AGG-10).  Colour links of
     other feature types are skipped; names in object order."""
@@ -315,15 +349,6 @@ def index_sets(links: DataFrame, offsets: DataFrame) -> DataFrame:
         F.array_sort(F.array_distinct(F.flatten(F.collect_list(b)))).alias("b_indices"))
 
 
-def link_cache_keys(pairs: DataFrame, data_type: str) -> DataFrame:
-    return pairs.select("pair_id", cache_key("s1", "s2", F.lit(data_type)).alias("cache_key"))
-
-
-def cache_misses(keys: DataFrame, cache: DataFrame) -> DataFrame:
-    """Pairs whose key is not in the link cache (J-18)."""
-    return keys.join(cache.select("cache_key"), "cache_key", "left_anti")
-
-
 def synonyms_table(spark, extra: dict[str, list[str]] | None = None) -> DataFrame:
     """(country, phrases array<array<string>>) from the fixed table plus
     binding-specific entries."""
@@ -340,4 +365,4 @@ def adjectives_table(spark, extra: dict[str, str] | None = None) -> DataFrame:
 
 
 __all__ = ["annotate", "link_isa", "link_location", "link_trademark", "link_color", "fold_links",
-           "index_names", "index_sets", "cache_misses", "link_cache_keys", "kg"]
+           "index_names", "index_sets", "annotate_sentences", "lexicon_tagger", "register_linker", "run_linkers", "kg"]

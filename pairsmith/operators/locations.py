@@ -1,10 +1,13 @@
 """Location mining (AGG-05/06/19, FLT-05/06/07, J-03/04/20, WIN-04/05, EXP-10,
 STR-06/07/10).
 
-Random choices of the reference become seeded hashes: a pick from a list is
-the element at ``hash(seed, id) mod size`` of the sorted list, and a shuffle
-position is the rank by ``md5(seed/id)`` (found with the two-level bucket
-plan, never a single-task global window).
+Mentions are n-grams: a hash join of each word with the first words of the
+gazetteer names, then leftmost-longest inside the sentence; char spans come
+from the lengths of words and gaps.
+
+Random choices of the reference become seeded hashes: a pick from a list is an
+equi-join on (group, ``hash(seed, id) mod size``) with the ranked list, and a
+shuffle position is the rank by ``md5(seed/id)``; no list is ever one row.
 """
 
 from __future__ import annotations
@@ -14,8 +17,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import WORD, highlight_span, placeholder_span, word_count
-from .common import broadcast_if_small
+from ..functions.text import WORD, highlight_span, placeholder_span
+from ..session import stage
+from .common import lookup, rank_in_group
 from .split import seeded_rank
 
 # Country -> chosen city for the tagging sheet (the reference's
@@ -38,14 +42,18 @@ OTHER_SEED = "locations!!"
 SECTION2_LABELS = ("Neutral", "Contradiction")
 SECTION2_WORD_TYPES = ("Country", "Location")
 SENTENCE_TYPES = (("sentence1", "permise"), ("sentence2", "hypothesis"))
-MAX_CITY_MAP = 100_000
+#: Word places are summed in blocks of this many words.
+BLOCK = 64
+
+
+def pick_number(seed: str, key: Column) -> Column:
+    """Seeded 32-bit number of a key: a 'random choice' is this modulo the list's size."""
+    return F.conv(F.substring(F.md5(F.concat(F.lit(seed + "/"), key.cast("string"))), 1, 8), 16, 10).cast("bigint")
 
 
-def hash_pick(arr: Column, seed: str, key: Column) -> Column:
-    """Deterministic 'random choice': element ``hash mod size`` of ``arr``
-    (null for an empty list, where the reference raises)."""
-    h = F.conv(F.substring(F.md5(F.concat(F.lit(seed + "/"), key.cast("string"))), 1, 8), 16, 10).cast("bigint")
-    return F.when(F.size(arr) > 0, F.element_at(arr, (F.pmod(h, F.size(arr)) + 1).cast("int")))
+def ranked_names(df: DataFrame, group: str, name: str) -> DataFrame:
+    """(group, name, idx, n): distinct names numbered by md5 in each group."""
+    return rank_in_group(df.select(group, name).distinct(), group, F.md5(name), "idx", "n")
 
 
 def dedup_gazetteer(country_cities: DataFrame) -> DataFrame:
@@ -64,22 +72,61 @@ def dedup_gazetteer(country_cities: DataFrame) -> DataFrame:
     return kept_c.select("country").distinct().join(kept, "country", "left")
 
 
-def mention_rows(sentences: DataFrame, names: DataFrame, text_col: str = "text",
-                 id_col: str = "id") -> DataFrame:
-    """Gazetteer mentions (NLP-04): one row per (sentence, token position)
-    whose lower-cased word is a gazetteer name, with 0-based char spans."""
-    words = sentences.select(id_col, text_col, F.posexplode(
-        F.regexp_extract_all(F.col(text_col), F.lit(WORD + "+"), 0)).alias("k", "w"))
-    # char span of the k-th word: found from the cumulative word order
-    hits = words.join(broadcast_if_small(names.select(F.col("name").alias("__n"))), F.lower("w") == F.col("__n"),
-                      "inner")
-    return hits.select(id_col, text_col, "k", F.col("w").alias("mention"), F.lower("w").alias("location"))
+def _words(rows: DataFrame, keys: Sequence[str], text_col: str) -> DataFrame:
+    """``keys`` and ``ws``: array of (w, s) - the words of a text in order
+    with their 0-based char places.  Linear in the number of words: gaps and
+    lengths are summed per block, then inside the block."""
+    d = rows.select(*keys, F.regexp_extract_all(F.col(text_col), F.lit(WORD + "+"), 0).alias("w"),
+                    F.transform(F.split(F.col(text_col), WORD + "+", -1), lambda g: F.length(g)).alias("g"))
+    d = d.select(*keys, "w", F.transform("w", lambda x, k: F.get("g", k) + F.when(
+        k > 0, F.length(F.get("w", k - 1))).otherwise(0)).alias("d"))
+    add = lambda a: F.aggregate(a, F.lit(0), lambda n, x: n + x)
+    d = d.withColumn("b", F.transform(F.sequence(F.lit(0), F.floor(F.size("d") / BLOCK).cast("int")),
+                                      lambda b: add(F.slice("d", b * BLOCK + 1, BLOCK))))
+    d = d.withColumn("o", F.transform("b", lambda x, b: add(F.slice("b", 1, b))))
+    return d.select(*keys, F.transform("w", lambda x, k: F.struct(
+        x.alias("w"), (F.get("o", F.floor(k / BLOCK).cast("int")) + add(
+            F.slice("d", F.floor(k / BLOCK).cast("int") * BLOCK + 1, k % BLOCK + 1))).alias("s"))).alias("ws"))
+
+
+def mentions(rows: DataFrame, names: DataFrame, keys: Sequence[str], text_col: str = "text",
+             entity_types: Sequence[str] | None = None) -> DataFrame:
+    """``keys`` and ``m``: the gazetteer mentions (NLP-04) of a text as an array
+    of (k, location, words, start_char, end_char), leftmost-longest, texts
+    without one left out.
+
+    ``names``: (name[, ent]); ``entity_types`` keeps names of those types.  A
+    name of several words matches them in a row whatever stands between."""
+    if entity_types is not None:
+        names = names.where(F.col("ent").isin(list(entity_types)))
+    parts = F.regexp_extract_all(F.lower("name"), F.lit(WORD + "+"), 0)
+    names = lookup(names.select(parts.alias("p")).where(F.size("p") > 0).select(
+        F.col("p")[0].alias("first"), F.size("p").alias("n"), F.array_join("p", " ").alias("location")).distinct())
+    longest = names.agg(F.max("n")).first()[0] or 0
+    at = _words(rows, keys, text_col).select(*keys, F.posexplode(F.transform("ws", lambda x, k: F.slice(
+        "ws", k + 1, F.lit(longest)))).alias("k", "x")) if longest > 1 else \
+        _words(rows, keys, text_col).select(*keys, F.posexplode("ws").alias("k", "one")) \
+        .select(*keys, "k", F.array("one").alias("x"))
+    hit = at.join(names, F.lower(F.col("x")[0]["w"]) == F.col("first"))
+    hit = hit.where((F.size("x") >= F.col("n")) & (F.array_join(F.transform(
+        F.slice("x", F.lit(1), F.col("n")), lambda x: F.lower(x["w"])), " ") == F.col("location")))
+    end = F.get("x", F.col("n") - 1)
+    found = hit.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(
+        "k", (-F.col("n")).alias("neg"), "location", F.col("n").alias("words"), F.col("x")[0]["s"].alias("start_char"),
+        (end["s"] + F.length(end["w"])).alias("end_char")))).alias("h"))
+    free = F.aggregate("h", F.struct(F.array().cast(
+        "array<struct<k:int,neg:int,location:string,words:int,start_char:int,end_char:int>>").alias("a"),
+        F.lit(0).alias("next")), lambda acc, x: F.when(x["k"] >= acc["next"], F.struct(
+            F.concat(acc["a"], F.array(x)).alias("a"), (x["k"] + x["words"]).alias("next"))).otherwise(acc))["a"]
+    return found.select(*keys, F.transform(free, lambda x: F.struct(
+        x["k"].alias("k"), x["location"].alias("location"), x["words"].alias("words"),
+        x["start_char"].alias("start_char"), x["end_char"].alias("end_char"))).alias("m"))
 
 
 def corpus_mentions(sentences: DataFrame, names: DataFrame, text_col: str = "text",
                     id_col: str = "id") -> DataFrame:
     """Mention count per lower-cased location over a corpus (AGG-05)."""
-    return (mention_rows(sentences, names, text_col, id_col)
+    return (mentions(sentences, names, [id_col], text_col).select(F.explode("m.location").alias("location"))
             .groupBy("location").agg(F.count(F.lit(1)).cast("bigint").alias("cnt")))
 
 
@@ -90,63 +137,51 @@ def sentence_rows(corpus: DataFrame, sample_id: str = "sample_id") -> DataFrame:
         .select(sample_id, "genre", "x.sentence", "x.type")
 
 
-def annotate_locations(rows: DataFrame, names: DataFrame, known: DataFrame) -> DataFrame:
+def annotate_locations(rows: DataFrame, names: DataFrame, known: DataFrame,
+                       entity_types: Sequence[str] | None = None) -> DataFrame:
     """Location annotation per sentence (AGG-19, FLT-07): number of
     mentions, mentions, char spans, known flags, word counts.  Sentences with
-    no mention are dropped.  Char spans come from ``regexp_instr`` of the
-    k-th word match."""
+    no mention are dropped."""
     key = ["sample_id", "type"]
-    words = rows.select(*key, "genre", "sentence", F.posexplode(
-        F.regexp_extract_all("sentence", F.lit(WORD + "+"), 0)).alias("k", "w"))
-    hit = words.join(broadcast_if_small(names.select(F.col("name").alias("__n"))), F.lower("w") == F.col("__n"))
-    hit = hit.join(broadcast_if_small(known.select(F.col("name").alias("__k"), F.lit(True).alias("known"))),
-                   F.col("__n") == F.col("__k"), "left")
-    hit = hit.withColumn("start_char", _word_start("sentence", "k")).withColumn(
-        "end_char", F.col("start_char") + F.length("w"))
-    g = hit.groupBy(*key).agg(
-        F.first("genre").alias("genre"), F.first("sentence").alias("sentence"),
-        F.sort_array(F.collect_list(F.struct("k", F.lower("w").alias("location"), "start_char", "end_char",
-                                             F.coalesce("known", F.lit(False)).alias("known"),
-                                             F.greatest(F.lit(1), word_count(F.col("w"))).alias("wc"))))
-        .alias("m"))
+    found = mentions(rows, names, key, "sentence", entity_types)
+    one = found.select(*key, F.posexplode("m").alias("i", "x"))
+    sure = lookup(known.select(F.lower("name").alias("__k")).distinct())
+    one = one.join(sure, F.col("x.location") == F.col("__k"), "left")
+    g = one.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct(
+        "i", "x", F.col("__k").isNotNull().alias("known")))).alias("m"))
+    g = g.join(rows.select(*key, "genre", "sentence"), key)
     return g.select(*key, "genre", "sentence", F.size("m").alias("num_locations"),
-                    F.col("m.location").alias("locations"), F.col("m.start_char").alias("start_char"),
-                    F.col("m.end_char").alias("end_char"), F.col("m.known").alias("known_location"),
-                    F.col("m.wc").alias("word_count"))
-
-
-def _word_start(text: str, k: str) -> Column:
-    """0-based char offset of the ``k``-th (0-based) word of ``text``."""
-    pat = F.concat(F.lit("^((?:[^\\p{L}\\p{N}_]*[\\p{L}\\p{N}_]+){"), F.col(k).cast("string"),
-                   F.lit("}[^\\p{L}\\p{N}_]*)"))
-    return F.length(F.call_function("regexp_extract", F.col(text), pat, F.lit(1)))
+                    F.col("m.x.location").alias("locations"), F.col("m.x.start_char").alias("start_char"),
+                    F.col("m.x.end_char").alias("end_char"), F.col("m.known").alias("known_location"),
+                    F.col("m.x.words").alias("word_count"))
 
 
 def sentence_pool(annotated: DataFrame, gaz: DataFrame, exclude_genre: str = "telephone",
                   seed: str = POOL_SEED) -> DataFrame:
     """Pool of single-place sentences with the place highlighted (FLT-05,
-    J-03, WIN-05, STR-06, PRJ-07, SRT-04)."""
-    known = gaz.select(F.col("country").alias("name")).unionByName(gaz.select(F.col("city").alias("name"))) \
-        .distinct()
+    J-03, WIN-05, STR-06, PRJ-07).  A country's sentence gets a random one of
+    its cities by an equi-join on (country, number); a city's its country."""
     ok = annotated.where((F.col("num_locations") == 1) & F.forall("known_location", lambda x: x)
                          & (F.element_at("word_count", 1) == 1) & (F.col("genre") != exclude_genre))
-    ok = ok.withColumn("loc", F.element_at("locations", 1))
-    ok = ok.join(broadcast_if_small(known.withColumnRenamed("name", "loc")), "loc", "left_semi")
-    # cities per country: bounded by the gazetteer, size-checked before broadcast
-    countries = gaz.groupBy("country").agg(F.array_sort(F.collect_list("city")).alias("cities"))
-    city2country = gaz.select(F.col("city").alias("loc"), F.col("country").alias("c_of_city"))
-    j = ok.join(broadcast_if_small(countries.withColumnRenamed("country", "loc")), "loc", "left") \
-        .join(broadcast_if_small(city2country.where(F.col("loc").isNotNull())), "loc", "left")
-    is_country = F.col("cities").isNotNull()
     rid = F.concat(F.col("sample_id").cast("string"), F.lit("_"), F.substring("type", 1, 1))
     s, e = F.element_at("start_char", 1), F.element_at("end_char", 1)
-    out = j.select(
-        F.col("sentence").alias("original_sentence"),
-        highlight_span(F.col("sentence"), s, e).alias("highlighted_sentence"),
-        F.when(is_country, F.col("loc")).otherwise(F.col("c_of_city")).alias("country"),
-        F.when(is_country, hash_pick(F.col("cities"), seed, rid)).otherwise(F.col("loc")).alias("location"),
-        is_country.alias("is_country"), s.alias("start_char"), e.alias("end_char"), rid.alias("id"))
-    return out
+    ok = ok.select(F.element_at("locations", 1).alias("loc"), F.col("sentence").alias("original_sentence"),
+                   highlight_span(F.col("sentence"), s, e).alias("highlighted_sentence"), s.alias("start_char"),
+                   e.alias("end_char"), rid.alias("id"))
+    ranked = lookup(ranked_names(gaz.where(F.col("city").isNotNull()), "country", "city"))
+    sizes = gaz.select(F.col("country").alias("loc"), F.lit(True).alias("is_country")).distinct() \
+        .join(ranked.groupBy(F.col("country").alias("loc")).agg(F.max("n").alias("n")), "loc", "left")
+    homes = ranked.select(F.col("city").alias("loc"), F.col("country").alias("c_of_city"))
+    j = ok.join(sizes, "loc", "left").join(homes, "loc", "left")
+    j = j.where(F.col("is_country").isNotNull() | F.col("c_of_city").isNotNull())
+    j = j.withColumn("is_country", F.coalesce("is_country", F.lit(False)))
+    j = j.withColumn("home", F.when(F.col("is_country"), F.col("loc")).otherwise(F.col("c_of_city"))) \
+        .withColumn("idx", F.when(F.col("is_country") & (F.col("n") > 0), F.pmod(pick_number(seed, F.col("id")), F.col("n"))))
+    picks = ranked.select(F.col("country").alias("home"), F.col("city").alias("picked"), F.col("idx").cast("bigint").alias("idx"))
+    out = j.join(picks, ["home", "idx"], "left")
+    return out.select("original_sentence", "highlighted_sentence", F.col("home").alias("country"),
+                      F.when(F.col("is_country"), F.col("picked")).otherwise(F.col("loc")).alias("location"),
+                      "is_country", "start_char", "end_char", "id")
 
 
 def finalise_for_tagging(tagged: DataFrame, country_city: DataFrame, seed: str = FINAL_SEED,
@@ -154,22 +189,22 @@ def finalise_for_tagging(tagged: DataFrame, country_city: DataFrame, seed: str =
     """Tagging sheet (FLT-04, J-04, WIN-04, WIN-05, STR-07, STR-10): rows with
     ``can_be_entailed`` in {0, 1}, seeded order, title-cased country, its
     chosen city (a country missing from the map raises), another city picked
-    from the rest, the place replaced by a placeholder, and alternating
-    review labels by shuffled position."""
-    rows = tagged.where(F.col("can_be_entailed").isin(0, 1)).withColumn("country", F.initcap("country"))
-    cc = country_city.select(F.col("country").alias("__c"), F.col("city").alias("location"))
-    if cc.count() > MAX_CITY_MAP:  # size check behind the broadcasts below
-        raise ValueError("country -> city map too large to broadcast")
-    missing = rows.join(F.broadcast(cc), rows.country == cc.__c, "left_anti").limit(1).collect()
+    from the rest (a number modulo n - 1, shifted past the own city), the
+    place replaced by a placeholder, and alternating review labels by
+    shuffled position."""
+    rows = stage(tagged.where(F.col("can_be_entailed").isin(0, 1)).withColumn("country", F.initcap("country")), "tagged")
+    cc = lookup(country_city.select(F.col("country").alias("__c"), F.col("city").alias("location")))
+    missing = rows.join(cc, rows.country == F.col("__c"), "left_anti").limit(1).collect()
     if missing:
         raise KeyError(f"country not in the city map: {missing[0]['country']}")
-    all_cities = cc.agg(F.array_sort(F.collect_set("location")).alias("__all")).withColumn("__one", F.lit(1))
-    j = rows.join(F.broadcast(cc), rows.country == cc.__c).drop("__c") \
-        .withColumn("__one", F.lit(1)).join(F.broadcast(all_cities), "__one").drop("__one")
-    others = F.filter("__all", lambda x: x != F.col("location"))
-    j = j.withColumn("other_location", hash_pick(others, other_seed, F.col("id")))
-    j = j.withColumn("sentence", placeholder_span(F.col("sentence"), "start_char", "end_char"))
-    ranked = seeded_rank(j.drop("__all"), "id", seed, "pos")
+    cities = lookup(ranked_names(cc.withColumn("all", F.lit(1)), "all", "location")).drop("all")
+    j = rows.join(cc, rows.country == F.col("__c")).drop("__c").join(cities, "location")
+    pick = F.when(F.col("n") > 1, F.pmod(pick_number(other_seed, F.col("id")), F.col("n") - 1))
+    j = j.withColumn("pick", pick + (pick >= F.col("idx")).cast("int")).drop("idx", "n")
+    j = j.join(cities.select(F.col("location").alias("other_location"), F.col("idx").cast("bigint").alias("pick")), "pick",
+               "left").drop("pick")
+    j = stage(j.withColumn("sentence", placeholder_span(F.col("sentence"), "start_char", "end_char")), "tagging")
+    ranked = seeded_rank(j, "id", seed, "pos")
     return ranked.select(
         "id", "sentence", "can_be_entailed", "country", "start_char", "end_char", "location",
         "other_location",

@@ -25,9 +25,9 @@ from pyspark.sql import functions as F
 
 BUCKET_HEX = 3  # 16**3 = 4,096 buckets
 
-# Default seeds and fractions of the reference's splitters.
-SEED_3WAY = "inferbert"
-SEED_2WAY = "hypernymy"
+# Default seeds (ours) and fractions (fixed values).
+SEED_3WAY = "three-way"
+SEED_2WAY = "two-way"
 FRACTIONS_3WAY = (("train", 0.8), ("dev", 0.1), ("test", 0.1))
 FRACTIONS_2WAY = (("train", 0.75), ("test", 0.25))
 
@@ -136,43 +136,26 @@ def exact_group_split(df: DataFrame, group: str, fractions=FRACTIONS_3WAY,
     return keyed.withColumn(out, F.when(F.col(key).isNotNull(), expr)).drop(key)
 
 
-def split_assignments(df: DataFrame, group: str, fractions=FRACTIONS_3WAY,
-                      seed: str = SEED_3WAY) -> DataFrame:
-    """The ``(group, split)`` table alone (J-02's right side)."""
-    return exact_group_split(df.select(group).distinct(), group, fractions, seed)
-
-
-def attach_split(df: DataFrame, assignments: DataFrame, group: str) -> DataFrame:
-    """Equi-join rows with a ``(group, split)`` table made elsewhere (J-02)."""
-    return df.join(assignments.select(group, "split"), group, "inner")
-
-
-def split_flags(df: DataFrame, split_col: str = "split",
-                names: Sequence[str] = ("train", "dev", "test")) -> DataFrame:
-    """Boolean ``is_<part>`` columns, as the reference keeps them."""
-    return df.withColumns({f"is_{n}": F.col(split_col) == n for n in names})
-
-
 def seeded_rank(df: DataFrame, key: str, seed: str, out: str = "rank") -> DataFrame:
     """0-based position of each row in a seeded shuffle (SRT-04).
 
     Rows are bucketed by a hash prefix long enough that a bucket holds about
-    ``RANK_ROWS`` rows (the prefix length follows the row count); per-bucket
-    counts become offsets (a table of at most 16**6 rows, broadcast) and rows
-    are ranked inside their bucket.  ``key`` must be unique per row."""
+    ``RANK_ROWS`` rows (the prefix grows with the row count, without limit);
+    per-bucket counts become offsets in two levels - within a prefix of three
+    digits, then over those 4,096 - and rows are ranked inside their bucket.
+    ``key`` must be unique per row."""
     import math
     k = "__rk"
     keyed = df.withColumn(k, seeded_order_key(key, seed))
     n = keyed.count()
-    digits = min(6, max(BUCKET_HEX, math.ceil(math.log(max(n, 1) / RANK_ROWS, 16)) if n > RANK_ROWS else BUCKET_HEX))
-    bucket = F.substring(F.col(k), 1, digits)
-    counts = keyed.groupBy(bucket.alias("__b")).agg(F.count(F.lit(1)).alias("__c"))
-    # running offsets over the bucket table (<= 16**digits rows, a bounded single-task window)
-    offsets = counts.withColumn(
-        "__off", F.sum("__c").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)))
-    ranked = (keyed.withColumn("__b", bucket)
-              .join(F.broadcast(offsets.select("__b", "__off")), "__b")
-              .withColumn(out, (F.coalesce(F.col("__off"), F.lit(0))
-                                + F.row_number().over(Window.partitionBy("__b").orderBy(k)) - 1)
-                          .cast("bigint")))
+    digits = max(BUCKET_HEX, math.ceil(math.log(max(n, 1) / RANK_ROWS, 16)) if n > RANK_ROWS else BUCKET_HEX)
+    counts = keyed.groupBy(F.substring(k, 1, digits).alias("__b")).agg(F.count(F.lit(1)).alias("__c"))
+    counts = counts.withColumn("__p", F.substring("__b", 1, BUCKET_HEX))
+    fine = counts.withColumn("__in", F.sum("__c").over(Window.partitionBy("__p").orderBy("__b")) - F.col("__c"))
+    coarse = counts.groupBy("__p").agg(F.sum("__c").alias("__t"))  # 4,096 rows at most
+    coarse = coarse.select("__p", (F.sum("__t").over(Window.orderBy("__p")) - F.col("__t")).alias("__base"))
+    offsets = fine.join(coarse, "__p").select("__b", (F.col("__in") + F.col("__base")).alias("__off"))
+    ranked = keyed.withColumn("__b", F.substring(F.col(k), 1, digits)).join(offsets, "__b")
+    ranked = ranked.withColumn(out, (F.col("__off") + F.row_number().over(Window.partitionBy("__b").orderBy(k)) - 1)
+                               .cast("bigint"))
     return ranked.drop("__b", "__off", k)

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import replace_words
+from ..session import stage
 from .split import seeded_rank
 
 # Option fields of a trademark sample, in mapping order.
@@ -30,9 +31,12 @@ def option_mapping(test: DataFrame, train: DataFrame, fields: Sequence[str] = OP
     Output: the test fields plus ``new_<field>`` for each field.  With
     ``check``, raise when some test tuple has no partner (more test tuples
     than train tuples)."""
-    key = F.concat_ws("\u0001", *[F.coalesce(F.col(f), F.lit("")) for f in fields])
-    t = seeded_rank(distinct_options(test, fields).withColumn("__key", key), "__key", seed_test, "pos")
-    r = seeded_rank(distinct_options(train, fields).withColumn("__key", key), "__key", seed_train, "pos")
+    # one key per tuple: null and empty fields are unlike
+    key = F.concat_ws("\u0001", *[F.when(F.col(f).isNull(), F.lit("0")).otherwise(F.concat(F.lit("1"), F.col(f)))
+                                  for f in fields])
+    test, train = stage(distinct_options(test, fields), "options"), stage(distinct_options(train, fields), "options")
+    t = seeded_rank(test.withColumn("__key", key), "__key", seed_test, "pos")
+    r = seeded_rank(train.withColumn("__key", key), "__key", seed_train, "pos")
     r = r.select("pos", *[F.col(f).alias(f"new_{f}") for f in fields])
     mapping = t.drop("__key").join(r, "pos", "left")
     if check:

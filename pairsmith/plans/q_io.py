@@ -8,11 +8,9 @@ the same derivation in SQL.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
-from ..session import scratch_path
+from ..session import scratch_path, stage
 from ..sources import readers, writers
 from ..streaming import incremental
 from .bindings import DEDUP_SQL
@@ -26,7 +24,7 @@ DEDUP_COLS = "premise, hypothesis, label, row_id, worker_id, hit_id, section, it
 
 
 def _tmp(spark, what: str) -> str:
-    return scratch_path(spark, f"io-{what}-{uuid.uuid4().hex}")
+    return scratch_path(spark, f"io-{what}")
 
 
 @query("read_roundtrip_jsonl", "WITH " + DEDUP_SQL + f"\nSELECT {DEDUP_COLS} FROM dedup", ("SRC-02", "SNK-02"))
@@ -81,26 +79,30 @@ def q_resume_append(spark, sf_dir):
     """A first run stored part of the rows and stopped; the resumed run stores
     only the missing keys; the table read back holds every row once."""
     p = _tmp(spark, "resume")
-    rows = deduped(spark, sf_dir)
+    rows = stage(deduped(spark, sf_dir), "dedup")
     incremental.resume_append(rows.where(F.col("seq") % 3 == 0), p, ["premise", "hypothesis"])
     return incremental.resume_append(rows, p, ["premise", "hypothesis"]).select(*DEDUP_COLS.split(", "))
 
 
 @query("memo_cache", "WITH " + DEDUP_SQL + """
 SELECT DISTINCT to_base64(unhex(md5(premise))) || '|' || to_base64(unhex(md5(hypothesis))) || '|' || 'isa' AS cache_key,
-       length(premise) + length(hypothesis) AS value
+       length(premise) + length(hypothesis) AS value,
+       CASE WHEN substr(md5(to_base64(unhex(md5(premise))) || '|' || to_base64(unhex(md5(hypothesis))) || '|' || 'isa'), 1, 1)
+            < '8' THEN 1 ELSE 2 END AS run
 FROM dedup""", ("SNK-06", "J-18", "STR-16"))
 def q_memo_cache(spark, sf_dir):
-    """Memo table of per-pair values keyed by the cache key: a first pass
-    stores some keys, the second computes only the misses."""
+    """Memo table of per-pair values keyed by the cache key: a first run stores
+    half the keys (by hash); in the second those are hits and keep the first
+    run's number, only the misses get its own."""
     from ..functions.text import cache_key
     p = _tmp(spark, "memo")
     pairs = deduped(spark, sf_dir).select(cache_key("premise", "hypothesis", F.lit("isa")).alias("cache_key"),
                                           (F.length("premise") + F.length("hypothesis")).alias("value"))
 
-    def compute(keys):
-        return keys.join(pairs.dropDuplicates(["cache_key"]), "cache_key")
+    def compute(keys, run):
+        return keys.join(pairs.groupBy("cache_key").agg(F.min("value").alias("value")), "cache_key") \
+            .withColumn("run", F.lit(run))
 
-    first = pairs.where(F.length("cache_key") % 2 == 0).select("cache_key")
-    incremental.memo_lookup(first, p, "cache_key", compute).count()
-    return incremental.memo_lookup(pairs.select("cache_key"), p, "cache_key", compute).distinct()
+    first = pairs.where(F.substring(F.md5("cache_key"), 1, 1) < "8").select("cache_key")
+    incremental.memo_lookup(first, p, "cache_key", lambda k: compute(k, 1)).count()
+    return incremental.memo_lookup(pairs.select("cache_key"), p, "cache_key", lambda k: compute(k, 2))

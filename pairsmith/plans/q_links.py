@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import kg, linking
-from ..operators.common import broadcast_if_small
+from ..operators.common import lookup
 from . import kg_binding as B
 from .catalog import query
 
@@ -23,27 +23,28 @@ def _show(df):
                      "feature_type")
 
 
-def isa_links(spark, sf_dir):
-    lemmas, edges = B.taxonomy(spark, sf_dir)
-    hyp = broadcast_if_small(kg.hypernym_table(lemmas, edges))
-    return linking.link_isa(annotated(spark, sf_dir), hyp)
+def linkers(spark, sf_dir):
+    """The four link types of this binding as a registry."""
+    def isa(ann):
+        lemmas, edges = B.taxonomy(spark, sf_dir)
+        return linking.link_isa(ann, lookup(kg.hypernym_table(lemmas, edges)))
 
+    def location(ann):
+        places = lookup(kg.state_or_country(B.triples(spark, sf_dir), B.US_LABEL))
+        return linking.link_location(ann, places, B.country_list(spark, sf_dir), linking.synonyms_table(spark))
 
-def location_links(spark, sf_dir):
-    places = broadcast_if_small(kg.state_or_country(B.triples(spark, sf_dir), B.US_LABEL))
-    return linking.link_location(annotated(spark, sf_dir), places, B.country_list(spark, sf_dir),
-                                 linking.synonyms_table(spark))
+    def trademark(ann):
+        countries = lookup(kg.entity_countries(B.triples(spark, sf_dir)))
+        return linking.link_trademark(ann, countries, linking.adjectives_table(spark), linking.synonyms_table(spark))
 
+    def color(ann):
+        return linking.link_color(ann, lookup(kg.noun_features(B.triples(spark, sf_dir))))
 
-def trademark_links(spark, sf_dir):
-    countries = broadcast_if_small(kg.entity_countries(B.triples(spark, sf_dir)))
-    return linking.link_trademark(annotated(spark, sf_dir), countries, linking.adjectives_table(spark),
-                                  linking.synonyms_table(spark))
+    return {"isa": isa, "location": location, "trademark": trademark, "color": color}
 
 
-def color_links(spark, sf_dir):
-    feats = broadcast_if_small(kg.noun_features(B.triples(spark, sf_dir)))
-    return linking.link_color(annotated(spark, sf_dir), feats)
+def _links(spark, sf_dir, name):
+    return linkers(spark, sf_dir)[name](annotated(spark, sf_dir))
 
 
 def _pairs_lex_sql():
@@ -123,12 +124,12 @@ FROM f"""
 
 @query("link_isa", _isa_sql(), ("J-10", "J-14", "NLP-01", "NLP-02", "NLP-06", "AGG-09", "STR-13"))
 def q_link_isa(spark, sf_dir):
-    return _show(isa_links(spark, sf_dir))
+    return _show(_links(spark, sf_dir, "isa"))
 
 
 @query("link_location", None, ("J-11", "J-08", "NLP-04", "STR-15", "STR-22", "AGG-09"))
 def q_link_location(spark, sf_dir):
-    return _show(location_links(spark, sf_dir))
+    return _show(_links(spark, sf_dir, "location"))
 
 
 def _trademark_sql():
@@ -198,7 +199,7 @@ def _INITCAP_SQL(x):
 
 @query("link_trademark", _trademark_sql(), ("J-13", "J-06", "J-05", "NLP-05", "STR-10", "STR-23", "AGG-09"))
 def q_link_trademark(spark, sf_dir):
-    return _show(trademark_links(spark, sf_dir))
+    return _show(_links(spark, sf_dir, "trademark"))
 
 
 def _color_sql():
@@ -251,12 +252,11 @@ FROM fo"""
 
 @query("link_color", _color_sql(), ("J-12", "J-09", "NLP-03", "STR-14", "AGG-09"))
 def q_link_color(spark, sf_dir):
-    return _show(color_links(spark, sf_dir))
+    return _show(_links(spark, sf_dir, "color"))
 
 
 def all_links(spark, sf_dir):
-    return (isa_links(spark, sf_dir).unionByName(location_links(spark, sf_dir))
-            .unionByName(trademark_links(spark, sf_dir)).unionByName(color_links(spark, sf_dir)))
+    return linking.run_linkers(annotated(spark, sf_dir), linkers(spark, sf_dir))
 
 
 def _offsets(spark, sf_dir):

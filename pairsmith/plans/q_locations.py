@@ -1,8 +1,7 @@
 """Location-mining queries over documents and conversation pairs.
 
 Gazetteer stand-in: countries are the nations; cities are capitalised words
-(``Xxxx`` with 4+ letters) found in at least ``MIN_DOCS`` documents, each
-assigned to a nation by a hash of the word; a word whose hash is divisible
+(``Xxxx`` with 4+ letters) of the documents, each assigned to a nation by a hash of the word; a word whose hash is divisible
 by 7 is also listed under the next nation (an ambiguous city), and every
 tenth nation's own name is listed as a city elsewhere (an ambiguous
 country).  So the dedup rules all fire, and the gazetteer grows with the data.
@@ -13,12 +12,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import locations as L
-from ..session import read_table
+from ..session import read_table, stage
 from . import kg_binding as B
 from .catalog import query
 from .q_mix import corpus
 
-MIN_DOCS = 3
 EXCLUDE_GENRE = "assistant"
 
 
@@ -28,10 +26,9 @@ def _h(c):
 
 def gazetteer_raw(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    words = docs.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"\p{Lu}\p{Ll}{3,}"), 0)).alias("w"))
+    words = docs.select(F.explode(F.regexp_extract_all("text", F.lit(r"\p{Lu}\p{Ll}{3,}"), 0)).alias("w"))
     words = words.where(F.col("w").rlike(r"^\p{Lu}\p{Ll}{3,}$"))
-    freq = words.groupBy(F.lower("w").alias("city")).agg(F.count_distinct("doc_id").alias("df")) \
-        .where(F.col("df") >= MIN_DOCS)
+    freq = words.select(F.lower("w").alias("city")).distinct()
     n = read_table(spark, sf_dir, "nation").select(
         "n_nationkey", B.nation_label(F.col("n_nationkey"), F.col("n_name")).alias("country"))
     k = F.pmod(_h(F.col("city")), F.lit(25))
@@ -50,8 +47,7 @@ words AS (
   SELECT doc_id, unnest(regexp_extract_all(text, '\\p{{Lu}}\\p{{Ll}}{{3,}}')) AS w FROM documents
 ),
 freq AS (
-  SELECT lower(w) AS city, count(DISTINCT doc_id) AS df FROM words
-  WHERE regexp_matches(w, '^\\p{{Lu}}\\p{{Ll}}{{3,}}$') GROUP BY lower(w) HAVING count(DISTINCT doc_id) >= {MIN_DOCS}
+  SELECT DISTINCT lower(w) AS city FROM words WHERE regexp_matches(w, '^\\p{{Lu}}\\p{{Ll}}{{3,}}$')
 ),
 nat AS (
   SELECT n_nationkey, CASE n_nationkey WHEN 0 THEN 'United States of America' WHEN 1 THEN 'United Kingdom'
@@ -121,7 +117,7 @@ def q_location_sentences(spark, sf_dir):
 def pool(spark, sf_dir, raw=None):
     # the gazetteer feeds several size-checked joins: derive it from the
     # documents once and read the written copy for each of them
-    raw = gazetteer_raw(spark, sf_dir).checkpoint() if raw is None else raw
+    raw = stage(gazetteer_raw(spark, sf_dir), "gazetteer") if raw is None else raw
     return L.sentence_pool(annotated_sentences(spark, sf_dir, raw), gazetteer(spark, sf_dir, raw), EXCLUDE_GENRE)
 
 
@@ -141,9 +137,9 @@ def city_map(spark, sf_dir, raw=None):
 
 @query("finalise_tagging", None, ("FLT-04", "J-04", "WIN-04", "WIN-05", "STR-07", "STR-10", "SRC-04", "SET-04"))
 def q_finalise_tagging(spark, sf_dir):
-    raw = gazetteer_raw(spark, sf_dir).checkpoint()
+    raw = stage(gazetteer_raw(spark, sf_dir), "gazetteer")
     p = pool(spark, sf_dir, raw)
-    cmap = city_map(spark, sf_dir, raw).checkpoint()
+    cmap = stage(city_map(spark, sf_dir, raw), "city-map")
     tagged = p.join(cmap.select(F.lower("country").alias("country")), "country", "left_semi").select(
         "id", F.col("original_sentence").alias("sentence"),
         F.pmod(_h(F.col("id")), F.lit(3)).cast("int").alias("can_be_entailed"),

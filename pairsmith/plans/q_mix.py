@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..operators import mixing, swap
 from ..operators import split as S
-from ..session import read_table
+from ..session import read_table, stage
 from .bindings import DEDUP_SQL
 from .catalog import query
 from .q_prepare import SPLIT3_SQL, split3
@@ -113,7 +113,7 @@ def trademark_samples(spark, sf_dir):
                                          F.lit(" and ") , F.col("other_country")))
     t = t.withColumn("hypothesis", F.concat(F.lit("There is a "), F.col("country_adj"),
                                             F.lit(" company, not an "), F.col("other_country_adj"), F.lit(" one")))
-    return S.exact_group_split(t, "row_id", S.FRACTIONS_3WAY, S.SEED_3WAY)
+    return stage(S.exact_group_split(stage(t, "trademark"), "row_id", S.FRACTIONS_3WAY, S.SEED_3WAY), "trademark-split")
 
 
 TRADEMARK_SQL = """
@@ -142,7 +142,7 @@ OPT = ", ".join(swap.OPTION_FIELDS)
 
 
 def _opt_key(prefix: str = "") -> str:
-    return " || chr(1) || ".join(f"coalesce({prefix}{f}, '')" for f in swap.OPTION_FIELDS)
+    return " || chr(1) || ".join(f"CASE WHEN {prefix}{f} IS NULL THEN '0' ELSE '1' || {prefix}{f} END" for f in swap.OPTION_FIELDS)
 
 
 def _ranked(split_name: str, seed: str) -> str:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import to_singular
 from ..operators import checks, dedup, filters, split
+from ..session import stage
 from .bindings import DEDUP_SQL, EXCLUDED_SUPPLIERS, SAMPLES_SQL, samples, split_sql
 from .catalog import query
 
@@ -16,9 +17,9 @@ def deduped(spark, sf_dir):
 
 def split3(spark, sf_dir):
     # the split reads its input three times (bucket counts, cut keys, rows) and
-    # callers add checks on top: write the deduplicated pairs once to the
-    # shared checkpoint folder instead of recomputing join + aggregate per job
-    return split.exact_group_split(deduped(spark, sf_dir).checkpoint(), "row_id",
+    # callers add checks on top: the deduplicated pairs are written once as
+    # Parquet, the counting passes read the one column they need
+    return split.exact_group_split(stage(deduped(spark, sf_dir), "dedup"), "row_id",
                                    split.FRACTIONS_3WAY, split.SEED_3WAY)
 
 
@@ -76,7 +77,7 @@ def q_group_split_3way(spark, sf_dir):
 
 @query("group_split_2way", "WITH " + SPLIT2_SQL + "\nSELECT * FROM split_rows", ("WIN-02",))
 def q_group_split_2way(spark, sf_dir):
-    return split.exact_group_split(deduped(spark, sf_dir), "row_id",
+    return split.exact_group_split(stage(deduped(spark, sf_dir), "dedup"), "row_id",
                                    split.FRACTIONS_2WAY, split.SEED_2WAY)
 
 
@@ -146,7 +147,7 @@ keyed AS (SELECT *, {sing} AS split_key FROM dedup)""" + split_sql(
 
 @query("split_by_text_key", None, ("WIN-03", "STR-11"))
 def q_split_by_text_key(spark, sf_dir):
-    keyed = deduped(spark, sf_dir).withColumn("split_key", to_singular(F.lower("item")))
+    keyed = stage(deduped(spark, sf_dir).withColumn("split_key", to_singular(F.lower("item"))), "dedup")
     return split.exact_group_split(keyed, "split_key", split.FRACTIONS_3WAY, split.SEED_3WAY)
 
 
@@ -183,9 +184,17 @@ def q_leak_premise(spark, sf_dir):
     return _leaks(spark, sf_dir, ["premise"])
 
 
-@query("leak_words", _leak_sql(["item", "worker_id"]), ("J-17", "SET-07"))
+def _leak_words_sql():
+    from ..functions.text import to_singular_sql
+    return _leak_sql([to_singular_sql("lower(item)"), to_singular_sql("lower(split_part(hypothesis, ' ', 2))")])
+
+
+@query("leak_words", _leak_words_sql(), ("J-17", "SET-07", "STR-11"))
 def q_leak_words(spark, sf_dir):
-    return _leaks(spark, sf_dir, ["item", "worker_id"])
+    """Words of two fields stacked, lower-cased and singular."""
+    rows = split3(spark, sf_dir).withColumn("type_word", F.split_part("hypothesis", F.lit(" "), F.lit(2)))
+    return (checks.shared_values(rows, ["item", "type_word"], normalise=lambda c: to_singular(F.lower(c)))
+            .select("value", F.array_join("parts", ",").alias("parts")))
 
 
 @query("leak_groups", _leak_sql(["hit_id"]), ("J-17",))

@@ -94,16 +94,16 @@ def q_highlight_span(spark, sf_dir):
 
 
 @query("md5_cache_key", """
-SELECT conv_id, turn,
-       to_base64(unhex(md5(text))) || '|' || to_base64(unhex(md5(next_text))) || '|' || role AS cache_key
-FROM (SELECT conv_id, turn, role, text,
-             lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS next_text FROM conversations)
-WHERE next_text IS NOT NULL""", ("STR-16",))
+SELECT a.conv_id, a.turn,
+       to_base64(unhex(md5(a.text))) || '|' || to_base64(unhex(md5(b.text))) || '|' || a.role AS cache_key
+FROM conversations a JOIN conversations b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1
+WHERE b.text IS NOT NULL""", ("STR-16",))
 def q_md5_cache_key(spark, sf_dir):
-    from pyspark.sql import Window
+    """Key of each turn and the one after it: an equi-join on (conversation,
+    turn), so a long conversation spreads over tasks."""
     conv = read_table(spark, sf_dir, "conversations")
-    nxt = F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn"))
-    return (conv.withColumn("next_text", nxt).where(F.col("next_text").isNotNull())
+    after = conv.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("next_text"))
+    return (conv.join(after, ["conv_id", "turn"]).where(F.col("next_text").isNotNull())
             .select("conv_id", "turn", T.cache_key("text", "next_text", "role").alias("cache_key")))
 
 
@@ -195,16 +195,16 @@ _sing_sql()
 @query("token_stats", f"""
 SELECT doc_id, CAST(len(regexp_extract_all(text, '{W}{{2,}}')) AS BIGINT) AS n_tokens2,
        CAST(len(regexp_extract_all(text, '\\p{{Lu}}')) AS BIGINT) AS n_capitals,
-       upper(substr(text, 1, 1)) || substr(text, 2, 9) AS head_cap,
-       regexp_matches(split_part(text, ' ', 1), '^\\p{{L}}+$') AS first_is_alpha
+       md5(upper(substr(text, 1, 1)) || substr(text, 2)) AS capitalised_md5,
+       CAST(len(list_filter(string_split(text, ' '), lambda x: regexp_matches(x, '^\\p{{L}}+$'))) AS BIGINT) AS n_alphabetic
 FROM documents""", ("STR-09", "STR-10", "STR-22", "STR-23"))
 def q_token_stats(spark, sf_dir):
     d = _docs(spark, sf_dir)
     return d.select(
         "doc_id", F.size(T.tokens2("text")).cast("bigint").alias("n_tokens2"),
         F.size(F.regexp_extract_all("text", F.lit(r"\p{Lu}"), 0)).cast("bigint").alias("n_capitals"),
-        T.capitalize_first(F.substring("text", 1, 10)).alias("head_cap"),
-        T.is_place_candidate(F.split("text", " ").getItem(0)).alias("first_is_alpha"))
+        F.md5(T.capitalize_first("text")).alias("capitalised_md5"),
+        F.size(F.filter(F.split("text", " "), T.is_place_candidate)).cast("bigint").alias("n_alphabetic"))
 
 
 @query("fmt_approved", "WITH " + _MARKED_SQL + r""",

@@ -10,35 +10,55 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.utils import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def _existing(spark: SparkSession, path: str, fmt: str) -> DataFrame | None:
-    try:
-        return spark.read.format(fmt).load(path)
-    except AnalysisException:
+    """The stored table, or None where no file lies yet.  Any other fault
+    (schema, permission) is raised: it must not cause a recompute."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(p) or not len(fs.listStatus(p)):
         return None
+    return spark.read.format(fmt).load(path)
+
+
+def _missing(rows: DataFrame, stored: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows whose keys are not stored; a null key equals a null key."""
+    have = stored.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)]).distinct()
+    on = [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)]
+    return rows.join(have, on, "left_anti")
 
 
-def resume_append(new: DataFrame, path: str, keys: Sequence[str], fmt: str = "parquet") -> DataFrame:
+def resume_append(new: DataFrame, path: str, keys: Sequence[str], fmt: str = "parquet",
+                  order_by: Sequence[Column | str] = ()) -> DataFrame:
     """Append the rows of ``new`` whose keys are not stored yet; return the
-    full stored table.  Rows of the batch repeating a key keep one copy."""
+    full stored table.  Of rows repeating a key, the first by ``order_by``
+    (then by all columns) is kept, so a rerun stores the same row."""
     spark = new.sparkSession
     old = _existing(spark, path, fmt)
-    todo = new if old is None else new.join(old.select(*keys).distinct(), list(keys), "left_anti")
-    todo.dropDuplicates(list(keys)).write.mode("append").format(fmt).save(path)
+    todo = new if old is None else _missing(new, old, keys)
+    rest = [c for c in new.columns if c not in keys]
+    order = [F.col(c) if isinstance(c, str) else c for c in order_by]
+    first = F.min(F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)],
+                           F.struct(*[F.col(c) for c in rest]).alias("row"))).alias("first")
+    if rest:
+        todo = todo.groupBy(*keys).agg(first).select(*keys, "first.row.*")
+    else:
+        todo = todo.distinct()
+    todo.select(*new.columns).write.mode("append").format(fmt).save(path)
     return spark.read.format(fmt).load(path)
 
 
 def memo_lookup(keys: DataFrame, path: str, key: str, compute: Callable[[DataFrame], DataFrame],
                 fmt: str = "parquet") -> DataFrame:
-    """Memo table keyed by ``key``: compute only the misses (``left_anti``),
-    append them as a new batch, and return stored values for every key."""
+    """Memo table keyed by ``key``: ``compute`` sees only the misses, its rows
+    are appended as a new batch, and stored values come back for every key."""
     spark = keys.sparkSession
     old = _existing(spark, path, fmt)
-    misses = keys if old is None else keys.join(old.select(key).distinct(), key, "left_anti")
-    fresh = compute(misses.select(key).distinct())
-    fresh.write.mode("append").format(fmt).save(f"{path.rstrip('/')}/batch={uuid.uuid4().hex}")
-    stored = spark.read.format(fmt).load(path).drop("batch")
-    return keys.select(key).distinct().join(stored, key, "inner")
+    wanted = keys.select(key).distinct()
+    misses = wanted if old is None else _missing(wanted, old, [key])
+    compute(misses).write.mode("append").format(fmt).save(f"{path.rstrip('/')}/batch={uuid.uuid4().hex}")
+    stored = spark.read.format(fmt).load(path).drop("batch").withColumnRenamed(key, "__key")
+    return wanted.join(stored, F.col(key).eqNullSafe(F.col("__key"))).drop("__key")
