@@ -69,7 +69,7 @@ def q_kg_states(spark, sf_dir):
         "query", F.array_join("states", "|").alias("states"))
 
 
-@query("kg_top_population", "WITH RECURSIVE " + TRIPLES_SQL + """,
+_TOP_SQL = """
 pop AS (SELECT subject, CAST(object AS DOUBLE) AS population FROM triples WHERE predicate = 'population'),
 base AS (SELECT t.subject, lower(t.subject_label) AS query, t.subject_label, t.object_label AS country, p.population
          FROM triples t JOIN pop p ON p.subject = t.subject WHERE t.predicate = 'country'),
@@ -84,7 +84,10 @@ picked AS (
   SELECT query,
          arg_min(country, CASE WHEN lower(subject_label) = query THEN rk END) AS country,
          arg_min(state, CASE WHEN state IS NOT NULL THEN rk END) AS first_state
-  FROM top GROUP BY query)
+  FROM top GROUP BY query)"""
+
+
+@query("kg_top_population", "WITH RECURSIVE " + TRIPLES_SQL + "," + _TOP_SQL + """
 SELECT query,
        CASE WHEN country = 'United States of America' THEN coalesce(lower(first_state), '')
             WHEN country IS NOT NULL THEN lower(country) ELSE '' END AS places

@@ -127,29 +127,30 @@ def q_link_isa(spark, sf_dir):
     return _show(_links(spark, sf_dir, "isa"))
 
 
-@query("link_location", None, ("J-11", "J-08", "NLP-04", "STR-15", "STR-22", "AGG-09"))
-def q_link_location(spark, sf_dir):
-    return _show(_links(spark, sf_dir, "location"))
+def hits(word, phrases):
+    return f"""(CASE WHEN {phrases} IS NOT NULL THEN list_reduce(
+          list_filter(list_transform(range(0, len(tg.l2)), lambda i: {{'i': i,
+              'm': len(list_filter({phrases}, lambda ph: tg.l2[i + 1 : i + len(ph)] = ph)[1])}}),
+              lambda x: x.m IS NOT NULL),
+          lambda acc, x: CASE WHEN x.i >= acc.nxt
+                              THEN {{'a': list_append(acc.a, CAST(x.i AS INTEGER)), 'nxt': x.i + x.m + 1}}
+                              ELSE acc END,
+          {{'a': []::INTEGER[], 'nxt': 0}}).a
+        ELSE list_filter(list_transform(range(0, len(tg.l2)), lambda i: CASE WHEN tg.l2[i + 1] = lower({word})
+                                        THEN CAST(i AS INTEGER) END), lambda v: v IS NOT NULL) END)"""
+
+
+def _synonym_rows() -> str:
+    from ..operators.linking import COUNTRY_SYNONYMS
+    return ", ".join(
+        "('" + c + "', [" + ", ".join("[" + ", ".join(f"'{w}'" for w in ph.split()) + "]" for ph in phs) + "])"
+        for c, phs in COUNTRY_SYNONYMS.items())
 
 
 def _trademark_sql():
-    from ..operators.linking import COUNTRY_ADJECTIVES, COUNTRY_SYNONYMS
+    from ..operators.linking import COUNTRY_ADJECTIVES
     adj_rows = ", ".join(f"('{c}', '{a}')" for c, a in COUNTRY_ADJECTIVES.items())
-    syn_rows = ", ".join(
-        "('" + c + "', [" + ", ".join("[" + ", ".join(f"'{w}'" for w in ph.split()) + "]" for ph in phs) + "])"
-        for c, phs in COUNTRY_SYNONYMS.items())
-
-    def hits(word, phrases):
-        return f"""(CASE WHEN {phrases} IS NOT NULL THEN list_reduce(
-              list_filter(list_transform(range(0, len(tg.l2)), lambda i: {{'i': i,
-                  'm': len(list_filter({phrases}, lambda ph: tg.l2[i + 1 : i + len(ph)] = ph)[1])}}),
-                  lambda x: x.m IS NOT NULL),
-              lambda acc, x: CASE WHEN x.i >= acc.nxt
-                                  THEN {{'a': list_append(acc.a, CAST(x.i AS INTEGER)), 'nxt': x.i + x.m + 1}}
-                                  ELSE acc END,
-              {{'a': []::INTEGER[], 'nxt': 0}}).a
-            ELSE list_filter(list_transform(range(0, len(tg.l2)), lambda i: CASE WHEN tg.l2[i + 1] = lower({word})
-                                            THEN CAST(i AS INTEGER) END), lambda v: v IS NOT NULL) END)"""
+    syn_rows = _synonym_rows()
     return _pairs_lex_sql() + f""",
 ctr_rows AS (
   SELECT 'S' || s.s_suppkey AS subject,
@@ -197,6 +198,40 @@ def _INITCAP_SQL(x):
             f"lambda w: upper(substr(w, 1, 1)) || substr(w, 2)), ' ')")
 
 
+def _location_sql():
+    from .q_kg import TRIPLES_SQL, _TOP_SQL
+    picked = "WITH RECURSIVE " + TRIPLES_SQL + "," + _TOP_SQL + "\nSELECT * FROM picked"
+    return _pairs_lex_sql() + f""",
+places AS (SELECT query, CASE WHEN country = 'United States of America' THEN lower(first_state)
+                              WHEN country IS NOT NULL THEN lower(country) END AS object FROM ({picked})),
+syn AS (SELECT * FROM (VALUES {_synonym_rows()}) AS t(country, phrases)),
+cands AS (SELECT DISTINCT pair_id, lower(tok) AS subject FROM tok1
+          WHERE pos = 'PROPN' AND regexp_matches(tok, '^\\p{{L}}+$') AND lower(tok) NOT IN (SELECT lower(nlabel) FROM nat)),
+j AS (SELECT c.pair_id, c.subject, p.object, s.phrases FROM cands c JOIN places p ON p.query = c.subject
+      LEFT JOIN syn s ON s.country = p.object WHERE p.object IS NOT NULL),
+si AS (
+  SELECT j.pair_id, j.subject, j.object,
+         (SELECT list(CAST(t.i - 1 AS INTEGER) ORDER BY t.i) FROM tok1 t
+          WHERE t.pair_id = j.pair_id AND lower(t.tok) = j.subject) AS s_ind,
+         {hits('j.object', 'j.phrases')} AS o_ind
+  FROM j JOIN tagged tg ON tg.pair_id = j.pair_id),
+ok AS (SELECT * FROM si WHERE len(s_ind) > 0 AND len(o_ind) > 0),
+fo AS (SELECT pair_id, object,
+              list(struct_pack(subject := subject, s_ind := s_ind, o_ind := o_ind) ORDER BY s_ind[1], subject) AS xs
+       FROM ok GROUP BY pair_id, object)
+SELECT pair_id, 'location' AS data_type, object,
+       array_to_string(flatten(list_transform(xs, lambda x: list_transform(x.s_ind, lambda k: x.subject))), ',') AS subjects,
+       array_to_string(flatten(list_transform(xs, lambda x: x.s_ind)), ',') AS subject_ind,
+       array_to_string(xs[1].o_ind, ',') AS object_ind,
+       NULL::VARCHAR AS feature_type
+FROM fo"""
+
+
+@query("link_location", _location_sql(), ("J-11", "J-08", "NLP-04", "STR-15", "STR-22", "AGG-09"))
+def q_link_location(spark, sf_dir):
+    return _show(_links(spark, sf_dir, "location"))
+
+
 @query("link_trademark", _trademark_sql(), ("J-13", "J-06", "J-05", "NLP-05", "STR-10", "STR-23", "AGG-09"))
 def q_link_trademark(spark, sf_dir):
     return _show(_links(spark, sf_dir, "trademark"))
@@ -275,14 +310,51 @@ def _offsets(spark, sf_dir):
     return out.select("pair_id", "offsets_a", "offsets_b")
 
 
-@query("link_index_names", None, ("AGG-10", "NLP-07", "STR-12"))
+def _index_sql():
+    tok = r"[\p{L}\p{N}_]+|[^\s\p{L}\p{N}_]"
+    pairs_sql = _pairs_lex_sql()
+    body = " UNION ALL BY NAME ".join(f"SELECT * FROM ({q})" for q in (_isa_sql(), _location_sql(), _trademark_sql(), _color_sql()))
+    ints = "list_transform(string_split({c}, ','), lambda x: CAST(x AS BIGINT))"
+    return pairs_sql + f""",
+links AS (SELECT pair_id, data_type, object, {ints.format(c='subject_ind')} AS si, {ints.format(c='object_ind')} AS oi
+          FROM ({body}) WHERE data_type <> 'color' OR feature_type = 'color'),
+wds AS (SELECT pair_id, list_transform(regexp_extract_all(s1, '{tok}'), lambda x: length(x)) AS w1,
+               list_transform(regexp_extract_all(s2, '{tok}'), lambda x: length(x)) AS w2 FROM pairs),
+offs AS (SELECT pair_id,
+                list_transform(range(0, len(w1)), lambda i: coalesce(list_sum(list_transform(w1[1:i], lambda x: (x + 3) // 4)), 0)) AS oa,
+                list_transform(range(0, len(w2)), lambda i: coalesce(list_sum(list_transform(w2[1:i], lambda x: (x + 3) // 4)), 0)) AS ob
+         FROM wds)"""
+
+
+def _index_names_sql():
+    names = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in linking.LINK_NAMES.items())
+    return _index_sql() + f""",
+ex AS (SELECT l.pair_id, l.data_type, l.object, u.k, o.oa[u.idx + 1] AS piece
+       FROM links l JOIN offs o ON o.pair_id = l.pair_id, unnest(l.si) WITH ORDINALITY AS u(idx, k))
+SELECT pair_id, data_type, CAST(piece AS INTEGER) AS piece,
+       array_to_string(list(CASE data_type {names} END || ' ' || object ORDER BY object, k), '|') AS links
+FROM ex GROUP BY pair_id, data_type, piece"""
+
+
+def _index_sets_sql():
+    return _index_sql() + """,
+a AS (SELECT l.pair_id, l.data_type, list_sort(list(DISTINCT o.oa[u.idx + 1])) AS xs
+      FROM links l JOIN offs o ON o.pair_id = l.pair_id, unnest(l.si) AS u(idx) GROUP BY ALL),
+b AS (SELECT l.pair_id, l.data_type, list_sort(list(DISTINCT o.ob[u.idx + 1])) AS xs
+      FROM links l JOIN offs o ON o.pair_id = l.pair_id, unnest(l.oi) AS u(idx) GROUP BY ALL)
+SELECT a.pair_id, a.data_type, array_to_string(list_transform(a.xs, lambda x: CAST(x AS BIGINT)), ',') AS a_indices,
+       array_to_string(list_transform(b.xs, lambda x: CAST(x AS BIGINT)), ',') AS b_indices
+FROM a JOIN b ON b.pair_id = a.pair_id AND b.data_type = a.data_type"""
+
+
+@query("link_index_names", _index_names_sql(), ("AGG-10", "NLP-07", "STR-12"))
 def q_link_index_names(spark, sf_dir):
     r = linking.index_names(all_links(spark, sf_dir), _offsets(spark, sf_dir).select("pair_id", "offsets_a"))
     return r.select("pair_id", "data_type", F.col("piece").cast("int").alias("piece"),
                     F.array_join("links", "|").alias("links"))
 
 
-@query("link_index_sets", None, ("AGG-11",))
+@query("link_index_sets", _index_sets_sql(), ("AGG-11",))
 def q_link_index_sets(spark, sf_dir):
     r = linking.index_sets(all_links(spark, sf_dir), _offsets(spark, sf_dir))
     return r.select("pair_id", "data_type",

@@ -87,15 +87,60 @@ def _names(raw):
         raw.select(F.lower("city").alias("name"))).where(F.col("name").isNotNull()).distinct()
 
 
-@query("corpus_mentions", "WITH " + GAZ_SQL + r""",
+# names and n-gram hits; ``src`` holds the key columns and ``text``
+def _mention_sql(src: str, keys: str) -> str:
+    w = "[\\p{L}\\p{N}_]+"
+    return f"""
 allnames AS (SELECT DISTINCT name FROM (SELECT lower(country) AS name FROM gaz_raw
                                         UNION ALL SELECT lower(city) FROM gaz_raw) WHERE name IS NOT NULL),
-dw AS (SELECT unnest(regexp_extract_all(text, '[\p{L}\p{N}_]+')) AS w FROM documents)
-SELECT lower(w) AS location, CAST(count(*) AS BIGINT) AS cnt
-FROM dw JOIN allnames ON lower(w) = allnames.name GROUP BY lower(w)""", ("AGG-05", "NLP-04"))
+nm AS (SELECT DISTINCT p[1] AS first, len(p) AS n, array_to_string(p, ' ') AS location
+       FROM (SELECT regexp_extract_all(name, '{w}') AS p FROM allnames) WHERE len(p) > 0),
+ws AS (SELECT {keys}, regexp_extract_all(text, '{w}') AS w, regexp_split_to_array(text, '{w}') AS g FROM {src}),
+tk AS (SELECT {keys}, w, g, unnest(range(0, len(w))) AS k FROM ws),
+hits AS (
+  SELECT {keys}, k, n, location,
+         list_sum(list_transform(g[1:k + 1], lambda x: length(x)))
+           + coalesce(list_sum(list_transform(w[1:k], lambda x: length(x))), 0) AS s,
+         list_sum(list_transform(g[1:k + n], lambda x: length(x)))
+           + list_sum(list_transform(w[1:k + n], lambda x: length(x))) AS e
+  FROM tk JOIN nm ON nm.first = lower(w[k + 1])
+       AND array_to_string(list_transform(w[k + 1:k + n], lambda x: lower(x)), ' ') = nm.location),
+hl AS (SELECT {keys}, list(struct_pack(k := k, n := n, location := location, s := CAST(s AS BIGINT), e := CAST(e AS BIGINT))
+                           ORDER BY k, n DESC) AS h FROM hits GROUP BY ALL)"""
+
+
+# the fold as a recursion: each step takes the first hit at or after the end of the last one
+def _found_sql(src: str, keys: str) -> str:
+    head = _mention_sql(src, keys) + ","
+    same = " AND ".join(f"h.{k.strip()} = f.{k.strip()}" for k in keys.split(","))
+    return head + f"""
+pick(g, {keys}, m, nxt) AS (
+  SELECT 0, {keys}, []::STRUCT(k BIGINT, n BIGINT, location VARCHAR, s BIGINT, e BIGINT)[], 0::BIGINT FROM hl
+  UNION ALL
+  SELECT f.g + 1, {", ".join("f." + k.strip() for k in keys.split(","))}, list_append(f.m, x.v), x.v.k + x.v.n
+  FROM pick f JOIN hl h ON {same},
+       LATERAL (SELECT list_filter(h.h, lambda y: y.k >= f.nxt)[1] AS v) x
+  WHERE x.v IS NOT NULL),
+found AS (SELECT {keys}, arg_max(m, g) AS m FROM pick GROUP BY {keys})"""
+
+
+@query("corpus_mentions", "WITH RECURSIVE " + GAZ_SQL + """,
+src AS (SELECT doc_id AS id, text FROM documents),""" + _found_sql("src", "id") + """
+SELECT x.location AS location, CAST(count(*) AS BIGINT) AS cnt
+FROM (SELECT unnest(m) AS x FROM found) GROUP BY x.location""", ("AGG-05", "NLP-04"))
 def q_corpus_mentions(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
-    return L.corpus_mentions(docs, _names(gazetteer_raw(spark, sf_dir)))
+    return L.corpus_mentions(docs, _names(stage(gazetteer_raw(spark, sf_dir), "gazetteer")))
+
+
+def _sentences_sql():
+    from .q_mix import CORPUS_SQL
+    corpus_only = CORPUS_SQL[:CORPUS_SQL.index("keyed AS")].rstrip().rstrip(",")
+    return GAZ_SQL + "," + corpus_only + """,
+src AS (SELECT seq AS sample_id, 'permise' AS type, genre, sentence1 AS text FROM corpus
+        UNION ALL SELECT seq, 'hypothesis', genre, sentence2 FROM corpus),""" + _found_sql("src", "sample_id, type") + """,
+ann AS (SELECT f.sample_id, f.type, s.genre, s.text AS sentence, f.m FROM found f
+        JOIN src s ON s.sample_id = f.sample_id AND s.type = f.type)"""
 
 
 def annotated_sentences(spark, sf_dir, raw=None):
@@ -105,12 +150,19 @@ def annotated_sentences(spark, sf_dir, raw=None):
     return L.annotate_locations(rows, names, names)
 
 
-@query("location_sentences", None, ("EXP-10", "AGG-19", "FLT-07", "UDF-03"))
+@query("location_sentences", "WITH RECURSIVE " + _sentences_sql() + """
+SELECT sample_id, type, genre, CAST(len(m) AS INTEGER) AS num_locations,
+       array_to_string(list_transform(m, lambda x: x.location), '|') AS locations,
+       array_to_string(list_transform(m, lambda x: x.s), ',') AS start_char,
+       array_to_string(list_transform(m, lambda x: x.e), ',') AS end_char,
+       array_to_string(list_transform(m, lambda x: x.n), ',') AS word_count
+FROM ann""", ("EXP-10", "AGG-19", "FLT-07", "UDF-03"))
 def q_location_sentences(spark, sf_dir):
     a = annotated_sentences(spark, sf_dir)
     return a.select("sample_id", "type", "genre", "num_locations",
                     F.array_join("locations", "|").alias("locations"),
                     F.array_join(F.transform("start_char", lambda x: x.cast("string")), ",").alias("start_char"),
+                    F.array_join(F.transform("end_char", lambda x: x.cast("string")), ",").alias("end_char"),
                     F.array_join(F.transform("word_count", lambda x: x.cast("string")), ",").alias("word_count"))
 
 
@@ -121,7 +173,29 @@ def pool(spark, sf_dir, raw=None):
     return L.sentence_pool(annotated_sentences(spark, sf_dir, raw), gazetteer(spark, sf_dir, raw), EXCLUDE_GENRE)
 
 
-@query("sentence_pool", None, ("FLT-05", "J-03", "WIN-05", "STR-06", "PRJ-07", "SRT-04"))
+def _pool_sql():
+    return _sentences_sql() + f""",
+ranked AS (SELECT country, city, row_number() OVER (PARTITION BY country ORDER BY md5(city)) - 1 AS idx,
+                  count(*) OVER (PARTITION BY country) AS n
+           FROM (SELECT DISTINCT country, city FROM gaz WHERE city IS NOT NULL)),
+sizes AS (SELECT DISTINCT g.country AS loc, r.n FROM gaz g LEFT JOIN ranked r ON r.country = g.country),
+ok AS (SELECT m[1].location AS loc, sentence, m[1].s AS a, m[1].e AS b,
+              CAST(sample_id AS VARCHAR) || '_' || substr(type, 1, 1) AS id
+       FROM ann WHERE len(m) = 1 AND m[1].n = 1 AND genre <> '{EXCLUDE_GENRE}'),
+placed AS (SELECT ok.*, s.loc IS NOT NULL AS is_country, s.n, CASE WHEN s.loc IS NOT NULL THEN ok.loc ELSE h.country END AS home
+           FROM ok LEFT JOIN sizes s ON s.loc = ok.loc LEFT JOIN ranked h ON h.city = ok.loc
+           WHERE s.loc IS NOT NULL OR h.country IS NOT NULL),
+pool AS (
+  SELECT p.sentence AS original_sentence,
+         substr(p.sentence, 1, a) || '**' || substr(p.sentence, a + 1, b - a) || '**' || substr(p.sentence, b + 1)
+           AS highlighted_sentence,
+         p.home AS country, CASE WHEN is_country THEN r.city ELSE p.loc END AS location, is_country,
+         CAST(a AS INTEGER) AS start_char, CAST(b AS INTEGER) AS end_char, id
+  FROM placed p LEFT JOIN ranked r ON p.is_country AND r.country = p.home
+       AND r.idx = ('0x' || substr(md5('{L.POOL_SEED}/' || p.id), 1, 8))::BIGINT % p.n)"""
+
+
+@query("sentence_pool", "WITH RECURSIVE " + _pool_sql() + "\nSELECT * FROM pool", ("FLT-05", "J-03", "WIN-05", "STR-06", "PRJ-07", "SRT-04"))
 def q_sentence_pool(spark, sf_dir):
     return pool(spark, sf_dir)
 
@@ -135,7 +209,35 @@ def city_map(spark, sf_dir, raw=None):
     return derived.unionByName(fixed.join(derived.select("country"), "country", "left_anti"))
 
 
-@query("finalise_tagging", None, ("FLT-04", "J-04", "WIN-04", "WIN-05", "STR-07", "STR-10", "SRC-04", "SET-04"))
+def _tagging_sql():
+    from .q_kg import _INITCAP
+    fixed = ", ".join(f"('{c}', '{t}')" for c, t in sorted(L.COUNTRY_TO_CITY.items()))
+    return _pool_sql() + f""",
+derived AS (SELECT {_INITCAP.format(x='country')} AS country, {_INITCAP.format(x='city')} AS city
+            FROM (SELECT country, min(city) AS city FROM gaz WHERE city IS NOT NULL GROUP BY country)),
+cmap AS (SELECT * FROM derived
+         UNION ALL SELECT * FROM (VALUES {fixed}) AS t(country, city)
+         WHERE t.country NOT IN (SELECT country FROM derived)),
+tg AS (SELECT id, original_sentence AS sentence,
+              CAST(('0x' || substr(md5(id), 1, 8))::BIGINT % 3 AS INTEGER) AS can_be_entailed,
+              {_INITCAP.format(x='country')} AS country, start_char, end_char
+       FROM pool WHERE country IN (SELECT lower(country) FROM cmap)),
+cities AS (SELECT location, row_number() OVER (ORDER BY md5(location)) - 1 AS idx, count(*) OVER () AS n
+           FROM (SELECT DISTINCT city AS location FROM cmap)),
+j AS (SELECT t.*, c.city AS location, k.idx, k.n,
+             ('0x' || substr(md5('{L.OTHER_SEED}/' || t.id), 1, 8))::BIGINT % (k.n - 1) AS pk
+      FROM tg t JOIN cmap c ON c.country = t.country JOIN cities k ON k.location = c.city WHERE t.can_be_entailed IN (0, 1)),
+o AS (SELECT j.*, x.location AS other_location,
+             row_number() OVER (ORDER BY md5(concat_ws('/', '{L.FINAL_SEED}', j.id)) || '/' || j.id) - 1 AS pos
+      FROM j LEFT JOIN cities x ON x.idx = j.pk + CASE WHEN j.pk >= j.idx THEN 1 ELSE 0 END)
+SELECT id, substr(sentence, 1, start_char) || '{{{{{{location}}}}}}' || substr(sentence, end_char + 1) AS sentence,
+       can_be_entailed, country, start_char, end_char, location, other_location,
+       ['Neutral', 'Contradiction'][pos % 2 + 1] AS section2_label,
+       ['Country', 'Location'][(pos // 2) % 2 + 1] AS section2_word_type, pos
+FROM o"""
+
+
+@query("finalise_tagging", "WITH RECURSIVE " + _tagging_sql(), ("FLT-04", "J-04", "WIN-04", "WIN-05", "STR-07", "STR-10", "SRC-04", "SET-04"))
 def q_finalise_tagging(spark, sf_dir):
     raw = stage(gazetteer_raw(spark, sf_dir), "gazetteer")
     p = pool(spark, sf_dir, raw)
