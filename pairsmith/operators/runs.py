@@ -24,14 +24,10 @@ TRAIN_EVALSET = "best_training_val"
 
 
 def read_logs(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line) rows of every log under ``path`` (line mode: splittable)."""
-    return spark.read.text(path).select(F.col("_metadata.file_name").alias("file"), F.col("value").alias("line"))
-
-
-def read_logs_whole(spark: SparkSession, path: str) -> DataFrame:
-    """(file, content): one row per file (for small logs)."""
-    return spark.read.text(path, wholetext=True).select(
-        F.col("_metadata.file_name").alias("file"), F.col("value").alias("content"))
+    """(file, line) rows of every log under ``path`` (line mode: splittable).  A
+    log is a file, or a directory of part files, whose name ends in ``.log``."""
+    name = F.regexp_extract(F.url_decode(F.col("_metadata.file_path")), r"([^/=]+\.log)(?:/[^/]*)?$", 1)
+    return spark.read.option("recursiveFileLookup", True).text(path).select(name.alias("file"), F.col("value").alias("line"))
 
 
 def parse_run_name(file: Column) -> Column:

@@ -47,7 +47,7 @@ def q_read_roundtrip_csv(spark, sf_dir):
     p = _tmp(spark, "csv")
     writers.write_csv(corpus(spark, sf_dir), p)   # texts hold newlines and quotes
     return readers.read_csv(spark, p, "seq bigint, sentence1 string, sentence2 string, gold_label string, "
-                                      "genre string")
+                                      "genre string", multiline=True)
 
 
 @query("read_roundtrip_tsv", "WITH " + CORPUS_SQL + r"""

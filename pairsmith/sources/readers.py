@@ -20,9 +20,11 @@ def read_jsonl(spark: SparkSession, path: str, schema: str | T.StructType) -> Da
     return spark.read.schema(schema).json(path)
 
 
-def read_csv(spark: SparkSession, path: str, schema: str | T.StructType, header: bool = True) -> DataFrame:
-    """CSV with a header, quoted fields may hold newlines."""
-    return spark.read.schema(schema).csv(path, header=header, multiLine=True, escape='"')
+def read_csv(spark: SparkSession, path: str, schema: str | T.StructType, header: bool = True,
+             multiline: bool = False) -> DataFrame:
+    """CSV with a header.  Splittable by default; ``multiline`` for files whose
+    quoted fields hold line ends, one task per file then."""
+    return spark.read.schema(schema).csv(path, header=header, multiLine=multiline, escape='"')
 
 
 def read_tsv(spark: SparkSession, path: str, columns=TSV_COLUMNS) -> DataFrame:
@@ -34,20 +36,24 @@ def read_tsv(spark: SparkSession, path: str, columns=TSV_COLUMNS) -> DataFrame:
 
 
 def _xz_lines(batches):
-    """Executor side: decompress each file, one output row per record text."""
+    """Executor side: decompress each file in steps.  JSON Lines go out line by
+    line in small batches; an array file has to be parsed whole."""
+    import io
     import json
     import lzma
 
     import pandas as pd
     for pdf in batches:
-        out = []
         for path, content in zip(pdf["path"], pdf["content"]):
-            text = lzma.decompress(content).decode("utf-8")
-            if path.endswith((".jsonl.xz", ".jl.xz")):
-                out.extend((path, line) for line in text.splitlines() if line.strip())
-            else:
-                out.extend((path, json.dumps(rec)) for rec in json.loads(text))
-        yield pd.DataFrame(out, columns=["path", "value"])
+            with io.TextIOWrapper(lzma.open(io.BytesIO(content)), encoding="utf-8") as text:
+                lines = (x for x in text if x.strip()) if path.endswith((".jsonl.xz", ".jl.xz")) else map(json.dumps, json.load(text))
+                held = []
+                for line in lines:
+                    held.append((path, line))
+                    if len(held) == 4096:
+                        yield pd.DataFrame(held, columns=["path", "value"])
+                        held = []
+                yield pd.DataFrame(held, columns=["path", "value"])
 
 
 def read_xz_json(spark: SparkSession, path: str, schema: str | T.StructType,
@@ -77,12 +83,16 @@ def read_by_extension(spark: SparkSession, path: str, schema: str | T.StructType
     raise ValueError(f"unknown extension: {path}")
 
 
-def read_glob(spark: SparkSession, pattern: str, schema: str | T.StructType, name_filter: str | None = None,
+def read_glob(spark: SparkSession, root: str, pattern: str, schema: str | T.StructType, name_filter: str | None = None,
               always: str = "test", json_array: bool = True) -> DataFrame:
-    """Files matching ``pattern`` with their names, kept when the name holds
-    ``name_filter`` or ``always`` (SRC-07)."""
+    """Files matching ``pattern`` under ``root`` with their names (the path
+    below ``root``), kept when the name holds ``name_filter`` or ``always``
+    (SRC-07)."""
     reader = spark.read.schema(schema).option("multiLine", json_array)
-    df = reader.json(pattern).withColumn("file", F.col("_metadata.file_name"))
+    top = root.rstrip("/") + "/"
+    tail = top[top.index("/", top.index("://") + 3):] if "://" in top else top
+    name = F.substring_index(F.url_decode(F.col("_metadata.file_path")), tail, -1)
+    df = reader.json(top + pattern).withColumn("file", name)
     if name_filter:
         df = df.where(F.col("file").contains(name_filter) | F.col("file").contains(always))
     return df
@@ -93,7 +103,8 @@ def exactly_one_file(df: DataFrame, col: str = "file") -> bool:
 
 
 def read_gazetteer(spark: SparkSession, path: str) -> DataFrame:
-    """JSON object country -> [cities] as (country, city) rows (SRC-09)."""
+    """JSON objects country -> [cities], one or more files, as (country, city)
+    rows (SRC-09); a country without cities gives one row with a null city."""
     txt = spark.read.text(path, wholetext=True)
     m = txt.select(F.explode(F.from_json("value", "map<string,array<string>>")).alias("country", "cities"))
     return m.select("country", F.explode_outer("cities").alias("city"))
