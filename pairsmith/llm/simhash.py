@@ -132,7 +132,7 @@ def forest(prints: np.ndarray, max_bits: int) -> list[tuple[int, int]]:
         queue, rest = [rest[0]], rest[1:]
         while queue and len(rest):
             x = queue.pop()
-            near = np.bitwise_count(rest ^ x) <= max_bits
+            near = np.bitwise_count((rest ^ x).view(np.uint64)) <= max_bits  # of the bits, not of the absolute value
             if near.any():
                 found = rest[near]
                 links.extend((int(x), int(y)) for y in found)
@@ -141,9 +141,9 @@ def forest(prints: np.ndarray, max_bits: int) -> list[tuple[int, int]]:
     return links
 
 
-def _file_runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, np.ndarray, bool]]:
+def _file_runs(batches: Iterator[pa.RecordBatch], keys: int, file_rows: int) -> Iterator[tuple[tuple, np.ndarray, bool]]:
     """Runs of rows with equal leading ``keys`` columns in sorted batches:
-    (key, prints, whole).  A run longer than ``FILE_ROWS`` comes in pieces,
+    (key, prints, whole).  A run longer than ``file_rows`` comes in pieces,
     ``whole`` False."""
     key, held, size, cut = None, [], 0, False
     for batch in batches:
@@ -167,9 +167,9 @@ def _file_runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[t
                 if size or cut:
                     yield key, np.concatenate(held) if held else np.empty(0, np.int64), not cut
                 key, held, size, cut = k, [], 0, False
-            for lo in range(a, b, FILE_ROWS):
-                piece = prints[lo:min(b, lo + FILE_ROWS)]
-                if size + len(piece) > FILE_ROWS:
+            for lo in range(a, b, file_rows):
+                piece = prints[lo:min(b, lo + file_rows)]
+                if size + len(piece) > file_rows:
                     yield key, np.concatenate(held), False
                     held, size, cut = [], 0, True
                 held.append(piece)
@@ -178,7 +178,7 @@ def _file_runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[t
         yield key, np.concatenate(held) if held else np.empty(0, np.int64), not cut
 
 
-def links(prints: DataFrame, max_bits: int, blocks: int) -> DataFrame:
+def links(prints: DataFrame, max_bits: int, blocks: int, file_rows: int = FILE_ROWS) -> DataFrame:
     """``prints`` (fp long, distinct) -> links (a, b), staged in the shared folder."""
     masks = block_masks(blocks, max_bits)
     filed = prints.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks]))
@@ -192,7 +192,7 @@ def links(prints: DataFrame, max_bits: int, blocks: int) -> DataFrame:
         types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32()]
         rows: list[tuple] = []
         last, chunk = None, 0
-        for key, fps, whole in _file_runs(batches, 2):
+        for key, fps, whole in _file_runs(batches, 2, file_rows):
             if whole:
                 rows.extend((x, y, None, None, None) for x, y in forest(fps, max_bits))
             else:
@@ -215,9 +215,9 @@ def links(prints: DataFrame, max_bits: int, blocks: int) -> DataFrame:
         .repartition("choice", "block", "lo", "hi").sortWithinPartitions("choice", "block", "lo", "hi", "fp")
 
     def compare_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Two chunks hold at most 2 x FILE_ROWS prints: read together."""
+        """Two chunks hold at most 2 x ``file_rows`` prints: read together."""
         held, last = [], None
-        for key, fps, _ in _file_runs(batches, 4):
+        for key, fps, _ in _file_runs(batches, 4, file_rows):
             if key != last and held:
                 yield _pairs(forest(np.concatenate(held), max_bits))
                 held = []
