@@ -251,13 +251,6 @@ def expand_sheet(sheet: DataFrame, row_id: str = "row_id", fix_section4_label: b
     return samples, quarantine
 
 
-def samples_with_metadata(samples: DataFrame) -> DataFrame:
-    """Nest the metadata fields into one struct, the reference's record shape."""
-    return samples.select("premise", "hypothesis", "label", F.struct(
-        "section", "pword", "hword", "ptype", "htype", "row_id", "worker_id", "hit_id",
-        "is_complete").alias("metadata"))
-
-
 def review_rows(samples: DataFrame) -> DataFrame:
     """Two review rows per sample (premise, hypothesis) with the swapped word
     in bold and three blank review columns (EXP-09)."""

@@ -220,6 +220,17 @@ def valid_location_keys(df: DataFrame, key: str = "location") -> DataFrame:
     return df.where(~F.col(key).rlike('["?]'))
 
 
-def flag_countries(df: DataFrame, col: str, countries: Sequence[str]) -> DataFrame:
-    """Case-blind country-list membership (J-20)."""
-    return df.withColumn("is_country", F.lower(F.col(col)).isin([c.lower() for c in countries]))
+def flag_countries(df: DataFrame, col: str, countries: DataFrame) -> DataFrame:
+    """Case-blind membership in a table of country names (J-20)."""
+    listed = lookup(countries.select(F.lower("name").alias("__c")).distinct())
+    return df.join(listed, F.lower(F.col(col)) == F.col("__c"), "left") \
+        .withColumn("is_country", F.col("__c").isNotNull()).drop("__c")
+
+
+def location_cache(keys: DataFrame, countries: DataFrame, look_up: DataFrame, key: str = "location") -> DataFrame:
+    """The location cache's flow: keys a look-up may be sent for, country names
+    flagged, the others with the country of their first search hit
+    (``look_up``: query, country)."""
+    rows = flag_countries(valid_location_keys(keys, key), key, countries)
+    found = look_up.select(F.col("query").alias("__q"), "country")
+    return rows.join(found, (F.lower(F.col(key)) == F.col("__q")) & ~F.col("is_country"), "left").drop("__q")

@@ -1,4 +1,4 @@
-"""Corpus sampling and dataset mixing (SRT-03/05, SET-01/02, SNK-07, PRJ-03).
+"""Corpus sampling and dataset mixing (SRT-03/05, SET-02, PRJ-03).
 
 Exact-size seeded samples use the same bucket plan as the group split: the
 ``n``-th smallest hash key is found from per-bucket counts, then the sample
@@ -18,6 +18,8 @@ from .split import kth_keys, seeded_order_key
 # Corpus column names and their dataset names.
 RENAME_COLS = {"sentence1": "premise", "sentence2": "hypothesis", "gold_label": "label"}
 SAMPLE_SEED = "42"
+# The names a sentence-pair reader gives the two texts.
+TEXT_PAIR_COLS = {"sentence1": "text_a", "sentence2": "text_b", "premise": "text_a", "hypothesis": "text_b", "gold_label": "label"}
 
 
 def harmonise(df: DataFrame, mapping: dict[str, str] = RENAME_COLS) -> DataFrame:
@@ -49,11 +51,6 @@ def nested_samples(df: DataFrame, sizes: Sequence[int], seq: str, seed: str = SA
             .drop(k))
 
 
-def union_project(base: DataFrame, other: DataFrame) -> DataFrame:
-    """``base`` rows then ``other`` projected to ``base``'s columns (SET-01)."""
-    return base.unionByName(other.select(*base.columns))
-
-
 def union_fill(base: DataFrame, other: DataFrame) -> DataFrame:
     """Union by name, columns missing on a side filled with null (SET-02)."""
     return base.unionByName(other, allowMissingColumns=True)

@@ -4,6 +4,7 @@ the given tables and reads it back with the reader under test."""
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import datasets, mixing
@@ -157,3 +158,15 @@ def q_read_gazetteer(spark, sf_dir):
     files = lists.groupBy("part").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("country", "cities")))).alias("value"))
     files.repartition("part").write.partitionBy("part").text(p)
     return readers.read_gazetteer(spark, p).select("country", "city")
+
+
+@query("file_order", "WITH " + DEDUP_SQL + "\nSELECT seq, premise, hypothesis, true AS in_order FROM dedup", ("WIN-01",))
+def q_file_order(spark, sf_dir):
+    """Files written in order of seq: the order numbered at ingest agrees."""
+    p = scratch_path(spark, "ordered")
+    rows = deduped(spark, sf_dir).select("seq", "premise", "hypothesis")
+    rows.repartitionByRange("seq").sortWithinPartitions("seq", "premise", "hypothesis").write.json(p)
+    got = readers.with_file_order(readers.read_jsonl(spark, p, "seq bigint, premise string, hypothesis string"))
+    by = Window.partitionBy("file")  # one written file
+    before = F.lag("seq").over(by.orderBy("file_order"))
+    return got.select("seq", "premise", "hypothesis", (F.coalesce(before, F.col("seq")) <= F.col("seq")).alias("in_order"))

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import kg
+from ..operators import locations as L
+from ..session import scratch_path, stage
+from ..sources import readers
 from . import kg_binding as B
 from .catalog import query
 
@@ -131,3 +134,22 @@ WHERE hname NOT IN ({excl}) AND NOT contains(hname, '_')"""
 def q_kg_closure(spark, sf_dir):
     lemmas, edges = B.taxonomy(spark, sf_dir)
     return kg.hypernym_table(lemmas, edges)
+
+
+@query("location_cache", "WITH RECURSIVE " + TRIPLES_SQL + """,
+keys AS (SELECT DISTINCT subject_label AS location FROM triples WHERE predicate <> 'instance_of'),
+names AS (SELECT DISTINCT lower(nlabel) AS name FROM nat),
+h AS (SELECT lower(subject_label) AS query, lower(object_label) AS country,
+             row_number() OVER (PARTITION BY lower(subject_label) ORDER BY rank, subject, object) AS rk
+      FROM triples WHERE predicate = 'country')
+SELECT k.location, n.name IS NOT NULL AS is_country, CASE WHEN n.name IS NULL THEN h.country END AS country
+FROM keys k LEFT JOIN names n ON n.name = lower(k.location) LEFT JOIN h ON h.query = lower(k.location) AND h.rk = 1
+WHERE NOT regexp_matches(k.location, '["?]')""", ("FLT-06", "J-20", "J-06", "SRC-09"))
+def q_location_cache(spark, sf_dir):
+    """Labels of the graph against the country list (a JSON array of names) and
+    the first search hit."""
+    t = stage(B.triples(spark, sf_dir), "triples")
+    p = scratch_path(spark, "names")
+    B._nations(spark, sf_dir).agg(F.to_json(F.collect_list("nlabel")).alias("value")).write.text(p)  # 25 names
+    keys = t.where(F.col("predicate") != "instance_of").select(F.col("subject_label").alias("location")).distinct()
+    return L.location_cache(keys, readers.read_name_list(spark, p), kg.top_country(t))

@@ -122,7 +122,7 @@ SELECT pair_id, 'isa' AS data_type, object,
 FROM f"""
 
 
-@query("link_isa", _isa_sql(), ("J-10", "J-14", "NLP-01", "NLP-02", "NLP-06", "AGG-09", "STR-13"))
+@query("link_isa", _isa_sql(), ("J-10", "J-14", "NLP-01", "NLP-02", "NLP-06", "NLP-08", "UDF-03", "AGG-09", "STR-13"))
 def q_link_isa(spark, sf_dir):
     return _show(_links(spark, sf_dir, "isa"))
 
@@ -347,7 +347,7 @@ SELECT a.pair_id, a.data_type, array_to_string(list_transform(a.xs, lambda x: CA
 FROM a JOIN b ON b.pair_id = a.pair_id AND b.data_type = a.data_type"""
 
 
-@query("link_index_names", _index_names_sql(), ("AGG-10", "NLP-07", "STR-12"))
+@query("link_index_names", _index_names_sql(), ("AGG-10", "NLP-07", "UDF-04", "STR-12"))
 def q_link_index_names(spark, sf_dir):
     r = linking.index_names(all_links(spark, sf_dir), _offsets(spark, sf_dir).select("pair_id", "offsets_a"))
     return r.select("pair_id", "data_type", F.col("piece").cast("int").alias("piece"),

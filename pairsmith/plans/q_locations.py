@@ -77,7 +77,7 @@ def gazetteer(spark, sf_dir, raw=None):
     return L.dedup_gazetteer(gazetteer_raw(spark, sf_dir) if raw is None else raw)
 
 
-@query("gazetteer_dedup", "WITH " + GAZ_SQL + "\nSELECT country, city FROM gaz", ("AGG-06", "SRC-09"))
+@query("gazetteer_dedup", "WITH " + GAZ_SQL + "\nSELECT country, city FROM gaz", ("AGG-06",))
 def q_gazetteer_dedup(spark, sf_dir):
     return gazetteer(spark, sf_dir)
 
@@ -156,7 +156,7 @@ SELECT sample_id, type, genre, CAST(len(m) AS INTEGER) AS num_locations,
        array_to_string(list_transform(m, lambda x: x.s), ',') AS start_char,
        array_to_string(list_transform(m, lambda x: x.e), ',') AS end_char,
        array_to_string(list_transform(m, lambda x: x.n), ',') AS word_count
-FROM ann""", ("EXP-10", "AGG-19", "FLT-07", "UDF-03"))
+FROM ann""", ("EXP-10", "AGG-19", "FLT-07", "NLP-04"))
 def q_location_sentences(spark, sf_dir):
     a = annotated_sentences(spark, sf_dir)
     return a.select("sample_id", "type", "genre", "num_locations",
@@ -195,7 +195,7 @@ pool AS (
        AND r.idx = ('0x' || substr(md5('{L.POOL_SEED}/' || p.id), 1, 8))::BIGINT % p.n)"""
 
 
-@query("sentence_pool", "WITH RECURSIVE " + _pool_sql() + "\nSELECT * FROM pool", ("FLT-05", "J-03", "WIN-05", "STR-06", "PRJ-07", "SRT-04"))
+@query("sentence_pool", "WITH RECURSIVE " + _pool_sql() + "\nSELECT * FROM pool", ("FLT-05", "J-03", "WIN-05", "STR-06", "PRJ-07"))
 def q_sentence_pool(spark, sf_dir):
     return pool(spark, sf_dir)
 
@@ -237,7 +237,7 @@ SELECT id, substr(sentence, 1, start_char) || '{{{{{{location}}}}}}' || substr(s
 FROM o"""
 
 
-@query("finalise_tagging", "WITH RECURSIVE " + _tagging_sql(), ("FLT-04", "J-04", "WIN-04", "WIN-05", "STR-07", "STR-10", "SRC-04", "SET-04"))
+@query("finalise_tagging", "WITH RECURSIVE " + _tagging_sql(), ("FLT-04", "J-04", "WIN-04", "WIN-05", "STR-07", "STR-10", "SET-04", "SRT-04"))
 def q_finalise_tagging(spark, sf_dir):
     raw = stage(gazetteer_raw(spark, sf_dir), "gazetteer")
     p = pool(spark, sf_dir, raw)

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import mixing, swap
+from ..operators import filters, mixing, swap
 from ..operators import split as S
 from ..session import read_table, stage
 from .bindings import DEDUP_SQL
@@ -51,7 +51,7 @@ keyed AS (
 SELECT seq, sentence1, sentence2, gold_label, genre FROM keyed WHERE rk < {SAMPLE_N}""",
        ("SRT-03", "FLT-01", "SRC-02"))
 def q_corpus_sample_n(spark, sf_dir):
-    labelled = corpus(spark, sf_dir).where(F.col("gold_label") != "-")
+    labelled = filters.drop_unlabelled(corpus(spark, sf_dir), "gold_label")
     return mixing.exact_sample(labelled, SAMPLE_N, "seq")
 
 
@@ -186,3 +186,9 @@ def q_swap_words(spark, sf_dir):
     test = t.where(F.col("split") == "test")
     m = swap.option_mapping(test, t.where(F.col("split") == "train"))
     return swap.swap_words(test, m)
+
+
+@query("text_pairs", "WITH " + CORPUS_SQL + """
+SELECT seq, sentence1 AS text_a, sentence2 AS text_b, gold_label AS label, genre FROM corpus""", ("PRJ-03",))
+def q_text_pairs(spark, sf_dir):
+    return mixing.harmonise(corpus(spark, sf_dir), mixing.TEXT_PAIR_COLS)

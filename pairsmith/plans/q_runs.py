@@ -91,7 +91,7 @@ SELECT file, parts[2] AS dataset_name, parts[3] AS trainset_name, parts[4] AS nu
        CASE WHEN is_eval THEN parts[5] ELSE split_part(parts[5], '.log', 1) END AS lr,
        CASE WHEN is_eval THEN split_part(parts[7], '.log', 1) ELSE 'best_training_val' END AS evalset_name,
        round(CAST(acc AS DOUBLE) * 100, 2) AS acc
-FROM parsed WHERE ok AND coalesce(n_matches, 0) = 1""", ("STR-17", "STR-18", "STR-20", "AGG-16", "SRC-08"))
+FROM parsed WHERE ok AND coalesce(n_matches, 0) = 1""", ("STR-17", "STR-18", "STR-20", "AGG-16"))
 def q_run_parse(spark, sf_dir):
     return R.parse_runs(run_lines(spark, sf_dir))[0]
 

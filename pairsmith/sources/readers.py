@@ -98,10 +98,6 @@ def read_glob(spark: SparkSession, root: str, pattern: str, schema: str | T.Stru
     return df
 
 
-def exactly_one_file(df: DataFrame, col: str = "file") -> bool:
-    return df.agg(F.count_distinct(col).alias("n")).first()["n"] == 1
-
-
 def read_gazetteer(spark: SparkSession, path: str) -> DataFrame:
     """JSON objects country -> [cities], one or more files, as (country, city)
     rows (SRC-09); a country without cities gives one row with a null city."""
@@ -115,3 +111,13 @@ def read_name_list(spark: SparkSession, path: str) -> DataFrame:
     txt = spark.read.text(path, wholetext=True)
     return txt.select(F.explode(F.from_json("value", "array<string>")).alias("name")) \
         .select(F.lower("name").alias("name")).distinct()
+
+
+def with_file_order(df: DataFrame, out: str = "file_order") -> DataFrame:
+    """Number rows as they are read (WIN-01): rising inside a file, unique over
+    all files, not gapless.  Call it on the reader's result before anything
+    that moves rows; a file cut in splits keeps its order, as splits of a file
+    are numbered from its start."""
+    return df.withColumn("file", F.col("_metadata.file_path")) \
+        .withColumn(out, F.struct(F.col("_metadata.file_block_start").alias("block"),
+                                  F.monotonically_increasing_id().alias("row")))

@@ -87,8 +87,9 @@ def test_pool_and_tagging_picks(spark):
 def test_location_cache_flow(spark):
     """Valid keys only, countries flagged, the rest looked up (FLT-06, J-20, J-06)."""
     rows = spark.createDataFrame([("town",), ("a?b",), ('x"y',), ("PERU",)], "location string")
-    ok = locations.flag_countries(locations.valid_location_keys(rows), "location", ["Peru"])
-    assert dict(_pairs(ok)) == {"town": False, "PERU": True}
+    names = spark.createDataFrame([("Peru",)], "name string")
+    found = spark.createDataFrame([("town", "chad"), ("peru", "x")], "query string, country string")
+    assert _pairs(locations.location_cache(rows, names, found)) == {("town", False, "chad"), ("PERU", True, None)}
 
 
 def test_tagger_plug_in_and_registry(spark):
