@@ -17,7 +17,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import WORD, highlight_span, placeholder_span
+from ..functions.text import WORD, highlight_span, let, placeholder_span
 from ..session import stage
 from .common import lookup, rank_in_group
 from .split import seeded_rank
@@ -76,17 +76,21 @@ def _words(rows: DataFrame, keys: Sequence[str], text_col: str) -> DataFrame:
     """``keys`` and ``ws``: array of (w, s) - the words of a text in order
     with their 0-based char places.  Linear in the number of words: gaps and
     lengths are summed per block, then inside the block."""
-    d = rows.select(*keys, F.regexp_extract_all(F.col(text_col), F.lit(WORD + "+"), 0).alias("w"),
-                    F.transform(F.split(F.col(text_col), WORD + "+", -1), lambda g: F.length(g)).alias("g"))
-    d = d.select(*keys, "w", F.transform("w", lambda x, k: F.get("g", k) + F.when(
-        k > 0, F.length(F.get("w", k - 1))).otherwise(0)).alias("d"))
+    gaps = F.transform(F.split(F.col(text_col), WORD + "+", -1), lambda g: F.length(g))
+    d = rows.select(*keys, F.regexp_extract_all(F.col(text_col), F.lit(WORD + "+"), 0).alias("w"), gaps.alias("g"))
+    # chars from the start of one word to the start of the next: a gap and the word before it
+    step = F.zip_with("g", F.concat(F.array(F.lit(0)), F.transform("w", lambda x: F.length(x))), lambda g, n: g + n)
     add = lambda a: F.aggregate(a, F.lit(0), lambda n, x: n + x)
-    d = d.withColumn("b", F.transform(F.sequence(F.lit(0), F.floor(F.size("d") / BLOCK).cast("int")),
-                                      lambda b: add(F.slice("d", b * BLOCK + 1, BLOCK))))
-    d = d.withColumn("o", F.transform("b", lambda x, b: add(F.slice("b", 1, b))))
-    return d.select(*keys, F.transform("w", lambda x, k: F.struct(
-        x.alias("w"), (F.get("o", F.floor(k / BLOCK).cast("int")) + add(
-            F.slice("d", F.floor(k / BLOCK).cast("int") * BLOCK + 1, k % BLOCK + 1))).alias("s"))).alias("ws"))
+
+    def starts(d):
+        block = lambda k: F.floor(k / BLOCK).cast("int")
+        sums = F.transform(F.sequence(F.lit(0), block(F.size(d))), lambda b: add(F.slice(d, b * BLOCK + 1, BLOCK)))
+        before = lambda s: F.transform(s, lambda x, b: add(F.slice(s, F.lit(1), b)))
+        return let(let(sums, before), lambda o: F.transform(d, lambda x, k: F.get(o, block(k)) + add(
+            F.slice(d, block(k) * BLOCK + 1, k % BLOCK + 1))))
+
+    return d.select(*keys, F.filter(F.zip_with("w", let(step, starts), lambda w, s: F.struct(w.alias("w"), s.alias("s"))),
+                                    lambda x: x["w"].isNotNull()).alias("ws"))
 
 
 def mentions(rows: DataFrame, names: DataFrame, keys: Sequence[str], text_col: str = "text",

@@ -35,7 +35,8 @@ def resume_append(new: DataFrame, path: str, keys: Sequence[str], fmt: str = "pa
                   order_by: Sequence[Column | str] = ()) -> DataFrame:
     """Append the rows of ``new`` whose keys are not stored yet; return the
     full stored table.  Of rows repeating a key, the first by ``order_by``
-    (then by all columns) is kept, so a rerun stores the same row."""
+    (values, least first; then by all columns) is kept, so a rerun stores the
+    same row."""
     spark = new.sparkSession
     old = _existing(spark, path, fmt)
     todo = new if old is None else _missing(new, old, keys)

@@ -32,7 +32,7 @@ def test_resume_with_null_keys_and_ties(spark, tmp_path):
     for _ in range(3):
         got = incremental.resume_append(rows, p, ["k"])
     assert sorted((r["k"] or "", r["v"]) for r in got.collect()) == [("", 0), ("a", 4)]
-    later = incremental.resume_append(rows, str(tmp_path / "other"), ["k"], order_by=[F.col("v").desc()])
+    later = incremental.resume_append(rows, str(tmp_path / "other"), ["k"], order_by=[-F.col("v")])
     assert sorted((r["k"] or "", r["v"]) for r in later.collect()) == [("", 1), ("a", 5)]
 
 
