@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import queries
+from . import oracle, queries
 
 LLM_QUERIES = {name: getattr(queries, name) for name in (
     "op1_token_counts",
@@ -19,4 +19,9 @@ LLM_QUERIES = {name: getattr(queries, name) for name in (
     "op10_secrets",
 )} | {"pipeline": corpus_pipeline.run}
 
-LLM_SQL: dict[str, str] = {} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
+LLM_SQL: dict[str, str] = {
+    "op3_decontam": oracle.decontam_sql(),
+    "op8_licences": oracle.licences_sql(),
+    "op9_mixing": oracle.mixing_sql(),
+    "op10_secrets": oracle.secrets_sql(),
+} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
