@@ -35,9 +35,9 @@ ACCESS_LONG = r"AKIA[A-Z0-9]{12,}"
 
 #: Weak parts.
 WEAK_ID = (r"""(?i:access[_-]?key[_-]?id|client[_-]?id|app[_-]?id|account[_-]?id|username|login)["']?\x20*[:=]\x20*["']?"""
-           r"""[A-Za-z0-9@._+-]{3,}|\b(?:ASIA|AIDA|AROA|AGPA)[A-Z0-9]{12,}""")
+           r"""[A-Za-z0-9@._+-]{3,}|(?:ASIA|AIDA|AROA|AGPA)[A-Z0-9]{12,}""")
 WEAK_SECRET = (r"""(?i:passphrase|passcode|pwd|private[_-]?key|client[_-]?key|access[_-]?key|credentials?)["']?\x20*[:=]\x20*"""
-               r"""["']?[A-Za-z0-9+/_.=-]{6,}|\b[A-Za-z0-9+/_-]{24,}={0,2}""")
+               r"""["']?[A-Za-z0-9+/_.=-]{6,}|[A-Za-z0-9+/_-]{24,}={0,2}""")
 ENDPOINT = (r"""https?://[^\s"'<>]+|(?i:host|endpoint|server|base_?url|region)["']?\x20*[:=]\x20*["']?"""
             r"""[A-Za-z0-9][A-Za-z0-9.:/_-]{2,}""")
 #: A bare run is a weak secret only if it mixes digits and both cases.
