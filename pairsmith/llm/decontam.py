@@ -31,7 +31,7 @@ from .fm_index import FMIndex
 
 WINDOW = 10
 SHARD_BYTES = 32 << 20
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 4 << 20
 #: Occurrences placed at once.
 PLACES = 1 << 20
 #: Bytes of text made into words at once.

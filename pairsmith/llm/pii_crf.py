@@ -302,6 +302,7 @@ def train(docs: DataFrame, text: str = "text", sample_tokens: int = TRAIN_TOKENS
     # at most so many texts: each has a token
     if total > sample_tokens // 8:
         picked = picked.where(F.pmod("h", F.lit(1 << 30)) < int(sample_tokens / 8 / total * (1 << 30)))
+    picked = picked.groupBy("h").agg(F.min("t").alias("t")).select("t", "h")  # copies teach once
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
