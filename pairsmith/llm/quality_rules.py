@@ -230,16 +230,15 @@ def judged(docs: DataFrame, labels: DataFrame, keep: list[str], text: str = "tex
 
 def keep_good(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
     """The rows of ``docs`` that the base rule and the learned list keep,
-    columns unchanged.  Statistics are worked out where the text lies; the
-    learned expression then filters in the same pass, nothing is joined."""
+    columns unchanged.
+
+    Rows are written once with their statistics; the fit reads the narrow
+    columns of that table, the learned expression filters it.  No text is
+    shuffled and no statistic is worked out twice."""
     names = docs.columns
     safe = docs.toDF(*[f"c{i}" for i in range(len(names))])
     at, key = f"c{names.index(text)}", f"c{names.index(doc_id)}"
-    marked = labels.select(col(doc_id).alias("l"), *[col(c) for c in labels.columns if c != doc_id])
-    seen = safe.join(marked.select("l").distinct(), col(key) == F.col("l"), "left_semi")
-    known = stage(text_statistics(seen, at, [key]), "quality-statistics")
-    rules = learn(known.withColumnRenamed(key, "doc_id"), marked.withColumnRenamed("l", "doc_id"), "doc_id", **options)
-    # the row number keeps the optimizer from moving the filter below the statistics, which
-    # would write each of them out many times over
-    counted = text_statistics(safe, at, safe.columns).withColumn("row_no", F.monotonically_increasing_id())
-    return counted.where(rules.kept() & (F.col("row_no") >= 0)).select(*safe.columns).toDF(*names)
+    counted = stage(text_statistics(safe, at, safe.columns), "quality-rows")
+    known = labels.select(col(doc_id).alias(key), *[col(c) for c in labels.columns if c != doc_id])
+    rules = learn(counted, known, key, **options)
+    return counted.where(rules.kept()).select(*safe.columns).toDF(*names)
