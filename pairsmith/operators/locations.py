@@ -93,45 +93,66 @@ def _words(rows: DataFrame, keys: Sequence[str], text_col: str) -> DataFrame:
                                     lambda x: x["w"].isNotNull()).alias("ws"))
 
 
-def mentions(rows: DataFrame, names: DataFrame, keys: Sequence[str], text_col: str = "text",
-             entity_types: Sequence[str] | None = None) -> DataFrame:
-    """``keys`` and ``m``: the gazetteer mentions (NLP-04) of a text as an array
-    of (k, location, words, start_char, end_char), leftmost-longest, texts
-    without one left out.
-
-    ``names``: (name[, ent]); ``entity_types`` keeps names of those types.  A
-    name of several words matches them in a row whatever stands between."""
+def _hits(rows: DataFrame, names: DataFrame, keys: Sequence[str], text_col: str, spans: bool,
+          entity_types: Sequence[str] | None) -> DataFrame:
+    """``keys``, k, location, n and x (the words from k on, with their places
+    if ``spans``): every place where a name stands, overlapping ones too."""
     if entity_types is not None:
         names = names.where(F.col("ent").isin(list(entity_types)))
     parts = F.regexp_extract_all(F.lower("name"), F.lit(WORD + "+"), 0)
     names = lookup(names.select(parts.alias("p")).where(F.size("p") > 0).select(
         F.col("p")[0].alias("first"), F.size("p").alias("n"), F.array_join("p", " ").alias("location")).distinct())
     longest = names.agg(F.max("n")).first()[0] or 0
-    at = _words(rows, keys, text_col).select(*keys, F.posexplode(F.transform("ws", lambda x, k: F.slice(
+    ws = _words(rows, keys, text_col) if spans else rows.select(*keys, F.transform(
+        F.regexp_extract_all(F.col(text_col), F.lit(WORD + "+"), 0),
+        lambda w: F.struct(w.alias("w"), F.lit(0).alias("s"))).alias("ws"))
+    at = ws.select(*keys, F.posexplode(F.transform("ws", lambda x, k: F.slice(
         "ws", k + 1, F.lit(longest)))).alias("k", "x")) if longest > 1 else \
-        _words(rows, keys, text_col).select(*keys, F.posexplode("ws").alias("k", "one")) \
+        ws.select(*keys, F.posexplode("ws").alias("k", "one")) \
         .select(*keys, "k", F.array("one").alias("x"))
     hit = at.join(names, F.lower(F.col("x")[0]["w"]) == F.col("first"))
-    hit = hit.where((F.size("x") >= F.col("n")) & (F.array_join(F.transform(
+    return hit.where((F.size("x") >= F.col("n")) & (F.array_join(F.transform(
         F.slice("x", F.lit(1), F.col("n")), lambda x: F.lower(x["w"])), " ") == F.col("location")))
+
+
+def _first_longest(hits: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Leftmost-longest mentions of each text, as ``m``."""
     end = F.get("x", F.col("n") - 1)
-    found = hit.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(
+    found = hits.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(
         "k", (-F.col("n")).alias("neg"), "location", F.col("n").alias("words"), F.col("x")[0]["s"].alias("start_char"),
         (end["s"] + F.length(end["w"])).alias("end_char")))).alias("h"))
     free = F.aggregate("h", F.struct(F.array().cast(
         "array<struct<k:int,neg:int,location:string,words:int,start_char:int,end_char:int>>").alias("a"),
         F.lit(0).alias("next")), lambda acc, x: F.when(x["k"] >= acc["next"], F.struct(
             F.concat(acc["a"], F.array(x)).alias("a"), (x["k"] + x["words"]).alias("next"))).otherwise(acc))["a"]
-    return found.select(*keys, F.transform(free, lambda x: F.struct(
+    kept = F.when(F.exists("h", lambda x: x["words"] > 1), free).otherwise(F.col("h"))
+    return found.select(*keys, F.transform(kept, lambda x: F.struct(
         x["k"].alias("k"), x["location"].alias("location"), x["words"].alias("words"),
         x["start_char"].alias("start_char"), x["end_char"].alias("end_char"))).alias("m"))
 
 
+def mentions(rows: DataFrame, names: DataFrame, keys: Sequence[str], text_col: str = "text",
+             entity_types: Sequence[str] | None = None) -> DataFrame:
+    """``keys`` and ``m``: the gazetteer mentions (NLP-04) of a text as an array
+    of (k, location, words, start_char, end_char), leftmost-longest, texts
+    without one left out.
+
+    ``names``: (name[, ent]); ``entity_types`` keeps names of those types.  A
+    name of several words matches them in a row whatever stands between."""
+    return _first_longest(_hits(rows, names, keys, text_col, True, entity_types), keys)
+
+
 def corpus_mentions(sentences: DataFrame, names: DataFrame, text_col: str = "text",
                     id_col: str = "id") -> DataFrame:
-    """Mention count per lower-cased location over a corpus (AGG-05)."""
-    return (mentions(sentences, names, [id_col], text_col).select(F.explode("m.location").alias("location"))
-            .groupBy("location").agg(F.count(F.lit(1)).cast("bigint").alias("cnt")))
+    """Mention count per lower-cased location over a corpus (AGG-05).  Texts in
+    which no name of several words stands are counted as they are; only the
+    others have overlaps to settle."""
+    hits = stage(_hits(sentences, names, [id_col], text_col, False, None).select(id_col, "k", "location", "n", "x"), "mentions")
+    several = hits.where(F.col("n") > 1).select(F.col(id_col).alias("__id")).distinct()
+    plain = hits.join(several, F.col(id_col).eqNullSafe(F.col("__id")), "left_anti").select("location")
+    mixed = hits.join(several, F.col(id_col).eqNullSafe(F.col("__id")), "left_semi")
+    settled = _first_longest(mixed, [id_col]).select(F.explode("m.location").alias("location"))
+    return plain.unionAll(settled).groupBy("location").agg(F.count(F.lit(1)).cast("bigint").alias("cnt"))
 
 
 def sentence_rows(corpus: DataFrame, sample_id: str = "sample_id") -> DataFrame:
