@@ -4,13 +4,15 @@ Statistics are column expressions, one pass over the whole texts, no shuffle.
 Sequential covering learns from labelled rows: each rule starts empty and
 grows by the threshold condition of the best FOIL gain on the growing rows
 until it covers no good document (or nothing gains), is pruned to the prefix
-of the best (bad - good) / (bad + good) on the pruning rows, and is kept while
-it is precise enough there; its rows are then covered and the next rule grows.
-The rules become one ordered ``CASE WHEN`` expression.
+of the best (bad - good) / (bad + good) on the pruning rows, and is kept if it
+is precise enough there; its rows are then covered and the next rule grows.
+Where it is not, a rule grows from the next best first condition; learning
+ends when none is left.  The rules become one ordered ``CASE WHEN`` expression.
 
-All counts come from Spark aggregations over binned statistics (a few hundred
-rows a step); the fit reads at most about ``max_labelled`` labelled rows,
-chosen by a hash, everything else covers all rows.
+A threshold can stand between any two neighbouring values of the rows left at
+that step, halfway.  The fit reads at most about ``max_labelled`` labelled
+documents, chosen by a hash: their statistics, equal rows counted by Spark,
+are sorted on the driver.  Everything else covers all rows.
 
 Null and wordless texts have zero words (and fail the base rule).  Null labels
 are left out; a document labelled more than once is bad if any label says so;
@@ -20,9 +22,9 @@ list has no rule and keeps what the base rule keeps.
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,7 +33,6 @@ from .common import BLANKS, col, stage
 MAX_LABELLED = 200_000
 MAX_RULES = 12
 MAX_CONDITIONS = 4
-BINS = 48
 MIN_PRECISION = 0.9
 MIN_COVER = 10
 
@@ -105,6 +106,10 @@ class Condition:
         x = F.expr(STATISTICS[self.statistic]).cast("double")
         return x >= self.threshold if self.above else x < self.threshold
 
+    def holds(self, values: dict[str, np.ndarray]) -> np.ndarray:
+        x = values[self.statistic]
+        return x >= self.threshold if self.above else x < self.threshold
+
     def __str__(self) -> str:
         return f"{self.statistic} {'>=' if self.above else '<'} {self.threshold:.6g}"
 
@@ -136,17 +141,6 @@ def _all(rule: tuple[Condition, ...]) -> Column:
     return out
 
 
-def _bin(expression: str, cuts: list[float]) -> Column:
-    """Number of cuts at or below the value of an expression."""
-    value = F.expr(expression).cast("double")
-    return F.size(F.filter(F.array(*[F.lit(float(t)) for t in cuts]).cast("array<double>"), lambda t: t <= value))
-
-
-def _gain(p: float, n: float, p0: float, n0: float) -> float:
-    """FOIL gain of a condition that keeps p bad and n good rows of p0, n0."""
-    return p * (math.log2(p / (p + n)) - math.log2(p0 / (p0 + n0))) if p else 0.0
-
-
 def learn(statistics: DataFrame, labels: DataFrame, doc_id: str = "doc_id", quality: str = "quality",
           max_labelled: int = MAX_LABELLED) -> DecisionList:
     """Decision list from the rows of ``statistics`` that ``labels`` covers."""
@@ -156,65 +150,67 @@ def learn(statistics: DataFrame, labels: DataFrame, doc_id: str = "doc_id", qual
     if total > max_labelled:
         marks = marks.where(F.pmod(F.xxhash64("_id"), F.lit(1 << 30)) < int(max_labelled / total * (1 << 30)))
     rows = statistics.join(marks, col(doc_id) == F.col("_id")).where(~base_failed())
-    names = list(STATISTICS)
-    rows = stage(rows.select(
-        (F.col("_q") == 0).cast("int").alias("bad"), (F.pmod(F.xxhash64("_id", F.lit(3)), F.lit(3)) == 0).alias("prune"),
-        *[c for c in dict.fromkeys([*BASE, "n_lines", "n_distinct", "n_upper", "n_digits", "n_shouts", "n_marks"])]),
-        "quality-labelled")
-    values = rows.select(*[F.expr(e).cast("double").alias(k) for k, e in STATISTICS.items()])
-    cuts = values.agg(*[F.percentile_approx(k, [i / BINS for i in range(1, BINS)], 10_000).alias(k) for k in names]).first()
-    cuts = {k: sorted(set(cuts[k] or [])) for k in names}
-    bins = F.array(*[_bin(STATISTICS[k], cuts[k]) for k in names])
-    binned = stage(rows.select("*", bins.alias("bins")), "quality-binned")
+    fields = [(F.col("_q") == 0).alias("bad"), (F.pmod(F.xxhash64("_id", F.lit(3)), F.lit(3)) == 0).alias("prune"),
+              *[F.expr(e).cast("double").alias(k) for k, e in STATISTICS.items()]]
+    # repeats of a document are one row with its number
+    table = rows.select(*fields).groupBy("bad", "prune", *STATISTICS).agg(F.count(F.lit(1)).alias("rows")).toArrow()
+    column = lambda c, t: table.column(c).to_numpy().astype(t)
+    return DecisionList(cover({k: column(k, np.float64) for k in STATISTICS}, column("bad", bool), column("prune", bool),
+                              column("rows", np.float64)))
+
+
+def cover(values: dict[str, np.ndarray], bad: np.ndarray, prune: np.ndarray,
+          rows: np.ndarray) -> tuple[tuple[Condition, ...], ...]:
+    """Rules by sequential covering over rows of statistics with their numbers."""
+    order = {k: np.argsort(x, kind="stable") for k, x in values.items()}
+    p, n = np.where(bad, rows, 0.0), np.where(bad, 0.0, rows)
     rules: list[tuple[Condition, ...]] = []
-    free = F.lit(True)
+    free = np.ones(len(rows), bool)
+    failed: set[tuple[str, bool]] = set()  # first conditions that led to no rule on the rows left
     while len(rules) < MAX_RULES:
-        left = binned.where(free)
-        rule: tuple[Condition, ...] = ()
+        rule: list[Condition] = []
+        met = [free]
         while len(rule) < MAX_CONDITIONS:
-            counts = left.where(_all(rule) & ~F.col("prune")).select("bad", F.posexplode("bins").alias("s", "bin")) \
-                .groupBy("s", "bin").agg(F.sum("bad").alias("p"), F.sum(1 - F.col("bad")).alias("n")).collect()
-            best = _best_condition(names, cuts, [(r["s"], r["bin"], r["p"], r["n"]) for r in counts])
+            best = _best_condition(values, order, p, n, met[-1] & ~prune, set() if rule else failed)
             if best is None:
                 break
-            rule += (best[0],)
-            if not best[2]:
-                break
+            rule.append(best)
+            met.append(met[-1] & best.holds(values))
         if not rule:
             break
-        tests = [x for k in range(1, len(rule) + 1) for x in (
-            F.sum(F.when(_all(rule[:k]), F.col("bad")).otherwise(0)).alias(f"p{k}"),
-            F.sum(F.when(_all(rule[:k]), 1 - F.col("bad")).otherwise(0)).alias(f"n{k}"))]
-        got = left.where("prune").agg(*tests).first()
-        scored = [((got[f"p{k}"] - got[f"n{k}"]) / max(1, got[f"p{k}"] + got[f"n{k}"]), -k)
-                  for k in range(1, len(rule) + 1) if got[f"p{k}"]]
-        if not scored:
-            break
-        k = -max(scored)[1]
-        p, n = got[f"p{k}"], got[f"n{k}"]
-        if p < MIN_COVER / 3 or p / (p + n) < MIN_PRECISION:
-            break
-        rules.append(rule[:k])
-        free = free & ~_all(rule[:k])
-    return DecisionList(tuple(rules))
-
-
-def _best_condition(names, cuts, counts) -> tuple[Condition, int, int] | None:
-    """(condition, bad, good) of the best gain over all thresholds."""
-    p0 = sum(p for s, _, p, _ in counts if s == 0)
-    n0 = sum(n for s, _, _, n in counts if s == 0)
+        counts = [(float(p[m & prune].sum()), float(n[m & prune].sum())) for m in met[1:]]
+        scored = [((pp - nn) / (pp + nn), -k, pp, nn) for k, (pp, nn) in enumerate(counts, 1) if pp]
+        _, k, pp, nn = max(scored) if scored else (0, 0, 0.0, 0.0)
+        if pp < MIN_COVER / 3 or pp / (pp + nn) < MIN_PRECISION:
+            failed.add((rule[0].statistic, rule[0].above))
+            continue
+        rules.append(tuple(rule[:-k]))
+        free = free & ~met[-k]
+        failed = set()
+    return tuple(rules)
+
+
+def _best_condition(values, order, p, n, rows, without) -> Condition | None:
+    """Condition of the best FOIL gain over all thresholds on the ``rows``."""
+    p0, n0 = float(p[rows].sum()), float(n[rows].sum())
     best, best_gain = None, 1e-9
     if not p0 or not n0 or p0 < MIN_COVER:
         return None
-    for s, name in enumerate(names):
-        at = {b: (p, n) for k, b, p, n in counts if k == s}
-        p_low = n_low = 0
-        for b, t in enumerate(cuts[name]):  # bin b holds the values below t (and from the cut before)
-            p, n = at.get(b, (0, 0))
-            p_low, n_low = p_low + p, n_low + n
-            for above, pp, nn in ((False, p_low, n_low), (True, p0 - p_low, n0 - n_low)):
-                if pp >= MIN_COVER and (g := _gain(pp, nn, p0, n0)) > best_gain:
-                    best, best_gain = (Condition(name, above, t), pp, nn), g
+    for name, at in order.items():
+        at = at[rows[at]]
+        x = values[name][at]
+        last = np.flatnonzero(x[1:] > x[:-1])  # last row below each threshold
+        low, high = x[last], x[last + 1]
+        p_low, n_low = np.cumsum(p[at])[last], np.cumsum(n[at])[last]
+        for above, pp, nn in ((False, p_low, n_low), (True, p0 - p_low, n0 - n_low)):
+            if not len(last) or (name, above) in without:
+                continue
+            gain = np.where(pp >= MIN_COVER, pp * (np.log2(np.maximum(pp, 1) / np.maximum(pp + nn, 1))
+                                                   - np.log2(p0 / (p0 + n0))), 0.0)
+            k = int(np.argmax(gain))
+            if gain[k] > best_gain:
+                middle = low[k] + (high[k] - low[k]) / 2
+                best, best_gain = Condition(name, above, float(middle if middle > low[k] else high[k])), gain[k]
     return best
 
 

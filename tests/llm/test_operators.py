@@ -286,6 +286,25 @@ def test_learned_rules(spark):
     assert rules.rules and all(r["kept"] == truth[r["doc_id"]] for r in out.collect() if not r["base_failed"])
 
 
+def test_rare_values_get_thresholds():
+    """A bad value in 1% of the rows is told apart, and a condition that
+    leads to an imprecise rule does not end the learning."""
+    import numpy as np
+    rng = np.random.default_rng(9)
+    n = 6000
+    bad = np.arange(n) % 100 == 0
+    prune = rng.random(n) < 1 / 3
+    values = {k: np.zeros(n) for k in quality_rules.STATISTICS}
+    values["symbols_per_word"] = np.where(bad, rng.uniform(0.02, 3, n), 0.0)
+    rules = quality_rules.cover(values, bad, prune, np.ones(n))
+    assert len(rules) == 1 and (rules[0][0].holds(values) == bad).all()
+    # the best gain on the growing rows is by chance: nothing of it holds on the pruning rows
+    values["words"] = np.where(bad & ~prune, 1.0, 0.0)
+    values["symbols_per_word"] = np.where(bad & (prune | (np.arange(n) % 200 == 0)), 1.0, 0.0)
+    rules = quality_rules.cover(values, bad, prune, np.ones(n))
+    assert any(c.statistic == "symbols_per_word" for r in rules for c in r)
+
+
 # ---------------------------------------------------------------- 7 personal data
 def brute_base(t):
     t = t or ""
