@@ -5,7 +5,19 @@ more than one line, and the whole text if it has several paragraphs.  A unit
 and a template are sets of word bigrams after normalisation (A-Z lower-cased,
 anything but letters and digits a blank).  Dice >= t needs a size between
 t / (2 - t) and (2 - t) / t of the template's, so only templates of such a
-size are compared.  DataFrame functions only, one narrow pass, nothing joined.
+size are compared.
+
+A notice among other words is found by windows: runs of words of the text,
+over line and paragraph breaks, from one bigram of the template to another.
+(Any window is at most as near to the template as its part between its first
+and last bigram of the template.)  A window's size is its number of bigrams,
+those of the template counted once.  Inside a line that was compared with the
+template a window counts as no smaller than the template, so that the words
+which part the line from it are not just left out.  A window that a matching
+unit holds is no match of its own; of overlapping ones the nearest counts.
+Only rows that hold enough bigrams of the templates are looked at.
+
+DataFrame functions only, one narrow pass, nothing joined.
 
 Null, empty and one-word texts match nothing.  Equal best scores go to the
 template listed first.  One row out per row in.
@@ -13,9 +25,10 @@ template listed first.  One row out per row in.
 
 from __future__ import annotations
 
+import math
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import col, kept_columns
@@ -60,13 +73,15 @@ def template_bigrams(text: str) -> list[str]:
 def scan_licences(docs: DataFrame, text: str = "text", keep: list[str] | None = None, templates=TEMPLATES,
                   min_dice: float = MIN_DICE) -> DataFrame:
     """``keep`` columns (all by default) and ``licences``: array of (dice,
-    template, licence, unit) of every unit and template that match, where unit
-    is the number of the line, or null for a paragraph or the whole text."""
-    keep = kept_columns(docs, keep, "licences", "_t", "_b", "_u")
+    template, licence, unit) of every unit or window and template that match,
+    where unit is the number of the line, or null for a paragraph, the whole
+    text or a window."""
+    keep = kept_columns(docs, keep, "licences", "_t", "_b", "_u", "_m", "_h", "_e", "_l", "_p")
     grams = [(name, template_bigrams(t)) for name, t in templates]
     grams = [(i, name, g) for i, (name, g) in enumerate(grams) if g]
+    hashes = lambda g: [F.xxhash64(*map(F.lit, b.split(" "))) for b in g]
     known = F.array(*[F.struct(F.lit(i).alias("template"), F.lit(name).alias("licence"), F.lit(len(g)).alias("n"),
-                               F.array(*[F.xxhash64(*map(F.lit, b.split(" "))) for b in g]).alias("g")) for i, name, g in grams])
+                               F.array(*hashes(g)).alias("g")) for i, name, g in grams])
     low, high = min_dice / (2 - min_dice) * (1 - 1e-9), (2 - min_dice) / min_dice * (1 + 1e-9)  # rounding loses no tie
     least, most = low * min(len(g) for _, _, g in grams), high * max(len(g) for _, _, g in grams)
     clean = F.regexp_replace(F.translate(col(text).cast("string"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"),
@@ -80,7 +95,7 @@ def scan_licences(docs: DataFrame, text: str = "text", keep: list[str] | None =
     rows = rows.withColumn("_u", F.concat(
         F.transform(F.split("_t", "\n"), unit),
         F.transform("_b", lambda b: F.struct(F.split(F.trim(F.translate(b, "\n", " ")), " +").alias("w"),
-                                             F.lit(None).cast("int").alias("i"))))).drop("_b", "_t")
+                                             F.lit(None).cast("int").alias("i"))))).drop("_b")
     # sets of bigrams; a unit of fewer words than the least size has too few
     rows = rows.withColumn("_u", F.transform(F.filter("_u", lambda u: F.size(u["w"]) > least), lambda u: F.struct(
         F.array_distinct(F.transform(F.slice(u["w"], 1, F.size(u["w"]) - 1),
@@ -91,13 +106,77 @@ def scan_licences(docs: DataFrame, text: str = "text", keep: list[str] | None =
         fits = F.filter(known, lambda t: F.size(u["g"]).between(t["n"] * F.lit(low), t["n"] * F.lit(high)))
         return F.transform(fits, lambda t: F.struct(
             (F.lit(2.0) * F.size(F.array_intersect(u["g"], t["g"])) / (F.size(u["g"]) + t["n"])).alias("dice"),
-            t["template"].alias("template"), t["licence"].alias("licence"), u["i"].alias("unit")))
-    return rows.select(*[col(c) for c in keep], F.filter(F.flatten(F.transform("_u", against)),
-                                                         lambda m: m["dice"] >= min_dice).alias("licences"))
+            t["template"].alias("template"), t["licence"].alias("licence"), u["i"].alias("unit"),
+            F.when(u["i"].isNull(), u["g"]).alias("g")))
+    rows = rows.withColumn("_m", F.filter(F.flatten(F.transform("_u", against)), lambda m: m["dice"] >= min_dice))
+    # bigrams of the whole text, and the places (k) of those that any template holds
+    words = F.split(F.trim(F.translate("_t", "\n", " ")), " +")
+    rows = rows.withColumn("_b", words)
+    rows = rows.withColumn("_h", F.transform(F.slice("_b", 1, F.greatest(F.size("_b") - 1, F.lit(0))),
+                                             lambda w, k: F.xxhash64(w, F.get("_b", k + 1)))).drop("_b")
+    every = hashes(sorted({b for _, _, g in grams for b in g}))
+    rows = rows.withColumn("_e", F.filter(F.transform("_h", lambda h, k: F.when(
+        h.isin(every), F.struct(k.alias("k"), h.alias("h")))), lambda e: e.isNotNull()))
+    rows = rows.withColumn("_p", _rich(known, low, high, F.col("_e"), math.ceil(least)))
+    in_line = lambda x: F.when(F.length(F.trim(x)) > 0, F.size(F.split(F.trim(x), " +"))).otherwise(0)
+    rows = rows.withColumn("_l", F.when(F.size("_p") > 0, F.flatten(F.transform(
+        F.split("_t", "\n"), lambda x, i: F.array_repeat(i, in_line(x))))))
+    unit_matches = F.transform("_m", lambda m: m.dropFields("g"))
+    return rows.select(*[col(c) for c in keep], F.when(F.size("_p") > 0, F.concat(unit_matches, _windows(min_dice, low, high)))
+                       .otherwise(unit_matches).alias("licences"))
+
+
+def _rich(known: Column, low: float, high: float, places: Column, least: int) -> Column:
+    """Templates of which a row holds as many bigrams as a match needs, with their places."""
+    need = lambda t: F.greatest(F.ceil(t["n"] * F.lit(low)).cast("int"), F.lit(1))
+    held = F.transform(known, lambda t: F.struct(
+        t["template"], t["licence"], t["n"], need(t).alias("need"),
+        F.filter(places, lambda e: F.array_contains(t["g"], e["h"])).alias("p")))
+    return F.filter(F.when(F.size(places) >= least, held), lambda t: F.size(t["p"]) >= t["need"])
+
+
+def _windows(min_dice: float, low: float, high: float) -> Column:
+    """Matching windows of a row, the nearest of overlapping ones of a template."""
+    near = min_dice * (1 - 1e-9)
+
+    def scored(t, s, e, y):
+        """Window from the hit s to the hit e, the y-th after the least that s needs."""
+        hits = y + t["need"]
+        length = e["k"] - s["k"] + 1
+        line = F.get("_l", s["k"])
+        line = F.when(line == F.get("_l", e["k"] + 1), line)
+        shared = F.size(F.array_distinct(F.transform(F.slice(t["p"], s["x"] + 1, hits), lambda h: h["h"])))
+        size = length - hits + shared
+        compared = F.exists("_u", lambda u: (u["i"] == line) & F.size(u["g"]).between(t["n"] * F.lit(low), t["n"] * F.lit(high)))
+        size = F.when(F.coalesce(compared, F.lit(False)), F.greatest(size, t["n"])).otherwise(size)
+        # no more bigrams than the hits can be shared: most windows end here
+        hope = (2 - near) * F.least(hits, t["n"]) >= near * (length - hits + t["n"])
+        return F.when(hope, F.struct((F.lit(-2.0) * shared / (size + t["n"])).alias("d"), length.alias("len"),
+                                     s["k"].alias("a"), e["k"].alias("b"), line.alias("line")))
+
+    def free(w):
+        inside = lambda g: F.size(F.array_except(F.slice("_h", w["a"] + 1, w["len"]), g)) == 0
+        return ~F.exists("_m", lambda m: F.coalesce(m["unit"] == w["line"], F.lit(False))
+                         | F.coalesce(F.when(m["g"].isNotNull(), inside(m["g"])), F.lit(False)))
+
+    def of_template(t):
+        # the hits a match needs stand close enough behind its first one
+        starts = F.filter(F.transform(t["p"], lambda e, x: F.struct(x.alias("x"), e["k"].alias("k"))), lambda s: (
+            F.get(t["p"], s["x"] + t["need"] - 1)["k"] - s["k"] - t["need"]) <= t["n"] * F.lit(high - 1))
+        reach = F.ceil(t["n"] * F.lit(2 * high)).cast("int")
+        found = F.flatten(F.transform(starts, lambda s: F.filter(F.transform(
+            F.slice(t["p"], s["x"] + t["need"], reach), lambda e, y: scored(t, s, e, y)),
+            lambda w: w.isNotNull() & (w["d"] <= -near) & free(w))))
+        kept = F.aggregate(F.sort_array(found), F.filter(found, lambda w: F.lit(False)), lambda got, w: F.when(
+            F.exists(got, lambda g: (g["a"] <= w["b"]) & (w["a"] <= g["b"])), got).otherwise(F.concat(got, F.array(w))))
+        return F.transform(kept, lambda w: F.struct((-w["d"]).alias("dice"), t["template"].alias("template"),
+                                                    t["licence"].alias("licence"), F.lit(None).cast("int").alias("unit")))
+
+    return F.flatten(F.transform("_p", of_template))
 
 
 def digest(scanned: DataFrame, keep: list[str]) -> DataFrame:
-    """Best licence and score, all licences found, number of matching units and templates."""
+    """Best licence and score, all licences found, number of matches."""
     best = F.array_min(F.transform("licences", lambda m: F.struct((-m["dice"]).alias("d"), m["template"].alias("t"),
                                                                   m["licence"].alias("l"))))
     return scanned.select(

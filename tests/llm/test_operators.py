@@ -380,6 +380,21 @@ def test_licences(spark, docs, empty, rows):
     assert license_scan.scan_licences(empty).count() == 0
 
 
+def test_notices_among_other_words(spark):
+    texts = ["Copyright 2020 Acme. Released under the MIT License.",
+             "/* Some tool of ours, made by many\n * hands and released under\n * the MIT License. Have fun with\n * it all day long */",
+             "One line only: this work is licensed under a Creative Commons Attribution 4.0 International License and so on, dear reader.",
+             "a b c d e f\n\nThis Source Code Form is subject\n\nto the terms of the Mozilla Public License, v. 2.0. More words stand here",
+             "Some words first, then released under no MIT or other License that we know of by now",
+             "Released under the MIT License.\nCopyright 2021 Acme and others: released under the MIT License."]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["licences"] for r in license_scan.scan_licences(frame).collect()}
+    assert [sorted({m["licence"] for m in got[i]}) for i in range(6)] == [
+        ["MIT"], ["MIT"], ["CC-BY-4.0"], ["MPL-2.0"], [], ["MIT"]]
+    assert all(max(m["dice"] for m in got[i]) == 1.0 for i in (0, 1, 2, 3))
+    assert [m["unit"] for m in got[5] if m["template"] == 0] == [0, None]
+
+
 # ---------------------------------------------------------------- 9 mixing
 def brute_targets(sizes, weights=(5, 2, 1)):
     names = sorted(sizes, key=lambda s: (s is None, s or ""))
