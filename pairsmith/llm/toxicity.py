@@ -1,7 +1,8 @@
 """Toxicity by the nearest labelled examples under TF-IDF cosine.
 
 Terms are whole words and word beginnings (3 to 7 letters, so that inflected
-and compounded forms meet), chosen for their lift among labelled texts.
+and compounded forms meet), chosen for their lift among all labelled training
+texts, however few of them are examples.  Cosines are over the chosen terms.
 Examples are a bounded, hash-chosen sample of labelled training rows
 (``max_toxic`` and ``max_clean``); document frequencies come from all texts.
 The examples' vectors form a block-max inverted index: per term the postings
@@ -36,6 +37,7 @@ MAX_TOXIC, MAX_CLEAN = 3000, 5000
 MAX_TERMS = 2048
 MIN_DOCS, MIN_LIFT, MIN_CHI2 = 5, 2.0, 40.0
 NEAREST = 15
+ID_SLOTS = 1 << 20
 BLOCK = 64
 #: Tokens, and scored vectors, that a worker remembers.
 MEMO = 500_000
@@ -177,6 +179,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str, doc_id: str, toxic: str,
     """(staged examples: id, toxic, text ..., class weights, chosen terms)."""
     marks = labels.where(col(toxic).isNotNull() & col(doc_id).isNotNull() & ~held_out(col(doc_id))) \
         .groupBy(col(doc_id).alias("id")).agg(F.max(col(toxic)).cast("int").alias("toxic"))
+    marks = stage(marks, "toxic-marks")
     have = {r["toxic"]: r["count"] for r in marks.groupBy("toxic").count().collect()}
     rate = {1: min(1.0, max_toxic / max(1, have.get(1, 0))), 0: min(1.0, max_clean / max(1, have.get(0, 0)))}
     draw = F.pmod(F.xxhash64("id", F.lit(11)), F.lit(1 << 30))
@@ -185,24 +188,39 @@ def fit(docs: DataFrame, labels: DataFrame, text: str, doc_id: str, toxic: str,
     # the sample's ids are bounded by max_toxic + max_clean: the texts stay where they are
     examples = stage(docs.select(col(doc_id).alias("doc"), col(text).cast("string").alias("text"))
                      .join(F.broadcast(chosen), F.col("doc") == F.col("id")).select("id", "toxic", "text"), "toxic-examples")
-    once = examples.groupBy(F.xxhash64("text").alias("h")).agg(F.first("text").alias("text"), F.max("toxic").alias("toxic"))
+    # terms are counted over all labelled training texts, copies of a text once; most
+    # other texts do not travel, at most ID_SLOTS slots of ids with a label are sent to them
+    slot = lambda c: F.pmod(F.xxhash64(F.col(c)), F.lit(ID_SLOTS))
+    kind = marks.schema["id"].dataType
+    labelled = docs.select(col(doc_id).cast(kind).alias("doc"), col(text).cast("string").alias("text")) \
+        .join(F.broadcast(marks.select(slot("id").alias("slot")).distinct()), slot("doc") == F.col("slot"), "left_semi") \
+        .join(marks, F.col("doc") == F.col("id")).select("text", "toxic")
+    once = stage(labelled.groupBy(F.xxhash64("text").alias("h"))
+                 .agg(F.first("text").alias("text"), F.max("toxic").alias("toxic")), "toxic-labelled")
 
     def terms_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
         bad: Counter = Counter()
+        memo: dict[str, list[str]] = {}
         for batch in batches:
             for t, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                terms = {x for token in set((t or "").split()) for x in token_terms(token)}
+                terms: set[str] = set()
+                for token in set((t or "").split()):
+                    if token not in memo:
+                        if len(memo) >= MEMO // 10:
+                            memo.clear()
+                        memo[token] = token_terms(token)
+                    terms.update(memo[token])
                 seen.update(terms)
                 if y:
                     bad.update(terms)
-            if len(seen) > MEMO:
-                yield _term_batch(seen, bad)
-                seen, bad = Counter(), Counter()
+                if len(seen) > MEMO:
+                    yield _term_batch(seen, bad)
+                    seen, bad = Counter(), Counter()
         yield _term_batch(seen, bad)
 
-    n1 = max(1, once.where("toxic = 1").count())
-    n0 = max(1, once.where("toxic = 0").count())
+    sizes = {r["toxic"]: r["count"] for r in once.groupBy("toxic").count().collect()}
+    n1, n0 = max(1, sizes.get(1, 0)), max(1, sizes.get(0, 0))
     n = float(n1 + n0)
     counts = once.select("text", "toxic").mapInArrow(terms_of, "term string, n long, p long") \
         .groupBy("term").agg(F.sum("n").alias("n"), F.sum("p").alias("p"))

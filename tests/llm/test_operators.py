@@ -156,6 +156,18 @@ def test_toxicity(spark, empty, rows):
     assert {r["score"] for r in blank} == {0.0}
 
 
+def test_terms_are_counted_over_all_labelled_rows(spark):
+    """A toxic word too rare among the sampled examples is a term all the same."""
+    import random
+    from .conftest import prose
+    rng = random.Random(14)
+    data = [(i, prose(rng, 20) + (" vilefool" if i % 5 == 0 else "") + (" rarewretch" if i % 100 == 0 else ""), int(i % 5 == 0))
+            for i in range(2000)]
+    frame = spark.createDataFrame(data, "doc_id long, text string, toxic int")
+    _, weights, terms = toxicity.fit(frame.drop("toxic"), frame.drop("text"), "text", "doc_id", "toxic", 40, 100)
+    assert {"=vilefool", "=rarewretch"} <= set(terms) and weights[1] > 5
+
+
 def test_block_max_is_exact():
     import random
     rng = random.Random(5)
