@@ -85,3 +85,30 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _is_base(kind: int):
     return lambda s: s["base"] & (s["rank"] == kind)
+
+
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    from pyspark.sql import functions as F
+    from .alignment import COLUMNS, align
+    found = align(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+                  public_tokenizers.path("piece_bpe_32k.model"), keep=["doc_id"])
+    return found.select("doc_id", *COLUMNS, F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256)).alias("groups_sha256"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+    from .hard_negatives import hard_negatives
+    rows = read_table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(rows.withColumn("label", label), anchor=F.col("vec_id") % 100 == 0)
+
+
+def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    from pyspark.sql import functions as F
+    from .pieces import decode_pieces, encode_pieces
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    both = decode_pieces(encode_pieces(read_table(spark, sf_dir, "documents"), model, keep=["doc_id"]), model)
+    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
+                       F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -17,6 +17,9 @@ LLM_QUERIES = {name: getattr(queries, name) for name in (
     "op8_licences",
     "op9_mixing",
     "op10_secrets",
+    "op11_alignment",
+    "op12_hard_negatives",
+    "op13_sentencepiece",
 )} | {"pipeline": corpus_pipeline.run}
 
 LLM_SQL: dict[str, str] = {
@@ -24,4 +27,5 @@ LLM_SQL: dict[str, str] = {
     "op8_licences": oracle.licences_sql(),
     "op9_mixing": oracle.mixing_sql(),
     "op10_secrets": oracle.secrets_sql(),
+    "op12_hard_negatives": oracle.hard_negatives_sql(),
 } | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
