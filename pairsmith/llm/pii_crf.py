@@ -4,9 +4,13 @@ The base patterns (email, ip, card, phone) report on their own.  The field
 runs over the tokens of a document that hold a digit or an @: each has a label
 (none or a kind), neighbours share a chain potential, and repeated or similar
 tokens anywhere in the document - equal after folding marks and case, equal
-digits, equal mail box - share a skip potential.  Tokens of base spans are
-observed with their kind; loopy sum-product messages carry it to the others,
-and a token whose belief in a kind reaches ``MIN_BELIEF`` becomes a span too.
+digits (of one token, or of a run of neighbouring number tokens), equal mail
+box - share a skip potential.  Tokens of base spans are observed with their
+kind; loopy sum-product messages carry it to the others until no message of
+the document changes by more than ``STABLE``, and a token whose belief in a
+kind reaches ``MIN_BELIEF`` becomes a span too.  (Messages on loops need not
+settle: a document is read off after ``MOST_ROUNDS`` rounds at the latest,
+which carry a label as many links far.)
 
 Training is piecewise: node weights by a regularised multinomial logistic fit
 on the base labels of a bounded sample (``TRAIN_TOKENS`` tokens, by hash),
@@ -14,8 +18,11 @@ chain and skip potentials by the log ratio of joint to independent label rates
 over linked pairs of the same sample.  Skip links join consecutive members of
 a group only, so a token repeated m times has m - 1 links.
 
-Null and empty texts have no spans.  Spans are in code points, end exclusive.
-One row out per row in, rows judged each on its own.
+Null and empty texts have no spans; an empty table gives an empty one (and a
+field that adds nothing).  Spans are in code points, end exclusive.  One row
+out per row in, rows judged each on its own.  A text is worked off whole, in
+time and memory in proportion to its length: digit runs and blank-free runs
+may be of any length.
 """
 
 from __future__ import annotations
@@ -36,7 +43,8 @@ KINDS = ("email", "ip", "card", "phone")
 LABELS = 1 + len(KINDS)
 TRAIN_TOKENS = 60_000
 MIN_BELIEF = 0.9
-ROUNDS = 12
+STABLE = 1e-6
+MOST_ROUNDS = 2000
 DAMPING = 0.3
 #: Texts between which messages run at once, by bytes.
 GROUP = 4 << 20
@@ -48,10 +56,16 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")  # what fails at a run's
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT_OR_AT = re.compile(r"[0-9@]")
-_TOKEN = re.compile(r"[^\s0-9@]*[0-9@]\S*")
+_TOKEN_END = re.compile(r"[0-9@]\S*")
 _EDGE = " \t\r\n.,;:!?\"'<>[]{}|*#$%&"
 
 
+def is_byte(digits: str) -> bool:
+    """A decimal number of at most 255, of any length."""
+    digits = digits.lstrip("0")
+    return len(digits) <= 3 and int(digits or "0") <= 255
+
+
 def luhn(digits: str) -> bool:
     total = 0
     for i, d in enumerate(reversed(digits)):
@@ -81,7 +95,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
         done = m.end() if m else at + 1
         at = text.find("@", done)
     for m in _IP.finditer(text):
-        if all(int(p) <= 255 for p in m.group().split(".")):
+        if all(map(is_byte, m.group().split("."))):
             out.append((m.start(), 1, m.end()))
     for m in _CARD.finditer(text):
         if m.end() - m.start() >= 14 and 14 <= len(d := _digits(m.group())) <= 19 and luhn(d):
@@ -97,8 +111,12 @@ def tokens(text: str) -> list[tuple[int, int]]:
     """Places of the blank-separated tokens with a digit or an @, without the
     marks at their ends."""
     out = []
-    for m in _TOKEN.finditer(text):
+    end = 0
+    for m in _TOKEN_END.finditer(text):
         a, b = m.span()
+        while a > end and not text[a - 1].isspace():  # its letters before the first digit or @
+            a -= 1
+        end = b
         while a < b and text[a] in _EDGE:
             a += 1
         while b > a and text[b - 1] in _EDGE:
@@ -132,7 +150,7 @@ def features(text: str, spans: list[tuple[int, int]]) -> np.ndarray:
         row[1] = "@" in t
         row[2] = t.count("@") == 1 and "." in t.partition("@")[2]
         row[3] = quad
-        row[4] = quad and all(int(p) <= 255 for p in parts)
+        row[4] = quad and all(map(is_byte, parts))
         for k, (lo, hi) in enumerate(((0, 0), (1, 1), (2, 3), (4, 6), (7, 9), (10, 13), (14, 19), (20, 10 ** 9))):
             row[5 + k] = lo <= n <= hi
         row[13] = 14 <= n <= 19 and luhn(d) and not letters
@@ -169,6 +187,24 @@ def skip_keys(token: str) -> list[str]:
     return out
 
 
+def number_runs(text: str, spans: list[tuple[int, int]]) -> list[str]:
+    """Skip key of the run of neighbouring number tokens (no letter, no @) that
+    each token stands in, one object a run; '' for a token that stands alone
+    or is no number, and for runs of fewer than 7 digits."""
+    out = [""] * len(spans)
+    number = [not any(c.isalpha() or c == "@" for c in text[a:b]) for a, b in spans]
+    i = 0
+    while i < len(spans):
+        j = i + 1
+        while number[i] and j < len(spans) and number[j] and text[spans[j - 1][1]:spans[j][0]] in (" ", "  "):
+            j += 1
+        if j > i + 1:
+            digits = "".join(_digits(text[a:b]) for a, b in spans[i:j])
+            out[i:j] = ["d" + digits if len(digits) >= 7 else ""] * (j - i)
+        i = j
+    return out
+
+
 class Graph:
     """Tokens of several texts as one field."""
 
@@ -188,11 +224,15 @@ class Graph:
             last: dict[str, int] = {}
             starts = [x[0] for x in base]
             reach = list(accumulate((x[2] for x in base), max))
+            runs = number_runs(text, spans)
             for k, (a, b) in enumerate(spans):
                 node = first + k
                 if k and a - spans[k - 1][1] <= 2:
                     chain.append((node - 1, node))
-                for key in skip_keys(text[a:b]):
+                keys = skip_keys(text[a:b])
+                if runs[k] and runs[k] not in keys:
+                    keys.append(runs[k])
+                for key in keys:
                     if key in last:
                         skip.append((last[key], node))
                     last[key] = node
@@ -231,7 +271,8 @@ class Field:
         return cls(w, pair_potential(chain), pair_potential(skip))
 
     def beliefs(self, g: Graph) -> np.ndarray:
-        """Marginals of every token by damped loopy sum-product."""
+        """Marginals of every token by damped loopy sum-product; every text's
+        messages run until they are stable, whatever other texts stand in ``g``."""
         node = g.features @ self.weights
         node -= node.max(axis=1, keepdims=True, initial=-1e9)
         observed = g.labels > 0
@@ -246,17 +287,24 @@ class Field:
         target = np.concatenate((edges[:, 1], edges[:, 0]))
         pair = np.concatenate((pair, pair.transpose(0, 2, 1)))
         back = np.concatenate((np.arange(len(edges)) + len(edges), np.arange(len(edges))))
+        owner = np.array(g.owner)[source]
         message = np.zeros((len(source), LABELS))
-        for _ in range(ROUNDS):
-            total = node.copy()
-            np.add.at(total, target, message)
-            out = total[source] - message[back]
+        total = node.copy()
+        running = np.arange(len(source))
+        for _ in range(MOST_ROUNDS):
+            out = total[source[running]] - message[back[running]]
             out = np.exp(out - out.max(axis=1, keepdims=True))
-            new = np.log(np.einsum("ea,eab->eb", out, pair) + 1e-300)
+            new = np.log(np.einsum("ea,eab->eb", out, pair[running]) + 1e-300)
             new -= new.max(axis=1, keepdims=True)
-            message = DAMPING * message + (1 - DAMPING) * new
-        total = node
-        np.add.at(total, target, message)
+            new = DAMPING * message[running] + (1 - DAMPING) * new
+            moved = np.abs(np.exp(new) - np.exp(message[running])).max(axis=1) > STABLE
+            message[running] = new
+            nodes = np.unique(target[running])
+            total[nodes] = node[nodes]
+            np.add.at(total, target[running], new)
+            running = running[np.isin(owner[running], owner[running[moved]])]
+            if not len(running):
+                break
         return softmax(total)
 
     def spans(self, texts: list[str | None]) -> list[list[tuple[int, int, int, bool]]]:
