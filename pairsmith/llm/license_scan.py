@@ -8,19 +8,26 @@ t / (2 - t) and (2 - t) / t of the template's, so only templates of such a
 size are compared.
 
 A notice among other words is found by windows: runs of words of the text,
-over line and paragraph breaks, from one bigram of the template to another.
-(Any window is at most as near to the template as its part between its first
-and last bigram of the template.)  A window's size is its number of bigrams,
-those of the template counted once.  Inside a line that was compared with the
-template a window counts as no smaller than the template, so that the words
-which part the line from it are not just left out.  A window that a matching
-unit holds is no match of its own; of overlapping ones the nearest counts.
+over line and paragraph breaks, from one place of a bigram of the template to
+another.  (Any window is at most as near to the template as its part between
+its first and last bigram of the template.)  Places inside a matching unit are
+settled and begin, end or support no window.  A window's size is its number of
+bigrams, those of the template counted once, whatever settled.  Inside a line
+that was compared with the template a window counts as no smaller than the
+template, so that the words which part the line from it are not just left out.
+A place begins one window, the nearest one to the template that ends within the
+next places (``reach``: two and a half times the template's size beyond those a
+match needs; a longer window repeats bigrams of the template), the shorter if
+equally near.  From left to right a window gives way to a nearer one that
+begins inside it, and bars the others that do.
 Only rows that hold enough bigrams of the templates are looked at.
 
-DataFrame functions only, one narrow pass, nothing joined.
+DataFrame functions only, one narrow pass, nothing joined.  Work per row is in
+proportion to its words and places, times a bound that only the templates fix.
 
-Null, empty and one-word texts match nothing.  Equal best scores go to the
-template listed first.  One row out per row in.
+Null, empty and one-word texts match nothing; an empty table gives an empty
+one.  Equal best scores go to the template listed first.  One row out per row
+in, of whatever length: a text's words are held in its row.
 """
 
 from __future__ import annotations
@@ -76,7 +83,7 @@ def scan_licences(docs: DataFrame, text: str = "text", keep: list[str] | None =
     template, licence, unit) of every unit or window and template that match,
     where unit is the number of the line, or null for a paragraph, the whole
     text or a window."""
-    keep = kept_columns(docs, keep, "licences", "_t", "_b", "_u", "_m", "_h", "_e", "_l", "_p")
+    keep = kept_columns(docs, keep, "licences", "_t", "_b", "_u", "_v", "_w", "_h", "_e", "_l", "_k", "_p", "_n")
     grams = [(name, template_bigrams(t)) for name, t in templates]
     grams = [(i, name, g) for i, (name, g) in enumerate(grams) if g]
     hashes = lambda g: [F.xxhash64(*map(F.lit, b.split(" "))) for b in g]
@@ -87,46 +94,59 @@ def scan_licences(docs: DataFrame, text: str = "text", keep: list[str] | None =
     clean = F.regexp_replace(F.translate(col(text).cast("string"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"),
                              r"[^\p{L}\p{N}\n]+", " ")
     rows = docs.select(*[col(c) for c in keep], F.coalesce(clean, F.lit("")).alias("_t"))
-    blocks = F.split("_t", r"\n[ \n]*\n")
-    rows = rows.withColumn("_b", F.when(F.col("_t").rlike(r"\n"), F.when(F.size(blocks) > 1, F.concat(
-        F.filter(blocks, lambda b: b.contains("\n")), F.array(F.col("_t")))).otherwise(F.array(F.col("_t"))))
-        .otherwise(F.array().cast("array<string>")))
-    unit = lambda u, i: F.struct(F.split(F.trim(u), r"[ \n]+").alias("w"), i.alias("i"))
-    rows = rows.withColumn("_u", F.concat(
-        F.transform(F.split("_t", "\n"), unit),
-        F.transform("_b", lambda b: F.struct(F.split(F.trim(F.translate(b, "\n", " ")), " +").alias("w"),
-                                             F.lit(None).cast("int").alias("i"))))).drop("_b")
-    # sets of bigrams; a unit of fewer words than the least size has too few
-    rows = rows.withColumn("_u", F.transform(F.filter("_u", lambda u: F.size(u["w"]) > least), lambda u: F.struct(
-        F.array_distinct(F.transform(F.slice(u["w"], 1, F.size(u["w"]) - 1),
-                                     lambda w, k: F.xxhash64(w, F.get(u["w"], k + 1)))).alias("g"), u["i"].alias("i"))))
-    rows = rows.withColumn("_u", F.filter("_u", lambda u: F.size(u["g"]).between(F.lit(least), F.lit(most))))
-
-    def against(u):
-        fits = F.filter(known, lambda t: F.size(u["g"]).between(t["n"] * F.lit(low), t["n"] * F.lit(high)))
-        return F.transform(fits, lambda t: F.struct(
-            (F.lit(2.0) * F.size(F.array_intersect(u["g"], t["g"])) / (F.size(u["g"]) + t["n"])).alias("dice"),
-            t["template"].alias("template"), t["licence"].alias("licence"), u["i"].alias("unit"),
-            F.when(u["i"].isNull(), u["g"]).alias("g")))
-    rows = rows.withColumn("_m", F.filter(F.flatten(F.transform("_u", against)), lambda m: m["dice"] >= min_dice))
+    rows = rows.withColumn("_b", F.split("_t", r"\n[ \n]*\n"))
+
+    def gram_set(u):
+        """Distinct bigrams of a unit, null where no template is of such a size."""
+        words = F.split(F.trim(F.translate(u, "\n", " ")), " +")
+        pairs = lambda w: F.array_distinct(F.transform(F.slice(w, 1, F.size(w) - 1),
+                                                       lambda x, k: F.xxhash64(x, F.get(w, k + 1))))
+        found = F.get(F.transform(F.array(words), lambda w: F.when(F.size(w) > least, pairs(w))), F.lit(0))
+        return F.get(F.transform(F.array(found), lambda g: F.when(F.size(g).between(F.lit(least), F.lit(most)), g)), F.lit(0))
+
+    def against(g, i):
+        fits = F.filter(known, lambda t: F.size(g).between(t["n"] * F.lit(low), t["n"] * F.lit(high)))
+        near = F.transform(fits, lambda t: F.struct(
+            (F.lit(2.0) * F.size(F.array_intersect(g, t["g"])) / (F.size(g) + t["n"])).alias("dice"),
+            t["template"].alias("template"), t["licence"].alias("licence"), i.alias("unit")))
+        return F.when(g.isNotNull(), F.filter(near, lambda m: m["dice"] >= min_dice)).otherwise(nothing)
+
+    nothing = F.array().cast("array<struct<dice:double,template:int,licence:string,unit:int>>")
+    no_line = F.lit(None).cast("int")
+    # by line, by paragraph: sets of bigrams, then matches
+    rows = rows.withColumn("_u", F.transform(F.split("_t", "\n"), gram_set))
+    rows = rows.withColumn("_n", F.transform("_u", lambda g: F.when(g.isNotNull(), F.size(g))))
+    rows = rows.withColumn("_u", F.transform("_u", lambda g, i: against(g, i)))
+    rows = rows.withColumn("_v", F.transform("_b", lambda b: F.when(b.contains("\n"), gram_set(b))))
+    rows = rows.withColumn("_v", F.transform("_v", lambda g: against(g, no_line)))
+    rows = rows.withColumn("_w", F.when(F.size("_b") > 1, gram_set(F.col("_t"))))
+    rows = rows.withColumn("_w", against(F.col("_w"), no_line))
     # bigrams of the whole text, and the places (k) of those that any template holds
-    words = F.split(F.trim(F.translate("_t", "\n", " ")), " +")
-    rows = rows.withColumn("_b", words)
-    rows = rows.withColumn("_h", F.transform(F.slice("_b", 1, F.greatest(F.size("_b") - 1, F.lit(0))),
-                                             lambda w, k: F.xxhash64(w, F.get("_b", k + 1)))).drop("_b")
+    rows = rows.withColumn("_h", F.split(F.trim(F.translate("_t", "\n", " ")), " +"))
+    rows = rows.withColumn("_h", F.transform(F.slice("_h", 1, F.greatest(F.size("_h") - 1, F.lit(0))),
+                                             lambda w, k: F.xxhash64(w, F.get("_h", k + 1))))
     every = hashes(sorted({b for _, _, g in grams for b in g}))
     rows = rows.withColumn("_e", F.filter(F.transform("_h", lambda h, k: F.when(
-        h.isin(every), F.struct(k.alias("k"), h.alias("h")))), lambda e: e.isNotNull()))
-    rows = rows.withColumn("_p", _rich(known, low, high, F.col("_e"), math.ceil(least)))
-    in_line = lambda x: F.when(F.length(F.trim(x)) > 0, F.size(F.split(F.trim(x), " +"))).otherwise(0)
-    rows = rows.withColumn("_l", F.when(F.size("_p") > 0, F.flatten(F.transform(
-        F.split("_t", "\n"), lambda x, i: F.array_repeat(i, in_line(x))))))
-    unit_matches = F.transform("_m", lambda m: m.dropFields("g"))
+        h.isin(every), F.struct(k.alias("k"), h.alias("h")))), lambda e: e.isNotNull())).drop("_h")
+    # line and paragraph of each word, only where there may be a window
+    n_words = lambda x: F.when(F.length(F.trim(F.translate(x, "\n", " "))) > 0, F.size(
+        F.split(F.trim(F.translate(x, "\n", " ")), " +"))).otherwise(0)
+    spread = lambda parts: F.flatten(F.transform(parts, lambda x, i: F.array_repeat(i, n_words(x))))
+    some = (F.size("_e") >= math.ceil(least)) & (F.size("_w") == 0)
+    rows = rows.withColumn("_l", F.when(some, spread(F.split("_t", "\n")))).withColumn("_k", F.when(some, spread(F.col("_b"))))
+
+    def settled(e):
+        inside = lambda unit, matches: (F.get(unit, e["k"]) == F.get(unit, e["k"] + 1)) & (
+            F.size(F.get(matches, F.get(unit, e["k"]))) > 0)
+        return inside("_l", "_u") | inside("_k", "_v")
+    rows = rows.withColumn("_e", F.when(some, F.filter("_e", lambda e: ~settled(e)))).drop("_k")
+    rows = rows.withColumn("_p", _rich(known, low, F.col("_e"), math.ceil(least)))
+    unit_matches = F.concat(F.flatten("_u"), F.flatten("_v"), F.col("_w"))
     return rows.select(*[col(c) for c in keep], F.when(F.size("_p") > 0, F.concat(unit_matches, _windows(min_dice, low, high)))
                        .otherwise(unit_matches).alias("licences"))
 
 
-def _rich(known: Column, low: float, high: float, places: Column, least: int) -> Column:
+def _rich(known: Column, low: float, places: Column, least: int) -> Column:
     """Templates of which a row holds as many bigrams as a match needs, with their places."""
     need = lambda t: F.greatest(F.ceil(t["n"] * F.lit(low)).cast("int"), F.lit(1))
     held = F.transform(known, lambda t: F.struct(
@@ -135,8 +155,13 @@ def _rich(known: Column, low: float, high: float, places: Column, least: int) ->
     return F.filter(F.when(F.size(places) >= least, held), lambda t: F.size(t["p"]) >= t["need"])
 
 
+def reach(n: Column | int, high: float):
+    """Places behind those a match needs that a window may end at."""
+    return F.ceil(n * F.lit(2 * high)).cast("int") if isinstance(n, Column) else math.ceil(n * 2 * high)
+
+
 def _windows(min_dice: float, low: float, high: float) -> Column:
-    """Matching windows of a row, the nearest of overlapping ones of a template."""
+    """Matching windows of a row, by template and from left to right."""
     near = min_dice * (1 - 1e-9)
 
     def scored(t, s, e, y):
@@ -144,31 +169,27 @@ def _windows(min_dice: float, low: float, high: float) -> Column:
         hits = y + t["need"]
         length = e["k"] - s["k"] + 1
         line = F.get("_l", s["k"])
-        line = F.when(line == F.get("_l", e["k"] + 1), line)
         shared = F.size(F.array_distinct(F.transform(F.slice(t["p"], s["x"] + 1, hits), lambda h: h["h"])))
         size = length - hits + shared
-        compared = F.exists("_u", lambda u: (u["i"] == line) & F.size(u["g"]).between(t["n"] * F.lit(low), t["n"] * F.lit(high)))
+        compared = (line == F.get("_l", e["k"] + 1)) & F.get("_n", line).between(t["n"] * F.lit(low), t["n"] * F.lit(high))
         size = F.when(F.coalesce(compared, F.lit(False)), F.greatest(size, t["n"])).otherwise(size)
         # no more bigrams than the hits can be shared: most windows end here
         hope = (2 - near) * F.least(hits, t["n"]) >= near * (length - hits + t["n"])
         return F.when(hope, F.struct((F.lit(-2.0) * shared / (size + t["n"])).alias("d"), length.alias("len"),
-                                     s["k"].alias("a"), e["k"].alias("b"), line.alias("line")))
-
-    def free(w):
-        inside = lambda g: F.size(F.array_except(F.slice("_h", w["a"] + 1, w["len"]), g)) == 0
-        return ~F.exists("_m", lambda m: F.coalesce(m["unit"] == w["line"], F.lit(False))
-                         | F.coalesce(F.when(m["g"].isNotNull(), inside(m["g"])), F.lit(False)))
+                                     s["k"].alias("a"), e["k"].alias("b")))
 
     def of_template(t):
         # the hits a match needs stand close enough behind its first one
         starts = F.filter(F.transform(t["p"], lambda e, x: F.struct(x.alias("x"), e["k"].alias("k"))), lambda s: (
             F.get(t["p"], s["x"] + t["need"] - 1)["k"] - s["k"] - t["need"]) <= t["n"] * F.lit(high - 1))
-        reach = F.ceil(t["n"] * F.lit(2 * high)).cast("int")
-        found = F.flatten(F.transform(starts, lambda s: F.filter(F.transform(
-            F.slice(t["p"], s["x"] + t["need"], reach), lambda e, y: scored(t, s, e, y)),
-            lambda w: w.isNotNull() & (w["d"] <= -near) & free(w))))
-        kept = F.aggregate(F.sort_array(found), F.filter(found, lambda w: F.lit(False)), lambda got, w: F.when(
-            F.exists(got, lambda g: (g["a"] <= w["b"]) & (w["a"] <= g["b"])), got).otherwise(F.concat(got, F.array(w))))
+        best = F.transform(starts, lambda s: F.array_min(F.transform(  # array_min passes over nulls
+            F.slice(t["p"], s["x"] + t["need"], reach(t["n"], high)), lambda e, y: scored(t, s, e, y))))
+        found = F.filter(best, lambda w: w.isNotNull() & (w["d"] <= -near))
+        none = F.struct(F.slice(found, 1, 0).alias("done"), F.get(F.slice(found, 1, 0), F.lit(0)).alias("now"))
+        kept = F.aggregate(found, none, lambda got, w: F.when(got["now"].isNull(), F.struct(got["done"].alias("done"), w.alias("now")))
+                           .when(w["a"] > got["now"]["b"], F.struct(F.concat(got["done"], F.array(got["now"])).alias("done"), w.alias("now")))
+                           .when(w["d"] < got["now"]["d"], F.struct(got["done"].alias("done"), w.alias("now"))).otherwise(got),
+                           lambda got: F.when(got["now"].isNull(), got["done"]).otherwise(F.concat(got["done"], F.array(got["now"]))))
         return F.transform(kept, lambda w: F.struct((-w["d"]).alias("dice"), t["template"].alias("template"),
                                                     t["licence"].alias("licence"), F.lit(None).cast("int").alias("unit")))
 

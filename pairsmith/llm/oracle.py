@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
+
 from .decontam import WINDOW
-from .license_scan import MIN_DICE, TEMPLATES, template_bigrams
+from .license_scan import MIN_DICE, TEMPLATES, reach, template_bigrams
 from .mixing import MAX_COPIES
 from . import secret_links as S
 
@@ -34,23 +36,52 @@ FROM d LEFT JOIN h ON h.doc_id = d.doc_id LEFT JOIN i ON i.doc_id = d.doc_id"""
 
 def licences_sql() -> str:
     low, high = MIN_DICE / (2 - MIN_DICE) * (1 - 1e-9), (2 - MIN_DICE) / MIN_DICE * (1 + 1e-9)
-    rows = ", ".join(f"({i}, '{name}', [" + ", ".join(f"'{g}'" for g in template_bigrams(t)) + "])"
-                     for i, (name, t) in enumerate(TEMPLATES))
+    grams = [(i, name, template_bigrams(t)) for i, (name, t) in enumerate(TEMPLATES)]
+    rows = ", ".join(f"({i}, '{name}', {max(math.ceil(len(g) * low), 1)}, {reach(len(g), high)}, ["
+                     + ", ".join(f"'{x}'" for x in g) + "])" for i, name, g in grams)
+    words = "list_filter(string_split(translate({x}, chr(10), ' '), ' '), lambda y: y <> '')"
+    pairs = "list_distinct(list_transform(range(1, len(w)), lambda k: w[k] || ' ' || w[k + 1]))"
+    near = MIN_DICE * (1 - 1e-9)
     return rf"""
-WITH t AS (SELECT * FROM (VALUES {rows}) AS v(template, licence, g)),
+WITH t AS (SELECT * FROM (VALUES {rows}) AS v(template, licence, need, reach, g)),
 d AS (SELECT doc_id, regexp_replace(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\p{{L}}\p{{N}}\n]+', ' ', 'g') AS s
       FROM documents),
 bl AS (SELECT doc_id, s, regexp_split_to_array(s, '\n[ \n]*\n') AS b FROM d),
-u AS (SELECT doc_id, unnest(list_concat(string_split(s, chr(10)),
-        CASE WHEN NOT contains(s, chr(10)) THEN [] WHEN len(b) > 1
-             THEN list_append(list_filter(b, lambda x: contains(x, chr(10))), s) ELSE [s] END)) AS x FROM bl),
-w AS (SELECT doc_id, list_filter(string_split(translate(x, chr(10), ' '), ' '), lambda y: y <> '') AS w FROM u),
-g AS (SELECT doc_id, list_distinct(list_transform(range(1, len(w)), lambda k: w[k] || ' ' || w[k + 1])) AS g FROM w WHERE len(w) > 1),
-m AS (SELECT g.doc_id, t.template, t.licence, 2.0 * len(list_intersect(g.g, t.g)) / (len(g.g) + len(t.g)) AS dice
-      FROM g JOIN t ON len(g.g) BETWEEN len(t.g) * {low} AND len(t.g) * {high}),
+parts AS (SELECT doc_id, 0 AS kind, unnest(string_split(s, chr(10))) AS x, generate_subscripts(string_split(s, chr(10)), 1) AS i FROM bl
+          UNION ALL SELECT doc_id, 1, unnest(b), generate_subscripts(b, 1) FROM bl
+          UNION ALL SELECT doc_id, 2, s, 1 FROM bl WHERE len(b) > 1),
+w AS (SELECT doc_id, kind, i, kind <> 1 OR contains(x, chr(10)) AS unit, {words.format(x="x")} AS w FROM parts),
+f AS (SELECT *, sum(len(w)) OVER (PARTITION BY doc_id, kind ORDER BY i ROWS UNBOUNDED PRECEDING) - len(w) AS k0 FROM w),
+u AS (SELECT doc_id, kind, i, k0, len(w) AS n_words, {pairs} AS g FROM f WHERE unit AND len(w) > 1),
+m AS (SELECT u.doc_id, u.kind, u.i, u.k0, u.n_words, t.template, t.licence, 2.0 * len(list_intersect(u.g, t.g)) / (len(u.g) + len(t.g)) AS dice
+      FROM u JOIN t ON len(u.g) BETWEEN len(t.g) * {low} AND len(t.g) * {high}
+      WHERE 2.0 * len(list_intersect(u.g, t.g)) / (len(u.g) + len(t.g)) >= {MIN_DICE}),
+-- places of the templates' bigrams outside matching units
+x AS (SELECT doc_id, unnest(w) AS w, generate_subscripts(w, 1) - 1 AS k, w AS ws
+      FROM (SELECT doc_id, {words.format(x="s")} AS w FROM d)),
+tb AS (SELECT template, need, reach, len(g) AS n, unnest(g) AS bg FROM t),
+h AS (SELECT x.doc_id, x.k, tb.template, tb.need, tb.reach, tb.n, tb.bg FROM x JOIN tb ON tb.bg = x.w || ' ' || x.ws[x.k + 2]
+      WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.doc_id = x.doc_id AND x.k >= m.k0 AND x.k + 1 < m.k0 + m.n_words)),
+p AS (SELECT *, row_number() OVER (PARTITION BY doc_id, template ORDER BY k) AS x FROM h),
+hs AS (SELECT doc_id, template, list(bg ORDER BY k) AS bgs FROM h GROUP BY ALL),
+lines AS (SELECT f.doc_id, f.k0, len(f.w) AS n_words, len(u.g) AS size FROM f LEFT JOIN u ON u.doc_id = f.doc_id AND u.kind = 0 AND u.i = f.i
+          WHERE f.kind = 0),
+e AS (SELECT a.doc_id, a.template, a.n, a.k AS a, b.k AS b, b.x - a.x + 1 AS hits, len(list_distinct(hs.bgs[a.x:b.x])) AS shared,
+             coalesce((SELECT max(l.size BETWEEN a.n * {low} AND a.n * {high}) FROM lines l
+                       WHERE l.doc_id = a.doc_id AND a.k >= l.k0 AND b.k + 1 < l.k0 + l.n_words), false) AS compared
+      FROM p a JOIN p b ON b.doc_id = a.doc_id AND b.template = a.template AND b.x - a.x + 1 BETWEEN a.need AND a.need + a.reach - 1
+      JOIN hs ON hs.doc_id = a.doc_id AND hs.template = a.template),
+sc AS (SELECT doc_id, template, a, b, 2.0 * shared / (n + CASE WHEN compared THEN greatest(b - a + 1 - hits + shared, n)
+                                                           ELSE b - a + 1 - hits + shared END) AS dice FROM e),
+best AS (SELECT * FROM sc WHERE dice >= {near} QUALIFY row_number() OVER (PARTITION BY doc_id, template, a ORDER BY -dice, b) = 1),
+sweep AS (SELECT doc_id, template, list_reduce(list({{'a': a, 'b': b, 'd': dice, 'out': []::DOUBLE[]}} ORDER BY a), lambda got, y: CASE
+            WHEN y.a > got.b THEN {{'a': y.a, 'b': y.b, 'd': y.d, 'out': list_append(got.out, got.d)}}
+            WHEN y.d > got.d THEN {{'a': y.a, 'b': y.b, 'd': y.d, 'out': got.out}} ELSE got END) AS r FROM best GROUP BY ALL),
+al AS (SELECT doc_id, template, licence, dice FROM m
+       UNION ALL SELECT doc_id, template, licence, unnest(list_append(r.out, r.d)) FROM sweep JOIN t USING (template)),
 a AS (SELECT doc_id, arg_min(licence, (-dice, template)) AS licence, max(dice) AS dice, count(*) AS n,
              array_to_string(list_sort(list(DISTINCT licence)), ',') AS licences
-      FROM m WHERE dice >= {MIN_DICE} GROUP BY doc_id)
+      FROM al GROUP BY doc_id)
 SELECT d.doc_id, a.licence, CAST(a.dice AS DOUBLE) AS dice, CAST(coalesce(a.n, 0) AS BIGINT) AS n_matches,
        coalesce(a.licences, '') AS licences
 FROM d LEFT JOIN a ON a.doc_id = d.doc_id"""

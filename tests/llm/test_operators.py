@@ -474,6 +474,96 @@ def test_licences(spark, docs, empty, rows):
     assert license_scan.scan_licences(empty).count() == 0
 
 
+def brute_licences(t, min_dice=0.8):
+    """(template, unit, dice) of units and windows, by their definitions."""
+    import math
+    low, high = min_dice / (2 - min_dice) * (1 - 1e-9), (2 - min_dice) / min_dice * (1 + 1e-9)
+    text = re.sub(r"(?:[^\w\n]|_)+", " ", lower(t))
+    lines, blocks = [x.split() for x in text.split("\n")], re.split(r"\n[ \n]*\n", text)
+    pairs = lambda ws: set(zip(ws, ws[1:]))
+    of_unit = lambda ws: [(k, 2 * len(pairs(ws) & g) / (len(pairs(ws)) + len(g))) for k, g in grams
+                          if 2 * len(pairs(ws) & g) / (len(pairs(ws)) + len(g)) >= min_dice]
+    grams = [(k, {tuple(b.split(" ")) for b in license_scan.template_bigrams(x)}) for k, (_, x) in enumerate(license_scan.TEMPLATES)]
+    out, done = [], set()
+    units = [(i, ws) for i, ws in enumerate(lines)]
+    units += [(None, b.split()) if "\n" in b else (None, []) for b in blocks] + [(None, text.split() if len(blocks) > 1 else [])]
+    at = 0
+    for no, (unit, ws) in enumerate(units):
+        if no in (len(lines), len(units) - 1):
+            at = 0
+        width = len(ws if no < len(lines) or no == len(units) - 1 else blocks[no - len(lines)].split())
+        if len(ws) > 1 and (found := of_unit(ws)):
+            out += [(k, unit, d) for k, d in found]
+            done.update(range(at, at + width - 1))
+        at += width
+    words = text.split()
+    line_of = [i for i, ws in enumerate(lines) for _ in ws]
+    for k, g in grams:
+        p = [i for i in range(len(words) - 1) if i not in done and (words[i], words[i + 1]) in g]
+        need = max(math.ceil(len(g) * low), 1)
+        now = None
+        for x, a in enumerate(p):
+            best = None
+            for hits in range(need, need + license_scan.reach(len(g), high)):
+                if x + hits > len(p):
+                    break
+                b = p[x + hits - 1]
+                shared = len({(words[i], words[i + 1]) for i in p[x:x + hits]})
+                size = b - a + 1 - hits + shared
+                if line_of[a] == line_of[b + 1] and len(g) * low <= len(pairs(lines[line_of[a]])) <= len(g) * high:
+                    size = max(size, len(g))
+                d = 2 * shared / (size + len(g))
+                if d >= min_dice * (1 - 1e-9) and (best is None or (-d, b - a) < (-best[0], best[2] - best[1])):
+                    best = (d, a, b)
+            if best and now is None:
+                now = best
+            elif best and a > now[2]:
+                out.append((k, None, now[0]))
+                now = best
+            elif best and best[0] > now[0]:
+                now = best
+        if now:
+            out.append((k, None, now[0]))
+    return Counter((k, u, round(d, 9)) for k, u, d in out)
+
+
+def test_licence_windows_equal_brute_force(spark):
+    import random
+    rng = random.Random(8)
+    notices = [t for _, t in license_scan.TEMPLATES]
+
+    def mixed():
+        words = []
+        for _ in range(rng.randint(1, 6)):
+            w = rng.choice(notices).split()
+            if rng.random() < 0.5:  # an edited notice
+                w[rng.randrange(len(w))] = rng.choice(["any", "", "the the", "License", "of"])
+            words += [rng.choice(WORD.findall("a b of the License under version 2 0 Acme")) for _ in range(rng.randint(0, 6))] + w
+        return "".join(x + rng.choice([" ", " ", " ", " ", ", ", "\n", "\n\n" if rng.random() < 0.3 else " "]) for x in words)
+    texts = [mixed() for _ in range(250)] + ["under the mit license " * 30, "the MIT License.\n" * 40, "Licensed under CC BY 4.0. " * 25]
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    windows = 0
+    for r in license_scan.scan_licences(frame, keep=["doc_id"]).collect():
+        got = Counter((m["template"], m["unit"], round(m["dice"], 9)) for m in r["licences"])
+        assert got == brute_licences(texts[r["doc_id"]]), texts[r["doc_id"]]
+        windows += sum(m["unit"] is None for m in r["licences"])
+    assert windows > 100
+
+
+def test_many_notices_in_one_text(spark):
+    """Time in proportion to the text, whether its lines match or hold notices among other words."""
+    import time
+    n = 20_000
+    texts = ["Released under the MIT License.\n" * n, "Copyright 2020 Acme. Released under the MIT License. Thanks\n" * n,
+             "released under the mit license " * n, "x y z " * 200_000]
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    t0 = time.perf_counter()
+    got = {r["doc_id"]: r["n"] for r in license_scan.scan_licences(frame, keep=["doc_id"]).select(
+        "doc_id", F.expr("size(filter(licences, m -> m.template = 0))").alias("n")).collect()}
+    assert time.perf_counter() - t0 < 120
+    assert got == {0: n + 1, 1: n, 2: 1, 3: 0}  # lines and their paragraph; windows; one line; none
+
+
 def test_notices_among_other_words(spark):
     texts = ["Copyright 2020 Acme. Released under the MIT License.",
              "/* Some tool of ours, made by many\n * hands and released under\n * the MIT License. Have fun with\n * it all day long */",
