@@ -7,7 +7,7 @@ Flow for every link type::
           --positions in s1 / s2 (array functions)--> fold per (pair, object)
 
 Every distinct sentence is annotated once; tags come from a plug-in over the
-distinct words.  The annotated pairs are written once and all link types of
+distinct words, or over whole sentences (``tagging``).  The annotated pairs are written once and all link types of
 the registry read them.
 
 Output rows: ``pair_id, data_type, object, subjects array<string>,
@@ -25,6 +25,7 @@ from ..functions.text import let, phrase_positions, to_singular, word_positions
 from ..session import stage
 from . import kg
 from .common import lookup
+from .tagging import SentenceTagger
 
 TOKEN_RE = r"[\p{L}\p{N}_]+|[^\s\p{L}\p{N}_]"
 
@@ -70,8 +71,9 @@ def tokens(s: Column) -> Column:
     return F.regexp_extract_all(s, F.lit(TOKEN_RE), 0)
 
 
-#: A tagger takes the distinct lower-case words (column ``word``) and returns
+#: A word tagger takes the distinct lower-case words (column ``word``) and returns
 #: (word, pos, ent) rows, at most one per word; words it leaves out are ``X``.
+#: A ``SentenceTagger`` sees sentences: one word may have many tags.
 Tagger = Callable[[DataFrame], DataFrame]
 
 
@@ -80,36 +82,56 @@ def lexicon_tagger(lexicon: DataFrame) -> Tagger:
     return lambda words: words.join(lexicon.select("word", "pos", "ent"), "word")
 
 
-def annotate_sentences(sentences: DataFrame, tagger: Tagger) -> DataFrame:
-    """(s, ann) per distinct sentence (NLP-01): ``ann`` is an array of (t token,
-    l lower case, g singular, pos, ent, head) in order, ``head`` true where
-    the sentence starts with the token.
+def sentence_id(s: Column) -> Column:
+    """128-bit id of a sentence: what is shuffled in place of its text."""
+    return F.unhex(F.md5(s))
 
-    Tags and singulars are worked out once per distinct word; the table of
-    words is written once and joined to the tokens by its known size."""
-    s = sentences.select(F.col("s")).where(F.col("s").isNotNull()).distinct()
-    ex = s.select("s", F.posexplode(F.transform(tokens(F.col("s")), lambda t: F.struct(
+
+def _annotated(sentences: DataFrame, tagger: Tagger | SentenceTagger) -> DataFrame:
+    """(sid, ann) of (sid, s) rows, one per distinct sentence."""
+    base = sentences.select("sid", tokens(F.col("s")).alias("t"), "s").where(F.size("t") > 0)
+    ex = base.select("sid", F.posexplode(F.transform("t", lambda t: F.struct(
         t.alias("t"), F.startswith(F.col("s"), t).alias("head")))).alias("i", "x")) \
-        .select("s", "i", "x.t", F.lower("x.t").alias("word"), "x.head")
+        .select("sid", "i", "x.t", F.lower("x.t").alias("word"), "x.head")
     words = ex.select("word").distinct()
-    tags = lookup(words.join(tagger(words), "word", "left").select(
-        "word", to_singular(F.col("word")).alias("g"), F.coalesce("pos", F.lit("X")).alias("pos"), "ent"))
-    return ex.join(tags, "word").groupBy("s").agg(F.sort_array(F.collect_list(F.struct(
+    of_words = callable(tagger)
+    tags = words.join(tagger(words), "word", "left") if of_words else words.select(
+        "word", F.lit(None).cast("string").alias("pos"), F.lit(None).cast("string").alias("ent"))
+    tags = lookup(tags.select("word", to_singular(F.col("word")).alias("g"), F.coalesce("pos", F.lit("X")).alias("pos"), "ent"))
+    ann = ex.join(tags, "word").groupBy("sid").agg(F.sort_array(F.collect_list(F.struct(
         "i", "t", F.col("word").alias("l"), "g", "pos", "ent", "head"))).alias("ann"))
+    if of_words:
+        return ann
+    seen = tagger.tag(base.select("sid", "t")).select("sid", F.col("pos").alias("__p"), F.col("ent").alias("__e"))
+    own = F.transform("ann", lambda a, k: a.withField("pos", F.coalesce(F.get("__p", k), F.lit("X"))).withField("ent", F.get("__e", k)))
+    return ann.join(seen, "sid", "left").select("sid", own.alias("ann"))
+
+
+def annotate_sentences(sentences: DataFrame, tagger: Tagger | SentenceTagger) -> DataFrame:
+    """(s, ann) per distinct sentence with a token (NLP-01): ``ann`` is an array
+    of (t token, l lower case, g singular, pos, ent, head) in order, ``head``
+    true where the sentence starts with the token.
+
+    Singulars, and tags of a word tagger, are worked out once per distinct
+    word, tags of a sentence tagger once per distinct sentence."""
+    s = stage(sentences.select(F.col("s")).where(F.col("s").isNotNull()).groupBy(sentence_id(F.col("s")).alias("sid"))
+              .agg(F.first("s").alias("s")), "sentences")
+    return s.join(_annotated(s, tagger), "sid").select("s", "ann")
 
 
-def annotate(pairs: DataFrame, tagger: Tagger | DataFrame) -> DataFrame:
+def annotate(pairs: DataFrame, tagger: Tagger | SentenceTagger | DataFrame) -> DataFrame:
     """(pair_id, t1, l1, g1, pos1, ent1, head1, t2, ...): annotated pairs, staged,
     so that any number of link types read one table.  ``tagger`` may be a
-    lexicon table."""
+    lexicon table.  A sentence's text is shuffled once; then its id stands for it."""
     if isinstance(tagger, DataFrame):
         tagger = lexicon_tagger(tagger)
-    pairs = stage(pairs.select("pair_id", "s1", "s2"), "pairs")
-    both = pairs.select(F.explode(F.array("s1", "s2")).alias("s"))
-    ann = stage(annotate_sentences(both, tagger), "annotated")
-    out = pairs
+    pairs = stage(pairs.select("pair_id", "s1", "s2", *[sentence_id(F.col(f"s{k}")).alias(f"sid{k}") for k in (1, 2)]), "pairs")
+    both = pairs.select(F.explode(F.array(*[F.struct(F.col(f"sid{k}").alias("sid"), F.col(f"s{k}").alias("s")) for k in (1, 2)]))
+                        .alias("x")).select("x.*").where(F.col("s").isNotNull())
+    ann = stage(_annotated(stage(both.groupBy("sid").agg(F.first("s").alias("s")), "sentences"), tagger), "annotated")
+    out = pairs.select("pair_id", "sid1", "sid2")
     for k in (1, 2):
-        out = out.join(ann.select(F.col("s").alias(f"s{k}"), F.col("ann").alias(f"a{k}")), f"s{k}", "left")
+        out = out.join(ann.select(F.col("sid").alias(f"sid{k}"), F.col("ann").alias(f"a{k}")), f"sid{k}", "left")
     cols = [F.coalesce(F.col(f"a{k}.{f}"), F.array().cast(f"array<{'boolean' if f == 'head' else 'string'}>"))
             .alias(f"{f}{k}") for k in (1, 2) for f in ("t", "l", "g", "pos", "ent", "head")]
     return stage(out.select("pair_id", *cols), "annotated-pairs")

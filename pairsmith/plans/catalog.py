@@ -37,5 +37,5 @@ def query(name: str, sql: str | None = None, operators: tuple[str, ...] = ()):
 def load_all() -> dict[str, QueryDef]:
     # importing the plan modules fills the registry
     from . import (q_prepare, q_text, q_hits, q_mix, q_kg, q_links,  # noqa: F401
-                   q_locations, q_runs, q_ml, q_io, q_datasets)
+                   q_locations, q_runs, q_ml, q_io, q_datasets, q_tagging)
     return REGISTRY
