@@ -1,9 +1,9 @@
 """Location mining (AGG-05/06/19, FLT-05/06/07, J-03/04/20, WIN-04/05, EXP-10,
 STR-06/07/10).
 
-Mentions are n-grams: a hash join of each word with the first words of the
-gazetteer names, then leftmost-longest inside the sentence; char spans come
-from the lengths of words and gaps.
+Mentions are runs of words that are gazetteer names, leftmost-longest inside a
+text, with the name's entity types: a trie with failure links in every task for
+a gazetteer of bounded size, else a join with the names' first words.
 
 Random choices of the reference become seeded hashes: a pick from a list is an
 equi-join on (group, ``hash(seed, id) mod size``) with the ranked list, and a
@@ -12,8 +12,9 @@ shuffle position is the rank by ``md5(seed/id)``; no list is ever one row.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +22,7 @@ from ..functions.text import WORD, highlight_span, let, placeholder_span
 from ..session import stage
 from .common import lookup, rank_in_group
 from .split import seeded_rank
+from .trie import TokenTrie
 
 # Country -> chosen city for the tagging sheet (the reference's
 # 'Dominican' entry holds 'Republic<TAB>Santiago', a slip; the intended pair
@@ -42,6 +44,8 @@ OTHER_SEED = "locations!!"
 SECTION2_LABELS = ("Neutral", "Contradiction")
 SECTION2_WORD_TYPES = ("Country", "Location")
 SENTENCE_TYPES = (("sentence1", "permise"), ("sentence2", "hypothesis"))
+#: Bytes of names that tasks hold as a trie (about a hundred times that in a task's memory).
+TRIE_BYTES = 4 << 20
 #: Word places are summed in blocks of this many words.
 BLOCK = 64
 
@@ -93,66 +97,101 @@ def _words(rows: DataFrame, keys: Sequence[str], text_col: str) -> DataFrame:
                                     lambda x: x["w"].isNotNull()).alias("ws"))
 
 
-def _hits(rows: DataFrame, names: DataFrame, keys: Sequence[str], text_col: str, spans: bool,
-          entity_types: Sequence[str] | None) -> DataFrame:
-    """``keys``, k, location, n and x (the words from k on, with their places
-    if ``spans``): every place where a name stands, overlapping ones too."""
-    if entity_types is not None:
-        names = names.where(F.col("ent").isin(list(entity_types)))
+MENTION = "struct<k:int,location:string,words:int,start_char:int,end_char:int,ents:array<string>>"
+
+
+def name_table(names: DataFrame) -> DataFrame:
+    """(first, n, location, p, ents), staged: a name's first word, number of
+    words, words in a row, and the entity types it is listed under (sorted)."""
+    ent = F.col("ent") if "ent" in names.columns else F.lit(None).cast("string")
     parts = F.regexp_extract_all(F.lower("name"), F.lit(WORD + "+"), 0)
-    names = lookup(names.select(parts.alias("p")).where(F.size("p") > 0).select(
-        F.col("p")[0].alias("first"), F.size("p").alias("n"), F.array_join("p", " ").alias("location")).distinct())
-    longest = names.agg(F.max("n")).first()[0] or 0
-    ws = _words(rows, keys, text_col) if spans else rows.select(*keys, F.transform(
-        F.regexp_extract_all(F.col(text_col), F.lit(WORD + "+"), 0),
-        lambda w: F.struct(w.alias("w"), F.lit(0).alias("s"))).alias("ws"))
-    at = ws.select(*keys, F.posexplode(F.transform("ws", lambda x, k: F.slice(
-        "ws", k + 1, F.lit(longest)))).alias("k", "x")) if longest > 1 else \
-        ws.select(*keys, F.posexplode("ws").alias("k", "one")) \
-        .select(*keys, "k", F.array("one").alias("x"))
-    hit = at.join(names, F.lower(F.col("x")[0]["w"]) == F.col("first"))
-    return hit.where((F.size("x") >= F.col("n")) & (F.array_join(F.transform(
-        F.slice("x", F.lit(1), F.col("n")), lambda x: F.lower(x["w"])), " ") == F.col("location")))
-
-
-def _first_longest(hits: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Leftmost-longest mentions of each text, as ``m``."""
-    end = F.get("x", F.col("n") - 1)
-    found = hits.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(
-        "k", (-F.col("n")).alias("neg"), "location", F.col("n").alias("words"), F.col("x")[0]["s"].alias("start_char"),
-        (end["s"] + F.length(end["w"])).alias("end_char")))).alias("h"))
-    free = F.aggregate("h", F.struct(F.array().cast(
-        "array<struct<k:int,neg:int,location:string,words:int,start_char:int,end_char:int>>").alias("a"),
-        F.lit(0).alias("next")), lambda acc, x: F.when(x["k"] >= acc["next"], F.struct(
-            F.concat(acc["a"], F.array(x)).alias("a"), (x["k"] + x["words"]).alias("next"))).otherwise(acc))["a"]
-    kept = F.when(F.exists("h", lambda x: x["words"] > 1), free).otherwise(F.col("h"))
-    return found.select(*keys, F.transform(kept, lambda x: F.struct(
-        x["k"].alias("k"), x["location"].alias("location"), x["words"].alias("words"),
-        x["start_char"].alias("start_char"), x["end_char"].alias("end_char"))).alias("m"))
+    return lookup(names.select(parts.alias("p"), ent.alias("ent")).where(F.size("p") > 0).groupBy("p")
+                  .agg(F.array_sort(F.collect_set("ent")).alias("ents"))
+                  .select(F.col("p")[0].alias("first"), F.size("p").alias("n"), F.array_join("p", " ").alias("location"), "p", "ents"))
+
+
+def _by_trie(rows: DataFrame, table: DataFrame, keys: Sequence[str], text_col: str) -> DataFrame:
+    """Mentions by one pass per text over a trie that every task holds: nothing is shuffled."""
+    listed = {tuple(r["p"]): (r["location"], r["ents"]) for r in table.select("p", "location", "ents").collect()}
+    sent = rows.sparkSession.sparkContext.broadcast(listed)
+    slim = rows.select(*keys, F.col(text_col).cast("string").alias("__text"))
+    out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema.fields[:-1])
+    fields = slim.columns[:-1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import regex
+        word, known = regex.compile(WORD + "+"), sent.value
+        trie = TokenTrie(known)
+        kind = pa.list_(pa.struct([("k", pa.int32()), ("location", pa.string()), ("words", pa.int32()), ("start_char", pa.int32()),
+                                   ("end_char", pa.int32()), ("ents", pa.list_(pa.string()))]))
+        for batch in batches:
+            found, at = [], []
+            for i, text in enumerate(batch.column(len(fields)).to_pylist()):
+                places = list(word.finditer(text or ""))
+                words = [m.group().lower() for m in places]
+                if hits := trie.leftmost_longest(words):
+                    at.append(i)
+                    found.append([{"k": k, "location": known[name][0], "words": n, "start_char": places[k].start(),
+                                   "end_char": places[k + n - 1].end(), "ents": known[name][1]}
+                                  for k, n in hits for name in [tuple(words[k:k + n])]])
+            some = batch.take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*some.columns[:-1], pa.array(found, kind)], [*fields, "m"])
+
+    return slim.mapInArrow(run, f"{out}, m array<{MENTION}>")
+
+
+def _by_join(rows: DataFrame, table: DataFrame, keys: Sequence[str], text_col: str) -> DataFrame:
+    """Mentions by a join of the words with the names' first words, for any
+    number of names: words travel alone, and only texts with a first word in
+    them are met again to compare the words that follow."""
+    word = F.posexplode(F.regexp_extract_all(F.lower(text_col), F.lit(WORD + "+"), 0)).alias("k", "__w")
+    hit = rows.select(*keys, word).join(table, F.col("__w") == F.col("first"))
+    each = hit.groupBy(*keys).agg(F.collect_list(F.struct("k", (-F.col("n")).alias("neg"), "n", "location", "p", "ents")).alias("__h"))
+    each = each.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], "__h")
+    ws = _words(rows.select(*keys, F.col(text_col).alias("__text")), keys, "__text")
+    on = [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)]
+    both = ws.join(each, on).select(*keys, "ws", F.sort_array(F.filter("__h", lambda h: F.transform(
+        F.slice("ws", h["k"] + 1, h["n"]), lambda x: F.lower(x["w"])) == h["p"])).alias("h"))
+
+    def mention(h):
+        end = F.get("ws", h["k"] + h["n"] - 1)
+        return F.struct(h["k"].alias("k"), h["location"].alias("location"), h["n"].alias("words"),
+                        F.get("ws", h["k"])["s"].alias("start_char"), (end["s"] + F.length(end["w"])).alias("end_char"),
+                        h["ents"].alias("ents"))
+    free = F.aggregate("h", F.struct(F.array().cast(f"array<{MENTION}>").alias("a"), F.lit(0).alias("next")),
+                       lambda acc, h: F.when(h["k"] >= acc["next"], F.struct(
+                           F.concat(acc["a"], F.array(mention(h))).alias("a"), (h["k"] + h["n"]).alias("next"))).otherwise(acc))["a"]
+    kept = F.when(F.exists("h", lambda h: h["n"] > 1), free).otherwise(F.transform("h", mention))
+    return both.select(*keys, kept.alias("m")).where(F.size("m") > 0)
 
 
 def mentions(rows: DataFrame, names: DataFrame, keys: Sequence[str], text_col: str = "text",
-             entity_types: Sequence[str] | None = None) -> DataFrame:
+             entity_types: Sequence[str] | None = None, trie_bytes: int = TRIE_BYTES) -> DataFrame:
     """``keys`` and ``m``: the gazetteer mentions (NLP-04) of a text as an array
-    of (k, location, words, start_char, end_char), leftmost-longest, texts
-    without one left out.
-
-    ``names``: (name[, ent]); ``entity_types`` keeps names of those types.  A
-    name of several words matches them in a row whatever stands between."""
-    return _first_longest(_hits(rows, names, keys, text_col, True, entity_types), keys)
-
-
-def corpus_mentions(sentences: DataFrame, names: DataFrame, text_col: str = "text",
-                    id_col: str = "id") -> DataFrame:
-    """Mention count per lower-cased location over a corpus (AGG-05).  Texts in
-    which no name of several words stands are counted as they are; only the
-    others have overlaps to settle."""
-    hits = stage(_hits(sentences, names, [id_col], text_col, False, None).select(id_col, "k", "location", "n", "x"), "mentions")
-    several = hits.where(F.col("n") > 1).select(F.col(id_col).alias("__id")).distinct()
-    plain = hits.join(several, F.col(id_col).eqNullSafe(F.col("__id")), "left_anti").select("location")
-    mixed = hits.join(several, F.col(id_col).eqNullSafe(F.col("__id")), "left_semi")
-    settled = _first_longest(mixed, [id_col]).select(F.explode("m.location").alias("location"))
-    return plain.unionAll(settled).groupBy("location").agg(F.count(F.lit(1)).cast("bigint").alias("cnt"))
+    of (k, location, words, start_char, end_char, ents), leftmost-longest,
+    texts without one left out.  ``keys`` name each text (repeated rows with
+    equal keys are one text to ``_by_join``, so keys should be distinct).
+
+    ``names``: (name[, ent]), a name under any number of types.  All names are
+    matched; ``entity_types`` then keeps the mentions of one of those types
+    (FLT-07).  A name of several words matches them in a row whatever stands
+    between.  Up to ``trie_bytes`` of names go to every task as a trie; more
+    are joined by their first words."""
+    table = name_table(names)
+    size = table.agg(F.sum(F.octet_length("location"))).first()[0] or 0
+    found = (_by_trie if size <= trie_bytes else _by_join)(rows, table, keys, text_col)
+    if entity_types is None:
+        return found
+    wanted = F.array(*[F.lit(t) for t in entity_types]) if entity_types else F.array().cast("array<string>")
+    return found.select(*keys, F.filter("m", lambda x: F.arrays_overlap(x["ents"], wanted)).alias("m")).where(F.size("m") > 0)
+
+
+def corpus_mentions(sentences: DataFrame, names: DataFrame, text_col: str = "text", id_col: str = "id",
+                    entity_types: Sequence[str] | None = None, trie_bytes: int = TRIE_BYTES) -> DataFrame:
+    """Mention count per lower-cased location over a corpus (AGG-05)."""
+    found = mentions(sentences, names, [id_col], text_col, entity_types, trie_bytes)
+    return found.select(F.explode("m.location").alias("location")).groupBy("location") \
+        .agg(F.count(F.lit(1)).cast("bigint").alias("cnt"))
 
 
 def sentence_rows(corpus: DataFrame, sample_id: str = "sample_id") -> DataFrame:

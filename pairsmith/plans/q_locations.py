@@ -133,6 +133,34 @@ def q_corpus_mentions(spark, sf_dir):
     return L.corpus_mentions(docs, _names(stage(gazetteer_raw(spark, sf_dir), "gazetteer")))
 
 
+# types of this binding: countries GPE; cities GPE, or LOC by a rule; every eleventh city also ORG
+def _typed_names(raw):
+    h = _h(F.col("name"))
+    cities = raw.select(F.lower("city").alias("name")).where(F.col("name").isNotNull()).distinct()
+    types = F.array(F.when(F.pmod(h, F.lit(3)) == 0, F.lit("LOC")).otherwise(F.lit("GPE")), F.when(F.pmod(h, F.lit(11)) == 0, F.lit("ORG")))
+    return raw.select(F.lower("country").alias("name")).distinct().withColumn("ent", F.lit("GPE")).unionByName(
+        cities.select("name", F.explode(types).alias("ent")).where(F.col("ent").isNotNull()))
+
+
+@query("typed_mentions", "WITH RECURSIVE " + GAZ_SQL + """,
+src AS (SELECT doc_id AS id, text FROM documents),""" + _found_sql("src", "id") + """,
+ty AS (SELECT DISTINCT lower(country) AS name, 'GPE' AS ent FROM gaz_raw
+       UNION SELECT lower(city), CASE WHEN ('0x' || substr(md5(lower(city)), 1, 8))::BIGINT % 3 = 0 THEN 'LOC' ELSE 'GPE' END
+             FROM gaz_raw WHERE city IS NOT NULL
+       UNION SELECT lower(city), 'ORG' FROM gaz_raw
+             WHERE city IS NOT NULL AND ('0x' || substr(md5(lower(city)), 1, 8))::BIGINT % 11 = 0)
+SELECT x.location AS location, CAST(count(*) AS BIGINT) AS cnt, CAST(min(x.s) AS INTEGER) AS first_char
+FROM (SELECT unnest(m) AS x FROM found)
+WHERE EXISTS (SELECT 1 FROM ty WHERE ty.name = x.location AND ty.ent IN ('LOC', 'ORG')) GROUP BY x.location""",
+       ("FLT-07", "NLP-04", "AGG-05"))
+def q_typed_mentions(spark, sf_dir):
+    """Mentions listed as LOC or ORG: count and least start in a document."""
+    docs = read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    names = _typed_names(stage(gazetteer_raw(spark, sf_dir), "gazetteer"))
+    found = L.mentions(docs, names, ["id"], entity_types=["LOC", "ORG"]).select(F.explode("m").alias("x"))
+    return found.groupBy("x.location").agg(F.count(F.lit(1)).cast("bigint").alias("cnt"), F.min("x.start_char").alias("first_char"))
+
+
 def _sentences_sql():
     from .q_mix import CORPUS_SQL
     corpus_only = CORPUS_SQL[:CORPUS_SQL.index("keyed AS")].rstrip().rstrip(",")

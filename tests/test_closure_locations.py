@@ -113,3 +113,54 @@ def test_fold_takes_the_first_feature_type(spark):
                                  "pair_id long, object string, subject string, s_ind array<int>, o_ind array<int>, first int, feature_type string")
     got = linking.fold_links(rows, "color").collect()
     assert [(r["subjects"], r["feature_type"]) for r in got] == [(["ring"], "color")]
+
+
+def _all_hits(words, names):
+    return sorted((k, len(n)) for k in range(len(words)) for n in names if tuple(words[k:k + len(n)]) == n)
+
+
+def test_trie_finds_what_brute_force_finds():
+    import random
+    from pairsmith.operators.trie import TokenTrie
+    rng = random.Random(4)
+    for _ in range(300):
+        names = {tuple(rng.choice("abc") for _ in range(rng.randint(1, 4))) for _ in range(rng.randint(0, 12))}
+        words = [rng.choice("abcd") for _ in range(rng.randint(0, 30))]
+        trie = TokenTrie(names)
+        hits = _all_hits(words, names)
+        assert sorted(trie.hits(words)) == hits
+        free, want = 0, []
+        for k, n in sorted(hits, key=lambda h: (h[0], -h[1])):
+            if k >= free:
+                want.append((k, n))
+                free = k + n
+        assert trie.leftmost_longest(words) == want
+    deep = TokenTrie([["a"] * n for n in range(1, 200)] + [["a"] * 300 + ["b"]])
+    assert deep.leftmost_longest(["a"] * 1000)[0] == (0, 199)
+
+
+@pytest.mark.parametrize("trie_bytes", [1 << 20, 0])
+def test_mentions_by_trie_and_by_join(spark, trie_bytes):
+    names = spark.createDataFrame([("New York", "GPE"), ("york", "GPE"), ("york", "ORG"), ("york minster", "LOC"), ("new york city hall", None),
+                                   ("--", "GPE"), (None, "GPE"), ("straße", "LOC")], "name string, ent string")
+    texts = [(1, "NEW york minster, YORK\nMinster; Straße"), (2, "new york city hall new york city"), (3, None), (None, "York"), (5, ""),
+             (6, "é 😀 york minster york")]
+    df = spark.createDataFrame(texts, "id int, text string")
+    got = {r["id"]: [(m["location"], m["k"], m["words"], m["ents"]) for m in r["m"]]
+           for r in locations.mentions(df, names, ["id"], trie_bytes=trie_bytes).collect()}
+    york = ("york", 1, ["GPE", "ORG"])
+    place = lambda x, k: (x[0], k, *x[1:])
+    assert got == {1: [("new york", 0, 2, ["GPE"]), ("york minster", 3, 2, ["LOC"]), ("straße", 5, 1, ["LOC"])],
+                   2: [("new york city hall", 0, 4, []), ("new york", 4, 2, ["GPE"])], None: [place(york, 0)],
+                   6: [("york minster", 1, 2, ["LOC"]), place(york, 3)]}
+    spans = {r["id"]: r["m"] for r in locations.mentions(df, names, ["id"], trie_bytes=trie_bytes).collect()}
+    for i, t in texts:
+        for m in spans.get(i, []):
+            found = t[m["start_char"]:m["end_char"]].lower()
+            assert found.split()[0] == m["location"].split()[0] and found.split()[-1] == m["location"].split()[-1]
+    typed = {r["id"]: [m["location"] for m in r["m"]]
+             for r in locations.mentions(df, names, ["id"], entity_types=["ORG", "LOC"], trie_bytes=trie_bytes).collect()}
+    assert typed == {1: ["york minster", "straße"], None: ["york"], 6: ["york minster", "york"]}
+    counts = dict(_pairs(locations.corpus_mentions(df, names, trie_bytes=trie_bytes)))
+    assert counts == {"new york": 2, "york minster": 2, "straße": 1, "new york city hall": 1, "york": 2}
+    assert locations.corpus_mentions(df, names.limit(0), trie_bytes=trie_bytes).count() == 0
