@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from ..operators import kg, linking
 from ..operators.common import lookup
+from ..operators.link_memo import resumed_links
+from ..session import scratch_path, stage
 from . import kg_binding as B
 from .catalog import query
 
@@ -360,3 +362,19 @@ def q_link_index_sets(spark, sf_dir):
     return r.select("pair_id", "data_type",
                     F.array_join(F.transform("a_indices", lambda x: x.cast("string")), ",").alias("a_indices"),
                     F.array_join(F.transform("b_indices", lambda x: x.cast("string")), ",").alias("b_indices"))
+
+
+def _all_links_sql():
+    return "SELECT * FROM (" + ") UNION ALL BY NAME SELECT * FROM (".join(
+        (_isa_sql(), _location_sql(), _trademark_sql(), _color_sql())) + ")"
+
+
+@query("links_resumed", _all_links_sql(), ("SNK-06", "J-18", "NLP-07", "STR-16"))
+def q_links_resumed(spark, sf_dir):
+    """Links of the four types: a first run over every other pair, then one over
+    all pairs that takes the first one's links from the store."""
+    pairs = stage(B.pairs(spark, sf_dir), "pairs")
+    tagger, path = B.lexicon(spark, sf_dir), scratch_path(spark, "link-store")
+    types = linkers(spark, sf_dir)
+    resumed_links(pairs.where(F.col("pair_id") % 2 == 0), tagger, path, types)
+    return _show(resumed_links(pairs, tagger, path, types))

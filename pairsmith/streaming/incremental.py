@@ -1,18 +1,21 @@
 """Incremental writes: resume an interrupted run and a memo table (SNK-05,
-SNK-06, J-18).  Both are anti-joins against what is already stored followed
-by an append of a new batch, so a rerun after a lost executor or a killed job
+SNK-06, J-18).  A resume is an anti-join against what is already stored, a
+memo look-up reads the parts of its store that may hold a key (``store``); both
+append a new batch, so a rerun after a lost executor or a killed job
 only computes what is missing.  A batch directory is written completely
 before it becomes visible (Spark's commit protocol), so a failed write leaves
 no partial batch to be read back."""
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import stage
+from .store import KeyedStore
+
 
 def _existing(spark: SparkSession, path: str, fmt: str) -> DataFrame | None:
     """The stored table, or None where no file lies yet.  Any other fault
@@ -52,14 +55,13 @@ def resume_append(new: DataFrame, path: str, keys: Sequence[str], fmt: str = "pa
     return spark.read.format(fmt).load(path)
 
 
-def memo_lookup(keys: DataFrame, path: str, key: str, compute: Callable[[DataFrame], DataFrame],
-                fmt: str = "parquet") -> DataFrame:
+def memo_lookup(keys: DataFrame, path: str, key: str, compute: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Memo table keyed by ``key``: ``compute`` sees only the misses, its rows
-    are appended as a new batch, and stored values come back for every key."""
-    spark = keys.sparkSession
-    old = _existing(spark, path, fmt)
-    wanted = keys.select(key).distinct()
-    misses = wanted if old is None else _missing(wanted, old, [key])
-    compute(misses).write.mode("append").format(fmt).save(f"{path.rstrip('/')}/batch={uuid.uuid4().hex}")
-    stored = spark.read.format(fmt).load(path).drop("batch").withColumnRenamed(key, "__key")
-    return wanted.join(stored, F.col(key).eqNullSafe(F.col("__key"))).drop("__key")
+    are stored as a new batch, and values come back for every key.  Of the
+    stored table only the file groups that may hold a key are read."""
+    store = KeyedStore(keys.sparkSession, path, key)
+    wanted = stage(keys.select(key).distinct(), "memo-keys")
+    hits = store.stored(wanted)
+    found = stage(compute(store.missing(wanted, hits)), "memo-misses")
+    store.add(found)
+    return found.unionByName(hits, allowMissingColumns=True)
