@@ -1,15 +1,17 @@
 """Bag-of-n-grams baseline classifier as a Spark ML job (AGG-14, ML-01..03).
 
-Per text column: tokens of two or more word characters, 1..3-grams,
-counts, IDF, L2 norm; the column vectors are stacked, and a multinomial
-logistic regression is fitted with balanced class weights (C = 1 ->
-``regParam = 1 / (C * n)``).  Vocabulary figures are also available as a
-plain aggregate with the smoothed IDF ``ln((1 + n) / (1 + df)) + 1``.
+Per text column: tokens of two or more word characters, 1..3-grams, counts
+times the smoothed IDF ``ln((1 + n) / (1 + df)) + 1``, scaled to length 1 (one
+feature path, ``text_features``); the columns stand side by side, and a
+multinomial logistic regression is fitted with balanced class weights.  Its
+optimum is checked: ``gradient`` works out the regularised loss and its
+gradient at the written coefficients as aggregates, apart from the fit.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,83 +19,115 @@ from pyspark.sql import functions as F
 from ..functions.text import tokens2
 from ..session import stage
 from . import metrics
+from . import text_features as X
 
 # Vocabulary size and iteration limit of the baseline.
 VOCAB_SIZE = 843_000
 MAX_ITER = 10_000
+#: Relative change of the loss at which the fit ends.
+TOLERANCE = 1e-12
 
 
 def vocabulary(docs: DataFrame, text: str, doc_id: str, min_df: int = 1, max_df: float = 1.0,
                max_features: int | None = None) -> DataFrame:
     """(term, tf, df, idf) over all documents: ``df`` kept in
     [min_df, max_df * n]; the ``max_features`` most frequent terms (ties by
-    term) when given — the vocabulary size is the feature, every row is
-    counted."""
+    hash, then term) when given - the vocabulary size is the feature, every
+    row is counted."""
     n = docs.select(doc_id).distinct().count()
     per_doc = docs.select(doc_id, F.explode(tokens2(F.col(text))).alias("term")) \
         .groupBy(doc_id, "term").agg(F.count(F.lit(1)).alias("c"))
     v = per_doc.groupBy("term").agg(F.sum("c").cast("bigint").alias("tf"), F.count(F.lit(1)).cast("bigint").alias("df"))
     v = v.where((F.col("df") >= min_df) & (F.col("df") <= F.lit(max_df * n)))
     if max_features:
-        v = v.orderBy(F.desc("tf"), F.asc("term")).limit(max_features)
+        v = X.most_frequent(stage(v.withColumn("col", F.lit(text)), "terms"), max_features).drop("col")
     return v.withColumn("idf", F.log((F.lit(1.0) + n) / (F.lit(1.0) + F.col("df"))) + 1)
 
 
-def tfidf_features(docs: DataFrame, text: str, doc_id: str, ngrams: int = 3) -> DataFrame:
+def tfidf_features(docs: DataFrame, text: str, doc_id: str, ngrams: int = 3, vocab_size: int | None = None) -> DataFrame:
     """(doc_id, term, weight): 1..``ngrams``-grams of tokens of two or more
     word characters, counts times the smoothed IDF, L2-normalised per document
-    (ML-01).  Two shuffles: by (document, term) and by term; the norm needs a
-    third by document."""
-    toks = docs.select(F.col(doc_id).alias("doc_id"), tokens2(F.col(text)).alias("t"))
-    grams = F.flatten(F.array(*[F.transform(
-        F.when(F.size("t") >= k, F.sequence(F.lit(1), F.size("t") - (k - 1))).otherwise(F.array().cast("array<int>")),
-        _gram(k)) for k in range(1, ngrams + 1)]))
-    n = docs.select(doc_id).distinct().count()
-    tf = toks.select("doc_id", F.explode(grams).alias("term")).groupBy("doc_id", "term") \
-        .agg(F.count(F.lit(1)).alias("tf"))
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    raw = tf.join(df, "term").withColumn("w", F.col("tf") * (F.log((1.0 + F.lit(n)) / (1.0 + F.col("df"))) + 1))
-    norm = raw.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return raw.join(norm, "doc_id").select("doc_id", "term", (F.col("w") / F.col("norm")).alias("weight"))
+    (ML-01)."""
+    counts = stage(X.term_counts(docs.select(doc_id, F.col(text).alias("text")), doc_id, ["text"], ngrams), "term-counts")
+    vocab = X.vocabulary(counts, docs.select(doc_id).distinct().count(), vocab_size or (1 << 62))
+    return X.tfidf_rows(counts, vocab).select(F.col("row").alias("doc_id"), "term", "weight")
 
 
-def _gram(size: int):
-    return lambda i: F.array_join(F.slice(F.col("t"), i, size), " ")
+@dataclass
+class Baseline:
+    """A fitted baseline with all that its check needs."""
 
+    model: object
+    train: DataFrame         # row, y, weight, features
+    test: DataFrame          # row, y, features
+    weights: DataFrame       # row, col, term, idx, weight of the training rows
+    coefficients: DataFrame  # idx, beta array<double> (by class; idx -1: intercepts)
+    n_train: int
+    size: int
+    penalty: float           # factor of half the squared coefficients
 
-def fit_and_score(train: DataFrame, test: DataFrame, text_cols: Sequence[str], label: str = "label",
-                  vocab_size: int = VOCAB_SIZE, C: float = 1.0, max_iter: int = MAX_ITER) -> DataFrame:
-    """Train on ``train``, predict ``test``; one row of accuracy, macro- and
-    micro-F1 (ML-01..03, AGG-13).  Spark's IDF lacks the + 1 of the smoothed
-    form, so counts are scaled by its weights plus one."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import CountVectorizer, ElementwiseProduct, IDF, NGram, Normalizer, VectorAssembler
-    from pyspark.ml.linalg import Vectors
 
+def fit(train: DataFrame, test: DataFrame, text_cols: Sequence[str], label: str = "label", vocab_size: int = VOCAB_SIZE,
+        C: float = 1.0, max_iter: int = MAX_ITER) -> Baseline:
+    """Fit on ``train`` rows with a known label; the loss is the weighted mean of
+    the log losses plus ``1 / (2 C n)`` times the squared coefficients."""
+    from pyspark.ml.classification import LogisticRegression
     idx = metrics.label_index(label)
-    tr = train.withColumn("y", idx.cast("double")).where(F.col("y") >= 0)
-    te = test.withColumn("y", idx.cast("double")).where(F.col("y") >= 0)
+    both = []
+    for name, df in (("lr-train", train), ("lr-test", test)):
+        df = df.withColumn("y", idx.cast("double")).where(F.col("y") >= 0).select("y", *text_cols)
+        both.append(stage(df.withColumn("row", F.monotonically_increasing_id()), name))
+    tr, te = both
+    n = tr.count()
+    counts = stage(X.term_counts(tr, "row", text_cols), "term-counts")
+    vocab = X.vocabulary(counts, n, vocab_size)
+    size = max(vocab.count(), 1)
+    weights = stage(X.tfidf_rows(counts, vocab), "weights")
     w = metrics.class_weights(tr, "y").select(F.col("label").alias("y"), "weight")
-    tr = tr.join(F.broadcast(w), "y")  # one row per class: bounded
-    outs = []
-    for c in text_cols:
-        fitted = []
-        for df in (tr, te):
-            df = df.withColumn(f"__t_{c}", tokens2(F.coalesce(F.col(c), F.lit(""))))
-            for k in (1, 2, 3):
-                df = NGram(n=k, inputCol=f"__t_{c}", outputCol=f"__g{k}_{c}").transform(df)
-            fitted.append(df.withColumn(f"__g_{c}", F.concat(*[f"__g{k}_{c}" for k in (1, 2, 3)]))
-                          .drop(f"__t_{c}", *[f"__g{k}_{c}" for k in (1, 2, 3)]))
-        cv = CountVectorizer(inputCol=f"__g_{c}", outputCol=f"__tf_{c}", vocabSize=vocab_size).fit(fitted[0])
-        tr, te = (cv.transform(df).drop(f"__g_{c}") for df in fitted)
-        idf = IDF(inputCol=f"__tf_{c}", outputCol="__unused").fit(tr).idf
-        scale = ElementwiseProduct(scalingVec=Vectors.dense([x + 1.0 for x in idf.toArray()]), inputCol=f"__tf_{c}",
-                                   outputCol=f"__idf_{c}")
-        unit = Normalizer(inputCol=f"__idf_{c}", outputCol=f"__v_{c}", p=2.0)
-        tr, te = (unit.transform(scale.transform(df)).drop(f"__tf_{c}", f"__idf_{c}") for df in (tr, te))
-        outs.append(f"__v_{c}")
-    stack = VectorAssembler(inputCols=outs, outputCol="features")
-    tr = stage(stack.transform(tr).select("y", "weight", "features"), "lr-train")
-    lr = LogisticRegression(featuresCol="features", labelCol="y", weightCol="weight", family="multinomial",
-                            regParam=1.0 / (C * max(tr.count(), 1)), elasticNetParam=0.0, maxIter=max_iter)
-    return metrics.scores(lr.fit(tr).transform(stack.transform(te)), "y", "prediction")
+    tr = X.vectors(tr.join(F.broadcast(w), "y").select("row", "y", "weight"), "row", weights, size)  # one row per class: bounded
+    te = X.vectors(te.select("row", "y"), "row", X.tfidf_rows(X.term_counts(te, "row", text_cols), vocab), size)
+    penalty = 1.0 / (C * max(n, 1))
+    model = LogisticRegression(featuresCol="features", labelCol="y", weightCol="weight", family="multinomial", regParam=penalty,
+                               elasticNetParam=0.0, maxIter=max_iter, tol=TOLERANCE, standardization=False).fit(tr)
+    beta = model.coefficientMatrix.toArray().T
+    used = abs(beta).sum(axis=1).nonzero()[0]
+    rows = [(int(i), [float(b) for b in beta[i]]) for i in used] + [(-1, [float(b) for b in model.interceptVector.toArray()])]
+    coefficients = stage(train.sparkSession.createDataFrame(rows, "idx int, beta array<double>"), "coefficients")
+    return Baseline(model, tr, te, weights, coefficients, n, size, penalty)
+
+
+def gradient(b: Baseline) -> DataFrame:
+    """One row (loss, gradient_norm): the regularised loss of the written
+    coefficients and the length of its gradient, from the training rows'
+    weights alone."""
+    sums = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, x: a + x)
+    k = len(b.coefficients.where("idx = -1").first()["beta"])
+    each = lambda f: [f(j) for j in range(k)]
+    base = b.train.select("row", "y", F.col("weight").alias("rw"))
+    heads = [F.lit(x) for x in b.coefficients.where("idx = -1").first()["beta"]]
+    cells = b.weights.select("row", "idx", F.col("weight").alias("v"))
+    dots = cells.join(b.coefficients, "idx").groupBy("row").agg(*each(lambda j: F.sum(F.col("v") * F.col("beta")[j]).alias(f"s{j}")))
+    m = base.join(dots, "row", "left").select("row", "y", "rw", F.array(*each(
+        lambda j: F.coalesce(f"s{j}", F.lit(0.0)) + heads[j])).alias("s"))
+    m = m.withColumn("top", F.array_max("s")).withColumn("e", F.transform("s", lambda x: F.exp(x - F.col("top"))))
+    m = m.withColumn("p", F.transform("e", lambda x: x / sums("e")))
+    m = stage(m.select("row", "y", "rw", "p", (F.col("rw") * (F.log(sums("e")) + F.col("top") - F.element_at("s", F.col("y").cast("int") + 1)))
+                       .alias("loss"), F.transform("p", lambda p, j: F.col("rw") * (p - (j == F.col("y")).cast("double"))).alias("r")), "residuals")
+    total = m.agg(F.sum("rw").alias("w"), F.sum("loss").alias("loss"), *each(lambda j: F.sum(F.col("r")[j]).alias(f"i{j}"))).first()
+    data = cells.join(m.select("row", "r"), "row").groupBy("idx").agg(*each(lambda j: F.sum(F.col("v") * F.col("r")[j]).alias(f"g{j}")))
+    zero = F.array(*[F.lit(0.0)] * k)
+    full = data.join(b.coefficients.where("idx >= 0"), "idx", "full_outer").withColumn("beta", F.coalesce("beta", zero))
+    g = F.array(*each(lambda j: F.coalesce(f"g{j}", F.lit(0.0)) / F.lit(total["w"]) + F.lit(b.penalty) * F.col("beta")[j]))
+    squares = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, x: a + x * x)
+    own = sum((total[f"i{j}"] / total["w"]) ** 2 for j in range(k))
+    out = full.agg(F.coalesce(F.sum(squares(g)), F.lit(0.0)).alias("gg"), F.coalesce(F.sum(squares(F.col("beta"))), F.lit(0.0)).alias("bb"))
+    return out.select((F.lit(total["loss"] / total["w"]) + F.lit(b.penalty / 2) * F.col("bb")).alias("loss"),
+                      F.sqrt(F.col("gg") + F.lit(own)).alias("gradient_norm"))
+
+
+def fit_and_score(train: DataFrame, test: DataFrame, text_cols: Sequence[str], label: str = "label",
+                  vocab_size: int = VOCAB_SIZE, C: float = 1.0, max_iter: int = MAX_ITER) -> DataFrame:
+    """Train on ``train``, predict ``test``; one row of accuracy, macro- and
+    micro-F1 (ML-01..03, AGG-13)."""
+    b = fit(train, test, text_cols, label, vocab_size, C, max_iter)
+    return metrics.scores(b.model.transform(b.test), "y", "prediction")
