@@ -14,10 +14,14 @@ concatenated and exploded.  Narrow, no shuffle, no Python.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import word_position
+from .filters import is_complete
 
 # Answer-sheet column names.
 C_PREMISE = "Input.premise"
@@ -132,112 +136,148 @@ def _gate(ok_reason: Column, arr: Column) -> Column:
     return F.when(ok_reason.isNull(), arr).otherwise(F.array().cast(f"array<{SAMPLE_TYPE}>"))
 
 
-def expand_sheet(sheet: DataFrame, row_id: str = "row_id", fix_section4_label: bool = False):
-    """Return ``(samples, quarantine)`` DataFrames.
+@dataclass(frozen=True)
+class Cells:
+    """What parsers build from: cells of a sheet row, their lists, and word
+    positions worked out once per row (used by several gates and by every
+    element of a block; those that no parser asks for are pruned)."""
+
+    premise: Column
+    hypo: Column
+    hyper: Column
+    hypos: Column       # lists
+    non: Column
+    non0: Column        # first of the non-hyponyms
+    p4: Column          # free premises without their number
+    p5: Column
+    pos: dict[str, Column]
+    fix_section4_label: bool
+
+    @property
+    def hyper_sentence(self) -> Column:
+        return replace_at(self.premise, self.hypo, self.pos["ph"], self.hyper)
+
+
+#: A block is (its own reason to fail or null, its samples as an array column).
+Block = tuple[Column, Column]
+#: A parser builds the blocks of one row, in order: a block is emitted iff its
+#: own checks and those of the blocks before it pass.
+Parser = Callable[[Cells], list[Block]]
+
+
+def _size_ne(a: str, b: Column) -> Column:
+    return F.size(F.split(col(a), ",")) != F.size(b)
+
+
+def _found(s: Column, w: Column, pos: Column) -> list[tuple[Column, str]]:
+    """Word tests of the free-text parsers (no format test)."""
+    return [(s.isNull() | w.isNull(), NULL), (pos == 0, NOT_FOUND)]
+
+
+def parse_1(c: Cells) -> list[Block]:
+    """Hyponym premise, hypernym hypothesis (EXP-01)."""
+    ok = _first_reason(*list_checks(col(C_L1B)), *replace_checks(c.premise, c.hypo, c.pos["ph"]))
+    return [(ok, F.array(_sample(c.premise, c.hyper_sentence, col(C_L1B), 1, 1, c.hypo, c.hyper, "hypo", "hyper", F.lit(0))))]
+
+
+def _both_ways(c: Cells, parser: int, words: Column, cell: str, kind: str, first: str, second: str, hyper_first: bool) -> list[Block]:
+    """A word list against the hypernym sentence, labels of each way in a cell."""
+    other = lambda w: replace_at(c.premise, c.hypo, c.pos["ph"], w)
+    down = lambda block: lambda w, lab, i: _sample(c.hyper_sentence, other(w), lab, parser, block, c.hyper, w, "hyper", kind, i)
+    up = lambda block: lambda w, lab, i: _sample(other(w), c.hyper_sentence, lab, parser, block, w, c.hyper, kind, "hyper", i)
+    one, two = (down(1), up(2)) if hyper_first else (up(1), down(2))
+    return [(_first_reason(*list_checks(col(cell)), *replace_checks(c.premise, c.hypo, c.pos["ph"]),
+                           *list_checks(col(first)), (_size_ne(first, words), LENGTH)),
+             _zip_block(words, F.split(col(first), ","), one)),
+            (_first_reason(*list_checks(col(second)), (_size_ne(second, words), LENGTH)),
+             _zip_block(words, F.split(col(second), ","), two))]
+
+
+def parse_2(c: Cells) -> list[Block]:
+    """Hypernym against each hyponym, both ways (EXP-02)."""
+    return _both_ways(c, 2, c.hypos, C_HYPOS, "hypo", C_L2B2, C_L2B1, True)
+
+
+def parse_3(c: Cells) -> list[Block]:
+    """Hypernym against each non-hyponym, both ways (EXP-03)."""
+    return _both_ways(c, 3, c.non, C_NON, "nonhypo", C_L3B1, C_L3B2, False)
+
+
+def parse_4(c: Cells) -> list[Block]:
+    """Free hypernym premise (EXP-04)."""
+    label4b = col(C_4BL) if c.fix_section4_label else col(C_5BL)
+    ok = _first_reason(*list_checks(col(C_NON)), (col(C_P4).isNull(), NULL), *_found(c.p4, c.hyper, c.pos["p4h"]),
+                       *_found(col(C_4A), c.hypo, c.pos["4a"]), *_found(col(C_4B), c.non0, c.pos["4b"]), (_has_empty(c.p4), EMPTY))
+    return [(ok, F.array(_sample(c.p4, col(C_4A), col(C_4AL), 4, 1, c.hyper, c.hypo, "hyper", "hypo", F.lit(0)),
+                         _sample(c.p4, col(C_4B), label4b, 4, 2, c.hyper, c.non0, "hyper", "nonhypo", F.lit(1))))]
+
+
+def parse_5(c: Cells) -> list[Block]:
+    """Free hyponym premise (EXP-05)."""
+    ok = _first_reason(*list_checks(col(C_NON)), (col(C_P5).isNull(), NULL), *_found(c.p5, c.hypo, c.pos["p5"]),
+                       *_found(col(C_5A), c.hyper, c.pos["5ah"]), *_found(col(C_5B), c.non0, c.pos["5b"]), (_has_empty(c.p5), EMPTY))
+    return [(ok, F.array(_sample(c.p5, col(C_5A), col(C_5AL), 5, 1, c.hypo, c.hyper, "hypo", "hyper", F.lit(0)),
+                         _sample(c.p5, col(C_5B), col(C_5BL), 5, 2, c.hypo, c.non0, "hypo", "nonhypo", F.lit(1))))]
+
+
+def parse_6(c: Cells) -> list[Block]:
+    """Substitutions in the free texts (EXP-06); the non-hyponyms' first element is skipped."""
+    t4a, t4b, t5a, t5b = col(C_4A), col(C_4B), col(C_5A), col(C_5B)
+    rest = F.slice(c.non, 2, 1 << 30)
+    common = _first_reason((col(C_P4).isNull() | col(C_P5).isNull(), NULL), *list_checks(col(C_HYPOS)), *list_checks(col(C_NON)),
+                           *_found(c.p4, c.hyper, c.pos["p4h"]), *_found(c.p5, c.hypo, c.pos["p5"]))
+    a = F.transform(c.hypos, lambda w, i: _sample(c.p4, replace_at(t4a, c.hypo, c.pos["4a"], w), col(C_4AL), 6, 1,
+                                                  c.hyper, w, "hyper", "hypo", i))
+    b = F.transform(rest, lambda w, i: _sample(c.p4, replace_at(t4b, c.non0, c.pos["4b"], w), col(C_4BL), 6, 2,
+                                               c.hyper, w, "hyper", "nonhypo", i))
+    up = F.transform(c.hypos, lambda w, i: _sample(replace_at(c.p5, c.hypo, c.pos["p5"], w), t5a, col(C_5AL), 6, 3,
+                                                   w, c.hyper, "hypo", "hyper", i))
+    each = F.flatten(F.transform(rest, lambda nw, k: F.transform(c.hypos, lambda w, i: _sample(
+        replace_at(c.p5, c.hypo, c.pos["p5"], w), replace_at(t5b, c.non0, c.pos["5b"], nw), col(C_5BL), 6, 4, w, nw,
+        "hypo", "nonhypo", k * F.size(c.hypos) + i))))
+    return [(_chain(common, _first_reason(*replace_checks(t4a, c.hypo, c.pos["4a"]))), a),
+            (F.when(F.size(rest) > 0, _first_reason(*replace_checks(t4b, c.non0, c.pos["4b"]))), b),
+            (_first_reason(*replace_checks(c.p5, c.hypo, c.pos["p5"])), up),
+            (F.when(F.size(rest) > 0, _first_reason(*replace_checks(c.p5, c.hypo, c.pos["p5"]),
+                                                    *replace_checks(t5b, c.non0, c.pos["5b"]))), each)]
+
+
+#: Parser number -> parser, in the order of their samples (UDF-02): run some of
+#: them, or a longer list with one's own.
+PARSERS: dict[int, Parser] = {1: parse_1, 2: parse_2, 3: parse_3, 4: parse_4, 5: parse_5, 6: parse_6}
+
+
+def expand_sheet(sheet: DataFrame, row_id: str = "row_id", fix_section4_label: bool = False,
+                 parsers: dict[int, Parser] | None = None):
+    """Return ``(samples, quarantine)`` DataFrames of the given parsers (all by default).
 
     ``samples``: premise, hypothesis, label, metadata fields (section, pword,
     hword, ptype, htype, row_id, worker_id, hit_id, is_complete) plus
-    ``parser``, ``block``, ``j`` and ``sample_idx`` (order inside the row).
+    ``parser``, ``block``, ``j`` and ``sample_idx`` (order inside the row,
+    over the parsers run).
     ``quarantine``: row_id, parser, reason, silent (empty-cell skips).
     """
-    # stage 1: every word position the parsers need, computed once per row
-    # (each is used by several gates and by every element of a block)
-    hypos_c, non_c = F.split(col(C_HYPOS), ","), F.split(col(C_NON), ",")
-    non0 = F.element_at(non_c, 1)
-    p4_c, p5_c = strip_number(col(C_P4)), strip_number(col(C_P5))
-    staged_in = sheet.select(
-        "*", non0.alias("__non0"), p4_c.alias("__p4"), p5_c.alias("__p5"),
-        word_position(col(C_PREMISE), col(C_HYPO)).alias("__pos_ph"),
-        word_position(col(C_4A), col(C_HYPO)).alias("__pos_4a"),
-        word_position(col(C_4B), non0).alias("__pos_4b"),
-        word_position(p5_c, col(C_HYPO)).alias("__pos_p5"),
-        word_position(col(C_5B), non0).alias("__pos_5b"),
-        word_position(p4_c, col(C_HYPER)).alias("__pos_p4h"),
-        word_position(col(C_5A), col(C_HYPER)).alias("__pos_5ah"))
-    sheet = staged_in
-    premise, hypo, hyper = col(C_PREMISE), col(C_HYPO), col(C_HYPER)
-    hypos, non = F.split(col(C_HYPOS), ","), F.split(col(C_NON), ",")
-    nonhypo0 = F.col("__non0")
-    pos_ph = F.col("__pos_ph")
-    hyper_sentence = replace_at(premise, hypo, pos_ph, hyper)
-    label4b = col(C_5BL) if not fix_section4_label else col(C_4BL)
-    p4, p5 = F.col("__p4"), F.col("__p5")
-    t4a, t4b, t5a, t5b = col(C_4A), col(C_4B), col(C_5A), col(C_5B)
-
-    def size_ne(a: str, b: Column) -> Column:
-        return F.size(F.split(col(a), ",")) != F.size(b)
-
-    # ---- parser 1
-    r1 = _first_reason(*list_checks(col(C_L1B)), *replace_checks(premise, hypo, pos_ph))
-    b1 = F.array(_sample(premise, hyper_sentence, col(C_L1B), 1, 1, hypo, hyper, "hypo", "hyper", F.lit(0)))
-    # ---- parser 2: hypos checks, hyper sentence, 2b-2 list + length | block A | 2b-1 list + length | block B
-    r2a = _first_reason(*list_checks(col(C_HYPOS)), *replace_checks(premise, hypo, pos_ph),
-                        *list_checks(col(C_L2B2)), (size_ne(C_L2B2, hypos), LENGTH))
-    r2b = _first_reason(*list_checks(col(C_L2B1)), (size_ne(C_L2B1, hypos), LENGTH))
-    b2a = _zip_block(hypos, F.split(col(C_L2B2), ","), lambda w, lab, i: _sample(
-        hyper_sentence, replace_at(premise, hypo, pos_ph, w), lab, 2, 1, hyper, w, "hyper", "hypo", i))
-    b2b = _zip_block(hypos, F.split(col(C_L2B1), ","), lambda w, lab, i: _sample(
-        replace_at(premise, hypo, pos_ph, w), hyper_sentence, lab, 2, 2, w, hyper, "hypo", "hyper", i))
-    # ---- parser 3
-    r3a = _first_reason(*list_checks(col(C_NON)), *replace_checks(premise, hypo, pos_ph),
-                        *list_checks(col(C_L3B1)), (size_ne(C_L3B1, non), LENGTH))
-    r3b = _first_reason(*list_checks(col(C_L3B2)), (size_ne(C_L3B2, non), LENGTH))
-    b3a = _zip_block(non, F.split(col(C_L3B1), ","), lambda w, lab, i: _sample(
-        replace_at(premise, hypo, pos_ph, w), hyper_sentence, lab, 3, 1, w, hyper, "nonhypo", "hyper", i))
-    b3b = _zip_block(non, F.split(col(C_L3B2), ","), lambda w, lab, i: _sample(
-        hyper_sentence, replace_at(premise, hypo, pos_ph, w), lab, 3, 2, hyper, w, "hyper", "nonhypo", i))
-
-    # ---- parsers 4 and 5: word tests (no format), then the premise cell test
-    def found(s, w, pos):
-        return [(s.isNull() | w.isNull(), NULL), (pos == 0, NOT_FOUND)]
-
-    r4 = _first_reason(*list_checks(col(C_NON)), (col(C_P4).isNull(), NULL), *found(p4, hyper, F.col("__pos_p4h")),
-                       *found(t4a, hypo, F.col("__pos_4a")), *found(t4b, nonhypo0, F.col("__pos_4b")),
-                       (_has_empty(p4), EMPTY))
-    b4 = F.array(_sample(p4, t4a, col(C_4AL), 4, 1, hyper, hypo, "hyper", "hypo", F.lit(0)),
-                 _sample(p4, t4b, label4b, 4, 2, hyper, nonhypo0, "hyper", "nonhypo", F.lit(1)))
-    r5 = _first_reason(*list_checks(col(C_NON)), (col(C_P5).isNull(), NULL), *found(p5, hypo, F.col("__pos_p5")),
-                       *found(t5a, hyper, F.col("__pos_5ah")), *found(t5b, nonhypo0, F.col("__pos_5b")),
-                       (_has_empty(p5), EMPTY))
-    b5 = F.array(_sample(p5, t5a, col(C_5AL), 5, 1, hypo, hyper, "hypo", "hyper", F.lit(0)),
-                 _sample(p5, t5b, col(C_5BL), 5, 2, hypo, nonhypo0, "hypo", "nonhypo", F.lit(1)))
-
-    # ---- parser 6: substitutions; the non-hypo list skips its first element
-    rest = F.slice(non, 2, 1 << 30)
-    r6 = _first_reason((col(C_P4).isNull() | col(C_P5).isNull(), NULL), *list_checks(col(C_HYPOS)),
-                       *list_checks(col(C_NON)), *found(p4, hyper, F.col("__pos_p4h")),
-                       *found(p5, hypo, F.col("__pos_p5")))
-    pos4a, pos4b, posp5, pos5b = (F.col(c) for c in ("__pos_4a", "__pos_4b", "__pos_p5", "__pos_5b"))
-    r6a = _first_reason(*replace_checks(t4a, hypo, pos4a))
-    r6b = F.when(F.size(rest) > 0, _first_reason(*replace_checks(t4b, nonhypo0, pos4b)))
-    r6c = _first_reason(*replace_checks(p5, hypo, posp5))
-    r6d = F.when(F.size(rest) > 0, _first_reason(*replace_checks(p5, hypo, posp5),
-                                                 *replace_checks(t5b, nonhypo0, pos5b)))
-    b6a = F.transform(hypos, lambda w, i: _sample(p4, replace_at(t4a, hypo, pos4a, w), col(C_4AL), 6, 1,
-                                                  hyper, w, "hyper", "hypo", i))
-    b6b = F.transform(rest, lambda w, i: _sample(p4, replace_at(t4b, nonhypo0, pos4b, w), col(C_4BL), 6, 2,
-                                                 hyper, w, "hyper", "nonhypo", i))
-    b6c = F.transform(hypos, lambda w, i: _sample(replace_at(p5, hypo, posp5, w), t5a, col(C_5AL), 6, 3,
-                                                  w, hyper, "hypo", "hyper", i))
-    b6d = F.flatten(F.transform(rest, lambda nw, k: F.transform(hypos, lambda w, i: _sample(
-        replace_at(p5, hypo, posp5, w), replace_at(t5b, nonhypo0, pos5b, nw), col(C_5BL), 6, 4, w, nw,
-        "hypo", "nonhypo", k * F.size(hypos) + i))))
-
-    all_samples = F.concat(
-        _gate(r1, b1),
-        _gate(r2a, b2a), _gate(_chain(r2a, r2b), b2b),
-        _gate(r3a, b3a), _gate(_chain(r3a, r3b), b3b),
-        _gate(r4, b4), _gate(r5, b5),
-        _gate(_chain(r6, r6a), b6a), _gate(_chain(r6, r6a, r6b), b6b),
-        _gate(_chain(r6, r6a, r6b, r6c), b6c), _gate(_chain(r6, r6a, r6b, r6c, r6d), b6d))
-    failures = F.filter(F.array(
-        *[F.struct(F.lit(p).alias("parser"), r.alias("reason")) for p, r in (
-            (1, r1), (2, _chain(r2a, r2b)), (3, _chain(r3a, r3b)), (4, r4), (5, r5),
-            (6, _chain(r6, r6a, r6b, r6c, r6d)))]), lambda x: x["reason"].isNotNull())
+    non0 = F.element_at(F.split(col(C_NON), ","), 1)
+    p4, p5 = strip_number(col(C_P4)), strip_number(col(C_P5))
+    places = {"ph": (col(C_PREMISE), col(C_HYPO)), "4a": (col(C_4A), col(C_HYPO)), "4b": (col(C_4B), non0), "p5": (p5, col(C_HYPO)),
+              "5b": (col(C_5B), non0), "p4h": (p4, col(C_HYPER)), "5ah": (col(C_5A), col(C_HYPER))}
+    sheet = sheet.select("*", non0.alias("__non0"), p4.alias("__p4"), p5.alias("__p5"),
+                         *[word_position(s, w).alias(f"__pos_{k}") for k, (s, w) in places.items()])
+    cells = Cells(col(C_PREMISE), col(C_HYPO), col(C_HYPER), F.split(col(C_HYPOS), ","), F.split(col(C_NON), ","), F.col("__non0"),
+                  F.col("__p4"), F.col("__p5"), {k: F.col(f"__pos_{k}") for k in places}, fix_section4_label)
+    arrays, reasons = [], []
+    for number, parse in (PARSERS if parsers is None else parsers).items():
+        so_far = []
+        for own, samples in parse(cells):
+            so_far.append(own)
+            arrays.append(_gate(_chain(*so_far), samples))
+        reasons.append((number, _chain(*so_far)))
+    failures = F.filter(F.array(*[F.struct(F.lit(p).alias("parser"), r.alias("reason")) for p, r in reasons]),
+                        lambda x: x["reason"].isNotNull())
 
     meta = [F.col(row_id).alias("row_id"), col(C_WORKER).alias("worker_id"), col(C_HIT).alias("hit_id"),
-            (F.trim(col(C_SUBMIT)) == "{}").alias("is_complete")]
-    staged = sheet.select(*meta, all_samples.alias("__s"), failures.alias("__f"))
+            is_complete(C_SUBMIT).alias("is_complete")]
+    staged = sheet.select(*meta, F.concat(*arrays).alias("__s"), failures.alias("__f"))
     # outer generators: the optimizer infers a "non-empty array" filter for a
     # plain explode and copies the whole array expression into it, which makes
     # planning blow up on an expression this size; null rows are dropped instead

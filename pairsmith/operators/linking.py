@@ -175,16 +175,27 @@ def isa_candidates(i: int) -> Column:
     return F.array_distinct(F.transform(keep, lambda x: x["g"]))
 
 
+#: Noun chunk as a pattern over tag letters: it begins at its determiners, or
+#: after any other word, and its head is its last noun.
+CHUNK_TAGS = {"DET": "D", "ADJ": "A", "NOUN": "N", "PROPN": "N"}
+
+
 def np_heads(i: int) -> Column:
-    """Last NOUN/PROPN of each noun run with no dash next to it (singular,
-    lower-case)."""
+    """Heads of the noun chunks (singular, lower-case): the last noun of each
+    maximal run of determiners, then adjectives and nouns (NLP-03), with no
+    dash next to it.  A determiner behind a noun begins a new chunk; an
+    adjective between nouns does not."""
     t, p = F.col(f"t{i}"), F.col(f"pos{i}")
-    z = F.arrays_zip(t.alias("t"), p.alias("p"), F.col(f"g{i}").alias("g"),
-                     _shift(p, 1).alias("np"), _shift(t, -1).alias("pt"), _shift(t, 1).alias("nt"))
-    keep = F.filter(z, lambda x: x["p"].isin("NOUN", "PROPN")
-                    & ~F.coalesce(x["np"].isin("NOUN", "PROPN"), F.lit(False))
-                    & ~F.coalesce(x["pt"] == "-", F.lit(False)) & ~F.coalesce(x["nt"] == "-", F.lit(False)))
-    return F.array_distinct(F.transform(keep, lambda x: x["g"]))
+    code = lambda x: F.coalesce(F.element_at(F.create_map(*[F.lit(v) for kv in CHUNK_TAGS.items() for v in kv]), x), F.lit("x"))
+    tags = F.array_join(F.transform(p, code), "")
+    z = F.arrays_zip(t.alias("t"), F.col(f"g{i}").alias("g"), _shift(t, -1).alias("pt"), _shift(t, 1).alias("nt"))
+
+    def heads(s):
+        last = F.filter(F.transform(z, lambda x, k: F.struct(x.alias("x"), F.substr(s, k + 1).alias("s"))),
+                        lambda y: y["s"].rlike("^N(?!A*N)"))
+        return F.filter(F.transform(last, lambda y: y["x"]), lambda x: ~F.coalesce(x["pt"] == "-", F.lit(False))
+                        & ~F.coalesce(x["nt"] == "-", F.lit(False)))
+    return F.array_distinct(F.transform(let(tags, heads), lambda x: x["g"]))
 
 
 def place_candidates(i: int, country_list: Column) -> Column:

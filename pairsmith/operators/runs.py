@@ -108,6 +108,26 @@ def run_coverage(expected: DataFrame, success: DataFrame,
     return j.select(*keys, status.alias("status"))
 
 
+def eval_coverage(trained: DataFrame, eval_sets: DataFrame, lines: DataFrame,
+                  keys: Sequence[str] = ("dataset_name", "trainset_name", "num_epochs", "lr")) -> DataFrame:
+    """Evaluations that the runs ask for, two levels on from ``run_coverage``
+    (J-19): every run (``trained``: keys, status) times the evaluation sets of
+    its dataset (``eval_sets``: dataset_name, evalset_name - a map to sets),
+    matched with the evaluation logs.
+
+    ``blocked``: the training is not done; ``missing``: no log; ``failed``: a
+    log without an evaluation metric; ``done``.  A log of a blocked run does
+    not count.  A dataset without evaluation sets asks for none."""
+    logs = lines.withColumn("meta", parse_run_name(F.col("file"))).where(F.col("meta.ok") & F.col("meta.is_eval"))
+    seen = logs.groupBy(*[F.col(f"meta.{k}").alias(k) for k in (*keys, "evalset_name")]).agg(
+        F.sum(F.size(metric_matches(F.col("file"), F.col("line")))).alias("n_metrics"))
+    asked = trained.join(eval_sets.select("dataset_name", "evalset_name").distinct(), "dataset_name")
+    j = asked.join(seen, [*keys, "evalset_name"], "left")
+    status = F.when(F.col("status") != "done", "blocked").when(F.col("n_metrics").isNull(), "missing") \
+        .when(F.col("n_metrics") == 0, "failed").otherwise("done")
+    return j.select(*keys, "evalset_name", status.alias("eval_status"))
+
+
 def train_size(name: Column) -> Column:
     """Last integer among the ``_``-separated parts of a result name."""
     ints = F.filter(F.split(name, "_"), lambda x: x.rlike(r"^-?[0-9]+$"))

@@ -18,7 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import read_table
+from ..operators import kg
+from ..session import read_table, scratch_path
 
 # Fixed values of this binding: feature predicate per part adjective, and the
 # two nations named after countries with synonym lists.
@@ -48,7 +49,7 @@ def _nations(spark, sf_dir):
         F.initcap("r_name").alias("rlabel"))
 
 
-def triples(spark, sf_dir) -> DataFrame:
+def derived_triples(spark, sf_dir) -> DataFrame:
     s = read_table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey", "s_acctbal")
     n = _nations(spark, sf_dir)
     sup = s.join(n, s.s_nationkey == n.n_nationkey)
@@ -86,6 +87,13 @@ def triples(spark, sf_dir) -> DataFrame:
     return supplier_rows.unionByName(nation_rows).unionByName(feat)
 
 
+def triples(spark, sf_dir) -> DataFrame:
+    """The snapshot, written by predicate and read back: every look-up prunes to its predicates."""
+    path = scratch_path(spark, "kg-snapshot")
+    kg.write_snapshot(derived_triples(spark, sf_dir), path)
+    return kg.read_snapshot(spark, path)
+
+
 def taxonomy(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     """(lemmas(lemma, sense, pos), edges(child_sense, parent_sense))."""
     part = read_table(spark, sf_dir, "part").select("p_name", "p_type")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import datasets, mixing
 from ..operators import runs as R
 from ..operators import split as S
-from ..session import scratch_path, stage
+from ..session import read_table, scratch_path, stage
 from ..sources import readers, writers
 from .bindings import DEDUP_SQL, EXCLUDED_SUPPLIERS, split_sql
 from .catalog import query
@@ -170,3 +170,17 @@ def q_file_order(spark, sf_dir):
     by = Window.partitionBy("file")  # one written file
     before = F.lag("seq").over(by.orderBy("file_order"))
     return got.select("seq", "premise", "hypothesis", (F.coalesce(before, F.col("seq")) <= F.col("seq")).alias("in_order"))
+
+
+@query("row_numbers", """
+WITH d AS (SELECT doc_id, CAST(floor(doc_id / 400) AS BIGINT) AS part FROM documents WHERE doc_id IS NOT NULL)
+SELECT doc_id, CAST(row_number() OVER (ORDER BY doc_id) - 1 AS BIGINT) AS row_no,
+       CAST(row_number() OVER (PARTITION BY part ORDER BY doc_id) - 1 AS BIGINT) AS file_idx FROM d""", ("WIN-01",))
+def q_row_numbers(spark, sf_dir):
+    """Documents written to one file per 400 ids, read back and numbered: over all files and inside each."""
+    p = scratch_path(spark, "row-numbers")
+    d = read_table(spark, sf_dir, "documents").where("doc_id IS NOT NULL").select("doc_id", F.floor(F.col("doc_id") / 400).alias("n"))
+    d = d.withColumn("part", F.format_string("%012d", "n")).drop("n")
+    d.repartition("part").sortWithinPartitions("part", "doc_id").write.partitionBy("part").json(p)
+    got = readers.with_row_numbers(spark.read.schema("doc_id bigint").json(p + "/*"))
+    return got.select("doc_id", "row_no", "file_idx")

@@ -258,8 +258,8 @@ SAMPLE_COLS = ("premise, hypothesis, label, section, pword, hword, ptype, htype,
                "hit_id, is_complete, parser, block, j")
 
 
-def expanded(spark, sf_dir):
-    return H.expand_sheet(answer_sheet(spark, sf_dir))
+def expanded(spark, sf_dir, parsers=None):
+    return H.expand_sheet(answer_sheet(spark, sf_dir), parsers=parsers)
 
 
 @query("hit_expand", f"WITH {EXPAND_SQL}\nSELECT {SAMPLE_COLS} FROM expanded",
@@ -271,13 +271,13 @@ def q_hit_expand(spark, sf_dir):
 
 def _per_parser(p):
     def build(spark, sf_dir):
-        return expanded(spark, sf_dir)[0].where(F.col("parser") == p).drop("sample_idx")
+        return expanded(spark, sf_dir, {p: H.PARSERS[p]})[0].drop("sample_idx")
     return build
 
 
 for _p in range(1, 7):
     query(f"hit_expand_s{_p}", f"WITH {EXPAND_SQL}\nSELECT {SAMPLE_COLS} FROM expanded WHERE parser = {_p}",
-          (f"EXP-0{_p}",))(_per_parser(_p))
+          (f"EXP-0{_p}", "UDF-02"))(_per_parser(_p))
 
 
 @query("hit_quarantine", f"WITH {EXPAND_SQL}\nSELECT * FROM quarantine", ("EXP-07",))

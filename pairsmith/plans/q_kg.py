@@ -148,7 +148,7 @@ WHERE NOT regexp_matches(k.location, '["?]')""", ("FLT-06", "J-20", "J-06", "SRC
 def q_location_cache(spark, sf_dir):
     """Labels of the graph against the country list (a JSON array of names) and
     the first search hit."""
-    t = stage(B.triples(spark, sf_dir), "triples")
+    t = B.triples(spark, sf_dir)
     p = scratch_path(spark, "names")
     B._nations(spark, sf_dir).agg(F.to_json(F.collect_list("nlabel")).alias("value")).write.text(p)  # 25 names
     keys = t.where(F.col("predicate") != "instance_of").select(F.col("subject_label").alias("location")).distinct()

@@ -242,11 +242,12 @@ def q_link_trademark(spark, sf_dir):
 def _color_sql():
     return _pairs_lex_sql() + """,
 nb1 AS (SELECT pair_id, i, g, pos,
-               lead(pos) OVER (PARTITION BY pair_id ORDER BY i) AS np,
+               string_agg(CASE pos WHEN 'DET' THEN 'D' WHEN 'ADJ' THEN 'A' WHEN 'NOUN' THEN 'N' WHEN 'PROPN' THEN 'N' ELSE 'x' END, '')
+                 OVER (PARTITION BY pair_id ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest,
                lag(tok) OVER (PARTITION BY pair_id ORDER BY i) AS pt,
                lead(tok) OVER (PARTITION BY pair_id ORDER BY i) AS nt FROM tok1),
 heads AS (SELECT DISTINCT pair_id, g FROM nb1
-          WHERE pos IN ('NOUN', 'PROPN') AND NOT coalesce(np IN ('NOUN', 'PROPN'), false)
+          WHERE regexp_matches(rest, '^N') AND NOT regexp_matches(rest, '^NA*N')
             AND NOT coalesce(pt = '-', false) AND NOT coalesce(nt = '-', false)),
 ft AS (
   SELECT split_part(p_name, ' ', 2) AS noun, p_partkey AS rank, 'P' || p_partkey AS subject,

@@ -119,7 +119,7 @@ def q_run_accuracy_lines(spark, sf_dir):
     return R.accuracy_lines(run_lines(spark, sf_dir))
 
 
-@query("run_coverage", "WITH " + LINES_SQL + """,
+_COVERAGE_SQL = """,
 succ AS (SELECT file, sum(CASE WHEN contains(line, '"best_validation_loss": ') THEN 1 ELSE 0 END) AS n_success
          FROM lines GROUP BY file),
 trainlogs AS (SELECT string_split(file, '__') AS p, n_success FROM succ
@@ -134,7 +134,10 @@ expected AS (
        (SELECT unnest(['2e-05', '3e-05', '5e-05']) AS lr) l)
 SELECT x.dataset_name, x.trainset_name, x.num_epochs, x.lr,
        CASE WHEN k.n_success IS NULL THEN 'missing' WHEN k.n_success = 0 THEN 'failed' ELSE 'done' END AS status
-FROM expected x LEFT JOIN per_key k USING (dataset_name, trainset_name, num_epochs, lr)""", ("J-19",))
+FROM expected x LEFT JOIN per_key k USING (dataset_name, trainset_name, num_epochs, lr)"""
+
+
+@query("run_coverage", "WITH " + LINES_SQL + _COVERAGE_SQL, ("J-19",))
 def q_run_coverage(spark, sf_dir):
     lines = run_lines(spark, sf_dir)
     datasets = read_table(spark, sf_dir, "events").select(F.col("event_type").alias("dataset_name")).distinct()
@@ -143,6 +146,30 @@ def q_run_coverage(spark, sf_dir):
     return R.run_coverage(expected, R.success_counts(lines))
 
 
+# evaluation sets of a dataset in this binding: three for all, a fourth by the length of its name
+EVAL_SETS = ("testset05", "testset10", "testset15")
+MORE_SETS = "testset20"
+
+
+@query("eval_coverage", "WITH " + LINES_SQL + ",\ncov AS (WITH " + _COVERAGE_SQL.lstrip(",\n") + """),
+es AS (SELECT DISTINCT event_type AS dataset_name,
+              unnest(['testset05', 'testset10', 'testset15'] || CASE WHEN length(event_type) % 2 = 0 THEN ['testset20'] ELSE [] END) AS evalset_name
+       FROM events),
+ev AS (SELECT p[2] AS dataset_name, p[3] AS trainset_name, p[4] AS num_epochs, p[5] AS lr, split_part(p[7], '.log', 1) AS evalset_name,
+              sum(len(regexp_extract_all(line, 'allennlp.commands.evaluate - accuracy: ([0-9.]+)', 1))) AS n_metrics
+       FROM (SELECT string_split(file, '__') AS p, line FROM lines WHERE contains(file, '__eval__') AND len(string_split(file, '__')) = 7)
+       GROUP BY ALL)
+SELECT c.dataset_name, c.trainset_name, c.num_epochs, c.lr, es.evalset_name,
+       CASE WHEN c.status <> 'done' THEN 'blocked' WHEN ev.n_metrics IS NULL THEN 'missing' WHEN ev.n_metrics = 0 THEN 'failed'
+            ELSE 'done' END AS eval_status
+FROM cov c JOIN es USING (dataset_name) LEFT JOIN ev USING (dataset_name, trainset_name, num_epochs, lr, evalset_name)""", ("J-19",))
+def q_eval_coverage(spark, sf_dir):
+    datasets = read_table(spark, sf_dir, "events").select(F.col("event_type").alias("dataset_name")).distinct()
+    more = F.when(F.length("dataset_name") % 2 == 0, F.array(F.lit(MORE_SETS))).otherwise(F.array().cast("array<string>"))
+    sets = datasets.select("dataset_name", F.explode(F.concat(F.array(*[F.lit(x) for x in EVAL_SETS]), more)).alias("evalset_name"))
+    return R.eval_coverage(q_run_coverage(spark, sf_dir), sets, run_lines(spark, sf_dir))
+
+
 def results_table(spark, sf_dir):
     """Result rows named like ``<series>_train_<n>`` / ``train_<n>_<series>``."""
     e = read_table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value")

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window
 from pyspark.sql import functions as F
+
+from ..session import stage
 from pyspark.sql import types as T
 
 TSV_COLUMNS = ("sentence1", "sentence2", "gold_label")
@@ -121,3 +124,26 @@ def with_file_order(df: DataFrame, out: str = "file_order") -> DataFrame:
     return df.withColumn("file", F.col("_metadata.file_path")) \
         .withColumn(out, F.struct(F.col("_metadata.file_block_start").alias("block"),
                                   F.monotonically_increasing_id().alias("row")))
+
+
+def with_row_numbers(df: DataFrame, out: str = "row_no", in_file: str = "file_idx") -> DataFrame:
+    """Number rows 0, 1, ... without gaps as they stand in the files, files by
+    path (WIN-01): ``out`` over all files, ``in_file`` inside each ``file``.
+    Call it on the reader's result before anything that moves or drops rows.
+
+    Two passes: the rows are written once with their file, the start of their
+    file split and a number that rises inside the split, then counts per split
+    become offsets.  Only one row per split is ordered over all files (the
+    splits of a file in its own window), never the rows."""
+    df = stage(df.select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("__block"),
+                         F.monotonically_increasing_id().alias("__at")), "numbered")
+    splits = df.groupBy("file", "__block").agg(F.min("__at").alias("__first"), F.count(F.lit(1)).alias("__n"))
+    inside = Window.partitionBy("file").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    splits = stage(splits.withColumn("__before", F.coalesce(F.sum("__n").over(inside), F.lit(0))), "splits")
+    up = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    files = splits.groupBy("file").agg(F.sum("__n").alias("__t")) \
+        .select("file", F.coalesce(F.sum("__t").over(up), F.lit(0)).alias("__base"))  # one row per file
+    offsets = splits.join(files, "file").select("file", "__block", "__first", "__before", "__base")
+    in_split = F.col("__at") - F.col("__first")  # rows of a split are read one after the other
+    return df.join(offsets, ["file", "__block"]).withColumn(in_file, F.col("__before") + in_split) \
+        .withColumn(out, F.col("__base") + F.col(in_file)).drop("__block", "__at", "__first", "__before", "__base")

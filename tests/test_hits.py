@@ -86,3 +86,31 @@ def test_brace_goes_to_quarantine(spark):
 def test_leading_space_item_kept(spark):
     s, _ = expand(spark, C_HYPOS="puppy, hound")
     assert "The  hound sat on the mat" in [r.hypothesis for r in s if r.parser == 2 and r.block == 1]
+
+
+def test_parsers_compose(spark):
+    """One parser alone, and a user's parser behind the built-in ones."""
+    from pyspark.sql import functions as F
+    row = tuple(BASE[c] for c in H.SHEET_COLUMNS) + (0,)
+    schema = ", ".join(f"`{c}` string" for c in H.SHEET_COLUMNS) + ", row_id long"
+    df = spark.createDataFrame([row, tuple(None if c == H.C_HYPO else BASE[c] for c in H.SHEET_COLUMNS) + (1,)], schema)
+    whole, _ = H.expand_sheet(df)
+    only, failed = H.expand_sheet(df, parsers={3: H.PARSERS[3]})
+    want = [r.asDict() for r in whole.where("parser = 3").drop("sample_idx").orderBy("row_id", "block", "j").collect()]
+    assert [r.asDict() for r in only.drop("sample_idx").orderBy("row_id", "block", "j").collect()] == want and len(want) == 4
+    assert [(r["row_id"], r["parser"], r["reason"]) for r in failed.collect()] == [(1, 3, H.NULL)]
+    plan = only._jdf.queryExecution().optimizedPlan().toString()
+    assert H.C_P4 not in plan.split("Project")[1]  # nothing of the other parsers is worked out
+
+    def swapped(c):
+        """Hypernym sentence as premise, the original as hypothesis."""
+        ok = H._first_reason(*H.replace_checks(c.premise, c.hypo, c.pos["ph"]))
+        one = F.array(F.struct(c.hyper_sentence.alias("premise"), c.premise.alias("hypothesis"), F.lit("neutral").alias("label"),
+                               F.lit("own").alias("section"), c.hyper.alias("pword"), c.hypo.alias("hword"), F.lit("hyper").alias("ptype"),
+                               F.lit("hypo").alias("htype"), F.lit(7).alias("parser"), F.lit(1).alias("block"), F.lit(0).alias("j")))
+        return [(ok, one)]
+    more, failed = H.expand_sheet(df, parsers=H.PARSERS | {7: swapped})
+    own = more.where("parser = 7").collect()
+    assert [(r["premise"], r["hypothesis"], r["section"]) for r in own] == [("The animal sat on the mat", "The dog sat on the mat", "own")]
+    assert more.where("parser < 7").count() == whole.count()
+    assert (1, 7) in {(r["row_id"], r["parser"]) for r in failed.collect()}
