@@ -61,6 +61,7 @@ class Pieces:
         self.sizes = np.fromiter(map(len, body), np.int64, len(body))
         self.starts = np.cumsum(self.sizes) - self.sizes
         self.bytes = np.frombuffer(b"".join(body), np.uint8)
+        self.names = list(map(str, range(len(body))))
         self.chunked = self._chunked(names)
 
     def _chunked(self, names: list[str]) -> bool:

@@ -89,11 +89,10 @@ def _is_base(kind: int):
 
 def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
-    from pyspark.sql import functions as F
     from .alignment import COLUMNS, align
     found = align(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
-                  public_tokenizers.path("piece_bpe_32k.model"), keep=["doc_id"])
-    return found.select("doc_id", *COLUMNS, F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256)).alias("groups_sha256"))
+                  public_tokenizers.path("piece_bpe_32k.model"), keep=["doc_id"], digest=True)
+    return found.select("doc_id", *COLUMNS, found["groups"].alias("groups_sha256"))
 
 
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:

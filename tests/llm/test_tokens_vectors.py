@@ -1,6 +1,7 @@
 """SentencePiece ids, tokenizer alignment and hard negatives against brute
 force, on rows with nulls, empty and long texts, ties, repeats and clashing names."""
 
+import hashlib
 import math
 import random
 from collections import Counter
@@ -130,7 +131,10 @@ def test_alignment_equals_the_definition(spark, docs, monkeypatch):
     got = alignment.align(table, A_FILE, B_FILE, keep=["doc_id", "N_A", "body"])
     assert got.columns == ["doc_id", "body", *alignment.COLUMNS, "groups"]
     assert Counter(map(tuple, got.drop("body").collect())) == lines
-    pairs = alignment.link_counts(table, A_FILE, B_FILE).collect()
+    digests = alignment.align(table, A_FILE, B_FILE, keep=["doc_id"], digest=True).select("doc_id", "groups")
+    assert Counter(map(tuple, digests.collect())) == Counter(
+        (r["doc_id"], hashlib.sha256(w[2].encode()).hexdigest() if w else "") for r, w in zip(rows, want))
+    pairs = alignment.link_counts(alignment.aligned(table, A_FILE, B_FILE)).collect()
     assert {(r["a_id"], r["b_id"]): r["n"] for r in pairs} == counts
     assert len(counts) <= alignment.pair_bound(A_FILE, B_FILE) < 1_000_000
 
@@ -142,14 +146,17 @@ def test_alignment_table_stays_bounded(monkeypatch):
     monkeypatch.setattr(alignment, "TABLE_CHUNKS", 60)
     monkeypatch.setattr(alignment, "LONG_CHUNK", 4)
     table = alignment.AlignTable(alignment.ByteLevel(A_FILE), pieces.Pieces(B_FILE))
-    counter, counts = alignment.LinkCounter(table), Counter()
     for seed in range(25):
         texts = [*odd_texts(seed, 20), None, "y" * 3000]
-        counter.take(texts)
-        assert len(table) == table.kept or not len(table)
-        counts.update(p for t in texts for p in (aligned(tok, sp, t, entries, letters) or ((), (), (), ()))[3])
-    counter.flush()
-    assert {(int(k) >> 32, int(k) & 0xFFFFFFFF): int(n) for k, n in zip(counter.keys, counter.n)} == counts
+        at_rows, at = table.rows(texts)
+        for k, t in enumerate(texts):
+            rows = at_rows[at[k]:at[k + 1]]
+            want = aligned(tok, sp, t, entries, letters) or (0, 0, "", [])
+            assert table.cols[:, rows].sum(axis=1).tolist() == [want[0], want[1], len(want[3])], t
+            assert ";".join(table.groups[r] for r in rows if table.groups[r]) == want[2]
+            assert [(int(x) >> 32, int(x) & 0xFFFFFFFF) for x in table.links(rows)] == want[3]
+        table.trim()
+        assert len(table) == table.kept == len(table.row) == len(table.met) <= 60 and all(len(c) <= 4 for c in table.row)
 
 
 def test_pointer_jumping_on_a_long_group():
