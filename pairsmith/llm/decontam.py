@@ -20,6 +20,7 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -213,13 +214,14 @@ def phrase_blocks(benchmark: DataFrame, item: str, text: str, window: int) -> It
         yield Phrases(held, window)
 
 
-def _passes(rows: DataFrame, blocks: Iterator[Phrases], one_pass) -> DataFrame:
-    """``one_pass(rows, phrases)`` for each block; a written table in between."""
-    first = True
+def _passes(rows: DataFrame, blocks: Iterator[Phrases], one_pass) -> tuple[int, DataFrame]:
+    """(number of blocks, ``one_pass(rows, phrases)`` for each of them); a
+    written table in between."""
+    n = 0
     for phrases in blocks:
-        rows = one_pass(rows if first else stage(rows, "decontam"), phrases)
-        first = False
-    return rows
+        rows = one_pass(stage(rows, "decontam") if n else rows, phrases)
+        n += 1
+    return n, rows
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", keep: list[str] | None = None,
@@ -254,8 +256,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", kee
                          pa.array(ids, pa.list_(pa.string()))], schema.names)
         return rows.mapInArrow(run, schema)
 
-    out = _passes(rows, phrase_blocks(benchmark, item, item_text, window), one_pass)
-    if out is rows:  # no test items: count the words all the same
+    n, out = _passes(rows, phrase_blocks(benchmark, item, item_text, window), one_pass)
+    if not n:  # no test items: count the words all the same
         out = one_pass(rows, Phrases([], window))
     return out.drop(held)
 
@@ -263,14 +265,17 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", kee
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id",
                   item_text: str = "text", window: int = WINDOW, n_chars: str | None = "n_chars") -> DataFrame:
     """``docs`` without the spans that test items share with them: the texts
-    are cut (again, until no window is left), ``n_chars`` is set anew where the
-    column exists, and a document of which no word is left goes.  Documents
+    are cut again until no window of any item is left - where the items take
+    several blocks, rows that a round over all blocks has cut go round again -,
+    ``n_chars`` is set anew where the column exists, and a document of which no
+    word is left goes.  Documents
     without a hit come out as they were, null and empty ones included."""
     names = docs.columns
     safe = docs.toDF(*[f"c{i}" for i in range(len(names))])
     at, length = names.index(text), names.index(n_chars) if n_chars in names else None
     safe = safe.withColumn(f"c{at}", col(f"c{at}").cast("string"))
-    schema = safe.schema
+    rows = safe.withColumn("cut_in_round", F.lit(False))
+    schema = rows.schema
 
     def one_pass(rows: DataFrame, phrases: Phrases) -> DataFrame:
         shared = rows.sparkSession.sparkContext.broadcast(phrases)
@@ -290,6 +295,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
                     if changed:
                         columns = list(part.columns)
                         columns[at] = pa.array([t if t is None else t.decode() for t in texts], part.schema.types[at])
+                        columns[-1] = pa.array([i in changed or was for i, was in enumerate(columns[-1].to_pylist())], pa.bool_())
                         if length is not None:
                             sizes = columns[length].to_pylist()
                             for i in changed:
@@ -300,4 +306,16 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
                     yield part
         return rows.mapInArrow(run, schema)
 
-    return _passes(safe, phrase_blocks(benchmark, item, item_text, window), one_pass).toDF(*names)
+    blocks, done = 0, []
+    while True:
+        blocks, rows = _passes(rows, phrase_blocks(benchmark, item, item_text, window), one_pass)
+        if blocks < 2:  # a pass leaves no window of its own block
+            break
+        rows = stage(rows, "decontam")
+        done.append(rows.where("not cut_in_round"))
+        again = rows.where("cut_in_round")
+        if again.isEmpty():
+            break
+        rows = again.withColumn("cut_in_round", F.lit(False))
+    out = reduce(DataFrame.unionAll, done) if done else rows
+    return out.drop("cut_in_round").toDF(*names)

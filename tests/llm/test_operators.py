@@ -68,6 +68,21 @@ def test_communication_matrix():
     assert abs(big / (10 ** 9 * 3 / 13) - 1) < 1e-3
 
 
+def test_sharding_in_two_levels(spark, monkeypatch):
+    """More shards than the driver's matrix has ranges for: partitions still follow the rows."""
+    monkeypatch.setattr(sharding, "PART_ROWS", 8)
+    df = spark.range(900).withColumn("t", F.col("id") % 7)
+    for cells, shards in ((40, 16), (1, 1000)):
+        monkeypatch.setattr(sharding, "MAX_CELLS", cells)
+        out = sharding.shuffle_into_shards(df, shards, seed=5)
+        got = out.collect()
+        sizes = Counter(r["shard"] for r in got)
+        assert sorted(r["id"] for r in got) == list(range(900))
+        assert max(sizes.values()) - min(sizes.get(k, 0) for k in range(shards)) <= 1
+        assert all(sorted(r["slot"] for r in got if r["shard"] == k) == list(range(sizes[k])) for k in sizes)
+        assert bag(sharding.shuffle_into_shards(df.repartition(3), shards, seed=5)) == bag(out)
+
+
 def test_uniform_over_arrangements(spark):
     """Each row is equally likely in each shard and slot."""
     df = spark.range(6).withColumn("t", F.lit("x"))
@@ -130,6 +145,27 @@ def test_decontaminate(docs, rows, benchmark):
     assert all(r["n_chars"] == len(r["text"]) for r in got if (r["doc_id"], r["text"], r["n_chars"]) not in clean)
 
 
+def test_decontaminate_over_several_blocks(spark, monkeypatch):
+    """A cut for one block may join a window of another: rounds go on until no item is left."""
+    monkeypatch.setattr(decontam, "BLOCK_BYTES", 40)
+    first = " ".join(f"w{i}" for i in range(10))
+    second = " ".join(f"v{i}" for i in range(10))
+    third = " ".join(f"u{i}" for i in range(10))
+    items = [("a", first), ("b", second), ("c", third)]
+    bench = spark.createDataFrame(items, "item_id string, text string").coalesce(1)
+    w, v, u = first.split(), second.split(), third.split()
+    nested = " ".join(w[:5] + v + w[5:])            # the second item splits the first
+    deep = " ".join(u[:3] + w[:5] + v + w[5:] + u[3:])  # and both split the third
+    rows = [(1, "x " + nested + " y", 1), (2, deep, 1), (3, "clean words only", 16), (4, None, None), (5, "a " + deep + " b " + nested + " c", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long")
+    got = {r["doc_id"]: r for r in decontam.decontaminate(docs, bench).collect()}
+    assert sorted(got) == [1, 3, 4, 5] and got[3]["text"] == "clean words only" and got[4]["text"] is None
+    for r in got.values():
+        assert not brute_windows(r["text"], items)[1]
+    assert got[1]["text"].split() == ["x", "y"] and got[5]["text"].split() == ["a", "b", "c"]
+    assert got[1]["n_chars"] == len(got[1]["text"])
+
+
 # ---------------------------------------------------------------- 4 toxicity
 def test_toxicity(spark, empty, rows):
     import random
@@ -317,6 +353,29 @@ def test_rare_values_get_thresholds():
     assert any(c.statistic == "symbols_per_word" for r in rules for c in r)
 
 
+def test_quality_clashing_names(docs, labels):
+    named = docs.withColumns({"n_words": F.lit("a"), "KEPT": F.lit("b"), "n_lines": F.lit("c"), "_t": F.lit("d"), "body": F.lit("e")})
+    out, _ = quality_rules.judged(named, labels, keep=["doc_id", "n_words", "KEPT", "n_lines", "_t", "body"])
+    assert out.columns == ["doc_id", "n_lines", "_t", "body", *quality_rules.BASE, "base_failed", "kept", "rule_no"]
+    row = out.where("doc_id = 1001").first()
+    assert (row["n_lines"], row["_t"], row["body"]) == ("c", "d", "e") and row["n_words"] > 0
+
+
+def test_covering_goes_on_while_it_gains():
+    """More than a dozen rules, and a rule of more than four conditions."""
+    import numpy as np
+    rng = np.random.default_rng(3)
+    n = 40_000
+    values = {k: rng.random(n) for k in quality_rules.STATISTICS}
+    x = values["words"] = rng.random(n)
+    bad = (np.floor(x * 40) % 2 == 0)  # twenty bands
+    rules = quality_rules.cover(values, bad, rng.random(n) < 1 / 3, np.ones(n))
+    caught = np.zeros(n, bool)
+    for r in rules:
+        caught |= np.all([c.holds(values) for c in r], axis=0)
+    assert len(rules) > 12 and caught[bad].mean() > 0.9 and caught[~bad].mean() < 0.05
+
+
 # ---------------------------------------------------------------- 7 personal data
 def brute_base(t):
     t = t or ""
