@@ -28,11 +28,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, col, stage
+from .common import BLANKS, col, kept_columns, stage
 
 MAX_LABELLED = 200_000
-MAX_RULES = 12
-MAX_CONDITIONS = 4
 MIN_PRECISION = 0.9
 MIN_COVER = 10
 
@@ -167,10 +165,10 @@ def cover(values: dict[str, np.ndarray], bad: np.ndarray, prune: np.ndarray,
     rules: list[tuple[Condition, ...]] = []
     free = np.ones(len(rows), bool)
     failed: set[tuple[str, bool]] = set()  # first conditions that led to no rule on the rows left
-    while len(rules) < MAX_RULES:
+    while True:  # a rule takes bad rows away, a failure a first condition: both run out
         rule: list[Condition] = []
         met = [free]
-        while len(rule) < MAX_CONDITIONS:
+        while True:  # every condition with a gain parts the rows left, until none of them is good
             best = _best_condition(values, order, p, n, met[-1] & ~prune, set() if rule else failed)
             if best is None:
                 break
@@ -216,12 +214,14 @@ def _best_condition(values, order, p, n, rows, without) -> Condition | None:
 
 def judged(docs: DataFrame, labels: DataFrame, keep: list[str], text: str = "text", doc_id: str = "doc_id",
            **options) -> tuple[DataFrame, DecisionList]:
-    """``keep`` columns, base counts, base_failed, kept and rule_no per row."""
-    fields = list(dict.fromkeys([*keep, doc_id]))
-    counted = stage(text_statistics(docs, text, fields), "quality-statistics")
-    rules = learn(counted, labels, doc_id, **options)
-    return counted.select(*[col(c) for c in keep], *BASE, base_failed().alias("base_failed"), rules.kept().alias("kept"),
-                          rules.rule_no().alias("rule_no")), rules
+    """``keep`` columns, base counts, base_failed, kept and rule_no per row;
+    kept columns that bear the name of a result are replaced by it."""
+    keep = kept_columns(docs, keep, *BASE, "base_failed", "kept", "rule_no")
+    safe = docs.select(*[col(c).alias(f"k{i}") for i, c in enumerate(keep)], col(doc_id).alias("key"), col(text).alias("body"))
+    counted = stage(text_statistics(safe, "body", safe.columns[:-1]), "quality-statistics")
+    rules = learn(counted, labels.select(col(doc_id).alias("key"), *[col(c) for c in labels.columns if c != doc_id]), "key", **options)
+    return counted.select(*[col(f"k{i}").alias(c) for i, c in enumerate(keep)], *BASE, base_failed().alias("base_failed"),
+                          rules.kept().alias("kept"), rules.rule_no().alias("rule_no")), rules
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
