@@ -119,7 +119,7 @@ def copies() -> Column:
 def mixed_sizes(docs: DataFrame, **options) -> DataFrame:
     """One row per document: doc_id, size, source_size, target, taken (words)."""
     rows, plan = mix(docs, **options)
-    plan = plan.withColumnRenamed("source", "s")
+    plan = stage(plan.withColumnRenamed("source", "s"), "mix-plan")  # its size is known: no source's rows meet in one task
     out = rows.join(plan, F.col("source").eqNullSafe(F.col("s")))
     return out.select("doc_id", "size", "source_size", "target", (copies() * F.col("size")).alias("taken"))
 
