@@ -235,6 +235,17 @@ def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
+def _classes(rows: DataFrame, order: str, fp: str, rid: str, max_bits: int, blocks: int) -> tuple[DataFrame, DataFrame]:
+    """(fp, root) of the fingerprints, (root, class_first) with the first row of each class."""
+    slim = rows.select(col(fp).alias("fp"), col(order).alias("ord"), col(rid).alias("rid"))
+    firsts = stage(slim.groupBy("fp").agg(F.min(F.struct(F.col("ord").isNull().alias("no"), "ord", "rid"))
+                                          .alias("first")), "simhash-prints")
+    roots = components(links(firsts.select("fp"), max_bits, blocks))
+    member = firsts.join(roots, firsts["fp"] == roots["node"], "left") \
+        .select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    return member.select("fp", "root"), member.groupBy("root").agg(F.min("first").alias("class_first"))
+
+
 def simhash_classes(docs: DataFrame, text: str = "text", order: str = "doc_id", keep: list[str] | None = None,
                     size: int = 4, max_bits: int = 4, blocks: int = 7) -> DataFrame:
     """``keep`` columns of ``docs`` (all by default) with
@@ -252,13 +263,7 @@ def simhash_classes(docs: DataFrame, text: str = "text", order: str = "doc_id",
     printed = with_fingerprint(docs.select(*[col(c) for c in dict.fromkeys([*fields, text])]), text, size, fp)
     rows = stage(printed.select(*[col(c) for c in fields], col(fp), F.monotonically_increasing_id().alias(rid)),
                  "simhash-rows")
-    slim = rows.select(col(fp).alias("fp"), col(order).alias("ord"), col(rid).alias("rid"))
-    firsts = stage(slim.groupBy("fp").agg(F.min(F.struct(F.col("ord").isNull().alias("no"), "ord", "rid"))
-                                          .alias("first")), "simhash-prints")
-    roots = components(links(firsts.select("fp"), max_bits, blocks))
-    member = firsts.join(roots, firsts["fp"] == roots["node"], "left") \
-        .select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    classes = member.groupBy("root").agg(F.min("first").alias("class_first"))
+    member, classes = _classes(rows, order, fp, rid, max_bits, blocks)
     named = member.join(classes, "root").select(F.col("fp").alias("n_fp"), "class_first")
     out = rows.join(named, col(fp) == F.col("n_fp"))
     return out.select(*[col(c) for c in keep], F.lower(F.lpad(F.hex(col(fp)), 16, "0")).alias("fingerprint"),
@@ -266,10 +271,16 @@ def simhash_classes(docs: DataFrame, text: str = "text", order: str = "doc_id",
                       (F.col("class_first.rid") == col(rid)).alias("is_first"))
 
 
-def near_dedup(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that come first in their class, columns unchanged."""
+def near_dedup(docs: DataFrame, text: str = "text", order: str = "doc_id", size: int = 4, max_bits: int = 4,
+               blocks: int = 7) -> DataFrame:
+    """The rows of ``docs`` that come first in their class, columns unchanged.
+
+    Texts meet the classes by row number: a class with any share of the rows
+    is no key of a shuffle of them."""
     names = docs.columns
     safe = docs.toDF(*[f"c{i}" for i in range(len(names))])
-    options = {k: f"c{names.index(v)}" for k, v in ({"text": "text", "order": "doc_id"} | options).items()
-               if k in ("text", "order")} | {k: v for k, v in options.items() if k not in ("text", "order")}
-    return simhash_classes(safe, **options).where("is_first").select(*safe.columns).toDF(*names)
+    text, order = (f"c{names.index(c)}" for c in (text, order))
+    rows = stage(with_fingerprint(safe, text, size, "fp_long").withColumn("row_no", F.monotonically_increasing_id()), "simhash-rows")
+    _, classes = _classes(rows, order, "fp_long", "row_no", max_bits, blocks)
+    first = classes.select(F.col("class_first.rid").alias("row_no"))
+    return rows.join(first, "row_no", "left_semi").select(*safe.columns).toDF(*names)
