@@ -9,9 +9,12 @@ its line of the matrix; after the exchange each shard permutes again, in
 buckets of its random key, so no task sorts a whole shard.
 
 The draw depends on row contents, the shard count and the seed alone, so a
-task run again after a lost executor deals the same rows.  The matrix has at
-most ``MAX_CELLS`` numbers whatever the input: more rows make larger
-partitions, and its broadcast has that bound.
+task run again after a lost executor deals the same rows.  Partitions follow
+the rows (about ``PART_ROWS`` each).  The matrix is drawn in two levels: the
+driver draws one for ranges of partitions, of at most ``MAX_CELLS`` numbers
+whatever the input, and executors draw each range's partitions from its line
+(a sample of a sample without replacement is one); the lines are written and
+meet the rows by partition.
 
 Rows equal in every column share a partition and may trade places.  Nulls are
 ordinary values; an empty table gives an empty one.
@@ -19,16 +22,18 @@ ordinary values; an empty table gives an empty one.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import col, free_name, kept_columns, ordered_slots, row_hash
+from .common import col, free_name, kept_columns, ordered_slots, row_hash, stage
 
-#: Partitions x shards, at most.
+#: Ranges of partitions x shards that the driver draws, at most.
 MAX_CELLS = 1 << 20
-#: Rows per logical partition and per bucket of a shard, while cells allow.
+#: Rows per logical partition and per bucket of a shard.
 PART_ROWS = 4096
 BUCKET_ROWS = 8192
 
@@ -54,21 +59,52 @@ def hypergeometric(rng: np.random.Generator, good: int, bad: int, draws: int) ->
 def communication_matrix(rows: list[int], shards: int, seed: int) -> list[list[int]]:
     """Rows each partition (of so many rows) sends to each shard; shard sizes
     are at most one apart, columns add up to them exactly."""
-    rng = np.random.default_rng(seed)
     n = sum(rows)
-    free = [n // shards + (j < n % shards) for j in range(shards)]
-    out = []
+    return list(deal(rows, [n // shards + (j < n % shards) for j in range(shards)], seed))
+
+
+def deal(rows: list[int], free: list[int], seed) -> Iterator[list[int]]:
+    """Lines of the matrix for partitions of so many rows, drawn one after the
+    other from the places that the shards have ``free`` (as many as rows)."""
+    rng = np.random.default_rng(seed)
     for have in rows:
         line, left = [], have
         rest = sum(free)
-        for j in range(shards):
+        for j in range(len(free)):
             rest -= free[j]
             k = hypergeometric(rng, free[j], rest, left)
             line.append(k)
             left -= k
         free = [f - k for f, k in zip(free, line)]
-        out.append(line)
-    return out
+        yield line
+
+
+def _lines(spark, counts: DataFrame, parts: int, shards: int, seed: int, p: str, ends: str) -> DataFrame:
+    """(part, ends): where each partition's rows of each shard end, from the
+    rows of each partition (``counts``: part, n)."""
+    ranges = max(1, min(MAX_CELLS // shards, parts))
+    width = -(-parts // ranges)
+    by_range = counts.groupBy(F.floor(col(p) / width).cast("int").alias("r"))
+    have = {r["r"]: r["n"] for r in by_range.agg(F.sum("n").alias("n")).collect()}  # at most MAX_CELLS / shards rows
+    order = sorted(have)
+    matrix = communication_matrix([have[k] for k in order], shards, seed)
+    schema = f"`{p}` int, `{ends}` array<bigint>"
+    if width == 1:
+        return F.broadcast(spark.createDataFrame([(k, np.cumsum(line).tolist()) for k, line in zip(order, matrix)], schema))
+    top = stage(spark.createDataFrame(list(zip(order, matrix)), "r int, free array<bigint>"), "shard-ranges")
+    tasks = by_range.agg(F.sort_array(F.collect_list(F.struct(col(p).alias("p"), "n"))).alias("ps")).join(top, "r") \
+        .repartition(min(len(order), 1024), "r")
+
+    def run(frames: Iterator) -> Iterator:
+        import pandas as pd
+        for frame in frames:
+            for r, ps, free in zip(frame["r"], frame["ps"], frame["free"]):
+                lines = deal([int(x["n"]) for x in ps], [int(f) for f in free], [seed, int(r)])
+                for lo in range(0, len(ps), 256):
+                    part = [(x["p"], np.cumsum(next(lines)).tolist()) for x in ps[lo:lo + 256]]
+                    yield pd.DataFrame(part, columns=[p, ends])
+
+    return stage(tasks.select("r", "ps", "free").mapInPandas(run, schema), "shard-lines")
 
 
 def shuffle_into_shards(docs: DataFrame, shards: int, seed: int = 7, shard: str = "shard",
@@ -80,15 +116,11 @@ def shuffle_into_shards(docs: DataFrame, shards: int, seed: int = 7, shard: str
     h, p, ends, place = free_name(docs, "row_key", "part_no", "part_ends", "part_place")
     rows = docs.withColumn(h, F.xxhash64(F.lit(seed), row_hash(docs)))
     n = docs.count()
-    parts = max(1, min(MAX_CELLS // shards, -(-n // PART_ROWS)))
+    parts = max(1, -(-n // PART_ROWS))
     rows = rows.withColumn(p, F.pmod(col(h), F.lit(parts)).cast("int"))
-    have = {r[0]: r[1] for r in rows.groupBy(col(p)).count().collect()}  # bounded by MAX_CELLS / shards
-    order = sorted(have)
-    matrix = communication_matrix([have[k] for k in order], shards, seed)
-    table = spark.createDataFrame([(k, np.cumsum(line).tolist()) for k, line in zip(order, matrix)],
-                                  f"`{p}` int, `{ends}` array<bigint>")
+    table = _lines(spark, rows.groupBy(col(p)).agg(F.count(F.lit(1)).alias("n")), parts, shards, seed, p, ends)
     local = Window.partitionBy(col(p)).orderBy(F.xxhash64(col(h), F.lit("local")), col(h))
-    dealt = rows.withColumn(place, F.row_number().over(local)).join(F.broadcast(table), p)
+    dealt = rows.withColumn(place, F.row_number().over(local)).join(table, p)
     dealt = dealt.withColumn(shard, F.size(F.filter(col(ends), lambda e: e < col(place))).cast("int")) \
         .drop(p, ends, place)
     key = F.xxhash64(col(h), F.lit("shard"))
