@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import to_singular
 from ..session import stage
+from . import reach
 from .common import lookup, top_k_per_key
 
 TRIPLES_SCHEMA = ("subject string, subject_label string, predicate string, object string, "
@@ -88,6 +89,26 @@ def hypernym_table(lemmas: DataFrame, edges: DataFrame, pos: str = "n",
             .select("word", to_singular(F.col("hname")).alias("hyper")).distinct())
 
 
+def class_names(edges: DataFrame, excluded: Sequence[str] = EXCLUDED_CLASSES) -> DataFrame:
+    """(node, hyper): the classes of a taxonomy that may be named as a
+    hypernym, with their cleaned, singular name (STR-24)."""
+    name = sense_name(F.col("node"))
+    return edges.select(F.col("parent_sense").alias("node")).where("node IS NOT NULL").distinct() \
+        .where(~name.isin(list(excluded)) & ~name.contains("_")).select("node", to_singular(name).alias("hyper"))
+
+
+def hypernyms_of(words: DataFrame, lemmas: DataFrame, edges: DataFrame, pos: str = "n",
+                 excluded: Sequence[str] = EXCLUDED_CLASSES) -> DataFrame:
+    """The (word, hyper) rows of ``words`` that ``hypernym_table`` holds, by the
+    reachability index: only pairs that are asked about are ever rows."""
+    senses = lemmas.where(F.col("pos") == pos).select(F.col("lemma").alias("word"), "sense")
+    asked = stage(words.select("word", "hyper").distinct().join(senses, "word").join(class_names(edges, excluded), "hyper")
+                  .select("word", "hyper", "sense", "node"), "asked-hypernyms")
+    index = reach.build(edges, "child_sense", "parent_sense")
+    found = reach.reachable(index, asked, "sense", "node")
+    return asked.join(found, (F.col("sense") == F.col("low")) & (F.col("node") == F.col("high"))).select("word", "hyper").distinct()
+
+
 def _search(triples: DataFrame, predicate: str) -> DataFrame:
     return triples.where(F.col("predicate") == predicate).withColumn(
         "query", F.lower("subject_label"))

@@ -198,14 +198,20 @@ def np_heads(i: int) -> Column:
     return F.array_distinct(F.transform(let(tags, heads), lambda x: x["g"]))
 
 
-def place_candidates(i: int, country_list: Column) -> Column:
-    """Place entities: alphabetic, no dot, not a country name (lower-case)."""
+def place_candidates(i: int) -> Column:
+    """Place entities: alphabetic, no dot (lower-case)."""
     z = F.arrays_zip(F.col(f"t{i}").alias("t"), F.col(f"ent{i}").alias("e"), F.col(f"l{i}").alias("l"))
-    keep = F.filter(z, lambda x: F.coalesce(x["e"].isin("GPE", "LOC", "ORG"), F.lit(False))
-                    & x["t"].rlike(r"^\p{L}+$") & ~F.array_contains(country_list, x["l"]))
+    keep = F.filter(z, lambda x: F.coalesce(x["e"].isin("GPE", "LOC", "ORG"), F.lit(False)) & x["t"].rlike(r"^\p{L}+$"))
     return F.array_distinct(F.transform(keep, lambda x: x["l"]))
 
 
+def isa_words(ann: DataFrame) -> DataFrame:
+    """(word, hyper): distinct candidate words of s1 with those of s2, the only
+    pairs whose hypernymy decides a link."""
+    both = ann.select(F.explode(isa_candidates(1)).alias("word"), isa_candidates(2).alias("n2"))
+    return both.select("word", F.explode("n2").alias("hyper")).where("word <> hyper").distinct()
+
+
 def capital_candidates(i: int) -> Column:
     z = F.arrays_zip(F.col(f"t{i}").alias("t"), F.col(f"pos{i}").alias("p"), F.col(f"l{i}").alias("l"))
     keep = F.filter(z, lambda x: x["p"].isin("PROPN", "NOUN", "X", "ADJ") & x["t"].rlike(r"\p{Lu}"))
@@ -288,15 +294,16 @@ def link_isa(ann: DataFrame, hypernyms: DataFrame, filter_repeat: bool = True) -
     return fold_links(rows, "isa")
 
 
-def link_location(ann: DataFrame, places: DataFrame, country_list: Sequence[str],
-                  synonyms: DataFrame) -> DataFrame:
-    """Place in s1, its state/country phrase in s2 (J-11)."""
-    cl = F.array(*[F.lit(x) for x in country_list]) if country_list else F.array().cast("array<string>")
-    base = ann.select("pair_id", "l1", "l2", place_candidates(1, cl).alias("c1"))
+def link_location(ann: DataFrame, places: DataFrame, countries: DataFrame, synonyms: DataFrame) -> DataFrame:
+    """Place in s1, its state/country phrase in s2 (J-11).  ``countries``:
+    lower-case country names (column ``name``), which are no places to link."""
+    base = ann.select("pair_id", "l1", "l2", place_candidates(1).alias("c1"))
     c = _explode_cands(base, F.col("c1"), "subject")
+    c = c.join(lookup(countries.select(F.col("name").alias("__c")).distinct()), F.col("subject") == F.col("__c"), "left_anti")
     j = c.join(places, c.subject == places.query).select("pair_id", "l1", "l2", "subject",
                                                          F.explode("places").alias("object"))
-    j = j.join(F.broadcast(synonyms), j.object == synonyms.country, "left").drop("country")
+    syn = lookup(synonyms)
+    j = j.join(syn, F.col("object") == syn.country, "left").drop("country")
     rows = j.select("pair_id", "object", "subject",
                     word_positions("l1", F.col("subject")).alias("s_ind"),
                     country_positions("l2", F.col("object"), F.col("phrases")).alias("o_ind"))
@@ -320,12 +327,12 @@ def link_trademark(ann: DataFrame, countries: DataFrame, adjectives: DataFrame,
         cap = F.initcap("object")
     j = j.withColumn("__cap", cap)
     adj = adjectives.select(F.col("country").alias("__cap"), F.lower("adjective").alias("__adj"))
-    j = j.join(F.broadcast(adj), "__cap", "left")
+    j = j.join(lookup(adj), "__cap", "left")
     adj_word = F.coalesce(F.col("__adj"), F.col("object")) if reference_compat else F.col("__adj")
     syn = synonyms.select(F.col("country").alias("object"), F.col("phrases"))
-    j = j.join(F.broadcast(syn), "object", "left")
+    j = j.join(lookup(syn), "object", "left")
     syn2 = synonyms.select(F.col("country").alias("__adjkey"), F.col("phrases").alias("phrases2"))
-    j = j.withColumn("__adjkey", adj_word).join(F.broadcast(syn2), "__adjkey", "left")
+    j = j.withColumn("__adjkey", adj_word).join(lookup(syn2), "__adjkey", "left")
     name_hits = country_positions("l2", F.col("object"), F.col("phrases"))
     adj_hits = F.when(adj_word.isNotNull(), country_positions("l2", adj_word, F.col("phrases2"))) \
         .otherwise(F.array().cast("array<int>"))

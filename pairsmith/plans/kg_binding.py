@@ -131,9 +131,9 @@ def lexicon(spark, sf_dir) -> DataFrame:
     return best.withColumn("ent", F.when(F.col("pos") == "PROPN", F.lit("GPE")))
 
 
-def country_list(spark, sf_dir) -> list[str]:
-    """Lower-case country names (the nations: 25 rows, bounded)."""
-    return sorted(r[0] for r in _nations(spark, sf_dir).select(F.lower("nlabel")).collect())
+def country_names(spark, sf_dir) -> DataFrame:
+    """Lower-case country names (the nations)."""
+    return _nations(spark, sf_dir).select(F.lower("nlabel").alias("name"))
 
 
 def pairs(spark, sf_dir) -> DataFrame:

@@ -33,7 +33,7 @@ def linkers(spark, sf_dir):
 
     def location(ann):
         places = lookup(kg.state_or_country(B.triples(spark, sf_dir), B.US_LABEL))
-        return linking.link_location(ann, places, B.country_list(spark, sf_dir), linking.synonyms_table(spark))
+        return linking.link_location(ann, places, B.country_names(spark, sf_dir), linking.synonyms_table(spark))
 
     def trademark(ann):
         countries = lookup(kg.entity_countries(B.triples(spark, sf_dir)))
@@ -129,6 +129,18 @@ def q_link_isa(spark, sf_dir):
     return _show(_links(spark, sf_dir, "isa"))
 
 
+_NOUNS = _isa_sql()[len(_pairs_lex_sql()):].split("j AS (")[0].rstrip().rstrip(",")
+
+
+@query("isa_reach", _pairs_lex_sql() + _NOUNS + """
+SELECT DISTINCT a.g AS word, h.hyper FROM n1 a JOIN n2 b ON b.pair_id = a.pair_id AND a.g <> b.g
+JOIN hyp h ON h.word = a.g AND h.hyper = b.g""", ("NLP-06", "J-10"))
+def q_isa_reach(spark, sf_dir):
+    """Words of s1 under words of s2, by the reachability index: no closure is made."""
+    lemmas, edges = B.taxonomy(spark, sf_dir)
+    return kg.hypernyms_of(linking.isa_words(annotated(spark, sf_dir)), lemmas, edges)
+
+
 def hits(word, phrases):
     return f"""(CASE WHEN {phrases} IS NOT NULL THEN list_reduce(
           list_filter(list_transform(range(0, len(tg.l2)), lambda i: {{'i': i,
