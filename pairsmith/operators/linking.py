@@ -294,9 +294,12 @@ def link_isa(ann: DataFrame, hypernyms: DataFrame, filter_repeat: bool = True) -
     return fold_links(rows, "isa")
 
 
-def link_location(ann: DataFrame, places: DataFrame, countries: DataFrame, synonyms: DataFrame) -> DataFrame:
+def link_location(ann: DataFrame, places: DataFrame, countries: DataFrame | Sequence[str], synonyms: DataFrame) -> DataFrame:
     """Place in s1, its state/country phrase in s2 (J-11).  ``countries``:
-    lower-case country names (column ``name``), which are no places to link."""
+    lower-case country names (a table with column ``name``, or a short list),
+    which are no places to link."""
+    if not isinstance(countries, DataFrame):
+        countries = ann.sparkSession.createDataFrame([(c,) for c in countries], "name string")
     base = ann.select("pair_id", "l1", "l2", place_candidates(1).alias("c1"))
     c = _explode_cands(base, F.col("c1"), "subject")
     c = c.join(lookup(countries.select(F.col("name").alias("__c")).distinct()), F.col("subject") == F.col("__c"), "left_anti")

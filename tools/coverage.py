@@ -12,7 +12,8 @@ sys.path.insert(0, ROOT)
 LIB = {
     "SRC-03": "sources/readers.py read_xz_json (test_faults.py)",
     "PRJ-04": "select in every query",
-    "UDF-01": "column expressions everywhere (no Python UDF)", "UDF-02": "operators/hits.py parser blocks (a user cannot add one)",
+    "UDF-01": "column expressions everywhere (no row-at-a-time Python UDF)",
+    "STR-02": "functions/text.py safe_replace (test_text.py); operators/hits.py replace_at",
 }
 
 
