@@ -32,7 +32,9 @@ from .common import byte_groups, col, free_name, kept_columns
 
 MARK = "▁"
 #: Chunks that a worker's table holds; beyond it the table starts anew.
-TABLE_CHUNKS = 500_000
+TABLE_CHUNKS = 250_000
+#: Bytes of texts encoded, and ids decoded, at once.
+TEXT_BYTES, IDS_AT_ONCE = 1 << 20, 1 << 17
 #: Longer chunks are segmented whenever they are met and leave the table with their group.
 LONG_CHUNK = 200
 
@@ -181,7 +183,7 @@ def encode_pieces(docs: DataFrame, model_file: str, text: str = "text", keep: Se
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = chunk_table(model_file)
         for batch in batches:
-            for lo, hi in byte_groups(batch, at):
+            for lo, hi in byte_groups(batch, at, TEXT_BYTES):
                 part = batch.slice(lo, hi - lo)
                 ids, offsets = table.encode(part.column(at).to_pylist())
                 lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))
@@ -208,7 +210,7 @@ def decode_pieces(encoded: DataFrame, model_file: str, ids: str = "ids", keep: S
             ends = np.cumsum(size)
             lo = 0
             while lo < batch.num_rows:
-                hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] - size[lo] + (1 << 20), side="right")))
+                hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] - size[lo] + IDS_AT_ONCE, side="right")))
                 part = batch.slice(lo, hi - lo)
                 lists = part.column(at)
                 if lists.flatten().null_count:
