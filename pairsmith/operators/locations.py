@@ -12,6 +12,7 @@ shuffle position is the rank by ``md5(seed/id)``; no list is ever one row.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
@@ -140,6 +141,27 @@ def _by_trie(rows: DataFrame, table: DataFrame, keys: Sequence[str], text_col: s
     return slim.mapInArrow(run, f"{out}, m array<{MENTION}>")
 
 
+def _count_by_trie(rows: DataFrame, table: DataFrame, text_col: str, entity_types: Sequence[str] | None) -> DataFrame:
+    """(location, cnt) of each task's texts, added up there: places are not worked out."""
+    listed = {tuple(r["p"]): (r["location"], r["ents"]) for r in table.select("p", "location", "ents").collect()}
+    wanted = None if entity_types is None else {loc for loc, ents in listed.values() if set(ents) & set(entity_types)}
+    sent = rows.sparkSession.sparkContext.broadcast((list(listed), wanted))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import regex
+        names, only = sent.value
+        find, trie, found = regex.compile(WORD + "+").findall, TokenTrie(names), Counter()
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                words = [w.lower() for w in find(text or "")]
+                found.update(" ".join(words[k:k + n]) for k, n in trie.leftmost_longest(words))
+        kept = [(k, n) for k, n in found.items() if only is None or k in only]
+        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in kept], pa.string()), pa.array([n for _, n in kept], pa.int64())],
+                                         ["location", "cnt"])
+
+    return rows.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "location string, cnt long")
+
+
 def _by_join(rows: DataFrame, table: DataFrame, keys: Sequence[str], text_col: str) -> DataFrame:
     """Mentions by a join of the words with the names' first words, for any
     number of names: words travel alone, and only texts with a first word in
@@ -189,6 +211,9 @@ def mentions(rows: DataFrame, names: DataFrame, keys: Sequence[str], text_col: s
 def corpus_mentions(sentences: DataFrame, names: DataFrame, text_col: str = "text", id_col: str = "id",
                     entity_types: Sequence[str] | None = None, trie_bytes: int = TRIE_BYTES) -> DataFrame:
     """Mention count per lower-cased location over a corpus (AGG-05)."""
+    table = name_table(names)
+    if (table.agg(F.sum(F.octet_length("location"))).first()[0] or 0) <= trie_bytes:
+        return _count_by_trie(sentences, table, text_col, entity_types).groupBy("location").agg(F.sum("cnt").alias("cnt"))
     found = mentions(sentences, names, [id_col], text_col, entity_types, trie_bytes)
     return found.select(F.explode("m.location").alias("location")).groupBy("location") \
         .agg(F.count(F.lit(1)).cast("bigint").alias("cnt"))
