@@ -45,17 +45,21 @@ def drop_conflicts_dedup(df: DataFrame, order_by: Sequence[str], keys: Sequence[
     One shuffle on the pair key.  ``min`` over a struct led by the order
     columns picks the first row exactly (not ``dropDuplicates``, which keeps
     an arbitrary one); the label range gives the conflict test in the same
-    aggregate, so no second pass or anti-join is needed.
+    aggregate, so no second pass or anti-join is needed.  Key texts travel as
+    the group's key alone: they are equal in all its rows.
     """
     cols = df.columns
-    rest = [c for c in cols if c not in order_by]
+    # a number with a fraction may be grouped with another spelling of itself (-0.0): such keys stay in the row
+    plain = {f.name for f in df.schema.fields if f.dataType.typeName() in ("string", "long", "integer", "short", "byte", "boolean", "date", "timestamp")}
+    at = {k: F.col(f"__k{i}") for i, k in enumerate(keys) if k in plain and k not in order_by}
+    rest = [c for c in cols if c not in order_by and c not in at]
     packed = F.struct(*[F.col(c) for c in order_by], *[F.col(c) for c in rest])
     agg = df.groupBy(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)]).agg(
         F.min(label).alias("__lo"), F.max(label).alias("__hi"), F.min(packed).alias("__first"))
     conflict = F.coalesce(F.col("__lo") != F.col("__hi"), F.lit(False))
     for i in range(len(keys)):
         conflict = conflict & F.col(f"__k{i}").isNotNull()
-    return agg.filter(~conflict).select(*[F.col(f"__first.{c}").alias(c) for c in cols])
+    return agg.filter(~conflict).select(*[at.get(c, F.col(f"__first.{c}")).alias(c) for c in cols])
 
 
 def dedup_report(df: DataFrame, keys: Sequence[str] = PAIR, label: str = "label") -> DataFrame:

@@ -118,7 +118,8 @@ def q_split_stats(spark, sf_dir):
 @query("exclude_workers", "WITH " + DEDUP_SQL + """
 SELECT * FROM dedup WHERE coalesce(worker_id NOT IN ('3', '7'), true)""", ("FLT-02",))
 def q_exclude_workers(spark, sf_dir):
-    return filters.exclude_workers(deduped(spark, sf_dir), EXCLUDED_SUPPLIERS)
+    # the guard and the rows read it: written once
+    return filters.exclude_workers(stage(deduped(spark, sf_dir), "dedup"), EXCLUDED_SUPPLIERS)
 
 
 @query("dataset_type_flags", "WITH " + DEDUP_SQL + """
