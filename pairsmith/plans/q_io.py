@@ -96,8 +96,8 @@ def q_memo_cache(spark, sf_dir):
     run's number, only the misses get its own."""
     from ..functions.text import cache_key
     p = _tmp(spark, "memo")
-    pairs = deduped(spark, sf_dir).select(cache_key("premise", "hypothesis", F.lit("isa")).alias("cache_key"),
-                                          (F.length("premise") + F.length("hypothesis")).alias("value"))
+    pairs = stage(deduped(spark, sf_dir).select(cache_key("premise", "hypothesis", F.lit("isa")).alias("cache_key"),
+                                                (F.length("premise") + F.length("hypothesis")).alias("value")), "memo-pairs")
 
     def compute(keys, run):
         return keys.join(pairs.groupBy("cache_key").agg(F.min("value").alias("value")), "cache_key") \
