@@ -50,9 +50,9 @@ def shared_values(df: DataFrame, value_cols: Sequence[str], part_col: str = "spl
 
 def pair_leaks(df: DataFrame, part_col: str = "split",
                keys: Sequence[str] = ("premise", "hypothesis")) -> DataFrame:
-    """(premise, hypothesis) pairs present in more than one part."""
-    return (df.select(part_col, *keys).distinct()
-            .groupBy(*keys).agg(F.sort_array(F.collect_set(part_col)).alias("parts"))
+    """(premise, hypothesis) pairs present in more than one part.  One shuffle:
+    the set of a pair's parts is combined map-side."""
+    return (df.groupBy(*keys).agg(F.sort_array(F.collect_set(part_col)).alias("parts"))
             .where(F.size("parts") > 1))
 
 
