@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pairsmith.operators import checks, dedup
-from pairsmith.plans import q_datasets, q_io, q_prepare
+from pairsmith.plans import q_io, q_prepare
 
 ROWS = [(f"p{i}", f"h{i % 7}", "neutral", i, str(i % 5), "1", "1", "x", i) for i in range(40)]
 SCHEMA = "premise string, hypothesis string, label string, row_id long, worker_id string, hit_id string, section string, item string, seq long"
@@ -42,20 +42,11 @@ def _exchanges(df):
     return df._jdf.queryExecution().executedPlan().toString().count("Exchange ")
 
 
-def test_pair_leaks_and_arrays_take_one_shuffle(spark):
+def test_pair_leaks_take_one_shuffle(spark):
     rows = spark.createDataFrame(ROWS, SCHEMA).withColumn("split", F.when(F.col("seq") < 20, "train").otherwise("test"))
     leaks = checks.pair_leaks(rows.unionByName(rows.where("seq = 3").withColumn("split", F.lit("dev"))))
     assert _exchanges(leaks) == 1  # before it runs: then the adaptive plan is listed too
     assert [tuple(r) for r in leaks.collect()] == [("p3", "h3", ["dev", "train"])]
-    assert _exchanges(q_datasets._arrays(rows)) == 1
-
-
-def test_arrays_are_one_file_each(spark, tmp_path):
-    rows = spark.createDataFrame(ROWS, SCHEMA).withColumn("seq", F.col("seq") * 500)
-    q_datasets._write_arrays(rows.repartition(5), str(tmp_path / "a"))
-    files = sorted(p.parent.name for p in (tmp_path / "a").rglob("part-*.txt"))
-    assert files == [f"part={i}" for i in range(5)]
-    assert spark.read.schema(SCHEMA).option("multiLine", True).json(str(tmp_path / "a")).count() == len(ROWS)
 
 
 def test_dedup_keys_travel_once(spark):
@@ -65,3 +56,46 @@ def test_dedup_keys_travel_once(spark):
     assert out.where("premise IS NULL").first()["label"] == "entailment"
     packed = next(x for x in out._jdf.queryExecution().optimizedPlan().toString().split("min(") if "struct(" in x)
     assert "premise, premise#" not in packed
+
+
+def test_sheet_rows_are_dealt_out(spark):
+    """A sheet in one partition is expanded in as many tasks as a shuffle has."""
+    from pairsmith.operators import hits
+    sheet = spark.createDataFrame([(i,) + ("x",) * len(hits.SHEET_COLUMNS) for i in range(64)],
+                                  "row_id long, " + ", ".join(f"`{c}` string" for c in hits.SHEET_COLUMNS)).coalesce(1)
+    got, failed = hits.expand_sheet(sheet)
+    assert got.select(F.spark_partition_id().alias("p")).distinct().count() > 1
+    assert got.select("row_id").distinct().count() == 64 - failed.groupBy("row_id").count().where("count = 6").count()
+
+
+def test_review_rows_bold(spark):
+    from pairsmith.operators import hits
+    cols = "premise, hypothesis, label, section, pword, hword, ptype, htype, row_id, worker_id, hit_id, is_complete"
+    df = spark.createDataFrame([("a red car", "a car", "neutral", "1", "red", "bus", "x", "y", "1", "w", "h", "true"),
+                                (None, "the car", "neutral", "1", "red", "car", "x", "y", "2", "w", "h", "true")], cols.replace(",", " string,") + " string")
+    got = {(r["row_id"], r["type"]): r["text"] for r in hits.review_rows(df).collect()}
+    assert got == {("1", "P"): "a **red** car", ("1", "H"): None, ("2", "P"): None, ("2", "H"): "the **car**"}
+
+
+def test_features_of_repeated_documents(spark):
+    """Equal ids are one document, a null id counts as one but has no features; terms travel twice and are not written."""
+    import math
+    from pairsmith.operators import baseline_ml
+    df = spark.createDataFrame([(1, "red car"), (1, "red"), (2, None), (3, "red bus red"), (None, "car")], "d long, t string")
+    out = baseline_ml.tfidf_features(df, "t", "d", 2)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 2 and "parquet" not in plan.lower()
+    got = {(r["doc_id"], r["term"]): r["weight"] for r in out.collect()}
+    idf = lambda df: math.log(5 / (1 + df)) + 1
+    want = {1: {"red": 2 * idf(2), "car": idf(2), "red car": idf(1)},
+            3: {"red": 2 * idf(2), "bus": idf(1), "red bus": idf(1), "bus red": idf(1)}}
+    assert got == {(d, t): pytest.approx(w / math.sqrt(sum(x * x for x in ws.values()))) for d, ws in want.items() for t, w in ws.items()}
+
+
+def test_terms_are_counted_where_rows_lie(spark):
+    from pairsmith.operators import text_features as X
+    from pairsmith.operators.common import spread
+    rows = spark.createDataFrame([(i, "red car red", "x y") for i in range(20)], "row long, p string, h string")
+    counts = X.term_counts(spread(rows, "row"), "row", ["p", "h"], 2)
+    assert counts._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1  # the texts, no terms
+    assert counts.count() == 20 * 4
