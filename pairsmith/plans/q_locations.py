@@ -172,9 +172,10 @@ ann AS (SELECT f.sample_id, f.type, s.genre, s.text AS sentence, f.m FROM found
 
 
 def annotated_sentences(spark, sf_dir, raw=None):
-    raw = gazetteer_raw(spark, sf_dir) if raw is None else raw
+    raw = stage(gazetteer_raw(spark, sf_dir), "gazetteer") if raw is None else raw
     names = _names(raw)
-    rows = L.sentence_rows(corpus(spark, sf_dir).withColumnRenamed("seq", "sample_id"))
+    # read for the mentions and again for the texts: the turns are joined once
+    rows = stage(L.sentence_rows(corpus(spark, sf_dir).withColumnRenamed("seq", "sample_id")), "sentences")
     return L.annotate_locations(rows, names, names)
 
 

@@ -99,3 +99,21 @@ def test_terms_are_counted_where_rows_lie(spark):
     counts = X.term_counts(spread(rows, "row"), "row", ["p", "h"], 2)
     assert counts._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1  # the texts, no terms
     assert counts.count() == 20 * 4
+
+
+def test_sentences_are_joined_once(spark, tmp_path, monkeypatch):
+    """Turns and gazetteer are worked out once for the mentions and the texts."""
+    from pairsmith.plans import q_locations as Q
+    seen = spark.sparkContext.accumulator(0)
+    schema = "seq long, sentence1 string, sentence2 string, gold_label string, genre string"
+
+    def run(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+    turns = spark.createDataFrame([(1, "in Paris", "no place", "x", "user"), (2, "a", "b", "x", "user")], schema).mapInArrow(run, schema)
+    monkeypatch.setattr(Q, "corpus", lambda *_: turns)
+    monkeypatch.setattr(Q, "gazetteer_raw", lambda *_: spark.createDataFrame([("France", "Paris")], "country string, city string"))
+    got = Q.q_location_sentences(spark, "").collect()
+    assert [(r["sample_id"], r["type"], r["locations"], r["start_char"]) for r in got] == [(1, "permise", "paris", "3")]
+    assert seen.value == 2
