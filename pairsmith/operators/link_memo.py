@@ -18,8 +18,8 @@ from ..streaming.store import KeyedStore
 from .linking import LINKERS, Tagger, annotate, run_linkers
 from .tagging import SentenceTagger
 
-STORED = ("cache_key string, links array<struct<object:string,subjects:array<string>,subject_ind:array<int>,"
-          "object_ind:array<int>,feature_type:string>>")
+LINKS = "array<struct<object:string,subjects:array<string>,subject_ind:array<int>,object_ind:array<int>,feature_type:string>>"
+STORED = f"cache_key string, links {LINKS}"
 
 
 def resumed_links(pairs: DataFrame, tagger: Tagger | SentenceTagger | DataFrame, path: str,
@@ -30,23 +30,42 @@ def resumed_links(pairs: DataFrame, tagger: Tagger | SentenceTagger | DataFrame,
     Pairs with a null sentence have no links and no entry.  ``tagger`` and
     look-up tables must be those of the earlier runs: the key does not hold them."""
     linkers = LINKERS if linkers is None else linkers
-    store = KeyedStore(pairs.sparkSession, path, "cache_key")
+    spark = pairs.sparkSession
+    store = KeyedStore(spark, path, "cache_key")
     whole = pairs.where(F.col("s1").isNotNull() & F.col("s2").isNotNull())
-    wanted = stage(whole.select("pair_id", "s1", "s2", F.explode(F.array(*[F.lit(t) for t in linkers])).alias("data_type"))
-                   .withColumn("cache_key", cache_key("s1", "s2", F.col("data_type"))), "wanted-links")
-    hits = stage(store.stored(wanted, STORED), "stored-links")
-    todo = wanted.join(store.missing(wanted, hits), "cache_key") \
-        .groupBy("cache_key", "data_type").agg(F.min(F.struct("pair_id", "s1", "s2")).alias("p")).select("cache_key", "data_type", "p.*")
-    todo = stage(todo, "missing-links")
-    fresh = hits.limit(0)
+    # a cache key is its pair's part, then the type: rows are a pair's, not a type's, wherever they travel
+    wanted = stage(whole.select("pair_id", "s1", "s2", cache_key("s1", "s2", F.lit("")).alias("part")), "wanted-links")
+    types = F.array(*[F.lit(t) for t in linkers]).cast("array<string>")
+    texts = wanted.groupBy("part").agg(F.min(F.struct("pair_id", "s1", "s2")).alias("p"))
+    none = F.array().cast(f"array<struct<data_type:string,links:{LINKS}>>")
+    paths = store.file_groups(wanted.select(F.explode(types).alias("t"), "part").select(F.concat("part", "t").alias("cache_key")))
+    if paths:
+        rows = _by_part(spark.read.schema(STORED).parquet(*paths)).where(F.col("data_type").isin(list(linkers)))
+        known = rows.join(wanted.select("part").distinct(), "part", "left_semi") \
+            .groupBy("part").agg(F.collect_list(F.struct("data_type", "links")).alias("known"))
+        texts = texts.join(known, "part", "left").withColumn("known", F.coalesce("known", none))
+    else:
+        texts = texts.withColumn("known", none)
+    texts = texts.withColumn("missing", F.array_except(types, F.col("known.data_type")))
+    lack = F.size("missing") > 0
+    have = stage(texts.select("part", "known", "missing", *[F.when(lack, F.col(f"p.{c}")).alias(c) for c in ("pair_id", "s1", "s2")]), "stored-links")
+    todo = have.where(lack)
+    links = have.select("part", F.explode("known").alias("k")).select("part", "k.*")
     if not todo.isEmpty():
         ann = annotate(todo.groupBy("pair_id").agg(F.first("s1").alias("s1"), F.first("s2").alias("s2")), tagger)
-        rows = run_linkers(ann, linkers).groupBy("pair_id", "data_type").agg(F.sort_array(F.collect_list(F.struct(
-            "object", "subjects", "subject_ind", "object_ind", "feature_type"))).alias("links"))
-        none = F.array().cast(hits.schema["links"].dataType)
-        fresh = stage(todo.select("cache_key", "pair_id", "data_type").join(rows, ["pair_id", "data_type"], "left")
-                      .select("cache_key", F.coalesce("links", none).alias("links")), "fresh-links")
-        store.add(fresh)
-    have = hits.unionByName(fresh)
-    return wanted.select("pair_id", "data_type", "cache_key").join(have, "cache_key") \
+        found = run_linkers(ann, linkers).groupBy("pair_id").agg(F.sort_array(F.collect_list(F.struct(
+            "data_type", "object", "subjects", "subject_ind", "object_ind", "feature_type"))).alias("found"))
+        fresh = todo.select("part", "pair_id", "missing").join(found, "pair_id", "left") \
+            .select("part", F.explode("missing").alias("data_type"), "found")
+        of_type = F.transform(F.filter("found", lambda x: x["data_type"] == F.col("data_type")), lambda x: x.dropFields("data_type"))
+        batch = store.add(fresh.select(F.concat("part", "data_type").alias("cache_key"),
+                                       F.coalesce(of_type, F.array().cast(LINKS)).alias("links")))
+        links = links.unionByName(_by_part(store.batch_rows(batch, STORED)))
+    return wanted.select("pair_id", "part").join(links.where(F.size("links") > 0), "part") \
         .select("pair_id", "data_type", F.explode("links").alias("x")).select("pair_id", "data_type", "x.*")
+
+
+def _by_part(rows: DataFrame) -> DataFrame:
+    """(part, data_type, links) of stored rows: a key's type stands behind its second bar."""
+    part = F.concat(F.substring_index("cache_key", "|", 2), F.lit("|"))
+    return rows.select(part.alias("part"), F.expr("substring(cache_key, length(substring_index(cache_key, '|', 2)) + 2)").alias("data_type"), "links")

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from ..functions.text import let, phrase_positions, to_singular, word_positions
 from ..session import stage
 from . import kg
-from .common import lookup
+from .common import lookup, spread
 from .tagging import SentenceTagger
 
 TOKEN_RE = r"[\p{L}\p{N}_]+|[^\s\p{L}\p{N}_]"
@@ -248,14 +248,29 @@ def country_positions(tok: str, country: Column, synonyms: Column) -> Column:
         word_positions(tok, country))
 
 
+def first_words(country: Column, synonyms: Column) -> Column:
+    """Words of which one stands wherever ``country_positions`` finds something:
+    a cheap test before that search (null: an empty phrase, found everywhere)."""
+    return F.when(synonyms.isNotNull(), F.transform(synonyms, lambda p: F.get(p, F.lit(0)))).otherwise(F.array(F.lower(country)))
+
+
+def _if_held(tok: str, words: str, hits: Column) -> Column:
+    """``hits`` if ``tok`` holds one of ``words``, else none: the test is part of the
+    value, since a filter on the value may be moved in front of any other filter."""
+    return F.when(F.coalesce(F.arrays_overlap(tok, words), F.lit(True)), hits).otherwise(F.array().cast("array<int>"))
+
+
 # ------------------------------------------------------------------ fold
 def fold_links(rows: DataFrame, data_type: str, dedupe_object_ind: bool = False) -> DataFrame:
     """(pair_id, object, subject, s_ind, o_ind, first, [feature_type]) ->
     one row per (pair, object): each subject once, repeated per its index,
     indices concatenated in subject order; object indices (and feature type)
-    from the first subject (AGG-09)."""
+    from the first subject (AGG-09).
+
+    Rows are dealt out by pair once, for both groupings, to all tasks: they are
+    few bytes each, so by bytes they would end in one."""
     ft = F.col("feature_type") if "feature_type" in rows.columns else F.lit(None).cast("string")
-    per = rows.select("pair_id", "object", "subject", "s_ind", "o_ind", "first", ft.alias("feature_type"))
+    per = spread(rows.select("pair_id", "object", "subject", "s_ind", "o_ind", "first", ft.alias("feature_type")), "pair_id")
     # a subject listed under several feature types counts once, under the first of them
     per = per.groupBy("pair_id", "object", "subject").agg(F.min(F.struct(
         "first", F.coalesce(F.array_position(F.array(*[F.lit(t) for t in kg.FEATURE_TYPES]), F.col("feature_type")),
@@ -290,7 +305,7 @@ def link_isa(ann: DataFrame, hypernyms: DataFrame, filter_repeat: bool = True) -
     rows = j.select("pair_id", F.col("hyper").alias("object"), "subject",
                     word_positions("g1", F.col("subject")).alias("s_ind"),
                     word_positions("g2", F.col("hyper")).alias("o_ind"))
-    rows = rows.withColumn("first", F.coalesce(F.try_element_at(F.array_sort("s_ind"), F.lit(1)), F.lit(1 << 30)))
+    rows = rows.withColumn("first", F.coalesce(F.try_element_at("s_ind", F.lit(1)), F.lit(1 << 30)))
     return fold_links(rows, "isa")
 
 
@@ -303,13 +318,13 @@ def link_location(ann: DataFrame, places: DataFrame, countries: DataFrame | Sequ
     base = ann.select("pair_id", "l1", "l2", place_candidates(1).alias("c1"))
     c = _explode_cands(base, F.col("c1"), "subject")
     c = c.join(lookup(countries.select(F.col("name").alias("__c")).distinct()), F.col("subject") == F.col("__c"), "left_anti")
-    j = c.join(places, c.subject == places.query).select("pair_id", "l1", "l2", "subject",
-                                                         F.explode("places").alias("object"))
-    syn = lookup(synonyms)
-    j = j.join(syn, F.col("object") == syn.country, "left").drop("country")
+    named = places.select("query", F.explode("places").alias("object"))
+    named = named.join(synonyms.withColumnRenamed("country", "object"), "object", "left")
+    named = lookup(named.select("query", "object", "phrases", first_words(F.col("object"), F.col("phrases")).alias("__any")))
+    j = c.join(named, c.subject == named.query)
     rows = j.select("pair_id", "object", "subject",
                     word_positions("l1", F.col("subject")).alias("s_ind"),
-                    country_positions("l2", F.col("object"), F.col("phrases")).alias("o_ind"))
+                    _if_held("l2", "__any", country_positions("l2", F.col("object"), F.col("phrases"))).alias("o_ind"))
     rows = rows.where((F.size("s_ind") > 0) & (F.size("o_ind") > 0))
     rows = rows.withColumn("first", F.try_element_at("s_ind", F.lit(1)))
     return fold_links(rows, "location")
@@ -322,20 +337,22 @@ def link_trademark(ann: DataFrame, countries: DataFrame, adjectives: DataFrame,
     the adjective look-up, and a missing adjective searches the name twice."""
     base = ann.select("pair_id", "l1", "l2", capital_candidates(1).alias("c1"))
     c = _explode_cands(base, F.col("c1"), "subject")
-    j = c.join(countries, c.subject == countries.query).select(
-        "pair_id", "l1", "l2", "subject", F.explode("countries").alias("object"))
+    # all that a country's search needs is put beside it before the pairs come
+    k = countries.select("query", F.explode("countries").alias("object"))
     if reference_compat:
         cap = F.concat(F.upper(F.substring("object", 1, 1)), F.substring("object", 2, 1 << 30))
     else:
         cap = F.initcap("object")
-    j = j.withColumn("__cap", cap)
     adj = adjectives.select(F.col("country").alias("__cap"), F.lower("adjective").alias("__adj"))
-    j = j.join(lookup(adj), "__cap", "left")
+    k = k.withColumn("__cap", cap).join(adj, "__cap", "left")
     adj_word = F.coalesce(F.col("__adj"), F.col("object")) if reference_compat else F.col("__adj")
     syn = synonyms.select(F.col("country").alias("object"), F.col("phrases"))
-    j = j.join(lookup(syn), "object", "left")
     syn2 = synonyms.select(F.col("country").alias("__adjkey"), F.col("phrases").alias("phrases2"))
-    j = j.withColumn("__adjkey", adj_word).join(lookup(syn2), "__adjkey", "left")
+    k = k.join(syn, "object", "left").withColumn("__adjkey", adj_word).join(syn2, "__adjkey", "left")
+    first = F.concat(first_words(F.col("object"), F.col("phrases")), F.when(
+        adj_word.isNotNull(), first_words(adj_word, F.col("phrases2"))).otherwise(F.array().cast("array<string>")))
+    k = lookup(k.select("query", "object", "__adj", "phrases", "phrases2", first.alias("__any")))
+    j = c.join(k, c.subject == k.query)
     name_hits = country_positions("l2", F.col("object"), F.col("phrases"))
     adj_hits = F.when(adj_word.isNotNull(), country_positions("l2", adj_word, F.col("phrases2"))) \
         .otherwise(F.array().cast("array<int>"))
@@ -343,7 +360,7 @@ def link_trademark(ann: DataFrame, countries: DataFrame, adjectives: DataFrame,
     if not reference_compat:
         o_ind = F.array_distinct(o_ind)
     rows = j.select("pair_id", "object", "subject", word_positions("l1", F.col("subject")).alias("s_ind"),
-                    o_ind.alias("o_ind"))
+                    _if_held("l2", "__any", o_ind).alias("o_ind"))
     rows = rows.where((F.size("s_ind") > 0) & (F.size("o_ind") > 0))
     rows = rows.withColumn("first", F.try_element_at("s_ind", F.lit(1)))
     return fold_links(rows, "trademark")
@@ -358,10 +375,12 @@ def link_color(ann: DataFrame, features: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("__ncolors"))
     f = features.join(ncol, "noun", "left").where(
         (F.col("feature_type") != "color") | (F.coalesce("__ncolors", F.lit(0)) <= 1)).drop("__ncolors")
+    # staged: of unknown size, it is streamed past a broadcast of all pairs, or both are shuffled by noun
+    f = lookup(f.withColumn("__any", F.slice(F.split("feature", " "), 1, 1)))
     j = c.join(f, c.subject == f.noun).drop("noun")
     rows = j.select("pair_id", F.col("feature").alias("object"), "subject", "feature_type",
                     word_positions("g1", F.col("subject")).alias("s_ind"),
-                    phrase_hits("l2", F.split(F.col("feature"), " ")).alias("o_ind"))
+                    _if_held("l2", "__any", phrase_hits("l2", F.split(F.col("feature"), " "))).alias("o_ind"))
     rows = rows.where((F.size("s_ind") > 0) & (F.size("o_ind") > 0))
     rows = rows.withColumn("first", F.try_element_at("s_ind", F.lit(1)))
     return fold_links(rows, "color")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import functions as F
 
 from ..operators import kg, linking
@@ -26,21 +28,26 @@ def _show(df):
 
 
 def linkers(spark, sf_dir):
-    """The four link types of this binding as a registry."""
+    """The four link types of this binding as a registry; what they look up is
+    worked out at first use and serves all runs of the registry."""
+    triples = cache(lambda: B.triples(spark, sf_dir))
+    hypernyms = cache(lambda: lookup(kg.hypernym_table(*B.taxonomy(spark, sf_dir))))
+    places = cache(lambda: lookup(kg.state_or_country(triples(), B.US_LABEL)))
+    countries = cache(lambda: lookup(kg.entity_countries(triples())))
+    features = cache(lambda: lookup(kg.noun_features(triples())))
+    names = cache(lambda: lookup(B.country_names(spark, sf_dir)))
+
     def isa(ann):
-        lemmas, edges = B.taxonomy(spark, sf_dir)
-        return linking.link_isa(ann, lookup(kg.hypernym_table(lemmas, edges)))
+        return linking.link_isa(ann, hypernyms())
 
     def location(ann):
-        places = lookup(kg.state_or_country(B.triples(spark, sf_dir), B.US_LABEL))
-        return linking.link_location(ann, places, B.country_names(spark, sf_dir), linking.synonyms_table(spark))
+        return linking.link_location(ann, places(), names(), linking.synonyms_table(spark))
 
     def trademark(ann):
-        countries = lookup(kg.entity_countries(B.triples(spark, sf_dir)))
-        return linking.link_trademark(ann, countries, linking.adjectives_table(spark), linking.synonyms_table(spark))
+        return linking.link_trademark(ann, countries(), linking.adjectives_table(spark), linking.synonyms_table(spark))
 
     def color(ann):
-        return linking.link_color(ann, lookup(kg.noun_features(B.triples(spark, sf_dir))))
+        return linking.link_color(ann, features())
 
     return {"isa": isa, "location": location, "trademark": trademark, "color": color}
 
@@ -387,7 +394,7 @@ def q_links_resumed(spark, sf_dir):
     """Links of the four types: a first run over every other pair, then one over
     all pairs that takes the first one's links from the store."""
     pairs = stage(B.pairs(spark, sf_dir), "pairs")
-    tagger, path = B.lexicon(spark, sf_dir), scratch_path(spark, "link-store")
+    tagger, path = lookup(B.lexicon(spark, sf_dir)), scratch_path(spark, "link-store")
     types = linkers(spark, sf_dir)
     resumed_links(pairs.where(F.col("pair_id") % 2 == 0), tagger, path, types)
     return _show(resumed_links(pairs, tagger, path, types))

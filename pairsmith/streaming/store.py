@@ -2,8 +2,8 @@
 
 Rows lie in ``rows/batch=<id>/bucket=<hash of the key>``; a Bloom filter of
 every such file group lies in ``bloom/batch=<id>`` as (bucket, word, bits) rows.
-A look-up joins the wanted keys' filter positions with the filters, by equi-joins
-over a few rows a key, and reads only the file groups that may hold one of them.
+A look-up tests every wanted key where it lies against the filters of its bucket
+(one array of bits per file group) and reads only the file groups that may hold one.
 A batch counts from the moment its filter is there, which is written last: a job
 that died half-way leaves files that nothing reads.
 
@@ -18,6 +18,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.common import lookup
+
 WORD_BITS = 64
 
 
@@ -34,25 +36,38 @@ class KeyedStore:
     def _bucket(self) -> Column:
         return F.pmod(F.xxhash64(F.col(self.key)), F.lit(self.buckets)).cast("int")
 
+    def _position(self, i: int) -> Column:
+        return F.pmod(F.xxhash64(F.lit(i), F.col(self.key)), F.lit(self.bits))
+
     def _positions(self) -> Column:
         """Filter positions of the key: one per hash."""
-        h = [F.pmod(F.xxhash64(F.lit(i), F.col(self.key)), F.lit(self.bits)) for i in range(1, self.hashes + 1)]
-        return F.array_distinct(F.array(*h))
+        return F.array_distinct(F.array(*[self._position(i) for i in range(1, self.hashes + 1)]))
+
+    def _filters(self) -> DataFrame:
+        """(batch, bucket, words): the filter of every file group, all its words in order."""
+        bloom = self.spark.read.parquet(f"{self.path}/bloom")
+        every = bloom.select("batch", "bucket").distinct().select(
+            "batch", "bucket", F.explode(F.sequence(F.lit(0), F.lit((self.bits - 1) // WORD_BITS))).alias("word"), F.lit(0).cast("long").alias("bits"))
+        dense = bloom.select("batch", "bucket", "word", "bits").unionByName(every).groupBy("batch", "bucket", "word").agg(F.bit_or("bits").alias("bits"))
+        return lookup(dense.groupBy("batch", "bucket").agg(F.sort_array(F.collect_list(F.struct("word", "bits")))["bits"].alias("words")))
 
     def file_groups(self, keys: DataFrame) -> list[str]:
         """Folders that may hold one of ``keys``; their number is bounded by
-        the store's batches times buckets, whatever the keys."""
+        the store's batches times buckets, whatever the keys.  ``keys`` are read
+        once and not shuffled where the filters can be broadcast."""
         if not self._there("bloom"):
             return []
-        bloom = self.spark.read.parquet(f"{self.path}/bloom")
-        want = keys.select(self.key).distinct().select(F.xxhash64(F.lit(0), self.key).alias("id"), self._bucket().alias("bucket"),
-                                                       F.explode(self._positions()).alias("at"))
-        want = want.groupBy("bucket", "id").agg(F.collect_list("at").alias("ats"), F.count(F.lit(1)).alias("n"))
-        one = want.select("bucket", "id", "n", F.explode("ats").alias("at")).withColumn("word", F.floor(F.col("at") / WORD_BITS).cast("int"))
-        hit = one.join(bloom, ["bucket", "word"]).where(F.expr(f"shiftright(bits, cast(at % {WORD_BITS} as int)) & 1") == 1)
-        full = hit.groupBy("batch", "bucket", "id").agg(F.count(F.lit(1)).alias("m"), F.first("n").alias("n")).where("m = n")
+        ats = [f"__at{i}" for i in range(1, self.hashes + 1)]
+        want = keys.select(self._bucket().alias("bucket"), *[self._position(i).alias(at) for i, at in enumerate(ats, 1)])
+        hit = want.join(self._filters(), "bucket")
+        for at in ats:
+            hit = hit.where(F.expr(f"shiftright(get(words, cast({at} div {WORD_BITS} as int)), cast({at} % {WORD_BITS} as int)) & 1") == 1)
         return [f"{self.path}/rows/batch={r['batch']}/bucket={r['bucket']}"
-                for r in full.select("batch", "bucket").distinct().orderBy("batch", "bucket").collect()]
+                for r in hit.select("batch", "bucket").distinct().orderBy("batch", "bucket").collect()]
+
+    def batch_rows(self, batch: str, schema: str) -> DataFrame:
+        """The rows of one batch, as ``add`` stored them."""
+        return self.spark.read.schema(schema).parquet(f"{self.path}/rows/batch={batch}")
 
     def stored(self, keys: DataFrame, schema=None) -> DataFrame:
         """Stored rows of ``keys``, from the file groups that may hold them.

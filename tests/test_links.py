@@ -1,5 +1,7 @@
 """Link joins on the worked examples (hand lexicon, taxonomy and graph)."""
 
+from pyspark.sql import functions as F
+
 from pairsmith.operators import kg, linking
 
 
@@ -70,3 +72,45 @@ def test_two_colours_give_no_colour_row(spark):
     lex = [("appletinis", "NOUN", None)]
     t = _triples(spark, [("Q1", "appletini", "color", "Qg", "green", 1), ("Q1", "appletini", "color", "Qr", "red", 1)])
     assert linking.link_color(_ann(spark, pairs, lex), kg.noun_features(t)).count() == 0
+
+
+def test_color_looks_staged_features_up(spark):
+    """Of unknown size, features are streamed past a broadcast of the pairs, or both shuffled by noun."""
+    ann = _ann(spark, [(1, "The cup is here .", "a red cup")], [("cup", "NOUN", None)])
+    features = kg.noun_features(_triples(spark, [(f"Q{i}", "Cup" if i == 0 else f"Thing{i}", "color", "red", "red", 1) for i in range(300)]))
+    out = linking.link_color(ann, features)
+    assert [(r.object, r.subjects, r.subject_ind, r.object_ind, r.feature_type) for r in out.collect()] == [("red", ["cup"], [1], [1], "color")]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    # below the fold: the candidates and one scan of the look-up, no grouping of features
+    assert "noun#" in plan and "__ncolors" not in plan
+
+
+def test_country_search_is_skipped_only_where_nothing_is_found(spark):
+    syn = {"uk": ["u . k .", "great britain", "britain"], "odd": [""], "us": ["the us", "us"]}
+    table = linking.synonyms_table(spark, syn).unionByName(spark.createDataFrame([("blank", [[]])], "country string, phrases array<array<string>>"))
+    texts = ["great britain", "great hall", "u . k . britain", "the us us", "us", "the end", "FRANCE france", "", "uk", "odd", "blank", "britain great britain"]
+    rows = spark.createDataFrame([(i, t.lower().split(" ")) for i, t in enumerate(texts)], "i int, l2 array<string>")
+    both = rows.crossJoin(spark.createDataFrame([(c,) for c in ("uk", "odd", "us", "blank", "France")], "c string")) \
+        .join(table, F.col("c") == F.col("country"), "left").withColumn("any", linking.first_words(F.col("c"), F.col("phrases")))
+    hits = linking.country_positions("l2", F.col("c"), F.col("phrases"))
+    got = both.select(hits.alias("plain"), linking._if_held("l2", "any", hits).alias("tested")).collect()
+    assert all(r["plain"] == r["tested"] for r in got) and sum(bool(r["plain"]) for r in got) > 10
+
+
+def test_a_fold_deals_its_rows_out_once(spark):
+    rows = spark.createDataFrame([(1, "o", "s", [0], [1], 0), (1, "o", "r", [2], [3], 2)],
+                                 "pair_id long, object string, subject string, s_ind array<int>, o_ind array<int>, first int")
+    out = linking.fold_links(rows, "isa")
+    assert out._jdf.queryExecution().executedPlan().toString().split("Final Plan")[0].count("Exchange hashpartitioning") == 1
+    assert [(r.subjects, r.subject_ind, r.object_ind) for r in out.collect()] == [(["s", "r"], [0, 2], [1])]
+
+
+def test_a_registry_works_its_look_ups_out_once(spark, monkeypatch):
+    from pairsmith.plans import q_links
+    seen, made = [], q_links.B.triples
+    monkeypatch.setattr(q_links.B, "triples", lambda *a: (seen.append(1), made(*a))[1])
+    registry = q_links.linkers(spark, "/root/testdata/sf0.001")
+    ann = _ann(spark, [(1, "The cup is here .", "a red cup")], [("cup", "NOUN", None)])
+    for _ in range(2):
+        linking.run_linkers(ann, registry)
+    assert len(seen) == 1

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from pairsmith.operators import linking
+from pairsmith.operators import link_memo, linking
 from pairsmith.operators.link_memo import resumed_links
 from pairsmith.streaming import incremental
 from pairsmith.streaming.store import KeyedStore
@@ -94,3 +94,33 @@ def test_links_resume(spark, tmp_path, links):
     assert {(r["pair_id"], r["object"]) for r in again.collect()} == want and not calls
     fresh = linking.run_linkers(linking.annotate(pairs, lexicon), linkers)
     assert {(r["pair_id"], r["object"]) for r in fresh.collect()} == want
+
+
+def test_a_lookup_does_not_shuffle_its_keys(spark, tmp_path, monkeypatch):
+    store = KeyedStore(spark, str(tmp_path / "s"), "k", buckets=8, bits=256, hashes=3)
+    first = store.add(rows(spark, 0, 30, [(None, -1)]))
+    second = store.add(rows(spark, 30, 60))
+    seen, collect = [], type(spark.range(1)).collect
+    monkeypatch.setattr(type(spark.range(1)), "collect", lambda df: (seen.append(df._jdf.queryExecution().optimizedPlan().toString()), collect(df))[1])
+    groups = store.file_groups(rows(spark, 0, 60, [(None, -1)]))
+    monkeypatch.undo()
+    assert {g.split("batch=")[1].split("/")[0] for g in groups} == {first, second}
+    # the only grouping is that of the (batch, bucket) found
+    assert len(seen) == 1 and seen[0].count("Aggregate [") == 1
+    assert store.stored(rows(spark, 0, 60, [(None, -1)]), SCHEMA).count() == 61
+
+
+def test_a_resumed_run_shuffles_pairs_not_types(spark, tmp_path, monkeypatch):
+    """One row a pair in what is staged, however many types there are."""
+    def kind(name):
+        return lambda ann: ann.select("pair_id", F.lit(name).alias("data_type"), F.element_at("l2", 1).alias("object"), F.array(F.element_at("l1", 1)).alias("subjects"),
+                                      F.array(F.lit(0)).alias("subject_ind"), F.array(F.lit(0)).alias("object_ind"), F.lit(None).cast("string").alias("feature_type"))
+    lexicon = spark.createDataFrame([("a", "NOUN", None)], "word string, pos string, ent string")
+    pairs = spark.createDataFrame([(1, "a b", "b c"), (2, "a b", "b c"), (3, "x y", "z"), (2, "a b", "b c")], "pair_id long, s1 string, s2 string")
+    staged, some, path = [], {n: kind(n) for n in ("p", "q|r")}, str(tmp_path / "links")
+    monkeypatch.setattr(link_memo, "stage", lambda df, name, f=link_memo.stage: (out := f(df, name), staged.append((name, out.count())))[0])
+    resumed_links(pairs, lexicon, path, some)
+    more = some | {n: kind(n) for n in ("s", "t")}  # a type added later is missing for every pair
+    got = sorted((r["pair_id"], r["data_type"], r["object"]) for r in resumed_links(pairs, lexicon, path, more).collect())
+    assert got == sorted((i, n, o) for n in more for i, o in ((1, "b"), (2, "b"), (2, "b"), (3, "z")))
+    assert staged == [("wanted-links", 4), ("stored-links", 2)] * 2
