@@ -113,3 +113,45 @@ def test_gradient_off_the_optimum(fitted):
     _, b = fitted
     moved = b.coefficients.withColumn("beta", F.transform("beta", lambda x: x * 1.5))
     assert baseline_ml.gradient(replace(b, coefficients=moved)).first()["gradient_norm"] > 1e-3
+
+
+def test_entries_are_those_of_the_joins(spark):
+    """A text's entries, worked out where it lies, against counts joined with the vocabulary."""
+    texts = [("red car red", "x y"), (None, ""), ("car", None), ("one a b two", "car car"), ("car", None), ("é_1 ßß red", "red")]
+    rows = spark.createDataFrame([(i, *t) for i, t in enumerate(texts)], "row long, p string, h string")
+    counts = X.term_counts(rows, "row", ["p", "h"], 2)
+    tokens = rows.withColumns({c: X.token_text(F.col(c)) for c in "ph"})
+    totals = X.term_totals(tokens.withColumn("times", F.lit(3)), ["p", "h"], "times", 2)
+    want = counts.groupBy("col", "term").agg((3 * F.sum("tf")).alias("tf"), (3 * F.count(F.lit(1))).alias("df"))
+    assert {tuple(r) for r in totals.collect()} == {tuple(r) for r in want.collect()}
+    for size in (100, 2):
+        vocab = X.vocabulary(counts, len(texts), size)
+        want = {(r["row"], r["idx"]): r["weight"] for r in X.tfidf_rows(counts, vocab).collect()}
+        got = X.row_entries(tokens, ["row"], ["p", "h"], vocab, 2).collect()
+        assert len(got) == len(texts)
+        assert {(r["row"], i): v for r in got for i, v in zip(r["idx"], r["value"], strict=True)} == {k: pytest.approx(v) for k, v in want.items()}
+
+
+def test_equal_rows_are_fitted_once(fitted):
+    data, b = fitted
+    groups = b.groups.select("y", "weight", "n", "idx").collect()
+    assert sum(r["n"] for r in groups) == 150
+    assert len(groups) == len({r for r in data if r[2] != "-"}) < 150
+    assert sum(r["weight"] for r in groups) == pytest.approx(150)
+    assert sum(r["n"] * len(r["idx"]) for r in groups) == b.weights.count()
+
+
+def test_gradient_travels_by_feature(fitted, spark):
+    """Each task adds its rows up: what is shuffled is a row a feature, whatever the rows are."""
+    from dataclasses import replace
+    _, b = fitted
+    seen = spark.sparkContext.accumulator(0)
+
+    def run(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+    counted = b.groups.mapInArrow(run, b.groups.schema)
+    got = baseline_ml.gradient(replace(b, groups=counted)).first()
+    assert seen.value == b.groups.count() < b.n_train
+    assert got["gradient_norm"] < 1e-5 and 0 < got["loss"] < math.log(3)
