@@ -117,3 +117,24 @@ def test_sentences_are_joined_once(spark, tmp_path, monkeypatch):
     got = Q.q_location_sentences(spark, "").collect()
     assert [(r["sample_id"], r["type"], r["locations"], r["start_char"]) for r in got] == [(1, "permise", "paris", "3")]
     assert seen.value == 2
+
+
+def test_lr_features_are_of_the_whole_fit(spark, monkeypatch):
+    """No vocabulary or steps cut below those of the baseline, in the code and the SQL."""
+    from pairsmith.operators import baseline_ml
+    from pairsmith.plans import q_ml
+    from pairsmith.plans.catalog import load_all
+    words = [f"w{i:03}" for i in range(400)]
+    rows = [(i, f"{w} red", "a car", "x", "y", label) for i, w in enumerate(words) for label in ("neutral", "entailment")]
+    df = spark.createDataFrame(rows, "row_id long, premise string, hypothesis string, ptype string, htype string, label string")
+    monkeypatch.setattr(q_ml, "_lr_parts", lambda *_: (df, df.limit(5)))
+    real, seen = baseline_ml.fit, []
+
+    def fit(train, test, cols, label="label", vocab_size=baseline_ml.VOCAB_SIZE, C=1.0, max_iter=baseline_ml.MAX_ITER):
+        seen.append((vocab_size, max_iter))
+        return real(train, test, cols, label, vocab_size, C, 3)  # few steps: the fit has tests of its own
+    monkeypatch.setattr(baseline_ml, "fit", fit)
+    got = {(r["col"], r["term"]): r["n_rows"] for r in q_ml.q_lr_features(spark, "").collect()}
+    assert seen == [(843_000, 10_000)]
+    assert len([t for c, t in got if c == "premise"]) == 801 and got["premise", "red"] == 800 and got["premise", "w007 red"] == 2
+    assert "<= 843000)" in load_all()["lr_features"].sql and "<= 300)" in load_all()["lr_optimum"].sql
