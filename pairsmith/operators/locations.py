@@ -3,7 +3,9 @@ STR-06/07/10).
 
 Mentions are runs of words that are gazetteer names, leftmost-longest inside a
 text, with the name's entity types: a trie with failure links in every task for
-a gazetteer of bounded size, else a join with the names' first words.
+a gazetteer of bounded size; of a larger one tasks hold the names as Arrow strings
+and make a trie of those that the words at hand can begin; beyond that, a join with
+the names' first words.
 
 Random choices of the reference become seeded hashes: a pick from a list is an
 equi-join on (group, ``hash(seed, id) mod size``) with the ranked list, and a
@@ -13,9 +15,10 @@ shuffle position is the rank by ``md5(seed/id)``; no list is ever one row.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,6 +50,10 @@ SECTION2_WORD_TYPES = ("Country", "Location")
 SENTENCE_TYPES = (("sentence1", "permise"), ("sentence2", "hypothesis"))
 #: Bytes of names that tasks hold as a trie (about a hundred times that in a task's memory).
 TRIE_BYTES = 4 << 20
+#: Bytes of names that tasks hold as Arrow strings (some two and a half times that in a task's memory).
+TABLE_BYTES = 64 << 20
+#: Bytes of texts that a trie of the names at hand is made for, and counts that a task adds up before it hands them on.
+TEXT_BYTES, COUNTS = 16 << 20, 1 << 18
 #: Word places are summed in blocks of this many words.
 BLOCK = 64
 
@@ -111,53 +118,123 @@ def name_table(names: DataFrame) -> DataFrame:
                   .select(F.col("p")[0].alias("first"), F.size("p").alias("n"), F.array_join("p", " ").alias("location"), "p", "ents"))
 
 
-def _by_trie(rows: DataFrame, table: DataFrame, keys: Sequence[str], text_col: str) -> DataFrame:
-    """Mentions by one pass per text over a trie that every task holds: nothing is shuffled."""
-    listed = {tuple(r["p"]): (r["location"], r["ents"]) for r in table.select("p", "location", "ents").collect()}
-    sent = rows.sparkSession.sparkContext.broadcast(listed)
+def _hits(known) -> Callable[[list[str]], list[tuple[int, int]]]:
+    """Leftmost-longest hits; a text without the first word of a name of several
+    words has the names of one word alone."""
+    trie, several = TokenTrie(known), {name[0] for name in known if len(name) > 1}
+    one = {name[0] for name in known if len(name) == 1}
+
+    def hits(words: list[str]) -> list[tuple[int, int]]:
+        if several.isdisjoint(words):
+            return [(k, 1) for k, w in enumerate(words) if w in one]
+        return trie.leftmost_longest(words)
+    return hits
+
+
+class _Names:
+    """A name table in a task: one trie of all names, or (``whole`` not) a trie for
+    each group of texts, of the names whose first word stands in one of them."""
+
+    def __init__(self, table: DataFrame, whole: bool):
+        rest = F.array_join(F.slice("p", 2, 1 << 30), " ").alias("rest")
+        sink = pa.BufferOutputStream()
+        found = table.select("first", rest, "ents").toArrow()
+        with pa.ipc.new_stream(sink, found.schema) as to:
+            to.write_table(found)
+        self.sent, self.whole = table.sparkSession.sparkContext.broadcast(sink.getvalue().to_pybytes()), whole
+
+    def over(self, batches: Iterator[pa.RecordBatch], find) -> Iterator:
+        """(batch, hits, name -> (location, ents)) of batches whose last column is the text;
+        ``hits`` finds the names in a list of words as a trie does."""
+        names = pa.ipc.open_stream(self.sent.value).read_all()
+
+        def trie(some):
+            known = {(f, *r.split(" ")) if r else (f,): (f"{f} {r}" if r else f, e)
+                     for f, r, e in zip(*(some[c].to_pylist() for c in ("first", "rest", "ents")))}
+            return _hits(known), known
+        if self.whole:
+            whole = trie(names)
+            yield from ((b, *whole) for b in batches)
+            return
+        for group in self._groups(batches):
+            seen = set()
+            for text in (x for b in group for x in b.column(b.num_columns - 1).to_pylist()):
+                seen.update(find(text or ""))
+            words = pa.array(list({w.lower() for w in seen}), names["first"].type)
+            some = trie(names.filter(pc.is_in(names["first"], value_set=words)))
+            yield from ((b, *some) for b in group)
+
+    @staticmethod
+    def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
+        group, size = [], 0
+        for b in batches:
+            if group and size + b.nbytes > TEXT_BYTES:
+                yield group
+                group, size = [], 0
+            group.append(b)
+            size += b.nbytes
+        if group:
+            yield group
+
+
+def _by_trie(rows: DataFrame, table: DataFrame, keys: Sequence[str], text_col: str, entity_types: Sequence[str] | None = None,
+             whole: bool = True) -> DataFrame:
+    """Mentions by one pass per text over a trie that tasks hold: nothing is shuffled."""
+    sent, wanted = _Names(table, whole), None if entity_types is None else set(entity_types)
     slim = rows.select(*keys, F.col(text_col).cast("string").alias("__text"))
     out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema.fields[:-1])
     fields = slim.columns[:-1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
-        word, known = regex.compile(WORD + "+"), sent.value
-        trie = TokenTrie(known)
-        kind = pa.list_(pa.struct([("k", pa.int32()), ("location", pa.string()), ("words", pa.int32()), ("start_char", pa.int32()),
-                                   ("end_char", pa.int32()), ("ents", pa.list_(pa.string()))]))
-        for batch in batches:
-            found, at = [], []
+        word = regex.compile(WORD + "+")
+        kinds = {"k": pa.int32(), "location": pa.string(), "words": pa.int32(), "start_char": pa.int32(), "end_char": pa.int32(),
+                 "ents": pa.list_(pa.string())}
+        for batch, find, known in sent.over(batches, word.findall):
+            at, ends, cells = [], [0], []
             for i, text in enumerate(batch.column(len(fields)).to_pylist()):
-                places = list(word.finditer(text or ""))
-                words = [m.group().lower() for m in places]
-                if hits := trie.leftmost_longest(words):
+                places = [(m.group().lower(), m.start(), m.end()) for m in word.finditer(text or "")]
+                words = [w for w, _, _ in places]
+                for k, n in find(words):
+                    location, ents = known[tuple(words[k:k + n])]
+                    if wanted is None or not wanted.isdisjoint(ents):
+                        cells.append((k, location, n, places[k][1], places[k + n - 1][2], ents))
+                if len(cells) > ends[-1]:
                     at.append(i)
-                    found.append([{"k": k, "location": known[name][0], "words": n, "start_char": places[k].start(),
-                                   "end_char": places[k + n - 1].end(), "ents": known[name][1]}
-                                  for k, n in hits for name in [tuple(words[k:k + n])]])
+                    ends.append(len(cells))
             some = batch.take(pa.array(at, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*some.columns[:-1], pa.array(found, kind)], [*fields, "m"])
+            each = [pa.array(list(x), t) for x, t in zip(zip(*cells) if cells else [()] * len(kinds), kinds.values())]
+            found = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(each, list(kinds)))
+            yield pa.RecordBatch.from_arrays([*some.columns[:-1], found], [*fields, "m"])
 
     return slim.mapInArrow(run, f"{out}, m array<{MENTION}>")
 
 
-def _count_by_trie(rows: DataFrame, table: DataFrame, text_col: str, entity_types: Sequence[str] | None) -> DataFrame:
+def _count_by_trie(rows: DataFrame, table: DataFrame, text_col: str, entity_types: Sequence[str] | None, whole: bool = True) -> DataFrame:
     """(location, cnt) of each task's texts, added up there: places are not worked out."""
-    listed = {tuple(r["p"]): (r["location"], r["ents"]) for r in table.select("p", "location", "ents").collect()}
-    wanted = None if entity_types is None else {loc for loc, ents in listed.values() if set(ents) & set(entity_types)}
-    sent = rows.sparkSession.sparkContext.broadcast((list(listed), wanted))
+    sent, wanted = _Names(table, whole), None if entity_types is None else set(entity_types)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
-        names, only = sent.value
-        find, trie, found = regex.compile(WORD + "+").findall, TokenTrie(names), Counter()
-        for batch in batches:
+        words_of, found = regex.compile(WORD + "+").findall, Counter()
+
+        def sums():
+            cells = list(found.items())
+            found.clear()
+            return pa.RecordBatch.from_arrays([pa.array([k for k, _ in cells], pa.string()), pa.array([n for _, n in cells], pa.int64())],
+                                              ["location", "cnt"])
+        for batch, find, known in sent.over(batches, words_of):
+            own = Counter()
             for text in batch.column(0).to_pylist():
-                words = [w.lower() for w in find(text or "")]
-                found.update(" ".join(words[k:k + n]) for k, n in trie.leftmost_longest(words))
-        kept = [(k, n) for k, n in found.items() if only is None or k in only]
-        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in kept], pa.string()), pa.array([n for _, n in kept], pa.int64())],
-                                         ["location", "cnt"])
+                words = [w.lower() for w in words_of(text or "")]
+                own.update([tuple(words[k:k + n]) for k, n in find(words)])
+            for name, n in own.items():
+                location, ents = known[name]
+                if wanted is None or not wanted.isdisjoint(ents):
+                    found[location] += n
+            if len(found) > COUNTS:
+                yield sums()
+        yield sums()
 
     return rows.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "location string, cnt long")
 
@@ -188,7 +265,7 @@ def _by_join(rows: DataFrame, table: DataFrame, keys: Sequence[str], text_col: s
 
 
 def mentions(rows: DataFrame, names: DataFrame, keys: Sequence[str], text_col: str = "text",
-             entity_types: Sequence[str] | None = None, trie_bytes: int = TRIE_BYTES) -> DataFrame:
+             entity_types: Sequence[str] | None = None, trie_bytes: int = TRIE_BYTES, table_bytes: int = TABLE_BYTES) -> DataFrame:
     """``keys`` and ``m``: the gazetteer mentions (NLP-04) of a text as an array
     of (k, location, words, start_char, end_char, ents), leftmost-longest,
     texts without one left out.  ``keys`` name each text (repeated rows with
@@ -197,11 +274,14 @@ def mentions(rows: DataFrame, names: DataFrame, keys: Sequence[str], text_col: s
     ``names``: (name[, ent]), a name under any number of types.  All names are
     matched; ``entity_types`` then keeps the mentions of one of those types
     (FLT-07).  A name of several words matches them in a row whatever stands
-    between.  Up to ``trie_bytes`` of names go to every task as a trie; more
-    are joined by their first words."""
+    between.  Up to ``trie_bytes`` of names go to every task as a trie, up to
+    ``table_bytes`` as strings that it makes tries of; more are joined by their
+    first words (all, if ``trie_bytes`` is 0)."""
     table = name_table(names)
     size = table.agg(F.sum(F.octet_length("location"))).first()[0] or 0
-    found = (_by_trie if size <= trie_bytes else _by_join)(rows, table, keys, text_col)
+    if size <= trie_bytes or trie_bytes and size <= table_bytes:
+        return _by_trie(rows, table, keys, text_col, entity_types, size <= trie_bytes)
+    found = _by_join(rows, table, keys, text_col)
     if entity_types is None:
         return found
     wanted = F.array(*[F.lit(t) for t in entity_types]) if entity_types else F.array().cast("array<string>")
@@ -209,12 +289,13 @@ def mentions(rows: DataFrame, names: DataFrame, keys: Sequence[str], text_col: s
 
 
 def corpus_mentions(sentences: DataFrame, names: DataFrame, text_col: str = "text", id_col: str = "id",
-                    entity_types: Sequence[str] | None = None, trie_bytes: int = TRIE_BYTES) -> DataFrame:
+                    entity_types: Sequence[str] | None = None, trie_bytes: int = TRIE_BYTES, table_bytes: int = TABLE_BYTES) -> DataFrame:
     """Mention count per lower-cased location over a corpus (AGG-05)."""
     table = name_table(names)
-    if (table.agg(F.sum(F.octet_length("location"))).first()[0] or 0) <= trie_bytes:
-        return _count_by_trie(sentences, table, text_col, entity_types).groupBy("location").agg(F.sum("cnt").alias("cnt"))
-    found = mentions(sentences, names, [id_col], text_col, entity_types, trie_bytes)
+    size = table.agg(F.sum(F.octet_length("location"))).first()[0] or 0
+    if size <= trie_bytes or trie_bytes and size <= table_bytes:
+        return _count_by_trie(sentences, table, text_col, entity_types, size <= trie_bytes).groupBy("location").agg(F.sum("cnt").alias("cnt"))
+    found = mentions(sentences, names, [id_col], text_col, entity_types, trie_bytes, table_bytes)
     return found.select(F.explode("m.location").alias("location")).groupBy("location") \
         .agg(F.count(F.lit(1)).cast("bigint").alias("cnt"))
 

@@ -164,3 +164,21 @@ def test_mentions_by_trie_and_by_join(spark, trie_bytes):
     counts = dict(_pairs(locations.corpus_mentions(df, names, trie_bytes=trie_bytes)))
     assert counts == {"new york": 2, "york minster": 2, "straße": 1, "new york city hall": 1, "york": 2}
     assert locations.corpus_mentions(df, names.limit(0), trie_bytes=trie_bytes).count() == 0
+
+
+def test_mentions_of_more_names_than_a_trie_holds(spark, monkeypatch):
+    """Names beyond the trie's bound are not joined with the words: tasks make tries of those at hand."""
+    names = spark.createDataFrame([("New York", "GPE"), ("york", "ORG"), ("york minster", "LOC"), ("new york city hall", None), ("straße", "LOC"),
+                                   *((f"Absent{i} place", "GPE") for i in range(50))], "name string, ent string")
+    words = ["NEW", "York", "minster", "city", "Hall", "Straße", "of", "Absent7"]
+    texts = [(i, " ".join(words[(i * k + k // 3) % 8] for k in range(i % 40)) if i % 9 else None) for i in range(300)]
+    df = spark.createDataFrame(texts, "id int, text string").repartition(3)
+    want = {types: {r["id"]: r["m"] for r in locations.mentions(df, names, ["id"], entity_types=types).collect()} for types in (None, ("LOC", "ORG"))}
+    joined = {r["id"]: r["m"] for r in locations.mentions(df, names, ["id"], trie_bytes=0).collect()}
+    assert want[None] == joined and len(joined) > 100
+    counts = dict(_pairs(locations.corpus_mentions(df, names)))
+    monkeypatch.setattr(locations, "_by_join", None)
+    monkeypatch.setattr(locations, "TEXT_BYTES", 2000)
+    for types, rows in want.items():
+        assert {r["id"]: r["m"] for r in locations.mentions(df, names, ["id"], entity_types=types, trie_bytes=1).collect()} == rows
+    assert dict(_pairs(locations.corpus_mentions(df, names, trie_bytes=1))) == counts and counts["new york"] > 0
