@@ -138,3 +138,22 @@ def test_lr_features_are_of_the_whole_fit(spark, monkeypatch):
     assert seen == [(843_000, 10_000)]
     assert len([t for c, t in got if c == "premise"]) == 801 and got["premise", "red"] == 800 and got["premise", "w007 red"] == 2
     assert "<= 843000)" in load_all()["lr_features"].sql and "<= 300)" in load_all()["lr_optimum"].sql
+
+
+def test_features_by_parts_equal_those_by_terms(spark, monkeypatch):
+    """Hashes and texts travel, no terms: the same weights as by counts dealt out by term."""
+    import random
+    from pairsmith.operators import baseline_ml, gram_weights
+    from pairsmith.operators import text_features as X
+    rng = random.Random(6)
+    rows = [(rng.choice([None, *range(30)]), " ".join(rng.choice(["a", "red", "car", "é_1", "bus", "of"]) for _ in range(rng.randint(0, 12))) or None)
+            for _ in range(60)]
+    df = spark.createDataFrame(rows, "d int, t string")
+    monkeypatch.setattr(gram_weights, "PART_BYTES", 40)
+    out = baseline_ml.tfidf_features(df, "t", "d")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "hashpartitioning(term" not in plan and "hashpartitioning(col" not in plan
+    got = {(r["doc_id"], r["term"]): r["weight"] for r in out.collect()}
+    want = X.tfidf_all(X.text_terms(df.withColumnRenamed("t", "text"), "d", "text"), df.select("d").distinct().count())
+    assert got == {(r["row"], r["term"]): pytest.approx(r["weight"]) for r in want.collect()} and len(got) > 300
+    assert baseline_ml.tfidf_features(df.where("d < 0"), "t", "d").count() == 0
