@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Bytes of token texts in a part.
-PART_BYTES = 6 << 20
+PART_BYTES = 4 << 20
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
 
@@ -46,42 +46,44 @@ class _Part:
     ``doc``, ``tf``, place ``at`` of the words and length ``size``; ``hashes`` distinct and
     sorted, ``df`` documents hold each, ``of`` is the cell's place there."""
 
-    def __init__(self, docs: np.ndarray, texts: list[str], ngrams: int):
-        known: dict[str, int] = {}
-        split = [t.split(" ") if t else [] for t in texts]
-        self.ids = np.fromiter((known.setdefault(w, len(known)) for t in split for w in t), np.int64)
-        self.words = pa.array(list(known), pa.string())
-        of_word = np.array([int.from_bytes(blake2b(w.encode(), digest_size=8).digest(), "little") for w in known], np.uint64)
-        n = np.array([len(t) for t in split], np.int64)
-        text = np.repeat(np.arange(len(texts)), n)
-        parts, h = [], _mix(of_word)[self.ids] if len(known) else np.empty(0, np.uint64)
+    def __init__(self, docs: np.ndarray, texts: pa.Array, ngrams: int):
+        some = pc.not_equal(texts, "").to_numpy(zero_copy_only=False)
+        split = pc.split_pattern(texts.filter(pa.array(some)), " ")
+        flat = split.flatten().dictionary_encode()
+        self.ids, self.words = flat.indices.to_numpy(), flat.dictionary
+        of_word = np.array([int.from_bytes(blake2b(w.encode(), digest_size=8).digest(), "little") for w in self.words.to_pylist()], np.uint64)
+        doc = np.repeat(docs[some].astype(np.int32), split.value_lengths().to_numpy())
+        text = np.repeat(np.arange(len(split), dtype=np.int32), split.value_lengths().to_numpy())
+        parts, h = [], _mix(of_word)[self.ids]
         one = h
         for k in range(1, ngrams + 1):
             if k > 1:
-                h = _mix(h[:-1] * _ODD[0] + one[k - 1:] * _ODD[1] + _ODD[2]) if len(h) > 1 else h[:0]
-            at = np.flatnonzero(text[:len(h)] == text[k - 1:]) if len(h) else np.empty(0, np.int64)
-            parts.append((docs[text[at]], h[at], at, np.full(len(at), k, np.int8)))
+                h = _mix(h[:-1] * _ODD[0] + one[k - 1:] * _ODD[1] + _ODD[2])
+            at = np.flatnonzero(text[:len(h)] == text[k - 1:]).astype(np.int32)
+            parts.append((doc[at], h[at], at, np.full(len(at), k, np.int8)))
         doc, h, at, size = (np.concatenate(x) for x in zip(*parts))
-        order = np.lexsort((h, doc))
-        doc, h = doc[order], h[order]
-        first = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (h[1:] != h[:-1]))) if len(h) else np.empty(0, np.int64)
-        self.doc, self.tf = doc[first], np.diff(np.append(first, len(h)))
-        self.at, self.size = at[order[first]], size[order[first]]
-        self.hashes, self.of, self.df = np.unique(h[first], return_inverse=True, return_counts=True)
+        self.hashes, of = np.unique(h, return_inverse=True)
+        cell = doc.astype(np.int64) * max(len(self.hashes), 1) + of
+        order = np.argsort(cell, kind="stable")
+        cell = cell[order]
+        first = np.flatnonzero(np.append(True, cell[1:] != cell[:-1])) if len(cell) else np.empty(0, np.int64)
+        self.tf, order = np.diff(np.append(first, len(cell))), order[first]
+        self.doc, self.at, self.size, self.of = doc[order], at[order], size[order], of[order]
+        self.df = np.bincount(self.of, minlength=len(self.hashes))
 
     def terms(self, some: slice) -> pa.Array:
         at, size = self.at[some], self.size[some]
         out = self.words.take(pa.array(self.ids[at]))
         for k in range(1, int(size.max(initial=1))):
-            more = self.words.take(pa.array(np.where(size > k, self.ids[np.minimum(at + k, len(self.ids) - 1)], 0)))
+            more = self.words.take(pa.array(self.ids[np.minimum(at + k, len(self.ids) - 1)]))
             out = pc.if_else(pa.array(size > k), pc.binary_join_element_wise(out, more, " "), out)
         return out
 
 
-def _documents(table: pa.Table) -> tuple[np.ndarray, pa.Array, list[str]]:
+def _documents(table: pa.Table) -> tuple[np.ndarray, pa.Array, pa.Array]:
     """Number of each row's document, the documents' ids (a null one too), the texts."""
     ids = table["row"].combine_chunks().dictionary_encode("encode")
-    return ids.indices.to_numpy(), ids.dictionary, table["text"].to_pylist()
+    return ids.indices.to_numpy(), ids.dictionary, table["text"].combine_chunks()
 
 
 def weights(docs: DataFrame, row: str, tokens: Column, n_rows: int, ngrams: int = 3) -> DataFrame:
